@@ -15,34 +15,45 @@ from ..session import ensure_checkpoint_dir
 
 
 class IterationState:
-    """Holds the current version of named state tables."""
+    """Holds the current version of named state tables.
 
-    def __init__(self, checkpoint_every: int = 5):
+    Each new version is persisted, then (every ``checkpoint_every``
+    iterations, by default every one) checkpointed from that cache: the
+    checkpoint write reads the cached blocks instead of recomputing, and the
+    returned table's plan is a scan of the checkpoint, so plans do not grow
+    with the number of iterations (analysis and cache look-ups of a plan that
+    embeds every earlier iteration get slower each step)."""
+
+    def __init__(self, checkpoint_every: int = 1):
         self.checkpoint_every = checkpoint_every
-        self._live: dict[str, DataFrame] = {}
+        self._live: dict[str, list[DataFrame]] = {}
 
     def put(self, name: str, df: DataFrame, iteration: int, measure: list | None = None):
         """Materialise ``df`` as the new version of ``name`` and drop the old one.
 
         With ``measure`` (aggregate columns) the materialising action computes
         them and ``(df, row)`` is returned, saving a separate pass."""
-        row = None
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        keep = [cached]
         if self.checkpoint_every and iteration % self.checkpoint_every == 0:
             ensure_checkpoint_dir(df.sparkSession)
-            out = df.checkpoint(eager=True)
-            if measure:
-                row = out.agg(*measure).first()
+            out = cached.checkpoint(eager=True)
+            # the checkpointed table now carries the data; serve it from memory
+            out = out.persist(StorageLevel.MEMORY_AND_DISK)
+            row = out.agg(*measure).first() if measure else out.count()
+            cached.unpersist()
+            keep = [out]
         else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out = cached
             # a persisted relation caches every column whichever are read
             row = out.agg(*measure).first() if measure else out.count()
-        old = self._live.get(name)
-        if old is not None:
+        for old in self._live.get(name, []):
             old.unpersist()
-        self._live[name] = out
+        self._live[name] = keep
         return (out, row) if measure else out
 
     def release(self) -> None:
-        for df in self._live.values():
-            df.unpersist()
+        for dfs in self._live.values():
+            for df in dfs:
+                df.unpersist()
         self._live.clear()

@@ -16,6 +16,7 @@ Stopping rule: a fixed number of iterations, as in the reference."""
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -36,6 +37,7 @@ class Model:
     trace: list[dict] = field(default_factory=list)
     p: DataFrame | None = None    # (row_id, p) for the primal-dual trainers
     b_avg: float | None = None    # running-mean bias of the sampled trainer
+    seconds: list[float] = field(default_factory=list)  # wall time per iteration
 
     def trace_frame(self, spark: SparkSession) -> DataFrame:
         """K2: the per-iteration trace as a table (one row per iteration)."""
@@ -85,7 +87,7 @@ def _prepare(rows: DataFrame) -> tuple[DataFrame, int]:
 def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None = None,
              b: float = 0.0, fit_bias: bool = False, shifted: bool = False,
              w_step: float = -1.0, b_step: float = -1.0, seed: int = 42,
-             checkpoint_every: int = 5) -> Model:
+             checkpoint_every: int = 1) -> Model:
     """Batch gradient descent.
 
     * T1: ``train_gd(rows, d, T)``: uniform(-1, 1) init, no bias,
@@ -106,6 +108,7 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
     W = state.put("W", weights, 1)
     model = Model(W, b, d)
     for t in range(1, iters + 1):
+        t0 = time.perf_counter()
         w1, w2 = _first_two(W)
         model.trace.append({"iter": t, "w1": w1, "w2": w2, "b": float(b)})
         score_bias = -(w1 + w2) if shifted else b
@@ -116,6 +119,7 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
         grad.unpersist()
         if fit_bias:
             b = b + b_step * g0
+        model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b = W, float(b)
     R.unpersist()
     return model
@@ -124,7 +128,7 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
 def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int,
                       u: list[float] | float, n: int | None = None,
                       w_step: float | None = None, b_step: float = 1.0,
-                      clip: float | None = None, checkpoint_every: int = 5) -> Model:
+                      clip: float | None = None, checkpoint_every: int = 1) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
@@ -145,6 +149,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     b = 0.0
     model = Model(W, b, d)
     for t in range(1, iters + 1):
+        t0 = time.perf_counter()
         RP = R.join(P, "row_id")
         act = linear.active_rows(RP, r, n)
         grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d) \
@@ -164,13 +169,14 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         Pn, (norm,) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t, measure=_p_norm())
         P = _scale_p(Pn, norm)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
+        model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p = W, float(b), P
     return model
 
 
 def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float,
                   u_features: list[float] | float, eta: float = 0.15,
-                  clip: float | None = None, checkpoint_every: int = 5) -> Model:
+                  clip: float | None = None, checkpoint_every: int = 1) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
     Per iteration: draw one row i with probability p_i^2; step
@@ -191,6 +197,7 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     b, b_avg = 0.0, 0.0
     model = Model(W, b, d)
     for t in range(1, iters + 1):
+        t0 = time.perf_counter()
         i = sample.sample_one(P, "row_id", F.col("p") * F.col("p"), ur[t - 1])
         Ws, (norm_sq,) = state.put("W", update.single_row_step(R, W, b, i, scale, d=d), t,
                                    measure=[F.sum(F.col("w") * F.col("w"))])
@@ -209,5 +216,6 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
                                   measure=_p_norm())
         P = _scale_p(Pn, p_norm)
         model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
+        model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)
     return model
