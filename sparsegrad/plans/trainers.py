@@ -44,7 +44,10 @@ class Model:
         if not self.trace:
             return spark.createDataFrame([], "iter bigint")
         cols = list(self.trace[0].keys())
-        return spark.createDataFrame([tuple(t[c] for c in cols) for t in self.trace], cols)
+        ids = {"iter", "i", "j"}
+        schema = ", ".join(f"{c} {'bigint' if c in ids else 'double'}" for c in cols)
+        data = [tuple(t[c] if t[c] is None or c in ids else float(t[c]) for c in cols) for t in self.trace]
+        return spark.createDataFrame(data, schema)
 
     def model_rows(self, use_b_avg: bool = False) -> DataFrame:
         """K1: D weight rows in id order followed by the bias as id D+1."""
