@@ -38,7 +38,7 @@ def apply_gradient(weights: DataFrame, grad: DataFrame, step: float, *,
     """``w + step * g`` per id; ids without a gradient keep w.
     The gradient table has at most D+1 rows (size-checked lookup join)."""
     g = grad.where(F.col("idx") != BIAS_IDX).select("idx", F.col("g").alias("_g"))
-    j = lookup_join(weights, g, "idx", "left", lookup_rows=None if d is None else d + 1)
+    j = lookup_join(weights, g, "idx", "left", lookup_rows=None if d is None else d + 1, big_unique=True)
     return j.select("idx", (F.col("w") + F.lit(float(step)) * F.coalesce(F.col("_g"), F.lit(0.0))).alias("w"))
 
 

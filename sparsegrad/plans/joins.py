@@ -26,15 +26,19 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
-                lookup_rows: int | None = None,
+                lookup_rows: int | None = None, big_unique: bool = False,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join ``lookup`` (unique on ``key``) onto ``big``.
 
     ``lookup_rows`` may be given when the size is known by construction (for
-    example the dimension D of a weight table); otherwise it is counted."""
+    example the dimension D of a weight table); otherwise it is counted.
+    ``big_unique`` says ``big`` is unique on ``key`` too (weight table joined
+    with a gradient): no key can be hot, so the skew check is skipped."""
     n = lookup_rows if lookup_rows is not None else lookup.count()
     if n <= max_broadcast_rows:
         return big.join(F.broadcast(lookup), key, how)
+    if big_unique:
+        return big.join(lookup, key, how)
     return skew_split_join(big, lookup, key, how, max_broadcast_rows=max_broadcast_rows)
 
 

@@ -70,11 +70,11 @@ def _p_norm() -> list:
     return [F.sqrt(F.sum(F.col("p") * F.col("p")))]
 
 
-def _scale_p(Pn: DataFrame, norm) -> DataFrame:
+def _scale_p(Pn: DataFrame, norm, keep: list[str] | None = None) -> DataFrame:
     """Divide by the L2 norm (a projection over the materialised table)."""
     if not norm:
         return Pn
-    return Pn.select("row_id", (F.col("p") / F.lit(float(norm))).alias("p"))
+    return Pn.select("row_id", *(keep or []), (F.col("p") / F.lit(float(norm))).alias("p"))
 
 
 def _first_two(weights: DataFrame) -> tuple[float, float]:
@@ -196,7 +196,9 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     scale = math.sqrt(2.0 * iters)
     state = IterationState(checkpoint_every)
     W = state.put("W", update.zero_weights(spark, d), 1)
-    P = state.put("P", R.select("row_id", F.lit(1.0 / math.sqrt(n)).alias("p")), 1)
+    # P carries y so that sign(sum p y) comes out of the pass that writes P
+    P, (pys,) = state.put("P", R.select("row_id", "y", F.lit(1.0 / math.sqrt(n)).alias("p")), 1,
+                          measure=[F.sum(F.col("p") * F.col("y"))])
     b, b_avg = 0.0, 0.0
     model = Model(W, b, d)
     for t in range(1, iters + 1):
@@ -206,8 +208,9 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
                                    measure=[F.sum(F.col("w") * F.col("w"))])
         norm = math.sqrt(norm_sq or 0.0)
         W = norms.unit_weights(Ws, "w", norm=norm)
-        RP = R.join(P, "row_id")
-        b = float(RP.agg(S.sign(F.sum(F.col("p") * F.col("y")))).first()[0] or 0.0)
+        RP = R.join(P.drop("y"), "row_id")
+        # U4: p is only rescaled by a positive norm since it was written
+        b = float(math.copysign(1.0, pys)) if pys else 0.0
         b_avg = (b_avg * (t - 1) + b) / t
         if norm == 0.0:
             j, w_j, len_sq = None, 0.0, 0.0
@@ -215,9 +218,9 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
             j, w_j = sample.sample_one(W, "idx", F.col("w") * F.col("w"), uf[t - 1], value="w")
             len_sq = 1.0
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
-        Pn, (p_norm,) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t,
-                                  measure=_p_norm())
-        P = _scale_p(Pn, p_norm)
+        Pn, (p_norm, pys) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
+                                      measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))])
+        P = _scale_p(Pn, p_norm, keep=["y"])
         model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)

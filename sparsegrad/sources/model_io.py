@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import with_line_ids
 
 
 def model_table(weights: DataFrame, b: float, d: int) -> DataFrame:
@@ -32,21 +33,9 @@ def write_model_parquet(model: DataFrame, path: str) -> None:
 
 def read_model_text(spark: SparkSession, path: str) -> DataFrame:
     """Read a text model back as ``(idx, w)``: ids follow file order (part
-    files in name order, lines in order) via ``zipWithIndex``."""
-    lines = spark.read.text(path)
-    # text parts of one directory are listed by name; keep one partition per
-    # file in that order so the line index is the model position
-    files = sorted(r[0] for r in lines.select(F.input_file_name()).distinct().collect())
-    ordered = None
-    for f in files:
-        part = spark.read.text(f)
-        ordered = part if ordered is None else ordered.union(part)
-    if ordered is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("idx", T.LongType()),
-                                                       T.StructField("w", T.DoubleType())]))
-    schema = T.StructType([T.StructField("idx", T.LongType(), False), T.StructField("w", T.DoubleType())])
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: (p[1] + 1, float(p[0][0])))
-    return spark.createDataFrame(rdd, schema)
+    files by name, lines in order)."""
+    lines = with_line_ids(spark.read.text(path), start=1, name="idx")
+    return lines.select("idx", F.col("value").cast("double").alias("w"))
 
 
 def weights_frame(weights: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,14 +144,29 @@ def parse_dense_last_wins(lines: DataFrame, d: int, value: str = "value",
 
 
 def with_line_ids(df: DataFrame, start: int = 1, name: str = "row_id") -> DataFrame:
-    """Stable consecutive ids in the order of the input (for plain lines,
-    which carry no id). Uses the RDD ``zipWithIndex``: one job counts the rows
-    per partition, then ids are assigned per partition without a shuffle.
-    Re-running on the same input gives the same ids (unlike
-    ``monotonically_increasing_id``, which is not consecutive)."""
-    schema = T.StructType([T.StructField(name, T.LongType(), False)] + df.schema.fields)
-    rdd = df.rdd.zipWithIndex().map(lambda pair: (pair[1] + start,) + tuple(pair[0]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """Stable consecutive ids in file order (for plain lines, which carry no
+    id), computed JVM-side without a global sort:
+
+    1. each line gets (file, block start, ``monotonically_increasing_id``);
+       the last one is (partition << 33) + position, so a segment = one
+       (file, block, partition) holds consecutive ids;
+    2. rows per segment: a partial aggregate with one row per input split;
+    3. exclusive running offsets over that small table in (file, block)
+       order, broadcast back (its size is the number of splits).
+
+    A file scan splits deterministically, so re-running on the same files
+    gives the same ids. For a DataFrame that is not a file scan the order is
+    the partition order."""
+    tagged = df.select("*", F.input_file_name().alias("_file"),
+                       F.input_file_block_start().alias("_blk"),
+                       F.monotonically_increasing_id().alias("_mid"))
+    tagged = tagged.withColumn("_part", F.shiftright("_mid", 33))
+    keys = ["_file", "_blk", "_part"]
+    segs = tagged.groupBy(*keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = segs.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), keys)
+            .select((F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start)).alias(name), *df.columns))
 
 
 def dense_to_sparse(rows: DataFrame, x: str = "x", keep_zeros: bool = True) -> DataFrame:

@@ -75,3 +75,38 @@ def test_cache_points_storage(spark):
     c = text.cache_points(rows)
     assert c.storageLevel.useMemory and c.storageLevel.useDisk
     c.unpersist()
+
+
+def test_line_ids_follow_file_order_across_files(spark, scratch):
+    import os
+    path = f"{scratch}/multi"
+    os.makedirs(path)
+    files = {"part-00.txt": ["-1 7:7", "-1 8:8"],
+             "part-10.txt": [f"1 {i}:1" for i in range(1, 301)],
+             "part-99.txt": ["1 9:9"]}
+    for f, lines in files.items():
+        with open(f"{path}/{f}", "w") as fh:
+            fh.write("\n".join(lines) + "\n")
+    ids = text.with_line_ids(text.scan_lines(spark, path)).orderBy("row_id").collect()
+    expected = [v for f in sorted(files) for v in files[f]]
+    assert [r["row_id"] for r in ids] == list(range(1, len(expected) + 1))
+    assert [r["value"] for r in ids] == expected
+
+
+def test_line_ids_with_split_files(spark, scratch):
+    import os
+    path = f"{scratch}/split"
+    os.makedirs(path)
+    lines = [f"1 {i}:{i}.5" for i in range(1, 2001)]
+    with open(f"{path}/part-00.txt", "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        scanned = text.scan_lines(spark, path)
+        assert scanned.rdd.getNumPartitions() > 2
+        got = text.with_line_ids(scanned).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["value"] for r in got] == lines
+    assert [r["row_id"] for r in got] == list(range(1, 2001))
