@@ -42,14 +42,14 @@ def entries(rows: DataFrame, keep: list[str], with_bias: bool = False) -> DataFr
 
 def scored_entries(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
                    keep: list[str] | None = None, d: int | None = None,
-                   bias_col: Column | None = None) -> DataFrame:
+                   bias_col: Column | None = None, join_opts: dict | None = None) -> DataFrame:
     """Entries ``(keep..., idx, val, w, score)`` with the bias entry idx 0 and
     ``score = b + sum_k w[idx_k] * val_k`` of the row on every entry.
     Feature ids missing from ``weights`` weigh 0. ``bias_col`` overrides the
     scalar bias with a column expression."""
     keep = list(dict.fromkeys(["row_id"] + (keep or [])))
     e = entries(rows, keep, with_bias=True)
-    e = lookup_join(e, weights.select("idx", "w"), "idx", "left", lookup_rows=d)
+    e = lookup_join(e, weights.select("idx", "w"), "idx", "left", lookup_rows=d, **(join_opts or {}))
     bias = bias_col if bias_col is not None else F.lit(float(b))
     w = F.when(F.col("idx") == BIAS_IDX, bias).otherwise(F.coalesce(F.col("w"), F.lit(0.0)))
     e = e.withColumn("w", w)
@@ -93,14 +93,15 @@ def dense_row_gradients(rows: DataFrame, coef: Column, x: str = "x") -> DataFram
 
 def sparse_row_gradients(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
                          coef: Callable[[], Column] = gd_coef, with_bias: bool = False,
-                         weight: str | None = None, d: int | None = None) -> DataFrame:
+                         weight: str | None = None, d: int | None = None,
+                         join_opts: dict | None = None) -> DataFrame:
     """Per-row sparse gradient entries ``(row_id, idx, g)``.
 
     ``g = coef * val`` for feature entries; with ``weight`` (P11) feature
     entries are ``coef * p * val`` while the bias entry stays ``coef``.
     ``with_bias`` keeps the bias entry (idx 0, value ``coef``)."""
     keep = ["y"] + ([weight] if weight else [])
-    se = scored_entries(rows, weights, b, keep=keep, d=d)
+    se = scored_entries(rows, weights, b, keep=keep, d=d, join_opts=join_opts)
     c = coef()
     if weight:
         g = F.when(F.col("idx") == BIAS_IDX, c).otherwise(c * F.col(weight) * F.col("val"))
@@ -133,9 +134,10 @@ def sparse_sum(entries_df: DataFrame, idx: str = "idx", value: str = "g") -> Dat
 
 def gradient(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
              coef: Callable[[], Column] = gd_coef, weight: str | None = None,
-             d: int | None = None) -> DataFrame:
+             d: int | None = None, join_opts: dict | None = None) -> DataFrame:
     """A3 / A4: aggregated gradient ``(idx, g)``; idx 0 is the bias part.
     Filter rows first (F1) for the null-skipping form; an empty input gives
     an empty table, read as a zero gradient by ``apply_gradient``."""
-    per_row = sparse_row_gradients(rows, weights, b, coef=coef, with_bias=True, weight=weight, d=d)
+    per_row = sparse_row_gradients(rows, weights, b, coef=coef, with_bias=True, weight=weight, d=d,
+                                   join_opts=join_opts)
     return sparse_sum(per_row)

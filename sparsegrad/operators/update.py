@@ -34,11 +34,13 @@ def bias_gradient(grad: DataFrame) -> float:
 
 
 def apply_gradient(weights: DataFrame, grad: DataFrame, step: float, *,
-                   d: int | None = None) -> DataFrame:
+                   d: int | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
     """``w + step * g`` per id; ids without a gradient keep w.
     The gradient table has at most D+1 rows (size-checked lookup join)."""
     g = grad.where(F.col("idx") != BIAS_IDX).select("idx", F.col("g").alias("_g"))
-    j = lookup_join(weights, g, "idx", "left", lookup_rows=None if d is None else d + 1, big_unique=True)
+    opts = {} if max_broadcast_rows is None else {"max_broadcast_rows": max_broadcast_rows}
+    j = lookup_join(weights, g, "idx", "left", lookup_rows=None if d is None else d + 1, big_unique=True,
+                    **opts)
     return j.select("idx", (F.col("w") + F.lit(float(step)) * F.coalesce(F.col("_g"), F.lit(0.0))).alias("w"))
 
 
@@ -60,12 +62,15 @@ def normalise(rows: DataFrame, col: str = "p") -> tuple[DataFrame, float]:
 
 
 def single_row_step(rows: DataFrame, weights: DataFrame, b: float, row_id: int,
-                    scale: float, *, d: int | None = None) -> DataFrame:
+                    scale: float, *, d: int | None = None,
+                    max_broadcast_rows: int | None = None) -> DataFrame:
     """``w += y * g(y (w.x + b)) / scale * x`` for the one sampled row.
     Only that row's entries are exploded; the weight table is updated with
     the same lookup join as a full gradient step."""
     one = rows.where(F.col("row_id") == F.lit(int(row_id)))
-    se = scored_entries(one, weights, b, keep=["y"], d=d)
+    opts = {} if max_broadcast_rows is None else {"max_broadcast_rows": max_broadcast_rows}
+    # one row: its entries are unique-ish and few, no skew check needed
+    se = scored_entries(one, weights, b, keep=["y"], d=d, join_opts=dict(opts, big_unique=True))
     coef = S.primal_coefficient(F.col("y"), F.col("score"), scale)
     g = se.where(F.col("idx") != BIAS_IDX).groupBy("idx").agg(F.sum(coef * F.col("val")).alias("g"))
-    return apply_gradient(weights, g, 1.0, d=d)
+    return apply_gradient(weights, g, 1.0, d=d, **opts)

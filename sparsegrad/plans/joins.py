@@ -27,33 +27,53 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
                 lookup_rows: int | None = None, big_unique: bool = False,
+                hot: DataFrame | None = None,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join ``lookup`` (unique on ``key``) onto ``big``.
 
     ``lookup_rows`` may be given when the size is known by construction (for
     example the dimension D of a weight table); otherwise it is counted.
     ``big_unique`` says ``big`` is unique on ``key`` too (weight table joined
-    with a gradient): no key can be hot, so the skew check is skipped."""
+    with a gradient): no key can be hot, so the skew check is skipped.
+    ``hot`` is a precomputed hot-key table (see ``hot_keys``), reused across
+    iterations over the same rows."""
     n = lookup_rows if lookup_rows is not None else lookup.count()
     if n <= max_broadcast_rows:
         return big.join(F.broadcast(lookup), key, how)
     if big_unique:
         return big.join(lookup, key, how)
-    return skew_split_join(big, lookup, key, how, max_broadcast_rows=max_broadcast_rows)
+    return skew_split_join(big, lookup, key, how, hot=hot, max_broadcast_rows=max_broadcast_rows)
 
 
-def skew_split_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
-                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Shuffle join of ``big`` with a large ``lookup`` (unique on ``key``)
-    that routes hot keys of ``big`` through a broadcast join."""
+def hot_keys(big: DataFrame, key: str, *, max_keys: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """Keys of ``big`` holding more than 1/(HOT_SHARE * partitions) of its
+    rows, as a persisted one-column table; ``None`` when there are none (or,
+    impossibly, more than ``max_keys``). A partial aggregate per task, so a
+    key holding a third of the rows costs one row per task."""
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).persist()
     total = counts.agg(F.sum("_n")).first()[0] or 0
     threshold = max(1, total // (HOT_SHARE * _shuffle_partitions(big)))
-    hot = counts.where(F.col("_n") > threshold).select(key)
     # At most HOT_SHARE * partitions keys can exceed the threshold.
+    hot = counts.where(F.col("_n") > threshold).select(key).persist()
     n_hot = hot.count()
     counts.unpersist()
-    if n_hot == 0 or n_hot > max_broadcast_rows:
+    if n_hot == 0 or n_hot > max_keys:
+        hot.unpersist()
+        return None
+    return hot
+
+
+def skew_split_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
+                    hot: DataFrame | None = None,
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Shuffle join of ``big`` with a large ``lookup`` (unique on ``key``)
+    that routes hot keys of ``big`` through a broadcast join: only the
+    lookup rows of hot keys are broadcast (bounded by the hot-key count), the
+    cold keys go through the shuffle (where AQE can still split a skewed
+    partition)."""
+    if hot is None:
+        hot = hot_keys(big, key, max_keys=max_broadcast_rows)
+    if hot is None:
         return big.join(lookup, key, how)
     hot_b = F.broadcast(hot)
     hot_part = big.join(hot_b, key, "left_semi").join(

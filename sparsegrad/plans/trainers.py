@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import dual, linear, norms, sample, update
 from ..sources.text import cache_points, dense_to_sparse
+from .joins import DEFAULT_MAX_BROADCAST_ROWS, hot_keys
 from .lineage import IterationState
 
 
@@ -87,10 +88,22 @@ def _prepare(rows: DataFrame) -> tuple[DataFrame, int]:
     return r, r.count()
 
 
+def _join_opts(R: DataFrame, d: int, max_broadcast_rows: int) -> dict:
+    """How the gradient joins the weight table. Within the broadcast limit:
+    broadcast. Beyond it: a shuffle join whose hot feature ids (found once,
+    the rows do not change) are routed through a broadcast of their weights."""
+    opts = {"max_broadcast_rows": max_broadcast_rows}
+    if d > max_broadcast_rows:
+        opts["hot"] = hot_keys(linear.entries(R, ["row_id"], with_bias=True), "idx",
+                               max_keys=max_broadcast_rows)
+    return opts
+
+
 def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None = None,
              b: float = 0.0, fit_bias: bool = False, shifted: bool = False,
              w_step: float = -1.0, b_step: float = -1.0, seed: int = 42,
-             checkpoint_every: int = 1) -> Model:
+             checkpoint_every: int = 1,
+             max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
     """Batch gradient descent.
 
     * T1: ``train_gd(rows, d, T)``: uniform(-1, 1) init, no bias,
@@ -105,6 +118,7 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
     if "features" not in rows.columns:
         rows = dense_to_sparse(rows)
     R, _ = _prepare(rows)
+    opts = _join_opts(R, d, max_broadcast_rows)
     state = IterationState(checkpoint_every)
     if weights is None:
         weights = update.zero_weights(spark, d) if fit_bias else update.uniform_weights(spark, d, seed)
@@ -115,10 +129,10 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
         w1, w2 = _first_two(W)
         model.trace.append({"iter": t, "w1": w1, "w2": w2, "b": float(b)})
         score_bias = -(w1 + w2) if shifted else b
-        grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d) \
+        grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d, join_opts=opts) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         g0 = update.bias_gradient(grad)
-        W = state.put("W", update.apply_gradient(W, grad, w_step, d=d), t)
+        W = state.put("W", update.apply_gradient(W, grad, w_step, d=d, max_broadcast_rows=max_broadcast_rows), t)
         grad.unpersist()
         if fit_bias:
             b = b + b_step * g0
@@ -131,7 +145,8 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
 def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int,
                       u: list[float] | float, n: int | None = None,
                       w_step: float | None = None, b_step: float = 1.0,
-                      clip: float | None = None, checkpoint_every: int = 1) -> Model:
+                      clip: float | None = None, checkpoint_every: int = 1,
+                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
@@ -143,6 +158,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     p is L2-normalised."""
     spark = rows.sparkSession
     R, n_rows = _prepare(rows)
+    opts = _join_opts(R, d, max_broadcast_rows)
     n = n_rows if n is None else n
     w_step = float(n) if w_step is None else w_step
     us = [u] * iters if isinstance(u, (int, float)) else list(u)
@@ -155,10 +171,11 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         t0 = time.perf_counter()
         RP = R.join(P, "row_id")
         act = linear.active_rows(RP, r, n)
-        grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d) \
+        grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d, join_opts=opts) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         g0 = update.bias_gradient(grad)
-        W, st = state.put("W", update.apply_gradient(W, grad, w_step, d=d), t, measure=_w_measures())
+        W, st = state.put("W", update.apply_gradient(W, grad, w_step, d=d, max_broadcast_rows=max_broadcast_rows),
+                          t, measure=_w_measures())
         grad.unpersist()
         b = b + b_step * g0
         lo, hi, len_sq, last, w1, w2 = st
@@ -179,7 +196,8 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
 
 def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float,
                   u_features: list[float] | float, eta: float = 0.15,
-                  clip: float | None = None, checkpoint_every: int = 1) -> Model:
+                  clip: float | None = None, checkpoint_every: int = 1,
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
     Per iteration: draw one row i with probability p_i^2; step
@@ -204,7 +222,8 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
         i = sample.sample_one(P, "row_id", F.col("p") * F.col("p"), ur[t - 1])
-        Ws, (norm_sq,) = state.put("W", update.single_row_step(R, W, b, i, scale, d=d), t,
+        Ws, (norm_sq,) = state.put("W", update.single_row_step(R, W, b, i, scale, d=d,
+                                                               max_broadcast_rows=max_broadcast_rows), t,
                                    measure=[F.sum(F.col("w") * F.col("w"))])
         norm = math.sqrt(norm_sq or 0.0)
         W = norms.unit_weights(Ws, "w", norm=norm)

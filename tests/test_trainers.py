@@ -70,3 +70,23 @@ def test_model_text_roundtrip(spark, sf, scratch):
     exp = {r["idx"]: r["w"] for r in table.collect()}
     assert back.keys() == exp.keys() and all(abs(back[k] - exp[k]) < 1e-12 for k in exp)
     assert abs(back[d + 1] - m.b) < 1e-12
+
+
+def test_beyond_broadcast_path_matches(spark, sf):
+    # force the weight table over the broadcast limit: shuffle join with
+    # hot-key split must give the same model as the broadcast join
+    rows = fx.sparse_rows(spark, sf)
+    d = fx.max_feature_id(rows)
+    n = rows.count()
+    kw = dict(eta=0.15, r=0, u=0.37, w_step=1.0, b_step=1.0 / n)
+    a = trainers.train_primal_dual(rows, d, 2, **kw)
+    b = trainers.train_primal_dual(rows, d, 2, max_broadcast_rows=3, **kw)
+    wa = {r["idx"]: r["w"] for r in a.weights.collect()}
+    wb = {r["idx"]: r["w"] for r in b.weights.collect()}
+    assert abs(a.b - b.b) < 1e-12 and all(abs(wa[k] - wb[k]) < 1e-12 for k in wa)
+    assert [t["j"] for t in a.trace] == [t["j"] for t in b.trace]
+    s1 = trainers.train_sampled(rows, d, 2, u_rows=0.61, u_features=0.37)
+    s2 = trainers.train_sampled(rows, d, 2, u_rows=0.61, u_features=0.37, max_broadcast_rows=3)
+    w1 = {r["idx"]: r["w"] for r in s1.weights.collect()}
+    w2 = {r["idx"]: r["w"] for r in s2.weights.collect()}
+    assert all(abs(w1[k] - w2[k]) < 1e-12 for k in w1)
