@@ -1,8 +1,8 @@
 """Benchmark of the headline work at one scale factor.
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
-Per-iteration numbers are the mean over iterations 2..T (iteration 1 also
-pays for JIT warm-up); ``value`` is the sum of the per-query seconds.
+Per-iteration numbers are the median over iterations 2..T (iteration 1 also
+pays for code generation); ``value`` is the sum of the per-query seconds.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 """
@@ -26,12 +26,13 @@ from sparsegrad.session import local_session  # noqa: E402
 from sparsegrad.sources import fixtures as fx  # noqa: E402
 from sparsegrad.sources import text  # noqa: E402
 
-ITERS = 4
+ITERS = 6
 
 
 def _steady(seconds):
+    """Median of iterations 2..T (iteration 1 also pays for code generation)."""
     tail = seconds[1:] or seconds
-    return round(statistics.mean(tail), 3)
+    return round(statistics.median(tail), 3)
 
 
 def _timed(fn, repeat=3):
@@ -57,8 +58,11 @@ def main():
     n = R.count()
     w = fx.fx_weights(spark, d)
 
+    # JVM warm-up (code generation, JIT) before anything is timed
+    for _ in range(3):
+        linear.gradient(R, w, fx.FXW_BIAS, d=d).collect()
     # one gradient (A3) over the cached rows: the per-iteration hot path
-    q["gradient"] = _timed(lambda: linear.gradient(R, w, fx.FXW_BIAS, d=d).collect())
+    q["gradient"] = _timed(lambda: linear.gradient(R, w, fx.FXW_BIAS, d=d).collect(), repeat=5)
 
     # parse: indexed lines rendered from the rows, parsed and summed
     lines = text.render_indexed(R).persist()

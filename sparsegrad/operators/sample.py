@@ -23,6 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BUCKETS = 1 << 16
+MIN_BUCKETS, MAX_BUCKETS = 1 << 10, 1 << 20
+
+
+def bucket_count(id_range: int) -> int:
+    """About sqrt(range) buckets, clamped to [2^10, 2^20]: the bucket table
+    and every bucket both stay small (range 10^11 -> 2^20 buckets of ~10^5)."""
+    return int(min(max(math.isqrt(max(id_range, 1)), MIN_BUCKETS), MAX_BUCKETS))
 
 
 def _bucketed(df: DataFrame, key: str, weight, max_buckets: int):
@@ -117,7 +124,7 @@ def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None =
         run = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         scope, offset = base, 0.0
     else:
-        width = max(1, math.ceil((hi - lo + 1) / DEFAULT_MAX_BUCKETS))
+        width = max(1, math.ceil((hi - lo + 1) / bucket_count(hi - lo + 1)))
         bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
         offs = _bucket_offsets(base.withColumn("_bucket", bucket))
         hit = (offs.where((F.col("_tot") > 0) & (F.lit(target) >= F.col("_off"))

@@ -10,14 +10,25 @@ from ..plans.joins import lookup_join
 from .linear import BIAS_IDX, scored_entries
 
 
+# Weight-table rows per partition: a weight row is 16 bytes, so a partition
+# of the table stays around 16 MB whatever D is.
+WEIGHT_ROWS_PER_PARTITION = 1_000_000
+
+
+def weight_ids(spark: SparkSession, d: int) -> DataFrame:
+    """Ids 1..d generated in parallel, one partition per million ids."""
+    parts = max(1, -(-d // WEIGHT_ROWS_PER_PARTITION))
+    return spark.range(1, d + 1, numPartitions=parts)
+
+
 def zero_weights(spark: SparkSession, d: int) -> DataFrame:
     """``(idx, w = 0)`` for idx 1..d, generated in parallel."""
-    return spark.range(1, d + 1).select(F.col("id").alias("idx"), F.lit(0.0).alias("w"))
+    return weight_ids(spark, d).select(F.col("id").alias("idx"), F.lit(0.0).alias("w"))
 
 
 def uniform_weights(spark: SparkSession, d: int, seed: int = 42) -> DataFrame:
     """``(idx, w)`` uniform in [-1, 1) from the seeded hash uniform."""
-    return spark.range(1, d + 1).select(
+    return weight_ids(spark, d).select(
         F.col("id").alias("idx"), (F.lit(2.0) * S.seeded_uniform(F.lit(seed), F.col("id")) - 1.0).alias("w"))
 
 

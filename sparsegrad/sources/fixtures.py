@@ -95,7 +95,9 @@ def fxw_value(idx: Column) -> Column:
 
 def fx_weights(spark: SparkSession, d: int) -> DataFrame:
     """FX-W: (idx, w) for idx 1..d."""
-    return spark.range(1, d + 1).select(F.col("id").alias("idx"), fxw_value(F.col("id")).alias("w"))
+    parts = max(1, -(-d // 1_000_000))
+    return spark.range(1, d + 1, numPartitions=parts).select(F.col("id").alias("idx"),
+                                                            fxw_value(F.col("id")).alias("w"))
 
 
 def max_feature_id(rows: DataFrame) -> int:
