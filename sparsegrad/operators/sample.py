@@ -40,7 +40,8 @@ def _bucketed(df: DataFrame, key: str, weight, max_buckets: int):
                                  F.max(F.when(w != 0, F.col(key)))).first()
     if lo is None:
         return None, (0.0, None)
-    width = max(1, math.ceil((hi - lo + 1) / max_buckets))
+    n_buckets = max_buckets or bucket_count(hi - lo + 1)
+    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
     b = df.select(F.col(key), w.alias("_w")) \
         .withColumn("_bucket", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint"))
     return b, (float(total or 0.0), last)
@@ -55,7 +56,7 @@ def _bucket_offsets(b: DataFrame) -> DataFrame:
 
 
 def cumulative(df: DataFrame, key: str, weight, name: str = "cum",
-               max_buckets: int = DEFAULT_MAX_BUCKETS) -> DataFrame:
+               max_buckets: int | None = None) -> DataFrame:
     """``(key, name)`` with the inclusive running sum of ``weight`` in key order."""
     b, _ = _bucketed(df, key, weight, max_buckets)
     if b is None:
@@ -66,32 +67,62 @@ def cumulative(df: DataFrame, key: str, weight, name: str = "cum",
             .select(key, (F.col("_off") + F.sum("_w").over(inner)).alias(name)))
 
 
+def _carry_last(marks: DataFrame, part: list[str], carried: list[str]) -> DataFrame:
+    """Interval look-up without pairs: ``marks`` holds interval starts
+    (``_kind`` 0, carrying ``carried`` columns) and query points (``_kind``
+    1) on one axis ``_v``; ordered by (``_v``, ``_kind``), every point takes
+    the carried values of the last start at or before it."""
+    spec = Window.orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    if part:
+        spec = Window.partitionBy(*part).orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = marks
+    for c in carried:
+        out = out.withColumn(c, F.last(c, ignorenulls=True).over(spec))
+    return out.where(F.col("_kind") == 1)
+
+
 def sample_by_weight(df: DataFrame, key: str, weight, draws: DataFrame, *,
                      draw: str = "draw", u: str = "u", name: str | None = None,
-                     max_buckets: int = DEFAULT_MAX_BUCKETS) -> DataFrame:
+                     max_buckets: int | None = None) -> DataFrame:
     """For each draw ``(draw, u)`` the first ``key`` whose
-    cumulative weight exceeds ``u * total``. Returns ``(draw, name)``."""
+    cumulative weight exceeds ``u * total``. Returns ``(draw, name)``.
+
+    Each positive-weight id owns the interval [cum - w, cum); a target t
+    falls in the interval with lo <= t < hi. Intervals and targets are put on
+    one axis and each target carries the last interval start before it (a
+    window), first over bucket starts (a table of at most 2^20 rows plus
+    the draws), then inside the buckets that received a draw. Every input
+    row appears once: no draw x row pairs are formed."""
     name = name or key
     b, (total, last) = _bucketed(df, key, weight, max_buckets)
     if b is None:
         return draws.select(draw, F.lit(None).cast("bigint").alias(name))
     offs = _bucket_offsets(b)
     t = draws.select(draw, (F.col(u) * F.lit(float(total))).alias("_t"))
-    # Range look-up of the bucket holding each target (bucket table bounded).
-    ranges = offs.where(F.col("_tot") > 0).select(
-        "_bucket", F.col("_off").alias("_lo"), (F.col("_off") + F.col("_tot")).alias("_hi"))
-    hit = t.join(F.broadcast(ranges), (F.col("_t") >= F.col("_lo")) & (F.col("_t") < F.col("_hi")))
-    # Expand only the buckets that hold a target.
-    wanted = hit.select("_bucket").distinct()
+    # level 1: bucket of each target (bucket starts + targets on one axis)
+    starts = offs.where(F.col("_tot") > 0).select(
+        F.col("_off").alias("_v"), F.lit(0).alias("_kind"), "_bucket",
+        F.lit(None).cast(t.schema[draw].dataType).alias(draw))
+    pts = t.select(F.col("_t").alias("_v"), F.lit(1).alias("_kind"),
+                   F.lit(None).cast("bigint").alias("_bucket"), draw)
+    located = _carry_last(starts.unionByName(pts), [], ["_bucket"]).select(
+        draw, F.col("_v").alias("_t"), "_bucket")
+    # level 2: inside the buckets holding a target
+    wanted = located.select("_bucket").where(F.col("_bucket").isNotNull()).distinct()
     inner = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cand = (b.join(F.broadcast(wanted), "_bucket", "left_semi")
-            .withColumn("_cum", F.sum("_w").over(inner)))
-    chosen = (hit.join(cand, "_bucket")
-              .where(F.col("_lo") + F.col("_cum") > F.col("_t"))
-              .groupBy(draw).agg(F.min(key).alias(name)))
-    out = (t.join(chosen, draw, "left")
-           .select(draw, F.coalesce(F.col(name), F.lit(last).cast("bigint")).alias(name)))
-    return out
+    rows = (b.where(F.col("_w") > 0).join(F.broadcast(wanted), "_bucket", "left_semi")
+            .join(F.broadcast(offs.select("_bucket", "_off")), "_bucket")
+            .withColumn("_hi", F.col("_off") + F.sum("_w").over(inner)))
+    ivals = rows.select("_bucket", (F.col("_hi") - F.col("_w")).alias("_v"), F.lit(0).alias("_kind"),
+                        F.col(key).alias("_key"), "_hi", F.lit(None).cast(t.schema[draw].dataType).alias(draw))
+    qpts = located.where(F.col("_bucket").isNotNull()).select(
+        "_bucket", F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_key"),
+        F.lit(None).cast("double").alias("_hi"), draw)
+    hit = _carry_last(ivals.unionByName(qpts), ["_bucket"], ["_key", "_hi"])
+    chosen = hit.where(F.col("_v") < F.col("_hi")).select(draw, F.col("_key").alias(name))
+    # a rounding overshoot past the end: the last id of non-zero weight
+    return (t.join(chosen, draw, "left")
+            .select(draw, F.coalesce(F.col(name), F.lit(last).cast("bigint")).alias(name)))
 
 
 def weight_stats(df: DataFrame, key: str, weight) -> list:

@@ -138,3 +138,16 @@ def test_unit_weights_and_zero(spark):
 def test_logistic_overflow_is_zero(spark):
     v = spark.range(1).select(S.logistic_complement(F.lit(1000.0)).alias("g")).first()["g"]
     assert v == 0.0
+
+
+def test_many_draws_in_one_bucket(spark):
+    # all weight on one id: every draw lands in the same interval
+    df = spark.range(1, 20001).select(F.col("id").alias("k"),
+                                      F.when(F.col("id") == 777, 5.0).otherwise(0.0).alias("v"))
+    draws = spark.range(5000).select(F.col("id").alias("draw"), (F.col("id") / 5000.0).alias("u"))
+    got = sample.sample_by_weight(df, "k", F.col("v"), draws)
+    assert got.count() == 5000
+    assert {r["k"] for r in got.select("k").distinct().collect()} == {777}
+    # u at the very end still returns the last id of non-zero weight
+    edge = spark.range(1).select(F.lit(0).cast("bigint").alias("draw"), F.lit(0.9999999999999999).alias("u"))
+    assert sample.sample_by_weight(df, "k", F.col("v"), edge).first()["k"] == 777
