@@ -8,12 +8,33 @@ used: its blocks die with the executor."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
 
+@contextmanager
+def static_plan(spark: SparkSession):
+    """Plan without adaptive execution while a state table is materialised.
+
+    An adaptive plan reports no output partitioning until it has run, so a
+    checkpoint taken from it forgets that the table is hash-partitioned and
+    sorted by row_id, and every later ``rows JOIN state`` would shuffle and
+    sort the state again. Planned statically, the checkpoint keeps both and
+    the join is a zip of co-partitioned, sorted inputs (no exchange, no sort).
+    The setting is restored afterwards."""
+    key = "spark.sql.adaptive.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class IterationState:
     """Holds the current version of named state tables.
 
@@ -33,20 +54,21 @@ class IterationState:
 
         With ``measure`` (aggregate columns) the materialising action computes
         them and ``(df, row)`` is returned, saving a separate pass."""
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        keep = [cached]
-        if self.checkpoint_every and iteration % self.checkpoint_every == 0:
-            ensure_checkpoint_dir(df.sparkSession)
-            out = cached.checkpoint(eager=True)
-            # the checkpointed table now carries the data; serve it from memory
-            out = out.persist(StorageLevel.MEMORY_AND_DISK)
-            row = out.agg(*measure).first() if measure else out.count()
-            cached.unpersist()
-            keep = [out]
-        else:
-            out = cached
-            # a persisted relation caches every column whichever are read
-            row = out.agg(*measure).first() if measure else out.count()
+        with static_plan(df.sparkSession):
+            cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+            keep = [cached]
+            if self.checkpoint_every and iteration % self.checkpoint_every == 0:
+                ensure_checkpoint_dir(df.sparkSession)
+                out = cached.checkpoint(eager=True)
+                # the checkpointed table now carries the data; serve it from memory
+                out = out.persist(StorageLevel.MEMORY_AND_DISK)
+                row = out.agg(*measure).first() if measure else out.count()
+                cached.unpersist()
+                keep = [out]
+            else:
+                out = cached
+                # a persisted relation caches every column whichever are read
+                row = out.agg(*measure).first() if measure else out.count()
         for old in self._live.get(name, []):
             old.unpersist()
         self._live[name] = keep

@@ -90,3 +90,50 @@ def test_beyond_broadcast_path_matches(spark, sf):
     w1 = {r["idx"]: r["w"] for r in s1.weights.collect()}
     w2 = {r["idx"]: r["w"] for r in s2.weights.collect()}
     assert all(abs(w1[k] - w2[k]) < 1e-12 for k in w1)
+
+
+def _hash_exchanges(plan):
+    """Hash-partitioning exchanges of an executed plan, not descending into
+    cached relations (their own build plans)."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _hash_exchanges(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _hash_exchanges(plan.plan())
+    n = 1 if name == "ShuffleExchangeExec" and "hashpartitioning" in plan.outputPartitioning().toString().lower() \
+        else 0
+    kids = plan.children()
+    return n + sum(_hash_exchanges(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_row_state_join_is_a_zip(spark, sf):
+    # the per-row state keeps the rows' partitioning across checkpoints:
+    # joining it back to the cached rows needs no exchange
+    from sparsegrad.plans.lineage import IterationState
+    from sparsegrad.sources.text import cache_points
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        R = cache_points(fx.sparse_rows(spark, sf))
+        st = IterationState()
+        P = st.put("P", R.select("row_id", F.lit(1.0).alias("p")), 1)
+        P = st.put("P", R.join(P, "row_id").select("row_id", (F.col("p") * 2).alias("p")), 2)
+        q = R.join(P, "row_id").select(F.sum("p").alias("s"))
+        assert q.first()["s"] == 2.0 * R.count()
+        assert _hash_exchanges(q._jdf.queryExecution().executedPlan()) == 0
+        # a full gradient pass: the only hash exchange is the one on idx
+        d = fx.max_feature_id(R)
+        g = linear.gradient(R.join(P, "row_id"), fx.fx_weights(spark, d), 0.1, coef=linear.primal_coef,
+                            weight="p", d=d)
+        g.collect()
+        assert _hash_exchanges(g._jdf.queryExecution().executedPlan()) == 1
+        # without the state store's static planning the state is re-shuffled
+        P2 = R.select("row_id", F.lit(1.0).alias("p")).persist()
+        P2 = P2.checkpoint(eager=True)
+        q2 = R.join(P2, "row_id").select(F.sum("p").alias("s"))
+        q2.first()
+        assert _hash_exchanges(q2._jdf.queryExecution().executedPlan()) >= 1
+        st.release()
+        R.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
