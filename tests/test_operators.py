@@ -151,3 +151,15 @@ def test_many_draws_in_one_bucket(spark):
     # u at the very end still returns the last id of non-zero weight
     edge = spark.range(1).select(F.lit(0).cast("bigint").alias("draw"), F.lit(0.9999999999999999).alias("u"))
     assert sample.sample_by_weight(df, "k", F.col("v"), edge).first()["k"] == 777
+
+
+def test_row_form_equals_long_form(spark, sf):
+    # scores from the row form (explode + lookup join + window) equal a
+    # plain long-form aggregate over (row_id, idx, val) entries
+    rows = fx.sparse_rows(spark, sf)
+    d = fx.max_feature_id(rows)
+    w = fx.fx_weights(spark, d)
+    a = {r["row_id"]: r["score"] for r in linear.sparse_scores(rows, w, 0.25, d=d).collect()}
+    long = fx.sparse_long(spark, sf).join(w, "idx")
+    b = {r["row_id"]: r["s"] + 0.25 for r in long.groupBy("row_id").agg(F.sum(F.col("val") * F.col("w")).alias("s")).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
