@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import time
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -50,6 +51,16 @@ class Model:
         data = [tuple(t[c] if t[c] is None or c in ids else float(t[c]) for c in cols) for t in self.trace]
         return spark.createDataFrame(data, schema)
 
+    def save(self, path: str, fmt: str = "text", use_b_avg: bool | None = None) -> None:
+        """K1: write D weight lines then the bias line (the sampled trainer
+        writes b_avg), as text (one value per line, in order) or parquet."""
+        from ..sources import model_io
+        rows = self.model_rows(self.b_avg is not None if use_b_avg is None else use_b_avg)
+        if fmt == "text":
+            model_io.write_model_text(rows, path)
+        else:
+            model_io.write_model_parquet(rows, path)
+
     def model_rows(self, use_b_avg: bool = False) -> DataFrame:
         """K1: D weight rows in id order followed by the bias as id D+1."""
         bias = self.b_avg if (use_b_avg and self.b_avg is not None) else self.b
@@ -186,7 +197,10 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
             j, w_j = sample.sample_one(W, "idx", F.col("w") * F.col("w"), us[t - 1], value="w",
                                        stats=(lo, hi, len_sq, last))
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
-        Pn, (norm,) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t, measure=_p_norm())
+        Pn, (norm, n_pairs) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t,
+                                        measure=_p_norm() + [F.count(F.lit(1))])
+        if n_pairs != n_rows:  # A8: report and go on, as the reference does
+            warnings.warn(f"dual pass produced {n_pairs} pairs for {n_rows} rows", RuntimeWarning)
         P = _scale_p(Pn, norm)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)

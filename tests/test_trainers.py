@@ -70,6 +70,9 @@ def test_model_text_roundtrip(spark, sf, scratch):
     exp = {r["idx"]: r["w"] for r in table.collect()}
     assert back.keys() == exp.keys() and all(abs(back[k] - exp[k]) < 1e-12 for k in exp)
     assert abs(back[d + 1] - m.b) < 1e-12
+    m.save(f"{scratch}/saved")
+    saved = {r["idx"]: r["w"] for r in model_io.read_model_text(spark, f"{scratch}/saved").collect()}
+    assert saved == back
 
 
 def test_beyond_broadcast_path_matches(spark, sf):
