@@ -39,14 +39,16 @@ class IterationState:
     """Holds the current version of named state tables.
 
     Each new version is persisted, then (every ``checkpoint_every``
-    iterations, by default every one) checkpointed from that cache: the
+    iterations, by default every one; ``every`` overrides it per table)
+    checkpointed from that cache: the
     checkpoint write reads the cached blocks instead of recomputing, and the
     returned table's plan is a scan of the checkpoint, so plans do not grow
     with the number of iterations (analysis and cache look-ups of a plan that
     embeds every earlier iteration get slower each step)."""
 
-    def __init__(self, checkpoint_every: int = 1):
+    def __init__(self, checkpoint_every: int = 1, every: dict[str, int] | None = None):
         self.checkpoint_every = checkpoint_every
+        self.every = dict(every or {})
         self._live: dict[str, list[DataFrame]] = {}
 
     def put(self, name: str, df: DataFrame, iteration: int, measure: list | None = None):
@@ -57,7 +59,8 @@ class IterationState:
         with static_plan(df.sparkSession):
             cached = df.persist(StorageLevel.MEMORY_AND_DISK)
             keep = [cached]
-            if self.checkpoint_every and iteration % self.checkpoint_every == 0:
+            k = self.every.get(name, self.checkpoint_every)
+            if k and iteration % k == 0:
                 ensure_checkpoint_dir(df.sparkSession)
                 out = cached.checkpoint(eager=True)
                 # the checkpointed table now carries the data; serve it from memory

@@ -157,6 +157,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
                       u: list[float] | float, n: int | None = None,
                       w_step: float | None = None, b_step: float = 1.0,
                       clip: float | None = None, checkpoint_every: int = 1,
+                      row_state_checkpoint_every: int | None = None,
                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
     """Primal-dual logistic regression with row weights p.
 
@@ -166,14 +167,19 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     ``w_j^2 / |w|^2`` from the updated w (draw ``u[t]``); every row's p is
     multiplied by ``1 - eta s + (eta s)^2`` with
     ``s = x_j |w|^2 / w_j + b y`` (no clip unless ``clip`` is given), then
-    p is L2-normalised."""
+    p is L2-normalised.
+
+    The weight table is checkpointed every ``checkpoint_every`` iterations
+    and the (narrow, N-row) row-weight table every
+    ``row_state_checkpoint_every`` (default: the same); in between both stay
+    persisted with their row_id layout."""
     spark = rows.sparkSession
     R, n_rows = _prepare(rows)
     opts = _join_opts(R, d, max_broadcast_rows)
     n = n_rows if n is None else n
     w_step = float(n) if w_step is None else w_step
     us = [u] * iters if isinstance(u, (int, float)) else list(u)
-    state = IterationState(checkpoint_every)
+    state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
     W = state.put("W", update.zero_weights(spark, d), 1)
     P = state.put("P", R.select("row_id", F.lit(1.0 / math.sqrt(n_rows)).alias("p")), 1)
     b = 0.0
@@ -211,6 +217,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
 def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float,
                   u_features: list[float] | float, eta: float = 0.15,
                   clip: float | None = None, checkpoint_every: int = 1,
+                      row_state_checkpoint_every: int | None = None,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
@@ -226,7 +233,7 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     ur = [u_rows] * iters if isinstance(u_rows, (int, float)) else list(u_rows)
     uf = [u_features] * iters if isinstance(u_features, (int, float)) else list(u_features)
     scale = math.sqrt(2.0 * iters)
-    state = IterationState(checkpoint_every)
+    state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
     W = state.put("W", update.zero_weights(spark, d), 1)
     # P carries y so that sign(sum p y) comes out of the pass that writes P
     P, (pys,) = state.put("P", R.select("row_id", "y", F.lit(1.0 / math.sqrt(n)).alias("p")), 1,

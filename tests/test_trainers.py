@@ -130,6 +130,14 @@ def test_row_state_join_is_a_zip(spark, sf):
                             weight="p", d=d)
         g.collect()
         assert _hash_exchanges(g._jdf.queryExecution().executedPlan()) == 1
+        # persisted only (between checkpoints): still a zip
+        st2 = IterationState(every={"P": 5})
+        Q = st2.put("P", R.select("row_id", F.lit(1.0).alias("p")), 1)
+        Q = st2.put("P", R.join(Q, "row_id").select("row_id", (F.col("p") * 3).alias("p")), 2)
+        q3 = R.join(Q, "row_id").select(F.sum("p").alias("s"))
+        assert q3.first()["s"] == 3.0 * R.count()
+        assert _hash_exchanges(q3._jdf.queryExecution().executedPlan()) == 0
+        st2.release()
         # without the state store's static planning the state is re-shuffled
         P2 = R.select("row_id", F.lit(1.0).alias("p")).persist()
         P2 = P2.checkpoint(eager=True)
@@ -140,3 +148,15 @@ def test_row_state_join_is_a_zip(spark, sf):
         R.unpersist()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_row_state_checkpoint_cadence_same_result(spark, sf):
+    rows = fx.sparse_rows(spark, sf)
+    d = fx.max_feature_id(rows)
+    n = rows.count()
+    kw = dict(eta=0.15, r=0, u=0.37, w_step=1.0, b_step=1.0 / n)
+    a = trainers.train_primal_dual(rows, d, 3, **kw)
+    b = trainers.train_primal_dual(rows, d, 3, row_state_checkpoint_every=3, **kw)
+    pa = {r["row_id"]: r["p"] for r in a.p.collect()}
+    pb = {r["row_id"]: r["p"] for r in b.p.collect()}
+    assert pa.keys() == pb.keys() and all(abs(pa[k] - pb[k]) < 1e-15 for k in pa)
