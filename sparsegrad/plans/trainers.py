@@ -24,7 +24,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..operators import dual, linear, norms, sample, update
 from ..sources.text import cache_points, dense_to_sparse
 from .joins import DEFAULT_MAX_BROADCAST_ROWS, hot_keys

@@ -1,6 +1,5 @@
 """Trainer-level checks."""
 
-import math
 
 from pyspark.sql import functions as F
 
