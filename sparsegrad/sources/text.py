@@ -21,6 +21,8 @@ parse runs inside whole-stage code generation next to the scan."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -178,13 +180,42 @@ def dense_to_sparse(rows: DataFrame, x: str = "x", keep_zeros: bool = True) -> D
     return rows.withColumn("features", feats).drop(x)
 
 
+# Rough in-memory bytes of a cached row: id, label and array header, plus
+# (idx, val) per stored entry.
+ROW_BYTES, ENTRY_BYTES = 48, 16
+
+
+def sized_partitions(spark: SparkSession, n_rows: int, n_entries: int) -> int:
+    """Partition count that keeps each cached partition near Spark's advisory
+    partition size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), and
+    never fewer partitions than the session's parallelism."""
+    target = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", target.strip().lower())
+    unit = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    target_bytes = int(m.group(1)) * unit[m.group(2)] if m else 64 << 20
+    need = -(-(n_rows * ROW_BYTES + n_entries * ENTRY_BYTES) // target_bytes)
+    return max(spark.sparkContext.defaultParallelism, int(need), 1)
+
+
 def cache_points(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """Materialise parsed rows once for reuse by every pass: hash-partitioned
     and sorted by ``row_id`` so per-row state (a ``p`` table partitioned the
     same way) zips with it without a shuffle, then persisted in memory with
-    spill to disk."""
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.repartition(n, "row_id").sortWithinPartitions("row_id")
+    spill to disk.
+
+    Without ``partitions`` the count is sized from the data (one counting
+    pass over the staged input, which the shuffle then reads from cache), so
+    a partition stays near the advisory size at any scale."""
+    if partitions is None:
+        staged = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        n_rows, n_entries = staged.agg(F.count(F.lit(1)), F.sum(F.size("features"))).first()
+        partitions = sized_partitions(rows.sparkSession, int(n_rows or 0), int(n_entries or 0))
+        out = staged.repartition(partitions, "row_id").sortWithinPartitions("row_id") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        staged.unpersist()
+        return out
+    out = rows.repartition(partitions, "row_id").sortWithinPartitions("row_id")
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
