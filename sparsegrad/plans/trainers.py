@@ -88,11 +88,6 @@ def _scale_p(Pn: DataFrame, norm, keep: list[str] | None = None) -> DataFrame:
     return Pn.select("row_id", *(keep or []), (F.col("p") / F.lit(float(norm))).alias("p"))
 
 
-def _first_two(weights: DataFrame) -> tuple[float, float]:
-    got = {int(r[0]): float(r[1]) for r in weights.where(F.col("idx") <= 2).select("idx", "w").collect()}
-    return got.get(1, 0.0), got.get(2, 0.0)
-
-
 def _prepare(rows: DataFrame) -> tuple[DataFrame, int]:
     r = cache_points(rows.select("row_id", "y", "features"))
     return r, r.count()
@@ -132,17 +127,20 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
     state = IterationState(checkpoint_every)
     if weights is None:
         weights = update.zero_weights(spark, d) if fit_bias else update.uniform_weights(spark, d, seed)
-    W = state.put("W", weights, 1)
+    first_two = [F.sum(F.when(F.col("idx") == 1, F.col("w"))), F.sum(F.when(F.col("idx") == 2, F.col("w")))]
+    W, (w1, w2) = state.put("W", weights, 1, measure=first_two)
     model = Model(W, b, d)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
-        w1, w2 = _first_two(W)
+        w1, w2 = float(w1 or 0.0), float(w2 or 0.0)
         model.trace.append({"iter": t, "w1": w1, "w2": w2, "b": float(b)})
         score_bias = -(w1 + w2) if shifted else b
         grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d, join_opts=opts) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         g0 = update.bias_gradient(grad)
-        W = state.put("W", update.apply_gradient(W, grad, w_step, d=d, max_broadcast_rows=max_broadcast_rows), t)
+        W, (w1, w2) = state.put("W", update.apply_gradient(W, grad, w_step, d=d,
+                                                            max_broadcast_rows=max_broadcast_rows),
+                                t, measure=first_two)
         grad.unpersist()
         if fit_bias:
             b = b + b_step * g0
