@@ -62,9 +62,10 @@ class IterationState:
             k = self.every.get(name, self.checkpoint_every)
             if k and iteration % k == 0:
                 ensure_checkpoint_dir(df.sparkSession)
-                out = cached.checkpoint(eager=True)
-                # the checkpointed table now carries the data; serve it from memory
-                out = out.persist(StorageLevel.MEMORY_AND_DISK)
+                # lazy checkpoint, kept in memory: the measuring action below
+                # computes the table once (filling both caches) and Spark then
+                # writes the checkpoint from the first cache, two jobs in all
+                out = cached.checkpoint(eager=False).persist(StorageLevel.MEMORY_AND_DISK)
                 row = out.agg(*measure).first() if measure else out.count()
                 cached.unpersist()
                 keep = [out]
