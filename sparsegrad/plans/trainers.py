@@ -208,6 +208,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p = W, float(b), P
+    R.unpersist()  # the returned tables are checkpoint-backed
     return model
 
 
@@ -261,4 +262,5 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
         model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)
+    R.unpersist()  # the returned tables are checkpoint-backed
     return model
