@@ -159,3 +159,22 @@ def test_row_state_checkpoint_cadence_same_result(spark, sf):
     pa = {r["row_id"]: r["p"] for r in a.p.collect()}
     pb = {r["row_id"]: r["p"] for r in b.p.collect()}
     assert pa.keys() == pb.keys() and all(abs(pa[k] - pb[k]) < 1e-15 for k in pa)
+
+
+def test_text_to_model_end_to_end(spark, sf, scratch):
+    # the reference's workflow: indexed text lines -> parse -> train -> model file
+    from sparsegrad.sources import text
+    rows = fx.sparse_rows(spark, sf)
+    d = fx.max_feature_id(rows)
+    n = rows.count()
+    text.render_indexed(rows).write.text(f"{scratch}/lines")
+    parsed = text.parse_indexed(text.scan_lines(spark, f"{scratch}/lines"))
+    kw = dict(eta=0.15, r=0, u=0.37, w_step=1.0, b_step=1.0 / n)
+    m = trainers.train_primal_dual(parsed, d, 2, **kw)
+    ref = trainers.train_primal_dual(rows, d, 2, **kw)
+    m.save(f"{scratch}/model")
+    back = {r["idx"]: r["w"] for r in model_io.read_model_text(spark, f"{scratch}/model").collect()}
+    exp = {r["idx"]: r["w"] for r in ref.weights.collect()}
+    assert len(back) == d + 1
+    assert all(abs(back[k] - exp[k]) < 1e-12 for k in exp)
+    assert abs(back[d + 1] - ref.b) < 1e-12
