@@ -14,7 +14,7 @@ Line grammar (tokens separated by one or more spaces):
 
 Parsing stops at the first token without ':'; the rest of the line is
 ignored. A third ':' part of a token is ignored. Ids may be unsorted and may
-repeat. A line with no token after the label is an error.
+repeat, and must be >= 1. A line with no token after the label is an error.
 
 Everything is built from SQL expressions (split / slice / transform), so the
 parse runs inside whole-stage code generation next to the scan."""
@@ -55,8 +55,10 @@ def _sparse_features(tokens_after_label: Column) -> Column:
 
     def to_struct(t):
         parts = F.split(t, ":")
-        return F.struct(parts[0].cast("bigint").alias("idx"),
-                        parts[1].cast("double").alias("val"))
+        idx = parts[0].cast("bigint")
+        # ids are 1-based (id 0 is where the trainers keep the bias)
+        idx = F.when(idx >= 1, idx).otherwise(F.raise_error(F.lit("feature id must be >= 1")))
+        return F.struct(idx.alias("idx"), parts[1].cast("double").alias("val"))
 
     return F.transform(kept, to_struct)
 

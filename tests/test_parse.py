@@ -35,6 +35,13 @@ def test_label_only_line_raises(spark):
         text.parse_plain(_lines(spark, ["1"])).collect()
 
 
+def test_feature_id_below_one_raises(spark):
+    with pytest.raises(Exception):
+        text.parse_indexed(_lines(spark, ["1 1 0:2.0"])).collect()
+    with pytest.raises(Exception):
+        text.parse_plain(_lines(spark, ["1 -3:2.0"])).collect()
+
+
 def test_plain_and_positional(spark):
     r = text.parse_plain(_lines(spark, ["-1 2:0.25 1:4"])).first()
     assert r["y"] == -1.0 and _feats(r) == [(2, 0.25), (1, 4.0)]
