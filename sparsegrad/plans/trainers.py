@@ -234,13 +234,18 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
     W = state.put("W", update.zero_weights(spark, d), 1)
     # P carries y so that sign(sum p y) comes out of the pass that writes P
-    P, (pys,) = state.put("P", R.select("row_id", "y", F.lit(1.0 / math.sqrt(n)).alias("p")), 1,
-                          measure=[F.sum(F.col("p") * F.col("y"))])
+    # the row draw needs the id range and total of p^2: taken in the action
+    # that writes P; the draw runs on the written (un-normalised) table, which
+    # picks the same row since all weights share one positive scale
+    p_stats = sample.weight_stats(None, "row_id", F.col("p") * F.col("p"))
+    P, (pys, *st) = state.put("P", R.select("row_id", "y", F.lit(1.0 / math.sqrt(n)).alias("p")), 1,
+                              measure=[F.sum(F.col("p") * F.col("y"))] + p_stats)
+    P_written, st = P, tuple(st)
     b, b_avg = 0.0, 0.0
     model = Model(W, b, d)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
-        i = sample.sample_one(P, "row_id", F.col("p") * F.col("p"), ur[t - 1])
+        i = sample.sample_one(P_written, "row_id", F.col("p") * F.col("p"), ur[t - 1], stats=st)
         Ws, (norm_sq,) = state.put("W", update.single_row_step(R, W, b, i, scale, d=d,
                                                                max_broadcast_rows=max_broadcast_rows), t,
                                    measure=[F.sum(F.col("w") * F.col("w"))])
@@ -256,9 +261,9 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
             j, w_j = sample.sample_one(W, "idx", F.col("w") * F.col("w"), uf[t - 1], value="w")
             len_sq = 1.0
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
-        Pn, (p_norm, pys) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
-                                      measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))])
-        P = _scale_p(Pn, p_norm, keep=["y"])
+        Pn, (p_norm, pys, *st) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
+                                           measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))] + p_stats)
+        P, P_written, st = _scale_p(Pn, p_norm, keep=["y"]), Pn, tuple(st)
         model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)
