@@ -55,6 +55,23 @@ def apply_gradient(weights: DataFrame, grad: DataFrame, step: float, *,
     return j.select("idx", (F.col("w") + F.lit(float(step)) * F.coalesce(F.col("_g"), F.lit(0.0))).alias("w"))
 
 
+def gradient_step(weights: DataFrame, grad: DataFrame, w_step: float, b: float,
+                  b_step: float) -> DataFrame:
+    """U1 as one aggregate: the new weights ``w + w_step * g`` per id plus one
+    row at idx 0 holding the new bias ``b + b_step * g0`` (absent when the
+    gradient has no bias part, i.e. no active rows).
+
+    The weight table and the scaled gradient are unioned and summed per id,
+    so the gradient is read once and nothing is broadcast; a shuffle of at
+    most 2D + 1 rows. Ids without a gradient keep their weight."""
+    scale = F.when(F.col("idx") == BIAS_IDX, F.lit(float(b_step))).otherwise(F.lit(float(w_step)))
+    summed = (weights.select("idx", "w")
+              .unionByName(grad.select("idx", (scale * F.col("g")).alias("w")))
+              .groupBy("idx").agg(F.sum("w").alias("w")))
+    return summed.select("idx", F.when(F.col("idx") == BIAS_IDX, F.col("w") + F.lit(float(b)))
+                         .otherwise(F.col("w")).alias("w"))
+
+
 def apply_factors(p_rows: DataFrame, factor_pairs: DataFrame, p: str = "p") -> DataFrame:
     """``p * factor`` per row; rows without a factor keep p and repeated
     pairs of one row multiply. Pairs are reduced per row first (partial

@@ -20,7 +20,6 @@ import time
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,11 +69,19 @@ class Model:
 
 
 def _w_measures() -> list:
-    """Aggregates taken while a new weight table is materialised: the
-    sampling stats of w^2 and the first two weights for the trace."""
-    w = F.col("w")
-    return sample.weight_stats(None, "idx", w * w) + [
-        F.sum(F.when(F.col("idx") == 1, w)), F.sum(F.when(F.col("idx") == 2, w))]
+    """Aggregates taken while a new weight table (with its bias row at idx
+    0) is materialised: the sampling stats of w^2 over ids >= 1, the first
+    two weights for the trace and the bias."""
+    idx, w = F.col("idx"), F.col("w")
+    feat = idx > 0
+    return [F.min(F.when(feat, idx)), F.max(F.when(feat, idx)), F.sum(F.when(feat, w * w)),
+            F.max(F.when(feat & (w != 0), idx)),
+            F.sum(F.when(idx == 1, w)), F.sum(F.when(idx == 2, w)), F.sum(F.when(idx == 0, w))]
+
+
+def _features_only(W: DataFrame) -> DataFrame:
+    """The weight rows (ids >= 1) of a table that also holds the bias row."""
+    return W.where(F.col("idx") > 0)
 
 
 def _p_norm() -> list:
@@ -135,15 +142,14 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
         w1, w2 = float(w1 or 0.0), float(w2 or 0.0)
         model.trace.append({"iter": t, "w1": w1, "w2": w2, "b": float(b)})
         score_bias = -(w1 + w2) if shifted else b
-        grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d, join_opts=opts) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        g0 = update.bias_gradient(grad)
-        W, (w1, w2) = state.put("W", update.apply_gradient(W, grad, w_step, d=d,
-                                                            max_broadcast_rows=max_broadcast_rows),
-                                t, measure=first_two)
-        grad.unpersist()
-        if fit_bias:
-            b = b + b_step * g0
+        grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d, join_opts=opts)
+        # one job: gradient pass, weight update, and the new bias read back
+        Wx, (w1, w2, nb) = state.put(
+            "W", update.gradient_step(W, grad, w_step, b, b_step if fit_bias else 0.0), t,
+            measure=first_two + [F.sum(F.when(F.col("idx") == 0, F.col("w")))])
+        W = _features_only(Wx)
+        if fit_bias and nb is not None:
+            b = float(nb)
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b = W, float(b)
     R.unpersist()
@@ -185,14 +191,13 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         t0 = time.perf_counter()
         RP = R.join(P, "row_id")
         act = linear.active_rows(RP, r, n)
-        grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d, join_opts=opts) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        g0 = update.bias_gradient(grad)
-        W, st = state.put("W", update.apply_gradient(W, grad, w_step, d=d, max_broadcast_rows=max_broadcast_rows),
-                          t, measure=_w_measures())
-        grad.unpersist()
-        b = b + b_step * g0
-        lo, hi, len_sq, last, w1, w2 = st
+        grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d, join_opts=opts)
+        # one job: gradient pass, weight update, sampling stats and new bias
+        Wx, st = state.put("W", update.gradient_step(W, grad, w_step, b, b_step), t, measure=_w_measures())
+        W = _features_only(Wx)
+        lo, hi, len_sq, last, w1, w2, nb = st
+        if nb is not None:  # no active rows: no bias part, b stays
+            b = float(nb)
         len_sq = float(len_sq or 0.0)
         if len_sq == 0.0:
             j, w_j = None, 0.0

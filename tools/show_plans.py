@@ -20,27 +20,31 @@ from sparsegrad.sources.text import cache_points  # noqa: E402
 
 
 def folded(df) -> str:
+    """The executed plan as a tree of one-line node descriptions, walking
+    adaptive stages and not descending into cached relations."""
     df.collect()
-    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
-    # keep the top-level final plan (nested cached plans carry their own markers)
-    tops = [i for i, l in enumerate(lines) if l.startswith("+- == ")]
-    if len(tops) >= 2:
-        lines = lines[tops[0] + 1:tops[1]]
-    out, skip = [], None
-    for line in lines:
-        ind = len(line) - len(line.lstrip(" :+-"))
-        if skip is not None:
-            if ind > skip:
-                continue
-            skip = None
+    out = []
+
+    def walk(node, depth):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan(), depth)
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan(), depth)
+        if name in ("WholeStageCodegenExec", "InputAdapter"):
+            return walk(node.child(), depth)
+        line = node.simpleString(12)
         line = re.sub(r"#\d+L?", "", line)
         line = re.sub(r", \[plan_id=\d+\]", "", line)
-        if "InMemoryRelation" in line:
-            out.append(line[:ind] + "InMemoryRelation (cached, folded)")
-            skip = ind
-            continue
-        out.append(line[:160])
-    return "\n".join(l for l in out if l.strip())
+        if len(line) > 150:
+            line = line[:147] + "..."
+        out.append("  " * depth + ("+- " if depth else "") + line)
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i), depth + 1)
+
+    walk(df._jdf.queryExecution().executedPlan(), 0)
+    return "\n".join(out)
 
 
 def main():
@@ -60,8 +64,8 @@ def main():
         ("Training rows from parquet (built once, cached)", rows.select(F.sum(F.size("features")))),
         ("Gradient pass: active rows, p-weighted gradient, bias as idx 0",
          linear.gradient(linear.active_rows(RP, 50, n), W, 0.1, coef=linear.primal_coef, weight="p", d=d)),
-        ("Weight update (gradient table broadcast, size-checked)",
-         update.apply_gradient(W, linear.gradient(R, W, 0.1, d=d), 1.0, d=d)),
+        ("Gradient pass and weight update in one job (union + sum per id; new bias as idx 0)",
+         update.gradient_step(W, linear.gradient(R, W, 0.1, d=d), 1.0, 0.1, 1.0)),
         ("Dual pass: new p and its norm in one job",
          RP.select("row_id", (F.col("p") * dual.factor_expr(5, 0.1, 2.0, 0.1, 0.15)).alias("p"))
          .agg(F.sqrt(F.sum(F.col("p") * F.col("p"))))),
@@ -73,7 +77,7 @@ def main():
     ]
     print(f"# Physical plans of the hot path\n\nGenerated by `tools/show_plans.py {sf}` "
           f"(N = {n}, D = {d}, automatic broadcast off, as for row state too big to broadcast). "
-          "Cached subplans are folded.\n")
+          "Cached relations are shown as their scan; code-generated stages are flattened.\n")
     for title, df in sections:
         print(f"## {title}\n\n```\n{folded(df)}\n```\n")
     spark.stop()
