@@ -8,7 +8,7 @@ used: its blocks die with the executor."""
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +46,13 @@ class IterationState:
     with the number of iterations (analysis and cache look-ups of a plan that
     embeds every earlier iteration get slower each step)."""
 
-    def __init__(self, checkpoint_every: int = 1, every: dict[str, int] | None = None):
+    def __init__(self, checkpoint_every: int = 1, every: dict[str, int] | None = None,
+                 keep_layout: tuple[str, ...] = ("P",)):
         self.checkpoint_every = checkpoint_every
         self.every = dict(every or {})
+        # tables whose row_id layout must survive the checkpoint (row state);
+        # the others are written with adaptive execution as configured
+        self.keep_layout = set(keep_layout)
         self._live: dict[str, list[DataFrame]] = {}
 
     def put(self, name: str, df: DataFrame, iteration: int, measure: list | None = None):
@@ -56,7 +60,7 @@ class IterationState:
 
         With ``measure`` (aggregate columns) the materialising action computes
         them and ``(df, row)`` is returned, saving a separate pass."""
-        with static_plan(df.sparkSession):
+        with (static_plan(df.sparkSession) if name in self.keep_layout else nullcontext()):
             cached = df.persist(StorageLevel.MEMORY_AND_DISK)
             keep = [cached]
             k = self.every.get(name, self.checkpoint_every)
