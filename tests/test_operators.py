@@ -163,3 +163,14 @@ def test_row_form_equals_long_form(spark, sf):
     long = fx.sparse_long(spark, sf).join(w, "idx")
     b = {r["row_id"]: r["s"] + 0.25 for r in long.groupBy("row_id").agg(F.sum(F.col("val") * F.col("w")).alias("s")).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_gradient_step_one_aggregate(spark):
+    w = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "idx bigint, w double")
+    g = spark.createDataFrame([(0, 10.0), (1, 1.0), (3, -1.0)], "idx bigint, g double")
+    got = {r["idx"]: r["w"] for r in update.gradient_step(w, g, 0.5, 0.25, 2.0).collect()}
+    assert got == {0: 0.25 + 20.0, 1: 1.5, 2: 2.0, 3: 2.5}
+    # no bias part (no active rows): no idx 0 row, the bias stays with the caller
+    g_empty_bias = g.where("idx > 0")
+    got = {r["idx"]: r["w"] for r in update.gradient_step(w, g_empty_bias, 0.5, 0.25, 2.0).collect()}
+    assert 0 not in got and got[1] == 1.5
