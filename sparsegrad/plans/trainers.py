@@ -251,9 +251,11 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
         i = sample.sample_one(P_written, "row_id", F.col("p") * F.col("p"), ur[t - 1], stats=st)
-        Ws, (norm_sq,) = state.put("W", update.single_row_step(R, W, b, i, scale, d=d,
-                                                               max_broadcast_rows=max_broadcast_rows), t,
-                                   measure=[F.sum(F.col("w") * F.col("w"))])
+        w_stats = sample.weight_stats(None, "idx", F.col("w") * F.col("w"))
+        Ws, ws = state.put("W", update.single_row_step(R, W, b, i, scale, d=d,
+                                                       max_broadcast_rows=max_broadcast_rows), t,
+                           measure=w_stats)
+        norm_sq = ws[2]
         norm = math.sqrt(norm_sq or 0.0)
         W = norms.unit_weights(Ws, "w", norm=norm)
         RP = R.join(P.drop("y"), "row_id")
@@ -263,8 +265,10 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
         if norm == 0.0:
             j, w_j, len_sq = None, 0.0, 0.0
         else:
-            j, w_j = sample.sample_one(W, "idx", F.col("w") * F.col("w"), uf[t - 1], value="w")
-            len_sq = 1.0
+            # drawn on the written table with its stats (same id as on w/|w|)
+            j, w_raw = sample.sample_one(Ws, "idx", F.col("w") * F.col("w"), uf[t - 1], value="w",
+                                         stats=tuple(ws))
+            w_j, len_sq = w_raw / norm, 1.0
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
         Pn, (p_norm, pys, *st) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
                                            measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))] + p_stats)
