@@ -318,14 +318,12 @@ def q_bias_sign(spark, sf):
 # --- updates and initialisation ---------------------------------------------
 
 def q_step_weights(spark, sf):
-    """One batch step of FX-W with bias (w -= g, b -= g0)."""
+    """One batch step of FX-W with bias (w -= g, b -= g0), as the
+    trainers take it: one aggregate, the new bias as idx 0."""
     rows, d = _sparse(spark, sf)
     w = fx.fx_weights(spark, d)
-    g = linear.gradient(rows, w, BIAS, d=d).persist()
-    g0 = update.bias_gradient(g)
-    w2 = update.apply_gradient(w, g, -1.0, d=d)
-    bias_row = spark.range(1).select(F.lit(0).cast("bigint").alias("idx"), F.lit(BIAS - g0).alias("w"))
-    return w2.unionByName(bias_row).select("idx", _r6(F.col("w")).alias("w"))
+    g = linear.gradient(rows, w, BIAS, d=d)
+    return update.gradient_step(w, g, -1.0, BIAS, -1.0).select("idx", _r6(F.col("w")).alias("w"))
 
 
 def q_step_row(spark, sf):
