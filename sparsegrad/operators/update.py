@@ -38,12 +38,6 @@ def initial_p(rows: DataFrame, n: int | None = None) -> DataFrame:
     return rows.withColumn("p", F.lit(1.0 / (float(n) ** 0.5)))
 
 
-def bias_gradient(grad: DataFrame) -> float:
-    """The bias part (idx 0) of an aggregated gradient; 0 when absent."""
-    row = grad.where(F.col("idx") == BIAS_IDX).select("g").first()
-    return 0.0 if row is None or row[0] is None else float(row[0])
-
-
 def apply_gradient(weights: DataFrame, grad: DataFrame, step: float, *,
                    d: int | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
     """``w + step * g`` per id; ids without a gradient keep w.
