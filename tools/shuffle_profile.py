@@ -71,7 +71,8 @@ def main():
 
     grad = linear.gradient(linear.active_rows(RP, 50, n), W, 0.1, coef=linear.primal_coef, weight="p", d=d)
     run("gradient pass", lambda: grad.collect())
-    run("weight update", lambda: update.apply_gradient(W, grad, 1.0, d=d).collect())
+    run("gradient pass + weight update (one aggregate)",
+        lambda: update.gradient_step(W, grad, 1.0, 0.1, 1.0).collect())
     run("dual pass (new p + norm)", lambda: RP.select(
         (F.col("p") * dual.factor_expr(5, 0.1, 2.0, 0.1, 0.15)).alias("p"))
         .agg(F.sqrt(F.sum(F.col("p") * F.col("p")))).collect())
