@@ -161,7 +161,8 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
                       w_step: float | None = None, b_step: float = 1.0,
                       clip: float | None = None, checkpoint_every: int = 1,
                       row_state_checkpoint_every: int | None = None,
-                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
+                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      strict: bool = False) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
@@ -172,6 +173,9 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     ``s = x_j |w|^2 / w_j + b y`` (no clip unless ``clip`` is given), then
     p is L2-normalised.
 
+    ``strict`` raises when the dual pass does not give one pair per row
+    (the reference prints a message and continues).
+
     The weight table is checkpointed every ``checkpoint_every`` iterations
     and the (narrow, N-row) row-weight table every
     ``row_state_checkpoint_every`` (default: the same); in between both stay
@@ -207,8 +211,11 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
         Pn, (norm, n_pairs) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t,
                                         measure=_p_norm() + [F.count(F.lit(1))])
-        if n_pairs != n_rows:  # A8: report and go on, as the reference does
-            warnings.warn(f"dual pass produced {n_pairs} pairs for {n_rows} rows", RuntimeWarning)
+        if n_pairs != n_rows:  # A8: report and go on, as the reference does, or raise
+            msg = f"dual pass produced {n_pairs} pairs for {n_rows} rows"
+            if strict:
+                raise RuntimeError(msg)
+            warnings.warn(msg, RuntimeWarning)
         P = _scale_p(Pn, norm)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)
