@@ -174,3 +174,22 @@ def test_gradient_step_one_aggregate(spark):
     g_empty_bias = g.where("idx > 0")
     got = {r["idx"]: r["w"] for r in update.gradient_step(w, g_empty_bias, 0.5, 0.25, 2.0).collect()}
     assert 0 not in got and got[1] == 1.5
+
+
+def test_hot_key_holding_a_third_is_found(spark):
+    # key 7 holds a third of the rows; every other key is rare
+    big = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("idx"))
+    hot = joins.hot_keys(big, "idx")
+    assert hot is not None and [r["idx"] for r in hot.collect()] == [7]
+
+
+def test_partition_sizing_follows_advisory_size(spark):
+    from sparsegrad.sources.text import sized_partitions
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+        n = sized_partitions(spark, 1_000_000, 10_000_000)   # ~200 MB of rows
+        assert n == max(spark.sparkContext.defaultParallelism, -(-(48_000_000 + 160_000_000) // (1 << 20)))
+        assert sized_partitions(spark, 10, 10) == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
