@@ -3,10 +3,11 @@
 A global running sum ordered by id would be a window without a partition
 key: every row in one task. Instead a two-level prefix sum is used:
 
-1. ids are cut into at most ``max_buckets`` contiguous ranges (width from
-   the id range; ids are unique, so a bucket holds at most ``width`` rows);
-2. per-bucket totals (a partial aggregate, at most ``max_buckets`` rows)
-   get an exclusive running offset over the small bucket table;
+1. ids are cut into about sqrt(id range) contiguous ranges, at most 2^20
+   (``bucket_count``; ids are unique, so a bucket holds at most ``width``
+   rows);
+2. per-bucket totals (a partial aggregate, one row per bucket) get an
+   exclusive running offset over the small bucket table;
 3. the running sum inside each bucket is a window partitioned by bucket,
    plus the bucket offset (broadcast: its size is the bucket count).
 
@@ -50,7 +51,7 @@ def _bucketed(df: DataFrame, key: str, weight, max_buckets: int):
 def _bucket_offsets(b: DataFrame) -> DataFrame:
     totals = b.groupBy("_bucket").agg(F.sum("_w").alias("_tot"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # The bucket table is bounded by max_buckets rows.
+    # The bucket table has one row per bucket (at most 2^20).
     return totals.select("_bucket", "_tot",
                          F.coalesce(F.sum("_tot").over(before), F.lit(0.0)).alias("_off"))
 
