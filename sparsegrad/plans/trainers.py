@@ -4,11 +4,13 @@ State layout shared by all of them:
 
 * ``R``  training rows ``(row_id, y, features)``, hash-partitioned and sorted
   by ``row_id``, persisted once (memory, spilling to disk);
-* ``W``  weight table ``(idx, w)`` for ids 1..D, a DataFrame rewritten each
-  iteration (persisted, checkpointed every few iterations);
+* ``W``  weight table ``(idx, w)`` for ids 1..D, rewritten each iteration by
+  one aggregate that also carries the new bias as idx 0 (persisted and
+  checkpointed, every iteration by default);
 * ``P``  row weights ``(row_id, p)`` derived from ``R`` so it keeps R's
-  partitioning and order: ``R join P`` is a zip of co-partitioned sorted
-  inputs, with no exchange and no sort;
+  partitioning and order (written with a static plan so the checkpoint
+  keeps it): ``R join P`` is a zip of co-partitioned sorted inputs, with no
+  exchange and no sort;
 * driver scalars only: bias b, sampled ids, norms, N, D.
 
 Stopping rule: a fixed number of iterations, as in the reference."""
