@@ -46,6 +46,15 @@ def _sparse(spark, sf):
     return rows, fx.max_feature_id(rows)
 
 
+def _sparse_dn(spark, sf):
+    """FX-S rows with D and N from one scalar aggregate."""
+    rows = fx.sparse_rows(spark, sf)
+    d, n = rows.agg(F.max(F.aggregate("features", F.lit(0).cast("bigint"),
+                                      lambda a, f: F.greatest(a, f["idx"]))),
+                    F.count(F.lit(1))).first()
+    return rows, int(d or 0), int(n)
+
+
 def _fxp(spark, sf):
     rows, d = _sparse(spark, sf)
     return fx.with_fxp_weights(rows), d
@@ -386,14 +395,12 @@ def q_train_shifted(spark, sf):
 def q_train_gd(spark, sf):
     """GD without bias on dense FX-D."""
     rows = fx.dense_rows(spark, sf)
-    d = rows.agg(F.max(F.size("x"))).first()[0]
-    n = rows.count()
+    d, n = rows.agg(F.max(F.size("x")), F.count(F.lit(1))).first()
     return _weights_out(trainers.train_gd(rows, d, ITERS, w_step=-1.0 / n, seed=SEED), None)
 
 
 def _t2(spark, sf):
-    rows, d = _sparse(spark, sf)
-    n = rows.count()
+    rows, d, n = _sparse_dn(spark, sf)
     return trainers.train_gd(rows, d, ITERS, fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n)
 
 
@@ -403,8 +410,7 @@ def q_train_gd_bias(spark, sf):
 
 
 def _t3(spark, sf):
-    rows, d = _sparse(spark, sf)
-    n = rows.count()
+    rows, d, n = _sparse_dn(spark, sf)
     return trainers.train_primal_dual(rows, d, ITERS, eta=ETA, r=R_ACTIVE, u=U_FEATURE,
                                       w_step=1.0, b_step=1.0 / n)
 
