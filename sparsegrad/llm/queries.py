@@ -6,8 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
-from .common import table
+from . import decontaminate, labelled, langid, mixing, neardup, pii, quality, ranking, sharding, toxicity, warc
+from .common import held_out, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,18 +26,61 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~base_ok).alias("base_failed"), (base_ok & quality.passes()).alias("kept"), "fail_bits")
 
 
-def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked_documents(documents(spark, sf_dir))
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    sample = labelled.learning_sample(docs, table(spark, sf_dir, "labels"), "quality")
+    return _judged(ranking.score(docs, ranking.fit(sample)), ranking.DECISION)
+
+
+def toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    sample = labelled.learning_sample(docs, table(spark, sf_dir, "labels"), "toxic")
+    return _judged(toxicity.score(docs, toxicity.fit(sample)), 0.5)
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(langid.learning_rows(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+                        "cross_entropy", "rejected")
+
+
+def warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.even_tree(16))
+def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), sharding.even_tree(16))
 
 
 QUERIES = {
+    "op1_personal_data": personal_data,
     "op2_quality_rules": quality_rules,
-    "op4_source_mixing": mixing_query,
-    "op10_sharding": sharding_query,
+    "op3_jaccard_join": jaccard_join,
+    "op4_source_mixing": source_mixing,
+    "op5_quality_ranking": quality_ranking,
+    "op6_toxicity_grammar": toxicity_grammar,
+    "op7_language_id": language_id,
+    "op8_warc_index": warc_index,
+    "op9_benchmark_leaks": benchmark_leaks,
+    "op10_hash_tree_shards": hash_tree_shards,
 }
 
 ORACLES: dict[str, str] = {}

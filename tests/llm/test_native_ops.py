@@ -99,9 +99,9 @@ def check_mix(docs, rows):
 
 def test_mixing_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    rows = queries.mixing_query(spark, sf).collect()
+    rows = queries.source_mixing(spark, sf).collect()
     check_mix(docs, rows)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.mixing_query(spark, sf).collect()))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.source_mixing(spark, sf).collect()))
 
 
 def test_mixing_capped_sources_and_edges(spark):
@@ -127,7 +127,7 @@ def test_exponential_keys_favour_heavy_documents(spark):
 
 def test_sharding_law(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    rows = queries.sharding_query(spark, sf).collect()
+    rows = queries.hash_tree_shards(spark, sf).collect()
     text = {d.doc_id: (d.text or "").encode() for d in docs}
     by = defaultdict(list)
     assert len(rows) == len(docs)
