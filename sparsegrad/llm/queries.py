@@ -1,5 +1,5 @@
 """Registered queries of the subpackage: (spark, sf_dir) -> DataFrame, each
-over its whole table, and the SQL of those that SQL can express."""
+over its whole table. ``oracle`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, labelled, langid, mixing, neardup, pii, quality, ranking, sharding, toxicity, warc
 from .common import held_out, table
+from .oracle import ORACLES  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "position")
 
 
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +84,3 @@ QUERIES = {
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_hash_tree_shards": hash_tree_shards,
 }
-
-ORACLES: dict[str, str] = {}
