@@ -1,30 +1,22 @@
 """Scores, per-row gradients and distributed vector sums.
 
-Plan shape of one gradient (the per-iteration hot path):
-
-    rows (row_id-partitioned, cached)
-      -> inline(features ++ [bias entry idx 0])     narrow, no shuffle
-      -> lookup join of weights on idx              broadcast after a row-count check,
-                                                    else hot-key split shuffle join
-      -> score = sum(val * w) over (partition by row_id)
-                                                    no exchange: rows already clustered
-      -> coefficient, contribution per entry
-      -> groupBy(idx).sum                           partial aggregate before the shuffle:
-                                                    at most (D+1) rows per task cross it
-
-The weight vector never goes through the driver; only the bias (one double)
-does. The bias rides along as feature id 0 with value 1, so the bias
-gradient shares the single shuffle and rows with an empty feature array
-keep their bias term."""
+A row holds its whole vector, so its score is a row-local sum over a weight
+array that is broadcast after a check of its size (``plans.rowlocal``): no
+sort, no window, no use of row ids. The gradient of all rows is added up inside
+each task and summed over tasks by one shuffle on idx, the bias part riding
+along as idx 0, so rows with an empty vector keep their bias term. Beyond the
+size limit the trainers use ``plans.blocked``; the per-row operators join
+entries and weights with hot ids split off."""
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans import rowlocal
 from ..plans.joins import lookup_join
 
 BIAS_IDX = 0
@@ -40,29 +32,33 @@ def entries(rows: DataFrame, keep: list[str], with_bias: bool = False) -> DataFr
     return rows.select(*keep, F.inline(feats))
 
 
-def scored_entries(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
-                   keep: list[str] | None = None, d: int | None = None,
-                   bias_col: Column | None = None, join_opts: dict | None = None) -> DataFrame:
-    """Entries ``(keep..., idx, val, w, score)`` with the bias entry idx 0 and
-    ``score = b + sum_k w[idx_k] * val_k`` of the row on every entry.
-    Feature ids missing from ``weights`` weigh 0. ``bias_col`` overrides the
-    scalar bias with a column expression."""
-    keep = list(dict.fromkeys(["row_id"] + (keep or [])))
-    e = entries(rows, keep, with_bias=True)
-    e = lookup_join(e, weights.select("idx", "w"), "idx", "left", lookup_rows=d, **(join_opts or {}))
-    bias = bias_col if bias_col is not None else F.lit(float(b))
-    w = F.when(F.col("idx") == BIAS_IDX, bias).otherwise(F.coalesce(F.col("w"), F.lit(0.0)))
-    e = e.withColumn("w", w)
-    return e.withColumn("score", F.sum(F.col("val") * F.col("w")).over(Window.partitionBy("row_id")))
+def scored(rows: DataFrame, weights: DataFrame, b: float = 0.0, *, d: int | None = None,
+           max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
+    """``rows`` with ``score = b + sum_k w[idx_k] * val_k`` (P1 with P4).
+
+    ``d`` is the largest id of the weight table (read from it if not given);
+    ids outside 1..d raise. Within ``max_weights`` the sum is row-local;
+    beyond, entries meet their weights in a join with hot ids split off and
+    are summed by ``row_id``, which must then be unique."""
+    d = int(weights.agg(F.max("idx")).first()[0] or 0) if d is None else d
+    if d <= max_weights:
+        return rowlocal.with_scores(rows, rowlocal.weight_array(weights, d), b)
+    e = lookup_join(entries(rows, ["row_id"]), weights.select("idx", "w"), "idx", "left", lookup_rows=d,
+                    max_broadcast_rows=max_weights)
+    w = F.coalesce("w", F.raise_error(F.lit(f"feature id outside 1..{d}")).cast("double"))
+    sums = e.groupBy("row_id").agg(F.sum(F.col("val") * w).alias("score"))
+    total = F.coalesce("score", F.lit(0.0)) + F.lit(float(b))
+    return rows.join(sums, "row_id", "left").select(*rows.columns, total.alias("score"))
 
 
 def sparse_scores(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
-                  keep: list[str] | None = None, d: int | None = None) -> DataFrame:
+                  keep: list[str] | None = None, d: int | None = None,
+                  max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
     """Per-row score ``w . x + b`` (P1 with P4) as ``(row_id, keep..., score)``.
     Rows with an empty feature array score ``b``; duplicate ids add."""
     keep = [c for c in (keep or []) if c != "row_id"]
-    se = scored_entries(rows, weights, b, keep=keep, d=d)
-    return se.where(F.col("idx") == BIAS_IDX).select("row_id", *keep, "score")
+    need = rows.select("row_id", *keep, "features")
+    return scored(need, weights, b, d=d, max_weights=max_weights).select("row_id", *keep, "score")
 
 
 def dense_scores(rows: DataFrame, w: Column, x: str = "x", shifted: bool = False) -> DataFrame:
@@ -94,23 +90,20 @@ def dense_row_gradients(rows: DataFrame, coef: Column, x: str = "x") -> DataFram
 def sparse_row_gradients(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
                          coef: Callable[[], Column] = gd_coef, with_bias: bool = False,
                          weight: str | None = None, d: int | None = None,
-                         join_opts: dict | None = None) -> DataFrame:
+                         max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
     """Per-row sparse gradient entries ``(row_id, idx, g)``.
 
     ``g = coef * val`` for feature entries; with ``weight`` (P11) feature
     entries are ``coef * p * val`` while the bias entry stays ``coef``.
-    ``with_bias`` keeps the bias entry (idx 0, value ``coef``)."""
-    keep = ["y"] + ([weight] if weight else [])
-    se = scored_entries(rows, weights, b, keep=keep, d=d, join_opts=join_opts)
-    c = coef()
-    if weight:
-        g = F.when(F.col("idx") == BIAS_IDX, c).otherwise(c * F.col(weight) * F.col("val"))
-    else:
-        g = c * F.col("val")
-    out = se.select("row_id", "idx", g.alias("g"))
-    if not with_bias:
-        out = out.where(F.col("idx") != BIAS_IDX)
-    return out
+    ``with_bias`` adds the bias entry (idx 0, value ``coef``)."""
+    need = rows.select("row_id", "y", "features", *([weight] if weight else []))
+    c = scored(need, weights, b, d=d, max_weights=max_weights).withColumn("_c", coef())
+    factor = F.col("_c") * F.col(weight) if weight else F.col("_c")
+    parts = F.transform("features", lambda f: F.struct(f["idx"].alias("idx"), (factor * f["val"]).alias("g")))
+    if with_bias:
+        bias = F.array(F.struct(F.lit(BIAS_IDX).cast("bigint").alias("idx"), F.col("_c").alias("g")))
+        parts = F.concat(bias, parts)
+    return c.select("row_id", F.inline(parts))
 
 
 def active_rows(rows: DataFrame, r: int, n: int, weight: str = "p") -> DataFrame:
@@ -132,12 +125,19 @@ def sparse_sum(entries_df: DataFrame, idx: str = "idx", value: str = "g") -> Dat
     return entries_df.groupBy(idx).agg(F.sum(value).alias(value))
 
 
+#: Array forms of the coefficients, for the row-local pass.
+_ARRAY_COEFFICIENTS = {gd_coef: rowlocal.gd_coefficients, primal_coef: rowlocal.primal_coefficients}
+
+
 def gradient(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
              coef: Callable[[], Column] = gd_coef, weight: str | None = None,
-             d: int | None = None, join_opts: dict | None = None) -> DataFrame:
+             d: int | None = None, max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
     """A3 / A4: aggregated gradient ``(idx, g)``; idx 0 is the bias part.
     Filter rows first (F1) for the null-skipping form; an empty input gives
-    an empty table, read as a zero gradient by ``apply_gradient``."""
-    per_row = sparse_row_gradients(rows, weights, b, coef=coef, with_bias=True, weight=weight, d=d,
-                                   join_opts=join_opts)
-    return sparse_sum(per_row)
+    an empty table, read as a zero gradient by ``apply_gradient``. ``rows``
+    are sparse (``features``) or dense (``x``)."""
+    d = int(weights.agg(F.max("idx")).first()[0] or 0) if d is None else d
+    if d <= max_weights and coef in _ARRAY_COEFFICIENTS:
+        return rowlocal.gradient(rows, rowlocal.weight_array(weights, d), b, _ARRAY_COEFFICIENTS[coef], weight)
+    return sparse_sum(sparse_row_gradients(rows, weights, b, coef=coef, with_bias=True, weight=weight, d=d,
+                                           max_weights=max_weights))

@@ -1,132 +1,116 @@
 """Cumulative weights and inverse-CDF sampling over id order.
 
-A global running sum ordered by id would be a window without a partition
-key: every row in one task. Instead a two-level prefix sum is used:
-
-1. ids are cut into about sqrt(id range) contiguous ranges, at most 2^20
-   (``bucket_count``; ids are unique, so a bucket holds at most ``width``
-   rows);
-2. per-bucket totals (a partial aggregate, one row per bucket) get an
-   exclusive running offset over the small bucket table;
-3. the running sum inside each bucket is a window partitioned by bucket,
-   plus the bucket offset (broadcast: its size is the bucket count).
-
-Sampling for a draw u finds the first id whose cumulative weight exceeds
-``u * total`` (strict, so a zero-weight id is never drawn). Only the bucket
-containing the target is expanded; a rounding overshoot past the end falls
-back to the last id of non-zero weight."""
+A global running sum ordered by id would be one sorted task. Here ids are cut
+into ranges of about ``RANGE_ROWS`` rows by Spark's range partitioning (bounds
+come from a sample of the ids, so gaps and outliers do not fill one range):
+range totals get an exclusive running offset, and the running sum inside a
+range is a window over that range alone.
+
+A draw u takes the first id whose cumulative weight exceeds ``u * total``
+(strict, so a zero-weight id is never drawn); a rounding overshoot past the end
+takes the last id of non-zero weight."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BUCKETS = 1 << 16
-MIN_BUCKETS, MAX_BUCKETS = 1 << 10, 1 << 20
-
+from ..session import stored
 
-def bucket_count(id_range: int) -> int:
-    """About sqrt(range) buckets, clamped to [2^10, 2^20]: the bucket table
-    and every bucket both stay small (range 10^11 -> 2^20 buckets of ~10^5)."""
-    return int(min(max(math.isqrt(max(id_range, 1)), MIN_BUCKETS), MAX_BUCKETS))
+#: Rows of one id range, and draws that one task looks up in it, on average.
+RANGE_ROWS = 100_000
+RANGE_DRAWS = 100_000
+#: Bins of one narrowing step of a single draw, and rows read at its end.
+BINS = 1024
+LAST_ROWS = 4096
 
 
-def _bucketed(df: DataFrame, key: str, weight, max_buckets: int):
-    """Bucket ids into contiguous ranges. One scalar aggregate gives the id
-    range, the total weight and the last id of non-zero weight."""
+def _ranged(df: DataFrame, key: str, weight) -> tuple[DataFrame, DataFrame, float, int | None]:
+    """(rows with ``_range``, offsets by range, total, last id of non-zero
+    weight). The rows are written once, so every reader sees the same ranges."""
     w = F.col(weight) if isinstance(weight, str) else weight
-    lo, hi, total, last = df.agg(F.min(key), F.max(key), F.sum(w),
-                                 F.max(F.when(w != 0, F.col(key)))).first()
-    if lo is None:
-        return None, (0.0, None)
-    n_buckets = max_buckets or bucket_count(hi - lo + 1)
-    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    b = df.select(F.col(key), w.alias("_w")) \
-        .withColumn("_bucket", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint"))
-    return b, (float(total or 0.0), last)
-
-
-def _bucket_offsets(b: DataFrame) -> DataFrame:
-    totals = b.groupBy("_bucket").agg(F.sum("_w").alias("_tot"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # The bucket table has one row per bucket (at most 2^20).
-    return totals.select("_bucket", "_tot",
-                         F.coalesce(F.sum("_tot").over(before), F.lit(0.0)).alias("_off"))
-
-
-def cumulative(df: DataFrame, key: str, weight, name: str = "cum",
-               max_buckets: int | None = None) -> DataFrame:
+    narrow = df.select(F.col(key), w.cast("double").alias("_w"))
+    n, total, last = narrow.agg(F.count(F.lit(1)), F.sum("_w"), F.max(F.when(F.col("_w") != 0, F.col(key)))).first()
+    cut = narrow.repartitionByRange(max(1, -(-n // RANGE_ROWS)), key)
+    rows = stored(cut.withColumn("_range", F.spark_partition_id().cast("bigint")), "ranges")
+    totals = rows.groupBy("_range").agg(F.sum("_w").alias("_tot"))
+    # one row for each range of RANGE_ROWS rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", "_tot", F.coalesce(F.sum("_tot").over(before), F.lit(0.0)).alias("_off"))
+    return rows, offsets, float(total or 0.0), last
+
+
+def cumulative(df: DataFrame, key: str, weight, name: str = "cum") -> DataFrame:
     """``(key, name)`` with the inclusive running sum of ``weight`` in key order."""
-    b, _ = _bucketed(df, key, weight, max_buckets)
-    if b is None:
-        return df.select(key, F.lit(0.0).alias(name)).where(F.lit(False))
-    offs = _bucket_offsets(b)
-    inner = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(F.broadcast(offs.select("_bucket", "_off")), "_bucket")
-            .select(key, (F.col("_off") + F.sum("_w").over(inner)).alias(name)))
-
-
-def _carry_last(marks: DataFrame, part: list[str], carried: list[str]) -> DataFrame:
-    """Interval look-up without pairs: ``marks`` holds interval starts
-    (``_kind`` 0, carrying ``carried`` columns) and query points (``_kind``
-    1) on one axis ``_v``; ordered by (``_v``, ``_kind``), every point takes
-    the carried values of the last start at or before it."""
-    spec = Window.orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    if part:
-        spec = Window.partitionBy(*part).orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = marks
-    for c in carried:
-        out = out.withColumn(c, F.last(c, ignorenulls=True).over(spec))
-    return out.where(F.col("_kind") == 1)
+    rows, offsets, _, _ = _ranged(df, key, weight)
+    inner = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(offsets, "_range").select(key, (F.col("_off") + F.sum("_w").over(inner)).alias(name))
+
+
+def _locate(starts: np.ndarray, ranges: np.ndarray):
+    """Draws -> the range whose interval holds the target."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(1).to_numpy(zero_copy_only=False)
+            at = np.maximum(np.searchsorted(starts, t, side="right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges[at])], names=[*batch.schema.names, "_range"])
+    return run
+
+
+def _look_up(name: str):
+    """One range, one share of its draws -> the drawn ids. Null if the target
+    lies past the end."""
+    def run(key: tuple, rows: pa.Table, draws: pa.Table) -> pa.Table:
+        ids, w = rows.column("_key").to_numpy(), rows.column("_w").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, w = ids[order], w[order]
+        ends = (rows.column("_off")[0].as_py() if len(ids) else 0.0) + np.cumsum(w)
+        t = draws.column("_t").to_numpy()
+        at = np.searchsorted(ends, t, side="right")
+        found = pa.array(ids[np.minimum(at, max(0, len(ids) - 1))] if len(ids) else np.zeros(len(t), np.int64),
+                         pa.int64(), mask=at >= len(ids))
+        return pa.table([draws.column("_draw"), found], names=["_draw", name])
+    return run
 
 
 def sample_by_weight(df: DataFrame, key: str, weight, draws: DataFrame, *,
-                     draw: str = "draw", u: str = "u", name: str | None = None,
-                     max_buckets: int | None = None) -> DataFrame:
+                     draw: str = "draw", u: str = "u", name: str | None = None) -> DataFrame:
     """For each draw ``(draw, u)`` the first ``key`` whose
     cumulative weight exceeds ``u * total``. Returns ``(draw, name)``.
 
-    Each positive-weight id owns the interval [cum - w, cum); a target t
-    falls in the interval with lo <= t < hi. Intervals and targets are put on
-    one axis and each target carries the last interval start before it (a
-    window), first over bucket starts (a table of at most 2^20 rows plus
-    the draws), then inside the buckets that received a draw. Every input
-    row appears once: no draw x row pairs are formed."""
+    Draws find their range in the sorted range starts (a few numbers for
+    each 100,000 rows) without a shuffle. In a range they are dealt out over
+    salts by their number, each with a copy of the range, so a heavy id that
+    attracts all draws is looked up by many tasks; no draw x row pairs form."""
     name = name or key
-    b, (total, last) = _bucketed(df, key, weight, max_buckets)
-    if b is None:
+    if df.schema[key].dataType.simpleString() not in ("bigint", "int"):
+        raise TypeError("sample_by_weight draws integer ids")
+    rows, offsets, total, last = _ranged(df, key, weight)
+    t = draws.select(F.col(draw).cast("bigint").alias("_draw"), (F.col(u) * F.lit(total)).alias("_t"))
+    offsets = offsets.persist()
+    starts = offsets.where(F.col("_tot") > 0).orderBy("_off", "_range").select("_off", "_range").toArrow()
+    if not starts.num_rows:
+        offsets.unpersist()
         return draws.select(draw, F.lit(None).cast("bigint").alias(name))
-    offs = _bucket_offsets(b)
-    t = draws.select(draw, (F.col(u) * F.lit(float(total))).alias("_t"))
-    # level 1: bucket of each target (bucket starts + targets on one axis)
-    starts = offs.where(F.col("_tot") > 0).select(
-        F.col("_off").alias("_v"), F.lit(0).alias("_kind"), "_bucket",
-        F.lit(None).cast(t.schema[draw].dataType).alias(draw))
-    pts = t.select(F.col("_t").alias("_v"), F.lit(1).alias("_kind"),
-                   F.lit(None).cast("bigint").alias("_bucket"), draw)
-    located = _carry_last(starts.unionByName(pts), [], ["_bucket"]).select(
-        draw, F.col("_v").alias("_t"), "_bucket")
-    # level 2: inside the buckets holding a target
-    wanted = located.select("_bucket").where(F.col("_bucket").isNotNull()).distinct()
-    inner = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (b.where(F.col("_w") > 0).join(F.broadcast(wanted), "_bucket", "left_semi")
-            .join(F.broadcast(offs.select("_bucket", "_off")), "_bucket")
-            .withColumn("_hi", F.col("_off") + F.sum("_w").over(inner)))
-    ivals = rows.select("_bucket", (F.col("_hi") - F.col("_w")).alias("_v"), F.lit(0).alias("_kind"),
-                        F.col(key).alias("_key"), "_hi", F.lit(None).cast(t.schema[draw].dataType).alias(draw))
-    qpts = located.where(F.col("_bucket").isNotNull()).select(
-        "_bucket", F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_key"),
-        F.lit(None).cast("double").alias("_hi"), draw)
-    hit = _carry_last(ivals.unionByName(qpts), ["_bucket"], ["_key", "_hi"])
-    chosen = hit.where(F.col("_v") < F.col("_hi")).select(draw, F.col("_key").alias(name))
-    # a rounding overshoot past the end: the last id of non-zero weight
-    return (t.join(chosen, draw, "left")
-            .select(draw, F.coalesce(F.col(name), F.lit(last).cast("bigint")).alias(name)))
-
-
-def weight_stats(df: DataFrame, key: str, weight) -> list:
+    run = _locate(starts.column("_off").to_numpy(), starts.column("_range").to_numpy())
+    located = stored(t.mapInArrow(run, "_draw long, _t double, _range long"), "draws")
+    wanted = located.groupBy("_range").agg(F.ceil(F.count(F.lit(1)) / F.lit(RANGE_DRAWS)).cast("int").alias("_salts"))
+    copies = (rows.where(F.col("_w") > 0).join(wanted.join(offsets, "_range"), "_range")
+              .select("_range", F.col(key).cast("bigint").alias("_key"), "_w", "_off",
+                      F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
+    dealt = located.join(F.broadcast(wanted), "_range").select(
+        "_range", "_draw", "_t", F.pmod(F.xxhash64("_draw"), F.col("_salts")).cast("int").alias("_salt"))
+    found = copies.groupBy("_range", "_salt").cogroup(dealt.groupBy("_range", "_salt")).applyInArrow(
+        _look_up("_found"), "_draw long, _found long")
+    return found.select(F.col("_draw").cast(draws.schema[draw].dataType).alias(draw),
+                        F.coalesce("_found", F.lit(last)).cast("bigint").alias(name))
+
+
+def weight_stats(df: DataFrame | None, key: str, weight) -> list:
     """The aggregate expressions ``sample_one`` needs: id range, total weight
     and the last id of non-zero weight (fold them into another action)."""
     w = F.col(weight) if isinstance(weight, str) else weight
@@ -134,49 +118,45 @@ def weight_stats(df: DataFrame, key: str, weight) -> list:
 
 
 def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None = None,
-               stats: tuple | None = None, single_level_max: int = DEFAULT_MAX_BUCKETS):
+               stats: tuple | None = None):
     """One draw as driver scalars: the first id whose cumulative weight
     exceeds ``u * total``. Returns ``(id, value_of_id)`` when ``value`` names a
     column, else the id; ``None`` ids when the total weight is 0.
 
-    ``stats`` = (min id, max id, total, last non-zero id) may be passed from
-    an earlier action (see ``weight_stats``). When the id range is at most
-    ``single_level_max`` the running sum is one bounded window; otherwise the
-    bucket holding the target is found first (two-level prefix sum) and only
-    that bucket is expanded."""
+    The id range is narrowed step by step: one partial aggregate gives the
+    weight, count and id bounds of at most ``BINS`` equal bins, and the bin
+    that holds the target is cut again from its own bounds, until it has at
+    most ``LAST_ROWS`` rows, which are summed in order. Ids with large gaps
+    only take another step. ``stats`` = (min id, max id, total, last non-zero
+    id) may come from an earlier action (see ``weight_stats``)."""
     w = F.col(weight) if isinstance(weight, str) else weight
     lo, hi, total, last = stats if stats is not None else df.agg(*weight_stats(df, key, weight)).first()
     if lo is None or not total:
         return (None, None) if value else None
-    target = float(u) * float(total)
-    cols = [F.col(key)] + ([F.col(value)] if value else [])
-    base = df.select(*cols, w.alias("_w"))
-    if hi - lo + 1 <= single_level_max:
-        # bounded: at most single_level_max rows in the window
-        run = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-        scope, offset = base, 0.0
-    else:
-        width = max(1, math.ceil((hi - lo + 1) / bucket_count(hi - lo + 1)))
-        bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
-        offs = _bucket_offsets(base.withColumn("_bucket", bucket))
-        hit = (offs.where((F.col("_tot") > 0) & (F.lit(target) >= F.col("_off"))
-                          & (F.lit(target) < F.col("_off") + F.col("_tot")))
-               .select("_bucket", "_off").first())
-        if hit is None:
-            scope = None
-        else:
-            scope, offset = base.where(bucket == F.lit(hit[0])), float(hit[1])
-        run = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    row = None
-    if scope is not None:
-        row = (scope.withColumn("_cum", F.lit(offset) + F.sum("_w").over(run))
-               .where(F.col("_cum") > F.lit(target))
-               .agg(F.min_by(F.struct(*cols), F.col(key)).alias("_hit")).first()[0])
-    if row is None:  # rounding overshoot past the end: last id of non-zero weight
-        row = df.where(F.col(key) == F.lit(last)).select(*cols).first()
-    if value:
-        return int(row[0]), float(row[1])
-    return int(row[0])
+    target, offset = float(u) * float(total), 0.0
+    base = df.select(F.col(key).alias("_key"), w.alias("_w"), *([F.col(value).alias("_v")] if value else []))
+    chosen = None
+    while lo is not None:
+        width = max(1, -(-(hi - lo + 1) // BINS))
+        scope = base.where(F.col("_key").between(lo, hi))
+        bins = scope.groupBy(F.floor((F.col("_key") - F.lit(lo)) / F.lit(width)).alias("_bin")).agg(
+            F.sum("_w"), F.count(F.lit(1)), F.min("_key"), F.max("_key")).collect()
+        lo = None
+        for _, s, n, first, final in sorted(bins):
+            if offset + s > target:
+                lo, hi, rows = first, final, n
+                break
+            offset += s
+        if lo is not None and rows <= LAST_ROWS:
+            for row in sorted(base.where(F.col("_key").between(lo, hi)).collect()):
+                offset += row["_w"]
+                if offset > target:
+                    chosen = row
+                    break
+            break
+    if chosen is None:  # rounding overshoot past the end: last id of non-zero weight
+        chosen = base.where(F.col("_key") == F.lit(last)).first()
+    return (int(chosen["_key"]), float(chosen["_v"])) if value else int(chosen["_key"])
 
 
 def running_mean(trace: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.joins import lookup_join
-from .linear import BIAS_IDX, scored_entries
+from .linear import BIAS_IDX
 
 
 # Weight-table rows per partition: a weight row is 16 bytes, so a partition
@@ -38,32 +37,33 @@ def initial_p(rows: DataFrame, n: int | None = None) -> DataFrame:
     return rows.withColumn("p", F.lit(1.0 / (float(n) ** 0.5)))
 
 
-def apply_gradient(weights: DataFrame, grad: DataFrame, step: float, *,
-                   d: int | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
-    """``w + step * g`` per id; ids without a gradient keep w.
-    The gradient table has at most D+1 rows (size-checked lookup join)."""
+def _outside() -> Column:
+    return F.raise_error(F.lit("gradient of a feature id that the weight table lacks")).cast("double")
+
+
+def apply_gradient(weights: DataFrame, grad: DataFrame, step: float) -> DataFrame:
+    """``w + step * g`` per id; ids without a gradient keep w, and a
+    gradient of an id that the weight table lacks raises."""
     g = grad.where(F.col("idx") != BIAS_IDX).select("idx", F.col("g").alias("_g"))
-    opts = {} if max_broadcast_rows is None else {"max_broadcast_rows": max_broadcast_rows}
-    j = lookup_join(weights, g, "idx", "left", lookup_rows=None if d is None else d + 1, big_unique=True,
-                    **opts)
-    return j.select("idx", (F.col("w") + F.lit(float(step)) * F.coalesce(F.col("_g"), F.lit(0.0))).alias("w"))
+    j = weights.select("idx", "w").join(g, "idx", "full")
+    return j.select("idx", (F.coalesce("w", _outside()) + F.lit(float(step)) * F.coalesce("_g", F.lit(0.0))).alias("w"))
 
 
 def gradient_step(weights: DataFrame, grad: DataFrame, w_step: float, b: float,
                   b_step: float) -> DataFrame:
-    """U1 as one aggregate: the new weights ``w + w_step * g`` per id plus one
-    row at idx 0 holding the new bias ``b + b_step * g0`` (absent when the
-    gradient has no bias part, i.e. no active rows).
+    """The new weights ``w + w_step * g`` per id plus one row at idx 0
+    holding the new bias ``b + b_step * g0`` (absent when the gradient has no
+    bias part, i.e. no active rows).
 
-    The weight table and the scaled gradient are unioned and summed per id,
-    so the gradient is read once and nothing is broadcast; a shuffle of at
-    most 2D + 1 rows. Ids without a gradient keep their weight."""
+    The weight table and the scaled gradient are unioned and summed per id: a
+    shuffle of at most 2D + 1 rows, nothing broadcast. Ids without a gradient
+    keep their weight; an id that the weight table lacks raises."""
     scale = F.when(F.col("idx") == BIAS_IDX, F.lit(float(b_step))).otherwise(F.lit(float(w_step)))
-    summed = (weights.select("idx", "w")
-              .unionByName(grad.select("idx", (scale * F.col("g")).alias("w")))
-              .groupBy("idx").agg(F.sum("w").alias("w")))
+    summed = (weights.select("idx", "w", F.lit(1).alias("known"))
+              .unionByName(grad.select("idx", (scale * F.col("g")).alias("w"), F.lit(0).alias("known")))
+              .groupBy("idx").agg(F.sum("w").alias("w"), F.max("known").alias("known")))
     return summed.select("idx", F.when(F.col("idx") == BIAS_IDX, F.col("w") + F.lit(float(b)))
-                         .otherwise(F.col("w")).alias("w"))
+                         .when(F.col("known") == 1, F.col("w")).otherwise(_outside()).alias("w"))
 
 
 def apply_factors(p_rows: DataFrame, factor_pairs: DataFrame, p: str = "p") -> DataFrame:
@@ -84,15 +84,20 @@ def normalise(rows: DataFrame, col: str = "p") -> tuple[DataFrame, float]:
 
 
 def single_row_step(rows: DataFrame, weights: DataFrame, b: float, row_id: int,
-                    scale: float, *, d: int | None = None,
-                    max_broadcast_rows: int | None = None) -> DataFrame:
+                    scale: float) -> DataFrame:
     """``w += y * g(y (w.x + b)) / scale * x`` for the one sampled row.
-    Only that row's entries are exploded; the weight table is updated with
-    the same lookup join as a full gradient step."""
-    one = rows.where(F.col("row_id") == F.lit(int(row_id)))
-    opts = {} if max_broadcast_rows is None else {"max_broadcast_rows": max_broadcast_rows}
-    # one row: its entries are unique-ish and few, no skew check needed
-    se = scored_entries(one, weights, b, keep=["y"], d=d, join_opts=dict(opts, big_unique=True))
-    coef = S.primal_coefficient(F.col("y"), F.col("score"), scale)
-    g = se.where(F.col("idx") != BIAS_IDX).groupBy("idx").agg(F.sum(coef * F.col("val")).alias("g"))
-    return apply_gradient(weights, g, 1.0, d=d, **opts)
+
+    Only that row's entries are joined to the weights (they are as few as
+    one row is wide): one scalar, the score, comes back, and a second join
+    adds the step. An id that the weight table lacks raises; so does a row id
+    that is not there exactly once."""
+    found = rows.where(F.col("row_id") == F.lit(int(row_id))).select("y", "features").take(2)
+    if len(found) != 1:
+        raise ValueError(f"row id {row_id} is there {'more than once' if found else 'not at all'}")
+    y, spark = float(found[0]["y"]), rows.sparkSession
+    own = spark.createDataFrame([(int(f["idx"]), float(f["val"])) for f in found[0]["features"]], "idx bigint, val double") \
+        .groupBy("idx").agg(F.sum("val").alias("val"))
+    score = own.join(weights.select("idx", "w"), "idx", "left").agg(
+        F.sum(F.col("val") * F.coalesce("w", _outside()))).first()[0] or 0.0
+    coef = spark.range(1).select(S.primal_coefficient(F.lit(y), F.lit(float(score) + b), scale)).first()[0]
+    return apply_gradient(weights, own.select("idx", (F.lit(coef) * F.col("val")).alias("g")), 1.0)

@@ -16,13 +16,13 @@ from ..functions import scalar as S
 from ..operators import dual, linear, norms, sample, update
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources import text
+from ..sources import model_io, text
 from . import trainers
 
 # Fixed check parameters.
 BIAS = fx.FXW_BIAS          # b of the fixed-weight checks
 ETA = 0.15                  # dual step
-R_ACTIVE = 50               # active-row threshold r (rows with p > r/N)
+R_ACTIVE = 50               # active-row threshold r of the operator checks (rows with p > r/N)
 J_FIXED = 5                 # sampled feature of the single-step dual checks
 SEED = 42                   # uniform initialisation seed
 ITERS = 3                   # trainer iterations
@@ -42,22 +42,21 @@ def _fxw_array(d: int):
 
 
 def _sparse(spark, sf):
-    rows = fx.sparse_rows(spark, sf)
-    return rows, fx.max_feature_id(rows)
-
-
-def _sparse_dn(spark, sf):
-    """FX-S rows with D and N from one scalar aggregate."""
-    rows = fx.sparse_rows(spark, sf)
-    d, n = rows.agg(F.max(F.aggregate("features", F.lit(0).cast("bigint"),
-                                      lambda a, f: F.greatest(a, f["idx"]))),
-                    F.count(F.lit(1))).first()
-    return rows, int(d or 0), int(n)
+    """FX-S rows and D, which one aggregate of the feature ids gives."""
+    return fx.sparse_rows(spark, sf), fx.feature_count(spark, sf)
 
 
 def _fxp(spark, sf):
     rows, d = _sparse(spark, sf)
-    return fx.with_fxp_weights(rows), d
+    return fx.with_fxp_weights(rows, fx.fxp_norm(spark, sf)), d
+
+
+def _data_weights(spark, sf):
+    """Weights that the tables give: w_idx = sum(y * val) / N over FX-S, for the
+    ids that occur."""
+    long = fx.sparse_long(spark, sf)
+    n = fx.row_count(spark, sf)
+    return long.groupBy("idx").agg((F.sum(F.col("y") * F.col("val")) / F.lit(float(n))).alias("w"))
 
 
 def _exploded(parsed: DataFrame) -> DataFrame:
@@ -72,15 +71,55 @@ def q_parse_indexed(spark, sf):
     """Indexed lines written as text to the shared scratch folder,
     scanned back and parsed."""
     rows = fx.sparse_rows(spark, sf)
-    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
-    text.render_indexed(rows).write.text(path)
+    path = _written_lines(spark, text.render_indexed(rows))
     return _exploded(text.parse_indexed(text.scan_lines(spark, path)))
 
 
+def _written_lines(spark, lines: DataFrame) -> str:
+    """Lines written as text to a fresh folder of the shared scratch space."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.select("value").write.text(path)
+    return path
+
+
 def q_parse_plain(spark, sf):
-    """Plain lines (the source row id rides along, outside the text)."""
+    """Plain lines written in row order, scanned back, numbered in
+    file order and parsed."""
     rows = fx.sparse_rows(spark, sf)
-    return _exploded(text.parse_plain(text.render_plain(rows, keep=["row_id"]), keep=["row_id"]))
+    lines = text.render_plain(rows, keep=["row_id"]).repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    scanned = text.with_line_ids(text.scan_lines(spark, _written_lines(spark, lines)), name="line")
+    parsed = text.parse_plain(scanned, keep=["line"])
+    return parsed.select("line", "y", F.posexplode("features").alias("pos", "f")).select(
+        "line", "y", F.col("pos").cast("bigint").alias("pos"), F.col("f.idx").alias("idx"),
+        _r6(F.col("f.val")).alias("val"))
+
+
+def q_line_ids(spark, sf):
+    """Line numbers of a text folder follow its order."""
+    rows = fx.sparse_rows(spark, sf).select("row_id", F.concat(F.lit("row "), F.col("row_id")).alias("value"))
+    lines = rows.repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    ids = text.with_line_ids(text.scan_lines(spark, _written_lines(spark, lines)), name="line")
+    return ids.select("line", "value")
+
+
+def q_parse_edge(spark, sf):
+    """S1, the legal line shapes, rendered from the rows by ``row_id % 5``:
+    0 ids in falling order with repeated spaces, 1 the first token repeated
+    at the end, 2 a third part in every token, 3 junk after the vector, 4 a
+    junk token in place of the vector."""
+    rows = fx.sparse_rows(spark, sf)
+    kind = F.col("row_id") % 5
+    token = lambda f: F.concat(f["idx"].cast("string"), F.lit(":"), f["val"].cast("string"))
+    toks = F.transform("features", token)
+    body = (F.when(kind == 0, F.concat(F.lit("  "), F.array_join(F.reverse(toks), "   "), F.lit(" ")))
+            .when(kind == 1, F.concat(F.array_join(toks, " "), F.lit(" "), toks[0]))
+            .when(kind == 2, F.array_join(F.transform("features", lambda f: F.concat(token(f), F.lit(":7"))), " "))
+            .when(kind == 3, F.concat(F.array_join(toks, " "), F.lit(" # 9:9")))
+            .otherwise(F.concat(F.lit("x "), F.array_join(toks, " "))))
+    lines = rows.select(F.concat_ws(" ", F.lit(" "), F.col("row_id"), F.col("y").cast("string"), body).alias("value"))
+    parsed = text.parse_indexed(text.scan_lines(spark, _written_lines(spark, lines)))
+    return parsed.select("row_id", "y", F.posexplode_outer("features").alias("pos", "f")).select(
+        "row_id", "y", F.col("pos").cast("bigint").alias("pos"), F.col("f.idx").alias("idx"), _r6(F.col("f.val")).alias("val"))
 
 
 def q_parse_positional(spark, sf):
@@ -103,15 +142,16 @@ def q_parse_dense_last_wins(spark, sf):
     lines = text.render_plain(rows.withColumn("_dup", dup), keep=["row_id", "_dup"]) \
         .select("row_id", F.concat_ws(" ", "value", "_dup").alias("value"))
     dense = text.parse_dense_last_wins(lines, d, keep=["row_id"])
-    return (dense.select("row_id", F.posexplode("x").alias("pos", "x")).where(F.col("x") != 0)
-            .select("row_id", (F.col("pos") + 1).cast("bigint").alias("idx"), _r6(F.col("x")).alias("x")))
+    cells = F.transform("x", lambda v, i: F.struct((i + 1).cast("bigint").alias("idx"), v.alias("x")))
+    return dense.select("row_id", F.inline(F.filter(cells, lambda c: c["x"] != 0))).select(
+        "row_id", "idx", _r6(F.col("x")).alias("x"))
 
 
 # --- scores and coefficients ---------------------------------------------
 
 def _scores_e(spark, sf, b=BIAS):
     rows = fx.sparse_rows_with_empty(spark, sf)
-    d = fx.max_feature_id(rows)
+    d = fx.feature_count(spark, sf)
     return linear.sparse_scores(rows, fx.fx_weights(spark, d), b, keep=["y"], d=d)
 
 
@@ -164,7 +204,7 @@ def q_row_grad_dense(spark, sf):
 
 def _sparse_grad(spark, sf, with_bias, empty):
     rows = fx.sparse_rows_with_empty(spark, sf) if empty else fx.sparse_rows(spark, sf)
-    d = fx.max_feature_id(rows)
+    d = fx.feature_count(spark, sf)
     b = BIAS if with_bias else 0.0
     return linear.sparse_row_gradients(rows, fx.fx_weights(spark, d), b, with_bias=with_bias, d=d)
 
@@ -182,7 +222,7 @@ def q_row_grad_bias(spark, sf):
 def _weighted_grad(spark, sf, active: bool):
     rows, d = _fxp(spark, sf)
     if active:
-        rows = linear.active_rows(rows, R_ACTIVE, rows.count())
+        rows = linear.active_rows(rows, R_ACTIVE, fx.row_count(spark, sf))
     return linear.sparse_row_gradients(rows, fx.fx_weights(spark, d), BIAS, coef=linear.primal_coef,
                                        with_bias=True, weight="p", d=d)
 
@@ -195,7 +235,7 @@ def q_row_grad_weighted(spark, sf):
 def q_active_rows(spark, sf):
     """rows with p > r/N."""
     rows, _ = _fxp(spark, sf)
-    act = linear.active_rows(rows, R_ACTIVE, rows.count())
+    act = linear.active_rows(rows, R_ACTIVE, fx.row_count(spark, sf))
     return act.select("row_id", _r6(F.col("p")).alias("p"))
 
 
@@ -274,8 +314,8 @@ def q_dual_pairs(spark, sf):
 
 def q_dual_count_check(spark, sf):
     """A8."""
-    rows, pairs = _pairs(spark, sf)
-    return dual.count_check(pairs, rows.count())
+    _, pairs = _pairs(spark, sf)
+    return dual.count_check(pairs, fx.row_count(spark, sf))
 
 
 # --- norms, sampling -------------------------------------------------------
@@ -288,28 +328,24 @@ def q_l2_norm(spark, sf):
 
 
 def q_unit_weights(spark, sf):
-    """U3."""
-    _, d = _sparse(spark, sf)
-    return norms.unit_weights(fx.fx_weights(spark, d)).select("idx", _r6(F.col("w")).alias("w"))
+    """U3 over the weights that the tables give."""
+    return norms.unit_weights(_data_weights(spark, sf)).select("idx", _r6(F.col("w")).alias("w"))
 
 
 def q_cum_weight(spark, sf):
-    """Running sum of w^2 in id order (two-level prefix sum)."""
-    _, d = _sparse(spark, sf)
-    w = fx.fx_weights(spark, d)
+    """Running sum of w^2 in id order."""
+    w = _data_weights(spark, sf)
     return sample.cumulative(w, "idx", F.col("w") * F.col("w")).select("idx", _r6(F.col("cum")).alias("cum"))
 
 
 def _draws(spark):
-    # u = k / N_DRAWS for k = 0 .. N_DRAWS-1
-    return spark.range(N_DRAWS).select(F.col("id").alias("draw"), (F.col("id") / F.lit(float(N_DRAWS))).alias("u"))
+    # u = (k + 1/2) / N_DRAWS for k = 0 .. N_DRAWS-1
+    return spark.range(N_DRAWS).select(F.col("id").alias("draw"), ((F.col("id") + 0.5) / F.lit(float(N_DRAWS))).alias("u"))
 
 
 def q_sample_feature(spark, sf):
     """Feature draws with probability w_j^2 / |w|^2."""
-    _, d = _sparse(spark, sf)
-    w = fx.fx_weights(spark, d)
-    return sample.sample_by_weight(w, "idx", F.col("w") * F.col("w"), _draws(spark))
+    return sample.sample_by_weight(_data_weights(spark, sf), "idx", F.col("w") * F.col("w"), _draws(spark))
 
 
 def q_sample_row(spark, sf):
@@ -340,32 +376,33 @@ def q_step_row(spark, sf):
     drawn with u = U_ROW from FX-P."""
     rows, d = _fxp(spark, sf)
     i = sample.sample_one(rows, "row_id", F.col("p") * F.col("p"), U_ROW)
-    w = update.single_row_step(rows, fx.fx_weights(spark, d), BIAS, i, math.sqrt(2.0 * ITERS), d=d)
+    w = update.single_row_step(rows, fx.fx_weights(spark, d), BIAS, i, math.sqrt(2.0 * ITERS))
     return w.select("idx", _r6(F.col("w")).alias("w"))
 
 
 def q_step_p(spark, sf):
-    """P * factor, then L2-normalised."""
+    """P * factor, then L2-normalised; rows with an even id have their
+    pair twice, which multiplies twice."""
     rows, pairs = _pairs(spark, sf)
+    pairs = pairs.unionByName(pairs.where(F.col("row_id") % 2 == 0))
     p, _ = update.normalise(update.apply_factors(rows.select("row_id", "p"), pairs))
     return p.select("row_id", _r6(F.col("p")).alias("p"))
 
 
 def q_init_zero(spark, sf):
     """I1."""
-    _, d = _sparse(spark, sf)
+    d = fx.feature_count(spark, sf)
     return update.zero_weights(spark, d)
 
 
 def q_init_p(spark, sf):
     """I3."""
-    rows, _ = _sparse(spark, sf)
-    return update.initial_p(rows).select("row_id", _r6(F.col("p")).alias("p"))
+    return update.initial_p(fx.sparse_rows(spark, sf), fx.row_count(spark, sf)).select("row_id", _r6(F.col("p")).alias("p"))
 
 
 def q_init_uniform(spark, sf):
     """Seeded hash uniform in [-1, 1)."""
-    _, d = _sparse(spark, sf)
+    d = fx.feature_count(spark, sf)
     return update.uniform_weights(spark, d, SEED).select("idx", _r6(F.col("w")).alias("w"))
 
 
@@ -392,6 +429,17 @@ def q_train_shifted(spark, sf):
     return _weights_out(_t0(spark, sf), None)
 
 
+def _trace_out(m: trainers.Model, columns: list[str]) -> DataFrame:
+    tr = m.trace_frame(m.weights.sparkSession)
+    ids = {"iter", "j", "i"}
+    return tr.select(*[F.col(c).cast("bigint").alias(c) if c in ids else _r6(F.col(c)).alias(c) for c in columns])
+
+
+def q_trace_gd(spark, sf):
+    """K2: T0 trace, the values before each step."""
+    return _trace_out(_t0(spark, sf), ["iter", "w1", "w2"])
+
+
 def q_train_gd(spark, sf):
     """GD without bias on dense FX-D."""
     rows = fx.dense_rows(spark, sf)
@@ -399,9 +447,18 @@ def q_train_gd(spark, sf):
     return _weights_out(trainers.train_gd(rows, d, ITERS, w_step=-1.0 / n, seed=SEED), None)
 
 
-def _t2(spark, sf):
-    rows, d, n = _sparse_dn(spark, sf)
-    return trainers.train_gd(rows, d, ITERS, fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n)
+def q_train_gd_sparse(spark, sf):
+    """T1 on sparse lines without ids: plain text, scanned, parsed, trained."""
+    path = _written_lines(spark, text.render_plain(fx.sparse_rows(spark, sf)))
+    rows = text.parse_plain(text.scan_lines(spark, path))
+    n = fx.row_count(spark, sf)
+    return _weights_out(trainers.train_gd(rows, fx.feature_count(spark, sf), ITERS, w_step=-1.0 / n, seed=SEED), None)
+
+
+def _t2(spark, sf, **how):
+    rows, d = _sparse(spark, sf)
+    n = fx.row_count(spark, sf)
+    return trainers.train_gd(rows, d, ITERS, fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n, **how)
 
 
 def q_train_gd_bias(spark, sf):
@@ -409,10 +466,23 @@ def q_train_gd_bias(spark, sf):
     return _weights_out(_t2(spark, sf))
 
 
-def _t3(spark, sf):
-    rows, d, n = _sparse_dn(spark, sf)
-    return trainers.train_primal_dual(rows, d, ITERS, eta=ETA, r=R_ACTIVE, u=U_FEATURE,
-                                      w_step=1.0, b_step=1.0 / n)
+def q_train_gd_bias_blocked(spark, sf):
+    """T2 by the plan for models too large to broadcast, with small blocks."""
+    return _weights_out(_t2(spark, sf, max_weights=0, block_size=7))
+
+
+def q_trace_gd_bias(spark, sf):
+    """K2: T2 trace, the values before each step."""
+    return _trace_out(_t2(spark, sf), ["iter", "w1", "w2", "b"])
+
+
+def _t3(spark, sf, r: int | None = None):
+    """Over FX-E (empty vectors too); r = floor(sqrt(N)) makes the starting
+    weights just active, later iterations split the rows."""
+    rows = fx.sparse_rows_with_empty(spark, sf)
+    n = rows.count()
+    return trainers.train_primal_dual(rows, fx.feature_count(spark, sf), ITERS, eta=ETA,
+                                      r=math.isqrt(n) if r is None else r, u=U_FEATURE, w_step=1.0, b_step=1.0 / n)
 
 
 def q_train_primal_dual(spark, sf):
@@ -420,6 +490,11 @@ def q_train_primal_dual(spark, sf):
     return _weights_out(_t3(spark, sf))
 
 
+def q_train_none_active(spark, sf):
+    """T3 with a threshold that no row reaches: nothing moves."""
+    return _weights_out(_t3(spark, sf, r=10 ** 9))
+
+
 def _t4(spark, sf):
     rows, d = _sparse(spark, sf)
     return trainers.train_sampled(rows, d, ITERS, u_rows=U_ROW, u_features=U_FEATURE, eta=ETA)
@@ -444,18 +519,23 @@ def q_model_rows(spark, sf):
     return m.model_rows().select("idx", _r6(F.col("w")).alias("w"))
 
 
+def q_model_text(spark, sf):
+    """K1: the T2 model as text lines, read back: value by line number."""
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    _t2(spark, sf).save(path)
+    return model_io.read_model_text(spark, path).select("idx", _r6(F.col("w")).alias("w"))
+
+
 def q_train_trace(spark, sf):
     """K2: T3 trace (iteration, w1, w2, b, j)."""
-    m = _t3(spark, sf)
-    tr = m.trace_frame(spark)
-    return tr.select(F.col("iter").cast("bigint").alias("iter"), _r6(F.col("w1")).alias("w1"),
-                     _r6(F.col("w2")).alias("w2"), _r6(F.col("b")).alias("b"),
-                     F.col("j").cast("bigint").alias("j"))
+    return _trace_out(_t3(spark, sf), ["iter", "w1", "w2", "b", "j"])
 
 
 QUERIES: dict[str, Query] = {
     "parse_indexed": q_parse_indexed,
     "parse_plain": q_parse_plain,
+    "parse_edge": q_parse_edge,
+    "line_ids": q_line_ids,
     "parse_positional": q_parse_positional,
     "parse_dense_last_wins": q_parse_dense_last_wins,
     "score_sparse": q_score_sparse,
@@ -493,9 +573,15 @@ QUERIES: dict[str, Query] = {
     "init_uniform": q_init_uniform,
     "train_shifted": q_train_shifted,
     "train_gd": q_train_gd,
+    "train_gd_sparse": q_train_gd_sparse,
     "train_gd_bias": q_train_gd_bias,
+    "train_gd_bias_blocked": q_train_gd_bias_blocked,
+    "train_none_active": q_train_none_active,
+    "trace_gd": q_trace_gd,
+    "trace_gd_bias": q_trace_gd_bias,
     "train_primal_dual": q_train_primal_dual,
     "train_sampled": q_train_sampled,
     "model_rows": q_model_rows,
+    "model_text": q_model_text,
     "train_trace": q_train_trace,
 }

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Weight rows are (bigint, double): 4M rows is ~64 MB in a broadcast relation.
-DEFAULT_MAX_BROADCAST_ROWS = 4_000_000
+# A hashed relation of (bigint, double) rows takes about 100 bytes a row.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 # A key is hot when it holds more than 1/(HOT_SHARE * partitions) of the rows.
 HOT_SHARE = 4
 
@@ -42,39 +42,29 @@ def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
         return big.join(F.broadcast(lookup), key, how)
     if big_unique:
         return big.join(lookup, key, how)
-    return skew_split_join(big, lookup, key, how, hot=hot, max_broadcast_rows=max_broadcast_rows)
+    return skew_split_join(big, lookup, key, how, hot=hot)
 
 
-def hot_keys(big: DataFrame, key: str, *, max_keys: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame | None:
+def hot_keys(big: DataFrame, key: str) -> DataFrame:
     """Keys of ``big`` holding more than 1/(HOT_SHARE * partitions) of its
-    rows, as a persisted one-column table; ``None`` when there are none (or,
-    impossibly, more than ``max_keys``). A partial aggregate per task, so a
-    key holding a third of the rows costs one row per task."""
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).persist()
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    threshold = max(1, total // (HOT_SHARE * _shuffle_partitions(big)))
-    # At most HOT_SHARE * partitions keys can exceed the threshold.
-    hot = counts.where(F.col("_n") > threshold).select(key).persist()
-    n_hot = hot.count()
-    counts.unpersist()
-    if n_hot == 0 or n_hot > max_keys:
-        hot.unpersist()
-        return None
-    return hot
+    rows, as a one-column table, empty if there are none. There are fewer than
+    HOT_SHARE * partitions of them by construction, so the table is always
+    small. A partial aggregate per task: a key holding a third of the rows
+    costs one row per task."""
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = big.count()
+    return counts.where(F.col("_n") > F.lit(total / (HOT_SHARE * _shuffle_partitions(big)))).select(key)
 
 
 def skew_split_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
-                    hot: DataFrame | None = None,
-                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                    hot: DataFrame | None = None) -> DataFrame:
     """Shuffle join of ``big`` with a large ``lookup`` (unique on ``key``)
     that routes hot keys of ``big`` through a broadcast join: only the
     lookup rows of hot keys are broadcast (bounded by the hot-key count), the
     cold keys go through the shuffle (where AQE can still split a skewed
     partition)."""
-    if hot is None:
-        hot = hot_keys(big, key, max_keys=max_broadcast_rows)
-    if hot is None:
-        return big.join(lookup, key, how)
+    hot = (hot_keys(big, key) if hot is None else hot).persist()
+    hot.count()
     hot_b = F.broadcast(hot)
     hot_part = big.join(hot_b, key, "left_semi").join(
         F.broadcast(lookup.join(hot_b, key, "left_semi")), key, how)

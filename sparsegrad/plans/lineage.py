@@ -25,7 +25,8 @@ def static_plan(spark: SparkSession):
     sorted by row_id, and every later ``rows JOIN state`` would shuffle and
     sort the state again. Planned statically, the checkpoint keeps both and
     the join is a zip of co-partitioned, sorted inputs (no exchange, no sort).
-    The setting is restored afterwards."""
+    The setting is restored afterwards; queries that other threads start on
+    the same session meanwhile see it too."""
     key = "spark.sql.adaptive.enabled"
     old = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
@@ -55,8 +56,9 @@ class IterationState:
         self.keep_layout = set(keep_layout)
         self._live: dict[str, list[DataFrame]] = {}
 
-    def put(self, name: str, df: DataFrame, iteration: int, measure: list | None = None):
+    def put(self, name: str, df: DataFrame, iteration: int, measure: list | None = None, final: bool = False):
         """Materialise ``df`` as the new version of ``name`` and drop the old one.
+        ``final`` checkpoints whatever the cadence says.
 
         With ``measure`` (aggregate columns) the materialising action computes
         them and ``(df, row)`` is returned, saving a separate pass."""
@@ -64,7 +66,7 @@ class IterationState:
             cached = df.persist(StorageLevel.MEMORY_AND_DISK)
             keep = [cached]
             k = self.every.get(name, self.checkpoint_every)
-            if k and iteration % k == 0:
+            if final or (k and iteration % k == 0):
                 ensure_checkpoint_dir(df.sparkSession)
                 # lazy checkpoint, kept in memory: the measuring action below
                 # computes the table once (filling both caches) and Spark then

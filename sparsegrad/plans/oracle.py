@@ -27,6 +27,7 @@ FXS = "fxs AS (SELECT e.row_id, l.y, e.idx, e.val FROM ent e JOIN lab l USING (r
 RY = "ry AS (SELECT row_id, any_value(y) AS y FROM fxs GROUP BY row_id)"
 DIM = "dim AS (SELECT max(idx) AS d FROM fxs)"
 NN = "nn AS (SELECT count(*) AS n FROM ry)"
+DW = "dw AS (SELECT idx, sum(y * val) / (SELECT n FROM nn) AS w FROM fxs GROUP BY idx)"
 WT = f"wt AS (SELECT idx, {_w('idx')} AS w FROM (SELECT unnest(range(1::BIGINT, d + 1)) AS idx FROM dim))"
 FXP = f"""rp AS (SELECT row_id, y, q / sqrt(sum(q * q) OVER ()) AS p
   FROM (SELECT row_id, y, ((row_id * {fx.FXP_MULT}) % {fx.FXP_MOD} + 1)::DOUBLE AS q FROM ry))"""
@@ -65,6 +66,25 @@ def parse_sql() -> str:
   idx, round(val, 6) AS val FROM fxs"""
 
 
+def parse_plain_sql() -> str:
+    return _with(*BASE, "ln AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS line FROM ry)") + """SELECT line, y,
+  (row_number() OVER (PARTITION BY row_id ORDER BY idx) - 1)::BIGINT AS pos, idx, round(val, 6) AS val
+FROM fxs JOIN ln USING (row_id)"""
+
+
+def line_ids_sql() -> str:
+    return _with(*BASE) + "SELECT row_number() OVER (ORDER BY row_id) AS line, 'row ' || row_id AS value FROM ry"
+
+
+def parse_edge_sql() -> str:
+    return _with(*BASE, """pp AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY idx) - 1 AS up,
+  row_number() OVER (PARTITION BY row_id ORDER BY idx DESC) - 1 AS down,
+  count(*) OVER (PARTITION BY row_id) AS n FROM fxs)""") + """SELECT row_id, y,
+  (CASE WHEN row_id % 5 = 0 THEN down ELSE up END)::BIGINT AS pos, idx, round(val, 6) AS val FROM pp WHERE row_id % 5 <> 4
+UNION ALL SELECT row_id, y, n::BIGINT, idx, round(val, 6) FROM pp WHERE row_id % 5 = 1 AND up = 0
+UNION ALL SELECT row_id, y, NULL, NULL, NULL FROM ry WHERE row_id % 5 = 4"""
+
+
 def parse_positional_sql() -> str:
     return _with(DENSE) + "SELECT row_id, y, (idx - 1)::BIGINT AS pos, round(val, 6) AS x FROM de"
 
@@ -220,7 +240,7 @@ def dual_count_check_sql() -> str:
 
 def step_p_sql() -> str:
     return _with(*DUAL) + f"""SELECT row_id, round(q / sqrt(sum(q * q) OVER ()), 6) AS p
-FROM (SELECT row_id, p * {_factor('s')} AS q FROM est)"""
+FROM (SELECT row_id, p * {_factor('s')} * (CASE WHEN row_id % 2 = 0 THEN {_factor('s')} ELSE 1.0 END) AS q FROM est)"""
 
 
 # --- norms, sampling, init -------------------------------------------------------
@@ -231,25 +251,25 @@ def l2_norm_sql() -> str:
 
 
 def unit_weights_sql() -> str:
-    return _with(*BASE, WT) + "SELECT idx, round(w / sqrt(sum(w * w) OVER ()), 6) AS w FROM wt"
+    return _with(*BASE, DW) + "SELECT idx, round(w / sqrt(sum(w * w) OVER ()), 6) AS w FROM dw"
 
 
 def cum_weight_sql() -> str:
-    return _with(*BASE, WT) + \
-        "SELECT idx, round(sum(w * w) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS cum FROM wt"
+    return _with(*BASE, DW) + \
+        "SELECT idx, round(sum(w * w) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS cum FROM dw"
 
 
 def _draw_sql(table: str, key: str, weight: str, name: str) -> str:
     return f"""cw AS (SELECT {key} AS k, {weight} AS wt2,
   sum({weight}) OVER (ORDER BY {key} ROWS UNBOUNDED PRECEDING) AS cum, sum({weight}) OVER () AS tot FROM {table}),
-dr AS (SELECT range AS draw, range / {float(C.N_DRAWS)} AS u FROM range({C.N_DRAWS}))
+dr AS (SELECT range AS draw, (range + 0.5) / {float(C.N_DRAWS)} AS u FROM range({C.N_DRAWS}))
 SELECT dr.draw, coalesce(min(cw.k) FILTER (WHERE cw.cum > dr.u * cw.tot),
                          (SELECT max(k) FROM cw WHERE wt2 <> 0))::BIGINT AS {name}
 FROM dr, cw GROUP BY dr.draw"""
 
 
 def sample_feature_sql() -> str:
-    return _with(*BASE, WT) + ", " + _draw_sql("wt", "idx", "w * w", "idx")
+    return _with(*BASE, DW) + ", " + _draw_sql("dw", "idx", "w * w", "idx")
 
 
 def sample_row_sql() -> str:
@@ -329,6 +349,24 @@ def train_shifted_sql() -> str:
     return _with(TWO, TWO_LONG, *ctes) + f"SELECT idx, round(w, 6) AS w FROM {w}"
 
 
+def _gd_trace(ctes: list[str], *base: str, bias: bool) -> str:
+    b = lambda t: f", round((SELECT b FROM b{t}), 6) AS b" if bias else ""
+    rows = [f"""SELECT {t + 1}::BIGINT AS iter, round((SELECT w FROM w{t} WHERE idx = 1), 6) AS w1,
+  round((SELECT w FROM w{t} WHERE idx = 2), 6) AS w2{b(t)}""" for t in range(C.ITERS)]
+    return _with(*base, *ctes) + "\nUNION ALL ".join(rows)
+
+
+def trace_gd_sql() -> str:
+    ctes, _, _ = _gd_unrolled("twl", "tw", "2", "SELECT count(*) FROM tw", shifted=True, fit_bias=False, uniform=True)
+    return _gd_trace(ctes, TWO, TWO_LONG, bias=False)
+
+
+def train_gd_sparse_sql() -> str:
+    ctes, w, _ = _gd_unrolled("fxs", "ry", "SELECT d FROM dim", "SELECT n FROM nn", shifted=False, fit_bias=False,
+                              uniform=True)
+    return _with(*BASE, *ctes) + f"SELECT idx, round(w, 6) AS w FROM {w}"
+
+
 def train_gd_sql() -> str:
     rows = "drw AS (SELECT DISTINCT row_id, y FROM de)"
     ctes, w, _ = _gd_unrolled("de", "drw", "SELECT max(idx) FROM de", "SELECT count(*) FROM drw",
@@ -347,6 +385,10 @@ def train_gd_bias_sql() -> str:
 UNION ALL SELECT 0::BIGINT AS idx, round(b, 6) AS w FROM {b}"""
 
 
+def trace_gd_bias_sql() -> str:
+    return _gd_trace(_t2_ctes()[0], *BASE, bias=True)
+
+
 def model_rows_sql() -> str:
     ctes, w, b = _t2_ctes()
     return _with(*BASE, *ctes) + f"""SELECT idx, round(w, 6) AS w FROM {w}
@@ -361,30 +403,32 @@ def _pick(table: str, key: str, weight: str, u: float, alias: str) -> str:
                sum({weight}) OVER () AS tot FROM {table}))"""
 
 
-def _t3_ctes() -> tuple[list[str], str]:
-    ctes = ["w0 AS MATERIALIZED (SELECT unnest(range(1::BIGINT, (SELECT d FROM dim) + 1)) AS idx, 0.0::DOUBLE AS w)",
+def _t3_ctes(r: str = "floor(sqrt((SELECT n FROM ne)))") -> tuple[list[str], str]:
+    """Over every order; those without line items have empty vectors."""
+    ctes = ["ne AS (SELECT count(*) AS n FROM lab)",
+            "w0 AS MATERIALIZED (SELECT unnest(range(1::BIGINT, (SELECT d FROM dim) + 1)) AS idx, 0.0::DOUBLE AS w)",
             "b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b)",
-            "p0 AS MATERIALIZED (SELECT row_id, 1.0 / sqrt((SELECT n FROM nn)) AS p FROM ry)"]
+            "p0 AS MATERIALIZED (SELECT row_id, 1.0 / sqrt((SELECT n FROM ne)) AS p FROM lab)"]
     trace = []
     for t in range(1, C.ITERS + 1):
         p = t - 1
         ctes.append(f"""s{t} AS MATERIALIZED (SELECT r.row_id, r.y, q.p,
-  sum(f.val * w.w) + (SELECT b FROM b{p}) AS score
-  FROM ry r JOIN p{p} q USING (row_id) JOIN fxs f ON f.row_id = r.row_id JOIN w{p} w ON w.idx = f.idx
-  WHERE q.p > {float(C.R_ACTIVE)} / (SELECT n FROM nn) GROUP BY r.row_id, r.y, q.p)""")
+  coalesce(sum(f.val * w.w), 0.0) + (SELECT b FROM b{p}) AS score
+  FROM lab r JOIN p{p} q USING (row_id) LEFT JOIN fxs f ON f.row_id = r.row_id LEFT JOIN w{p} w ON w.idx = f.idx
+  WHERE q.p > {r} / (SELECT n FROM ne) GROUP BY r.row_id, r.y, q.p)""")
         ctes.append(f"c{t} AS MATERIALIZED (SELECT row_id, p, y * {_g('y * score')} AS c FROM s{t})")
         ctes.append(f"""g{t} AS MATERIALIZED (SELECT f.idx, sum(c.c * c.p * f.val) AS g FROM fxs f
   JOIN c{t} c USING (row_id) GROUP BY f.idx)""")
         ctes.append(f"""w{t} AS MATERIALIZED (SELECT w.idx, w.w + 1.0 * coalesce(g.g, 0.0) AS w
   FROM w{p} w LEFT JOIN g{t} g USING (idx))""")
         ctes.append(f"""b{t} AS MATERIALIZED (SELECT (SELECT b FROM b{p})
-  + (1.0 / (SELECT n FROM nn)) * (SELECT coalesce(sum(c), 0.0) FROM c{t}) AS b)""")
+  + (1.0 / (SELECT n FROM ne)) * (SELECT coalesce(sum(c), 0.0) FROM c{t}) AS b)""")
         ctes.append(f"""j{t} AS MATERIALIZED (SELECT k.j, (SELECT sum(w * w) FROM w{t}) AS len,
   (SELECT w FROM w{t} WHERE idx = k.j) AS wj FROM {_pick(f'w{t}', 'idx', 'w * w', C.U_FEATURE, 'j')} k)""")
         s = (f"CASE WHEN jj.wj <> 0 THEN coalesce(f.val, 0.0) * jj.len / jj.wj ELSE 0.0 END"
              f" + (SELECT b FROM b{t}) * r.y")
         ctes.append(f"""q{t} AS MATERIALIZED (SELECT r.row_id, q.p * {_factor(s)} AS p
-  FROM ry r JOIN p{p} q USING (row_id) CROSS JOIN j{t} jj
+  FROM lab r JOIN p{p} q USING (row_id) CROSS JOIN j{t} jj
   LEFT JOIN fxs f ON f.row_id = r.row_id AND f.idx = jj.j)""")
         ctes.append(f"p{t} AS MATERIALIZED (SELECT row_id, p / sqrt(sum(p * p) OVER ()) AS p FROM q{t})")
         trace.append(f"""SELECT {t}::BIGINT AS iter, round((SELECT w FROM w{t} WHERE idx = 1), 6) AS w1,
@@ -400,6 +444,11 @@ def train_primal_dual_sql() -> str:
 UNION ALL SELECT 0::BIGINT AS idx, round(b, 6) AS w FROM {b}"""
 
 
+def train_none_active_sql() -> str:
+    return _with(*BASE) + """SELECT unnest(range(1::BIGINT, d + 1)) AS idx, 0.0::DOUBLE AS w FROM dim
+UNION ALL SELECT 0::BIGINT AS idx, 0.0::DOUBLE AS w"""
+
+
 def train_trace_sql() -> str:
     ctes, trace = _t3_ctes()
     return _with(*BASE, *ctes) + trace
@@ -452,7 +501,9 @@ def bias_running_mean_sql() -> str:
 
 ORACLES: dict[str, str] = {
     "parse_indexed": parse_sql(),
-    "parse_plain": parse_sql(),
+    "parse_plain": parse_plain_sql(),
+    "parse_edge": parse_edge_sql(),
+    "line_ids": line_ids_sql(),
     "parse_positional": parse_positional_sql(),
     "parse_dense_last_wins": parse_dense_last_wins_sql(),
     "score_sparse": score_sparse_sql(),
@@ -490,9 +541,15 @@ ORACLES: dict[str, str] = {
     "init_uniform": init_uniform_sql(),
     "train_shifted": train_shifted_sql(),
     "train_gd": train_gd_sql(),
+    "train_gd_sparse": train_gd_sparse_sql(),
     "train_gd_bias": train_gd_bias_sql(),
+    "train_gd_bias_blocked": train_gd_bias_sql(),
+    "train_none_active": train_none_active_sql(),
+    "trace_gd": trace_gd_sql(),
+    "trace_gd_bias": trace_gd_bias_sql(),
     "train_primal_dual": train_primal_dual_sql(),
     "train_sampled": train_sampled_sql(),
     "model_rows": model_rows_sql(),
+    "model_text": model_rows_sql(),
     "train_trace": train_trace_sql(),
 }

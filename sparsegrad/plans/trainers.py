@@ -1,9 +1,11 @@
 """The five trainers, composed from the operators.
 
-State layout shared by all of them:
+State layout:
 
-* ``R``  training rows ``(row_id, y, features)``, hash-partitioned and sorted
-  by ``row_id``, persisted once (memory, spilling to disk);
+* ``R``  training rows, persisted once (memory, spilling to disk). T0-T2 need
+  no row id and keep the partitions they are given; T3 and T4 carry a per-row
+  state, so their rows are hash-partitioned and sorted by ``row_id``, which
+  must be unique (checked once, without a further shuffle);
 * ``W``  weight table ``(idx, w)`` for ids 1..D, rewritten each iteration by
   one aggregate that also carries the new bias as idx 0 (persisted and
   checkpointed, every iteration by default);
@@ -11,23 +13,29 @@ State layout shared by all of them:
   partitioning and order (written with a static plan so the checkpoint
   keeps it): ``R join P`` is a zip of co-partitioned sorted inputs, with no
   exchange and no sort;
-* driver scalars only: bias b, sampled ids, norms, N, D.
+* driver: bias b, sampled ids, norms, N, D, and within ``max_weights`` the weight
+  array on its way to the broadcast.
 
-Stopping rule: a fixed number of iterations, as in the reference."""
+Feature ids outside 1..D raise before the first pass. Stopping rule: a fixed
+number of iterations, as in the reference. The returned tables are
+checkpointed; ``Model.release`` drops their cached copies."""
 
 from __future__ import annotations
 
 import math
 import time
-import warnings
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dual, linear, norms, sample, update
-from ..sources.text import cache_points, dense_to_sparse
-from .joins import DEFAULT_MAX_BROADCAST_ROWS, hot_keys
+from ..session import ensure_checkpoint_dir
+from ..sources import model_io
+from ..sources.text import cache_points
+from . import rowlocal
+from .blocked import BLOCK_SIZE, FeatureBlocks
 from .lineage import IterationState
 
 
@@ -40,6 +48,13 @@ class Model:
     p: DataFrame | None = None    # (row_id, p) for the primal-dual trainers
     b_avg: float | None = None    # running-mean bias of the sampled trainer
     seconds: list[float] = field(default_factory=list)  # wall time per iteration
+    state: IterationState | None = None
+
+    def release(self) -> None:
+        """Drop the cached copies of the state; the tables stay readable from
+        their checkpoints."""
+        if self.state is not None:
+            self.state.release()
 
     def trace_frame(self, spark: SparkSession) -> DataFrame:
         """K2: the per-iteration trace as a table (one row per iteration)."""
@@ -54,7 +69,6 @@ class Model:
     def save(self, path: str, fmt: str = "text", use_b_avg: bool | None = None) -> None:
         """K1: write D weight lines then the bias line (the sampled trainer
         writes b_avg), as text (one value per line, in order) or parquet."""
-        from ..sources import model_io
         rows = self.model_rows(self.b_avg is not None if use_b_avg is None else use_b_avg)
         if fmt == "text":
             model_io.write_model_text(rows, path)
@@ -64,10 +78,7 @@ class Model:
     def model_rows(self, use_b_avg: bool = False) -> DataFrame:
         """K1: D weight rows in id order followed by the bias as id D+1."""
         bias = self.b_avg if (use_b_avg and self.b_avg is not None) else self.b
-        spark = self.weights.sparkSession
-        bias_row = spark.range(1).select(F.lit(self.d + 1).cast("bigint").alias("idx"),
-                                         F.lit(float(bias)).alias("w"))
-        return self.weights.select("idx", "w").unionByName(bias_row)
+        return model_io.model_table(self.weights, bias, self.d)
 
 
 def _w_measures() -> list:
@@ -97,63 +108,94 @@ def _scale_p(Pn: DataFrame, norm, keep: list[str] | None = None) -> DataFrame:
     return Pn.select("row_id", *(keep or []), (F.col("p") / F.lit(float(norm))).alias("p"))
 
 
-def _prepare(rows: DataFrame) -> tuple[DataFrame, int]:
-    r = cache_points(rows.select("row_id", "y", "features"))
-    return r, r.count()
+def _checked_ids(rows: DataFrame, d: int) -> tuple[int, int]:
+    """(rows, entries) of sparse rows; ids outside 1..d raise."""
+    n, n_entries, low, high = rowlocal.measured(rows)
+    if n_entries and (low < 1 or high > d):
+        raise ValueError(f"feature ids {low}..{high} are not all in 1..{d}")
+    return n, n_entries
+
+
+def _prepare(rows: DataFrame, d: int) -> tuple[DataFrame, int, int]:
+    """Cached rows by row id, N and the entry count, for the trainers with a
+    per-row state. A repeated row id raises: it would share its state."""
+    R = cache_points(rows.select("row_id", "y", "features"))
+    n, n_entries = _checked_ids(R, d)
+    # R is partitioned by row_id already, so this aggregate needs no exchange
+    if R.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        R.unpersist()
+        raise ValueError("row ids repeat")
+    return R, n, n_entries
+
+
+class _Pass:
+    """The gradient of cached rows, row-local up to ``max_weights`` features,
+    else over feature blocks keyed by ``rid``."""
 
+    def __init__(self, R: DataFrame, d: int, n_entries: int, max_weights: int, rid: str, block_size: int):
+        self.d, self.entries, self.rid = d, n_entries, rid
+        self.blocks = None
+        if d > max_weights:
+            self.blocks = FeatureBlocks(R.select(F.col(rid).alias("rid"), "features"), d, block_size)
 
-def _join_opts(R: DataFrame, d: int, max_broadcast_rows: int) -> dict:
-    """How the gradient joins the weight table. Within the broadcast limit:
-    broadcast. Beyond it: a shuffle join whose hot feature ids (found once,
-    the rows do not change) are routed through a broadcast of their weights."""
-    opts = {"max_broadcast_rows": max_broadcast_rows}
-    if d > max_broadcast_rows:
-        opts["hot"] = hot_keys(linear.entries(R, ["row_id"], with_bias=True), "idx",
-                               max_keys=max_broadcast_rows)
-    return opts
+    def __call__(self, rows: DataFrame, W: DataFrame, b: float, coef, weight: str | None = None) -> DataFrame:
+        if self.blocks is None:
+            return linear.gradient(rowlocal.gathered(rows, self.entries, self.d), W, b, coef=coef, weight=weight,
+                                   d=self.d, max_weights=self.d)
+        keep = [F.col(self.rid).alias("rid"), "y", *([weight] if weight else [])]
+        return self.blocks.gradient(rows.select(*keep), W, b, coef, weight)
+
+    def release(self) -> None:
+        if self.blocks is not None:
+            self.blocks.release()
 
 
 def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None = None,
              b: float = 0.0, fit_bias: bool = False, shifted: bool = False,
              w_step: float = -1.0, b_step: float = -1.0, seed: int = 42,
-             checkpoint_every: int = 1,
-             max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
+             checkpoint_every: int = 1, max_weights: int = rowlocal.MAX_WEIGHTS,
+             block_size: int = BLOCK_SIZE) -> Model:
     """Batch gradient descent.
 
     * T1: ``train_gd(rows, d, T)``: uniform(-1, 1) init, no bias,
-      ``w -= sum (sigma(y w.x) - 1) y x``; dense rows go through
-      ``dense_to_sparse`` first.
+      ``w -= sum (sigma(y w.x) - 1) y x``.
     * T0: ``shifted=True``: the score is ``w.x - w1 - w2``.
     * T2: ``fit_bias=True`` with zero init: ``score = w.x + b``,
       ``w -= sum tmp x``, ``b -= sum tmp``.
-    ``w_step`` / ``b_step`` scale the summed gradient (-1 as in the
-    reference; -1/N gives mean-scale steps)."""
+
+    ``rows`` have ``y`` and either sparse ``features`` or dense ``x``; a row id
+    is not needed and not read. ``w_step`` / ``b_step`` scale the summed
+    gradient (-1 as in the reference; -1/N gives mean-scale steps)."""
     spark = rows.sparkSession
-    if "features" not in rows.columns:
-        rows = dense_to_sparse(rows)
-    R, _ = _prepare(rows)
-    opts = _join_opts(R, d, max_broadcast_rows)
+    dense = "features" not in rows.columns
+    R = rows.select("y", "x" if dense else "features")
+    if not dense and d > max_weights:
+        ensure_checkpoint_dir(spark)        # row numbers must not change when a block is lost
+        R = R.withColumn("rid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK).checkpoint()
+    R = R.persist(StorageLevel.MEMORY_AND_DISK)
+    n_entries = R.count() * d if dense else _checked_ids(R, d)[1]
+    run = _Pass(R, d, n_entries, d if dense else max_weights, "rid", block_size)
     state = IterationState(checkpoint_every)
     if weights is None:
         weights = update.zero_weights(spark, d) if fit_bias else update.uniform_weights(spark, d, seed)
     first_two = [F.sum(F.when(F.col("idx") == 1, F.col("w"))), F.sum(F.when(F.col("idx") == 2, F.col("w")))]
     W, (w1, w2) = state.put("W", weights, 1, measure=first_two)
-    model = Model(W, b, d)
+    model = Model(W, b, d, state=state)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
         w1, w2 = float(w1 or 0.0), float(w2 or 0.0)
         model.trace.append({"iter": t, "w1": w1, "w2": w2, "b": float(b)})
-        score_bias = -(w1 + w2) if shifted else b
-        grad = linear.gradient(R, W, score_bias, coef=linear.gd_coef, d=d, join_opts=opts)
+        grad = run(R, W, -(w1 + w2) if shifted else b, linear.gd_coef)
         # one job: gradient pass, weight update, and the new bias read back
         Wx, (w1, w2, nb) = state.put(
-            "W", update.gradient_step(W, grad, w_step, b, b_step if fit_bias else 0.0), t,
+            "W", update.gradient_step(W, grad, w_step, b, b_step if fit_bias else 0.0), t, final=t == iters,
             measure=first_two + [F.sum(F.when(F.col("idx") == 0, F.col("w")))])
         W = _features_only(Wx)
         if fit_bias and nb is not None:
             b = float(nb)
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b = W, float(b)
+    run.release()
     R.unpersist()
     return model
 
@@ -163,8 +205,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
                       w_step: float | None = None, b_step: float = 1.0,
                       clip: float | None = None, checkpoint_every: int = 1,
                       row_state_checkpoint_every: int | None = None,
-                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      strict: bool = False) -> Model:
+                      max_weights: int = rowlocal.MAX_WEIGHTS, block_size: int = BLOCK_SIZE) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
@@ -175,31 +216,31 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     ``s = x_j |w|^2 / w_j + b y`` (no clip unless ``clip`` is given), then
     p is L2-normalised.
 
-    ``strict`` raises when the dual pass does not give one pair per row
-    (the reference prints a message and continues).
+    The dual pass must give one pair per row, else the trainer raises.
 
     The weight table is checkpointed every ``checkpoint_every`` iterations
     and the (narrow, N-row) row-weight table every
     ``row_state_checkpoint_every`` (default: the same); in between both stay
     persisted with their row_id layout."""
     spark = rows.sparkSession
-    R, n_rows = _prepare(rows)
-    opts = _join_opts(R, d, max_broadcast_rows)
+    R, n_rows, n_entries = _prepare(rows, d)
+    run = _Pass(R, d, n_entries, max_weights, "row_id", block_size)
     n = n_rows if n is None else n
     w_step = float(n) if w_step is None else w_step
     us = [u] * iters if isinstance(u, (int, float)) else list(u)
     state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
     W = state.put("W", update.zero_weights(spark, d), 1)
-    P = state.put("P", R.select("row_id", F.lit(1.0 / math.sqrt(n_rows)).alias("p")), 1)
+    P = state.put("P", R.select("row_id", F.lit(1.0 / math.sqrt(max(1, n_rows))).alias("p")), 1)
     b = 0.0
-    model = Model(W, b, d)
+    model = Model(W, b, d, state=state)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
         RP = R.join(P, "row_id")
         act = linear.active_rows(RP, r, n)
-        grad = linear.gradient(act, W, b, coef=linear.primal_coef, weight="p", d=d, join_opts=opts)
+        grad = run(act, W, b, linear.primal_coef, weight="p")
         # one job: gradient pass, weight update, sampling stats and new bias
-        Wx, st = state.put("W", update.gradient_step(W, grad, w_step, b, b_step), t, measure=_w_measures())
+        Wx, st = state.put("W", update.gradient_step(W, grad, w_step, b, b_step), t, measure=_w_measures(),
+                           final=t == iters)
         W = _features_only(Wx)
         lo, hi, len_sq, last, w1, w2, nb = st
         if nb is not None:  # no active rows: no bias part, b stays
@@ -212,25 +253,22 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
                                        stats=(lo, hi, len_sq, last))
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
         Pn, (norm, n_pairs) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t,
-                                        measure=_p_norm() + [F.count(F.lit(1))])
-        if n_pairs != n_rows:  # A8: report and go on, as the reference does, or raise
-            msg = f"dual pass produced {n_pairs} pairs for {n_rows} rows"
-            if strict:
-                raise RuntimeError(msg)
-            warnings.warn(msg, RuntimeWarning)
+                                        measure=_p_norm() + [F.count(F.lit(1))], final=t == iters)
+        if n_pairs != n_rows:  # A8; row ids are unique, so rows were lost or changed
+            raise RuntimeError(f"dual pass produced {n_pairs} pairs for {n_rows} rows")
         P = _scale_p(Pn, norm)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p = W, float(b), P
-    R.unpersist()  # the returned tables are checkpoint-backed
+    run.release()
+    R.unpersist()
     return model
 
 
 def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float,
                   u_features: list[float] | float, eta: float = 0.15,
                   clip: float | None = None, checkpoint_every: int = 1,
-                      row_state_checkpoint_every: int | None = None,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Model:
+                  row_state_checkpoint_every: int | None = None) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
     Per iteration: draw one row i with probability p_i^2; step
@@ -240,7 +278,9 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     of ``s = clip(x_j / w_j + b y, 1/eta)`` and L2-normalised. The model's
     bias line is b_avg."""
     spark = rows.sparkSession
-    R, n = _prepare(rows)
+    R, n, _ = _prepare(rows, d)
+    if not n:
+        raise ValueError("no rows to sample")
     clip = 1.0 / eta if clip is None else clip
     ur = [u_rows] * iters if isinstance(u_rows, (int, float)) else list(u_rows)
     uf = [u_features] * iters if isinstance(u_features, (int, float)) else list(u_features)
@@ -256,14 +296,12 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
                               measure=[F.sum(F.col("p") * F.col("y"))] + p_stats)
     P_written, st = P, tuple(st)
     b, b_avg = 0.0, 0.0
-    model = Model(W, b, d)
+    model = Model(W, b, d, state=state)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
         i = sample.sample_one(P_written, "row_id", F.col("p") * F.col("p"), ur[t - 1], stats=st)
         w_stats = sample.weight_stats(None, "idx", F.col("w") * F.col("w"))
-        Ws, ws = state.put("W", update.single_row_step(R, W, b, i, scale, d=d,
-                                                       max_broadcast_rows=max_broadcast_rows), t,
-                           measure=w_stats)
+        Ws, ws = state.put("W", update.single_row_step(R, W, b, i, scale), t, measure=w_stats, final=t == iters)
         norm_sq = ws[2]
         norm = math.sqrt(norm_sq or 0.0)
         W = norms.unit_weights(Ws, "w", norm=norm)
@@ -280,10 +318,11 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
             w_j, len_sq = w_raw / norm, 1.0
         f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
         Pn, (p_norm, pys, *st) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
-                                           measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))] + p_stats)
+                                           measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))] + p_stats,
+                                           final=t == iters)
         P, P_written, st = _scale_p(Pn, p_norm, keep=["y"]), Pn, tuple(st)
         model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)
-    R.unpersist()  # the returned tables are checkpoint-backed
+    R.unpersist()
     return model

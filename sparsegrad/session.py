@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -37,8 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    is always used as is. Only when nothing is set (local tests) a fresh
-    scratch folder is made."""
+    is always used as is. Where nothing is set, a scratch folder is made for a
+    local master only; on a cluster its parts would land on different machines,
+    so that raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -46,6 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="sparsegrad-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it
+    back: cuts the lineage, computes the table once, survives lost executors."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -107,9 +107,34 @@ def max_feature_id(rows: DataFrame) -> int:
     return int(v or 0)
 
 
-def with_fxp_weights(rows: DataFrame) -> DataFrame:
+def feature_count(spark: SparkSession, sf_dir: str) -> int:
+    """D of FX-S from the narrow columns, without building its rows."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    known = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return int(known.agg(F.max("l_suppkey")).first()[0] or 0) + 1
+
+
+def row_count(spark: SparkSession, sf_dir: str) -> int:
+    """N of FX-S: orders with line items."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(li, "o_orderkey", "left_semi").count()
+
+
+def _q(row_id: Column) -> Column:
+    return ((row_id * FXP_MULT) % FXP_MOD + 1).cast("double")
+
+
+def fxp_norm(spark: SparkSession, sf_dir: str) -> float:
+    """Norm of the FX-P row weights, from the row ids alone."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    q = _q(F.col("o_orderkey") + 1)
+    rows = table(spark, sf_dir, "orders").join(li, "o_orderkey", "left_semi")
+    return float(rows.agg(F.sqrt(F.sum(q * q))).first()[0])
+
+
+def with_fxp_weights(rows: DataFrame, norm: float | None = None) -> DataFrame:
     """FX-P: add ``p = q / |q|_2`` with q = (row_id*31) % 97 + 1; the norm is
-    one scalar aggregate, the column stays distributed."""
-    q = ((F.col("row_id") * FXP_MULT) % FXP_MOD + 1).cast("double")
-    norm = rows.select(F.sqrt(F.sum(q * q))).first()[0]
+    one scalar aggregate unless given, the column stays distributed."""
+    q = _q(F.col("row_id"))
+    norm = rows.select(F.sqrt(F.sum(q * q))).first()[0] if norm is None else norm
     return rows.withColumn("p", q / F.lit(float(norm)))

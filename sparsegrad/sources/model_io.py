@@ -36,8 +36,3 @@ def read_model_text(spark: SparkSession, path: str) -> DataFrame:
     files by name, lines in order)."""
     lines = with_line_ids(spark.read.text(path), start=1, name="idx")
     return lines.select("idx", F.col("value").cast("double").alias("w"))
-
-
-def weights_frame(weights: DataFrame) -> DataFrame:
-    """K3: the whole weight vector as rows in id order (a select, not a print)."""
-    return weights.select("idx", "w").orderBy("idx")

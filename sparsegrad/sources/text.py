@@ -16,15 +16,16 @@ Parsing stops at the first token without ':'; the rest of the line is
 ignored. A third ':' part of a token is ignored. Ids may be unsorted and may
 repeat, and must be >= 1. A line with no token after the label is an error.
 
-Everything is built from SQL expressions (split / slice / transform), so the
-parse runs inside whole-stage code generation next to the scan."""
+The parse is built from SQL expressions (split / slice / transform) next to
+the scan. Text that is not a number raises whatever the session's ANSI mode."""
 
 from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,6 +47,11 @@ def _tokens(value: Column) -> Column:
     return F.split(F.trim(value), " +")
 
 
+def _number(token: Column, kind: str) -> Column:
+    """The token as a number; anything else raises."""
+    return F.coalesce(token.try_cast(kind), F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(token, F.lit("nothing")))).cast(kind))
+
+
 def _sparse_features(tokens_after_label: Column) -> Column:
     """Feature tokens up to (excluding) the first token without ':'."""
     has_colon = F.transform(tokens_after_label, lambda t: F.contains(t, F.lit(":")))
@@ -55,10 +61,10 @@ def _sparse_features(tokens_after_label: Column) -> Column:
 
     def to_struct(t):
         parts = F.split(t, ":")
-        idx = parts[0].cast("bigint")
+        idx = _number(F.get(parts, 0), "bigint")
         # ids are 1-based (id 0 is where the trainers keep the bias)
         idx = F.when(idx >= 1, idx).otherwise(F.raise_error(F.lit("feature id must be >= 1")))
-        return F.struct(idx.alias("idx"), parts[1].cast("double").alias("val"))
+        return F.struct(idx.alias("idx"), _number(F.get(parts, 1), "double").alias("val"))
 
     return F.transform(kept, to_struct)
 
@@ -75,8 +81,8 @@ def parse_indexed(lines: DataFrame, value: str = "value", keep: list[str] | None
     ok = F.size("_tok") >= 3
     return parsed.select(
         *keep_cols,
-        _require(ok, "line has no token after the label", F.col("_tok")[0]).cast("bigint").alias("row_id"),
-        F.col("_tok")[1].cast("double").alias("y"),
+        _number(_require(ok, "line has no token after the label", F.get("_tok", F.lit(0))), "bigint").alias("row_id"),
+        _number(F.get("_tok", F.lit(1)), "double").alias("y"),
         _sparse_features(F.slice("_tok", 3, F.greatest(F.size("_tok") - 2, F.lit(0)))).alias("features"),
     )
 
@@ -89,7 +95,7 @@ def parse_plain(lines: DataFrame, value: str = "value", keep: list[str] | None =
     ok = F.size("_tok") >= 2
     return parsed.select(
         *keep_cols,
-        _require(ok, "line has no token after the label", F.col("_tok")[0]).cast("double").alias("y"),
+        _number(_require(ok, "line has no token after the label", F.get("_tok", F.lit(0))), "double").alias("y"),
         _sparse_features(F.slice("_tok", 2, F.greatest(F.size("_tok") - 1, F.lit(0)))).alias("features"),
     )
 
@@ -102,49 +108,57 @@ def parse_positional(lines: DataFrame, d: int, value: str = "value",
     keep_cols = [F.col(c) for c in (keep or [])]
     parsed = lines.select(*keep_cols, tok.alias("_tok"))
     ok = F.size("_tok") >= d + 1
-    vals = F.transform(F.slice("_tok", 2, d), lambda t: F.split(t, ":")[1].cast("double"))
+    vals = F.transform(F.slice("_tok", 2, d), lambda t: _number(F.get(F.split(t, ":"), 1), "double"))
     return parsed.select(
         *keep_cols,
-        _require(ok, f"line has fewer than {d} values", F.col("_tok")[0]).cast("double").alias("y"),
+        _number(_require(ok, f"line has fewer than {d} values", F.get("_tok", F.lit(0))), "double").alias("y"),
         vals.alias("x"),
     )
 
 
+#: Values of one output batch of the dense scatter (16 MB of doubles).
+SCATTER_VALUES = 1 << 21
+
+
 def _scatter_last_wins(d: int):
-    """Arrow-batched scatter of sparse (idx, val) lists into dense length-d
-    rows; for a repeated id the last value in the line wins."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scatter(features: pd.Series) -> pd.Series:
-        arr = pa.array(features, type=pa.list_(pa.struct([("idx", pa.int64()), ("val", pa.float64())])))
-        n = len(arr)
-        offsets = arr.offsets.to_numpy()
-        flat = arr.flatten()
-        idx = flat.field("idx").to_numpy(zero_copy_only=False)
-        val = flat.field("val").to_numpy(zero_copy_only=False)
-        dense = np.zeros((n, d), dtype=np.float64)
-        if len(idx):
-            if idx.min() < 1 or idx.max() > d:
-                raise ValueError(f"feature id outside 1..{d}")
-            rows = np.repeat(np.arange(n), np.diff(offsets))
-            flat_pos = rows * d + (idx - 1)
-            # keep the last occurrence of each (row, id): first in reversed order
-            rev = flat_pos[::-1]
-            uniq, first_rev = np.unique(rev, return_index=True)
-            dense.reshape(-1)[uniq] = val[::-1][first_rev]
-        return pd.Series(list(dense))
-
-    return scatter
+    """Scatter of sparse lists into dense length-d rows, a slice of bounded
+    size at a time; for a repeated id the last value in the line wins."""
+    step = max(1, SCATTER_VALUES // max(1, d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                lists = batch.column(batch.num_columns - 1)
+                flat = lists.flatten()
+                idx = flat.field("idx").to_numpy(zero_copy_only=False)
+                if len(idx) and (idx.min() < 1 or idx.max() > d):
+                    raise ValueError(f"feature id outside 1..{d}")
+                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(batch.num_rows), counts) * d + (idx - 1)
+                # the last of equal places is the first in reversed order
+                places, last = np.unique(place[::-1], return_index=True)
+                dense = np.zeros(batch.num_rows * d)
+                dense[places] = flat.field("val").to_numpy(zero_copy_only=False)[::-1][last]
+                x = pa.ListArray.from_arrays(np.arange(0, len(dense) + 1, d, dtype=np.int32) if d else
+                                             np.zeros(batch.num_rows + 1, np.int32), dense)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x], names=[*batch.schema.names[:-1], "x"])
+
+    return run
 
 
 def parse_dense_last_wins(lines: DataFrame, d: int, value: str = "value",
                           keep: list[str] | None = None) -> DataFrame:
     """Parse ``label idx:val ...`` into a dense ``x`` of length ``d``; for a
-    repeated id the last value wins. The scatter into a dense array has no
-    SQL-expression form that is linear in ``d``, so it is an Arrow-batched
-    pandas UDF over the already-parsed sparse features."""
+    repeated id the last value wins. The scatter has no SQL form that is
+    linear in ``d``; it runs on Arrow batches, its output cut into slices."""
     sparse = parse_plain(lines, value=value, keep=keep)
-    return sparse.select(*(keep or []), "y", _scatter_last_wins(d)("features").alias("x"))
+    schema = T.StructType([*sparse.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return sparse.mapInArrow(_scatter_last_wins(d), schema)
+
+
+#: Splits (with their file names) that may be broadcast.
+BROADCAST_SPLITS = 50_000
 
 
 def with_line_ids(df: DataFrame, start: int = 1, name: str = "row_id") -> DataFrame:
@@ -155,11 +169,12 @@ def with_line_ids(df: DataFrame, start: int = 1, name: str = "row_id") -> DataFr
        the last one is (partition << 33) + position, so a segment = one
        (file, block, partition) holds consecutive ids;
     2. rows per segment: a partial aggregate with one row per input split;
-    3. exclusive running offsets over that small table in (file, block)
-       order, broadcast back (its size is the number of splits).
+    3. exclusive running offsets over that table (one row per input split) in
+       (file, block) order, joined back, by broadcast up to
+       ``BROADCAST_SPLITS`` splits.
 
-    A file scan splits deterministically, so re-running on the same files
-    gives the same ids. For a DataFrame that is not a file scan the order is
+    Both passes plan the scan; should it be split differently the second time,
+    a line finds no offset and the job raises. For a DataFrame that is not a file scan the order is
     the partition order."""
     tagged = df.select("*", F.input_file_name().alias("_file"),
                        F.input_file_block_start().alias("_blk"),
@@ -169,8 +184,11 @@ def with_line_ids(df: DataFrame, start: int = 1, name: str = "row_id") -> DataFr
     segs = tagged.groupBy(*keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = segs.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), keys)
-            .select((F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start)).alias(name), *df.columns))
+    offsets = offsets.persist()
+    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_SPLITS else offsets
+    known = F.coalesce("_off", F.raise_error(F.lit("the scan was split differently")).cast("bigint"))
+    return (tagged.join(side, keys, "left")
+            .select((known + F.col("_mid") - F.col("_first") + F.lit(start)).alias(name), *df.columns))
 
 
 def dense_to_sparse(rows: DataFrame, x: str = "x", keep_zeros: bool = True) -> DataFrame:
@@ -206,17 +224,11 @@ def cache_points(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     spill to disk.
 
     Without ``partitions`` the count is sized from the data (one counting
-    pass over the staged input, which the shuffle then reads from cache), so
-    a partition stays near the advisory size at any scale."""
+    pass that keeps nothing), so a partition stays near the advisory size at
+    any scale. Only trainers with a per-row state need this layout."""
     if partitions is None:
-        staged = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        n_rows, n_entries = staged.agg(F.count(F.lit(1)), F.sum(F.size("features"))).first()
+        n_rows, n_entries = rows.agg(F.count(F.lit(1)), F.sum(F.size("features"))).first()
         partitions = sized_partitions(rows.sparkSession, int(n_rows or 0), int(n_entries or 0))
-        out = staged.repartition(partitions, "row_id").sortWithinPartitions("row_id") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()
-        staged.unpersist()
-        return out
     out = rows.repartition(partitions, "row_id").sortWithinPartitions("row_id")
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 

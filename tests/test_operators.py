@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparsegrad.functions import scalar as S
@@ -115,16 +116,86 @@ def test_sampling_frequencies(spark):
 
 def test_two_level_prefix_sum_matches_numpy(spark):
     df = spark.range(1, 5001).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
-    cum = {r["k"]: r["cum"] for r in sample.cumulative(df, "k", F.col("v"), max_buckets=16).collect()}
+    cum = {r["k"]: r["cum"] for r in sample.cumulative(df, "k", F.col("v")).collect()}
     v = np.array([(k % 7) for k in range(1, 5001)], dtype=float)
     exp = np.cumsum(v)
     assert all(abs(cum[k] - exp[k - 1]) < 1e-6 for k in range(1, 5001))
-    # single draws through the two-level search agree with the one-level one
     for u in (0.0, 0.123, 0.5, 0.999):
-        a = sample.sample_one(df, "k", F.col("v"), u, single_level_max=1)
-        b = sample.sample_one(df, "k", F.col("v"), u)
-        t = u * exp[-1]
-        assert a == b == int(np.argmax(exp > t)) + 1
+        assert sample.sample_one(df, "k", F.col("v"), u) == int(np.argmax(exp > u * exp[-1])) + 1
+
+
+def test_outlier_id_does_not_fill_one_range(spark, monkeypatch):
+    monkeypatch.setattr(sample, "RANGE_ROWS", 5000)
+    ids = spark.range(1, 60001).union(spark.range(2 ** 50, 2 ** 50 + 1))
+    df = ids.select(F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    rows, _, _, _ = sample._ranged(df, "k", "v")
+    sizes = [r["count"] for r in rows.groupBy("_range").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 15000
+    assert sample.sample_one(df, "k", F.col("v"), 0.5) == 30001
+    assert sample.sample_one(df, "k", F.col("v"), 0.999999) == 2 ** 50
+
+
+def _plan_names(plan):
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _plan_names(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _plan_names(plan.plan())
+    kids = plan.children()
+    label = f"{name} {plan.outputPartitioning().toString()}" if name == "ShuffleExchangeExec" else name
+    return [label] + [x for i in range(kids.size()) for x in _plan_names(kids.apply(i))]
+
+
+def test_million_draws_on_one_id_are_spread(spark):
+    df = spark.range(1, 2001).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 1e9).otherwise(1.0).alias("v"))
+    draws = spark.range(1_000_000).select(F.col("id").alias("draw"), ((F.col("id") + 0.5) / 1e6).alias("u"))
+    got = sample.sample_by_weight(df, "k", F.col("v"), draws)
+    heavy = got.groupBy("k").count().where("k = 7").first()["count"]
+    assert heavy > 999_000
+    assert not any("SinglePartition" in x for x in _plan_names(got._jdf.queryExecution().executedPlan()))
+    shares = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) > 3                                  # ten salts over the tasks
+
+
+def test_gradient_is_one_exchange_without_sort(spark, sf):
+    rows = fx.sparse_rows(spark, sf).persist()
+    d = fx.max_feature_id(rows)
+    g = linear.gradient(rows, fx.fx_weights(spark, d), 0.25, d=d)
+    g.collect()
+    names = _plan_names(g._jdf.queryExecution().executedPlan())
+    assert sum(x.startswith("ShuffleExchange") for x in names) == 1
+    assert not any(x.startswith(("Sort", "Window")) for x in names)
+    rows.unpersist()
+
+
+def test_rows_that_share_an_id_keep_their_own_scores(spark):
+    rows = spark.createDataFrame([(1, 1.0, [(1, 1.0)]), (1, -1.0, [(2, 1.0)]), (2, 1.0, [])],
+                                 "row_id bigint, y double, features array<struct<idx:bigint,val:double>>")
+    w = spark.createDataFrame([(1, 2.0), (2, 5.0)], "idx bigint, w double")
+    assert sorted(r["score"] for r in linear.sparse_scores(rows, w, 0.5).collect()) == [0.5, 2.5, 5.5]
+
+
+def test_ids_outside_the_weights_raise(spark):
+    rows = spark.createDataFrame([(1, 1.0, [(4, 1.0)])],
+                                 "row_id bigint, y double, features array<struct<idx:bigint,val:double>>")
+    w = fx.fx_weights(spark, 3)
+    g = spark.createDataFrame([(4, 1.0)], "idx bigint, g double")
+    for run in (lambda: linear.sparse_scores(rows, w, 0.0).collect(),
+                lambda: linear.sparse_scores(rows, w, 0.0, max_weights=1).collect(),
+                lambda: linear.gradient(rows, w, 0.0).collect(),
+                lambda: update.apply_gradient(w, g, 1.0).collect(),
+                lambda: update.gradient_step(w, g, 1.0, 0.0, 1.0).collect(),
+                lambda: update.single_row_step(rows, w, 0.0, 1, 1.0).collect()):
+        with pytest.raises(Exception, match="feature id"):
+            run()
+
+
+def test_scores_beyond_the_limit_equal_row_local_ones(spark, sf):
+    rows = fx.sparse_rows_with_empty(spark, sf)
+    d = fx.max_feature_id(rows)
+    w = fx.fx_weights(spark, d)
+    key = lambda df: {r["row_id"]: round(r["score"], 9) for r in df.collect()}
+    assert key(linear.sparse_scores(rows, w, 0.25, d=d)) == key(linear.sparse_scores(rows, w, 0.25, d=d, max_weights=1))
 
 
 def test_unit_weights_and_zero(spark):
@@ -179,8 +250,8 @@ def test_gradient_step_one_aggregate(spark):
 def test_hot_key_holding_a_third_is_found(spark):
     # key 7 holds a third of the rows; every other key is rare
     big = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("idx"))
-    hot = joins.hot_keys(big, "idx")
-    assert hot is not None and [r["idx"] for r in hot.collect()] == [7]
+    assert [r["idx"] for r in joins.hot_keys(big, "idx").collect()] == [7]
+    assert joins.hot_keys(big.where("idx > 100"), "idx").count() == 0
 
 
 def test_partition_sizing_follows_advisory_size(spark):

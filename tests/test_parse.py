@@ -117,3 +117,37 @@ def test_line_ids_with_split_files(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r["value"] for r in got] == lines
     assert [r["row_id"] for r in got] == list(range(1, 2001))
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["1 1 3:abc", "1 zz 3:1", "q 1 3:1", "1 1 x3:1", "1 1 3:"])
+def test_text_that_is_no_number_raises(spark, ansi, line):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception):
+            text.parse_indexed(_lines(spark, [line])).collect()
+        with pytest.raises(Exception):
+            text.parse_plain(_lines(spark, [line.split(" ", 1)[1].replace("1 3:1", "1 3:x")])).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_wide_dense_scatter(spark):
+    d = 16428
+    lines = _lines(spark, [f"1 {i}:1 {d}:{i} {i}:2" for i in range(1, 1201)]).coalesce(1)
+    got = text.parse_dense_last_wins(lines, d).selectExpr("size(x) n", "x[16427] z", "aggregate(x, 0D, (a, b) -> a + b) s").collect()
+    assert len(got) == 1200 and all(r["n"] == d for r in got)
+    assert sorted(r["z"] for r in got) == [float(i) for i in range(1, 1201)] and all(r["s"] == r["z"] + 2 for r in got)
+    with pytest.raises(Exception, match="feature id"):
+        text.parse_dense_last_wins(lines, d - 1).collect()
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparsegrad.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

@@ -1,6 +1,7 @@
 """Trainer-level checks."""
 
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparsegrad.operators import linear
@@ -74,24 +75,123 @@ def test_model_text_roundtrip(spark, sf, scratch):
     assert saved == back
 
 
-def test_beyond_broadcast_path_matches(spark, sf):
-    # force the weight table over the broadcast limit: shuffle join with
-    # hot-key split must give the same model as the broadcast join
-    rows = fx.sparse_rows(spark, sf)
+def test_blocked_plan_matches(spark, sf):
+    # weights "too large" to broadcast: feature blocks, one of them hot
+    hot = F.concat(F.array(F.struct(F.lit(1).cast("bigint").alias("idx"), F.lit(0.5).alias("val"))), F.col("features"))
+    rows = fx.sparse_rows_with_empty(spark, sf).withColumn("features", hot)
     d = fx.max_feature_id(rows)
     n = rows.count()
-    kw = dict(eta=0.15, r=0, u=0.37, w_step=1.0, b_step=1.0 / n)
-    a = trainers.train_primal_dual(rows, d, 2, **kw)
-    b = trainers.train_primal_dual(rows, d, 2, max_broadcast_rows=3, **kw)
-    wa = {r["idx"]: r["w"] for r in a.weights.collect()}
-    wb = {r["idx"]: r["w"] for r in b.weights.collect()}
-    assert abs(a.b - b.b) < 1e-12 and all(abs(wa[k] - wb[k]) < 1e-12 for k in wa)
-    assert [t["j"] for t in a.trace] == [t["j"] for t in b.trace]
-    s1 = trainers.train_sampled(rows, d, 2, u_rows=0.61, u_features=0.37)
-    s2 = trainers.train_sampled(rows, d, 2, u_rows=0.61, u_features=0.37, max_broadcast_rows=3)
-    w1 = {r["idx"]: r["w"] for r in s1.weights.collect()}
-    w2 = {r["idx"]: r["w"] for r in s2.weights.collect()}
-    assert all(abs(w1[k] - w2[k]) < 1e-12 for k in w1)
+    for train, kw in ((trainers.train_gd, dict(fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n)),
+                      (trainers.train_primal_dual, dict(eta=0.15, r=38, u=0.37, w_step=1.0, b_step=1.0 / n))):
+        a = train(rows, d, 2, **kw)
+        b = train(rows, d, 2, max_weights=3, block_size=4, **kw)
+        wa = {r["idx"]: r["w"] for r in a.weights.collect()}
+        wb = {r["idx"]: r["w"] for r in b.weights.collect()}
+        assert wa.keys() == wb.keys() and abs(a.b - b.b) < 1e-12 and all(abs(wa[k] - wb[k]) < 1e-10 for k in wa)
+        assert [t.get("j") for t in a.trace] == [t.get("j") for t in b.trace]
+
+
+def test_blocks_move_rows_not_entries(spark):
+    # 40 entries a row in 2 blocks: an iteration shuffles 2 records a row each way
+    from sparsegrad.operators import linear as L
+    from sparsegrad.plans.blocked import FeatureBlocks
+    feats = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.struct(i.cast("bigint").alias("idx"), F.lit(1.0).alias("val")))
+    rows = spark.range(3000).select(F.col("id").alias("rid"), F.lit(1.0).alias("y"), feats.alias("features")).persist()
+    blocks = FeatureBlocks(rows, 40, block_size=20, cell_entries=20_000)
+    assert blocks.cells.count() == 6                       # every block is hot and cut into parts
+    g = blocks.gradient(rows.select("rid", "y"), fx.fx_weights(spark, 40), 0.0, L.gd_coef)
+    got = {r["idx"]: r["g"] for r in g.collect()}
+    want = {r["idx"]: r["g"] for r in L.gradient(rows, fx.fx_weights(spark, 40), 0.0, d=40).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+    assert max(_records_written(g._jdf.queryExecution().executedPlan())) <= 3000 * 2
+    blocks.release()
+
+
+def _records_written(plan):
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _records_written(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _records_written(plan.plan())
+    out = [0]
+    if name == "ShuffleExchangeExec":
+        out.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    kids = plan.children()
+    return out + [x for i in range(kids.size()) for x in _records_written(kids.apply(i))]
+
+
+ROWS = "row_id bigint, y double, features array<struct<idx:bigint,val:double>>"
+
+
+def test_ids_above_d_raise_in_every_trainer(spark):
+    rows = spark.createDataFrame([(1, 1.0, [(4, 1.0)]), (2, -1.0, [(1, 1.0)])], ROWS)
+    for run in (lambda: trainers.train_gd(rows, 3, 1), lambda: trainers.train_gd(rows, 3, 1, fit_bias=True),
+                lambda: trainers.train_gd(rows, 3, 1, max_weights=0),
+                lambda: trainers.train_primal_dual(rows, 3, 1, eta=0.1, r=0, u=0.5),
+                lambda: trainers.train_sampled(rows, 3, 1, u_rows=0.5, u_features=0.5)):
+        with pytest.raises(ValueError, match="feature ids"):
+            run()
+
+
+def test_repeated_row_ids(spark):
+    rows = spark.createDataFrame([(1, 1.0, [(1, 1.0)]), (1, 1.0, [(2, 2.0)]), (2, -1.0, [])], ROWS)
+    m = trainers.train_gd(rows, 2, 1, fit_bias=True)       # row ids are not read
+    assert [r["w"] for r in m.weights.orderBy("idx").collect()] == [0.5, 1.0]
+    for run in (lambda: trainers.train_primal_dual(rows, 2, 1, eta=0.1, r=0, u=0.5),
+                lambda: trainers.train_sampled(rows, 2, 1, u_rows=0.5, u_features=0.5)):
+        with pytest.raises(ValueError, match="row ids repeat"):
+            run()
+
+
+def test_active_rows_split_during_training(spark, sf):
+    import math
+    rows = fx.sparse_rows_with_empty(spark, sf)
+    d, n = fx.max_feature_id(rows), rows.count()
+    r = math.isqrt(n)
+    active = []
+    for iters in (1, 2):
+        m = trainers.train_primal_dual(rows, d, iters, eta=0.15, r=r, u=0.37, w_step=1.0, b_step=1.0 / n)
+        active.append(m.p.where(F.col("p") > r / n).count())
+        assert m.weights.where("w != 0").count() > 0
+    assert any(0 < a < n for a in active)
+
+
+def test_released_model_stays_readable(spark, sf):
+    rows = fx.sparse_rows(spark, sf)
+    m = trainers.train_gd(rows, fx.max_feature_id(rows), 3, fit_bias=True, checkpoint_every=2)
+    before = sorted(map(tuple, m.weights.collect()))
+    m.release()
+    assert sorted(map(tuple, m.weights.collect())) == before
+
+
+def test_plain_text_to_model_file(spark, sf, scratch):
+    from sparsegrad.sources import text
+    rows = fx.sparse_rows(spark, sf)
+    d, n = fx.max_feature_id(rows), rows.count()
+    text.render_plain(rows).write.text(f"{scratch}/plain")
+    parsed = text.parse_plain(text.scan_lines(spark, f"{scratch}/plain"))
+    assert "row_id" not in parsed.columns
+    kw = dict(fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n)
+    trainers.train_gd(parsed, d, 2, **kw).save(f"{scratch}/plainmodel")
+    back = {r["idx"]: r["w"] for r in model_io.read_model_text(spark, f"{scratch}/plainmodel").collect()}
+    ref = trainers.train_gd(rows, d, 2, **kw)
+    assert all(abs(back[r["idx"]] - r["w"]) < 1e-12 for r in ref.weights.collect()) and abs(back[d + 1] - ref.b) < 1e-12
+
+
+def test_dense_rows_train_without_exploding(spark, sf):
+    rows = fx.dense_rows(spark, sf)
+    g = linear.gradient(rows, fx.fx_weights(spark, 64), 0.0, d=64)
+    assert "inline" not in g._jdf.queryExecution().toString() and "explode" not in g._jdf.queryExecution().toString()
+    sparse = linear.gradient(text_sparse(rows), fx.fx_weights(spark, 64), 0.0, d=64)
+    a, b = ({r["idx"]: r["g"] for r in x.collect()} for x in (g, sparse))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    with pytest.raises(Exception, match="dense row"):
+        linear.gradient(rows, fx.fx_weights(spark, 63), 0.0, d=63).collect()
+
+
+def text_sparse(rows):
+    from sparsegrad.sources.text import dense_to_sparse
+    return dense_to_sparse(rows)
 
 
 def _hash_exchanges(plan):
