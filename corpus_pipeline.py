@@ -9,6 +9,7 @@ Parquet in the shared folder and rereads it as the next stage's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparsegrad.llm import decontaminate, mixing, neardup, quality, sharding
 from sparsegrad.llm.common import stored, table
@@ -18,7 +19,8 @@ SHARDS = 16
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy of the rule ledger keeps."""
-    return quality.ledger(docs).filter(quality.passes()).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return quality.ledger(packed).filter(quality.passes()).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,7 +175,6 @@ class Join:
 
     def __init__(self, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD,
                  recall: float = RECALL, block: int = BLOCK):
-        self.columns = docs.columns
         self.rows = stored(docs.select(F.struct("*").alias("row"), F.col(text).alias("text"),
                                        F.monotonically_increasing_id().alias("uid")), "join-rows")
         bands, rows = bands_for(threshold, recall)
@@ -232,7 +231,7 @@ class Join:
         """The input's rows with one document of each group, the first."""
         dropped = stored(self.documents().filter("uid != group").select("uid"), "dropped")
         keep = self.rows.join(small(dropped, dropped.count()), "uid", "left_anti")
-        return keep.select("row.*").select(*self.columns)
+        return keep.select("row.*")
 
 
 def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
