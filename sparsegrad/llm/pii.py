@@ -153,6 +153,9 @@ pay with [card 9999.9999.9999.9999] please
 visa [card 9999999999999999] was charged
 amex [card 9999 999999 99999] is fine
 the [card 9999999999999999] and
+at [phone +9 (999) 999-9999] [card 9999999999999999] and
+the [card 9999999999999999] [phone +9 (999) 999-9999] of
+to [phone (999) 999-9999] [phone +9 (999) 999-9999] in
 ssn [ssn 999-99-9999] on file
 social security number [ssn 999-99-9999] here
 the [ssn 999-99-9999] of
