@@ -44,7 +44,7 @@ SEED_WEIGHT = 4.0
 #: Words over which a target, a negation or a reporting verb reaches.
 REACH = {TARGET: 3, NEGATION: 3, REPORT: 6}
 #: Lengths of the word beginnings that may be learned.
-PREFIXES = (3, 4, 5, 6, 7, 8)
+PREFIXES = (4, 5, 6, 7, 8)
 CLAUSE_END = np.array([ord(x) for x in ".!?;:,\n"], np.uint32)
 KINDS = ("plain", "directed", "negated", "reported", "threat", "threat_directed", "threat_negated", "threat_reported")
 #: Prior coefficients: bias, strongest match, then log(1 + weight sum) by kind.
