@@ -9,10 +9,10 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from sparsegrad.operators import dual, linear, update  # noqa: E402
+from sparsegrad.plans.blocked import FeatureBlocks  # noqa: E402
 from sparsegrad.plans.lineage import IterationState  # noqa: E402
 from sparsegrad.session import local_session  # noqa: E402
 from sparsegrad.sources import fixtures as fx  # noqa: E402
@@ -60,6 +60,7 @@ def main():
     P = st.put("P", R.select("row_id", F.lit(1.0 / n ** 0.5).alias("p")), 1)
     W = st.put("W", fx.fx_weights(spark, d), 1)
     RP = R.join(P, "row_id")
+    blocks = FeatureBlocks(R.select(F.col("row_id").alias("rid"), "features"), d, block_size=200)
     sections = [
         ("Training rows from parquet (built once, cached)", rows.select(F.sum(F.size("features")))),
         ("Gradient pass: active rows, p-weighted gradient, bias as idx 0",
@@ -69,11 +70,10 @@ def main():
         ("Dual pass: new p and its norm in one job",
          RP.select("row_id", (F.col("p") * dual.factor_expr(5, 0.1, 2.0, 0.1, 0.15)).alias("p"))
          .agg(F.sqrt(F.sum(F.col("p") * F.col("p"))))),
-        ("Feature draw (bounded single-level window over the weight table)",
-         W.select("idx", (F.col("w") * F.col("w")).alias("_w"))
-         .withColumn("_cum", F.sum("_w").over(Window.orderBy("idx")
-                                               .rowsBetween(Window.unboundedPreceding, 0)))
-         .where(F.col("_cum") > 1.0).agg(F.min("idx"))),
+        ("One narrowing step of a feature draw",
+         W.groupBy(F.floor((F.col("idx") - 1) / F.lit(1))).agg(F.sum(F.col("w") * F.col("w")), F.count(F.lit(1)))),
+        ("Gradient pass over feature blocks (weights too large to broadcast; cells cached)",
+         blocks.gradient(R.select(F.col("row_id").alias("rid"), "y"), W, 0.1, linear.gd_coef)),
     ]
     print(f"# Physical plans of the hot path\n\nGenerated by `tools/show_plans.py {sf}` "
           f"(N = {n}, D = {d}, automatic broadcast off, as for row state too big to broadcast). "
