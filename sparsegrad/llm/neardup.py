@@ -10,7 +10,7 @@ least 0.8 are linked. Steps:
    shuffled on band hashes, and every member of a bucket is tied to the
    bucket's head (a star, not all pairs).
 3. Components of these ties hold all pairs that share a bucket. A component
-   is cut into blocks of about ``BLOCK`` classes; each pair of blocks is one
+   is cut into blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles; each pair of blocks is one
    task unit that verifies its pairs on the full shingle sets and returns at
    most one row for each class: linked documents and one tie for connectivity.
 4. Verified ties give the groups; links are summed over units. Each pair of
@@ -39,6 +39,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BLOCK = 512
+#: Shingles of a block, on average: long documents make smaller blocks.
+BLOCK_SHINGLES = 1_000_000
 #: Columns of the 0/1 matrix in one step of a block comparison.
 STRIP = 4096
 
@@ -86,22 +88,23 @@ def _shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(bands: int, rows: int):
-    schema = pa.schema([("uid", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("uid", pa.int64()), ("ck", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b, some in tb.pieces(texts):
                 sets, first = _shingle_sets(some)
-                full = np.diff(first) > 0
+                n = np.diff(first)
+                full = n > 0
                 flat = np.zeros((b - a, bands), np.int64)
                 if full.any():
                     flat[full] = signatures(sets, first, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32), flat.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(_class_keys(sets, first), pa.binary()), lists], schema=schema)
+                    [ids.slice(a, b - a), pa.array(_class_keys(sets, first), pa.binary()), pa.array(n), lists], schema=schema)
 
-    return run, "uid long, ck binary, bands array<long>"
+    return run, "uid long, ck binary, n long, bands array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,7 @@ class Join:
         self.sketch = stored(self.rows.select("uid", "text").mapInArrow(run, schema), "sketches")
         # classes of equal shingle sets; a document without words has no key
         self.classes = stored(self.sketch.filter("ck IS NOT NULL").groupBy("ck").agg(
-            F.min("uid").alias("cid"), F.count(F.lit(1)).alias("size")), "classes")
+            F.min("uid").alias("cid"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")), "classes")
         reps = self.sketch.join(self.classes.select(F.col("cid").alias("uid"), "size"), "uid")
         self.links = self._verified(self._units(reps, block), threshold)
         ties = self.links.filter("cid != tie").select(F.col("cid").alias("u"), F.col("tie").alias("v"))
@@ -195,12 +198,12 @@ class Join:
         ties = entries.join(heads, ["band", "h"]).filter("cid != head").select(
             F.col("cid").alias("u"), F.col("head").alias("v"))
         comp = stored(components(ties), "candidates")
-        parts = comp.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-        member = comp.join(parts, "label").select(
-            F.col("node").alias("cid"), F.col("label").alias("comp"), "parts",
-            F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
-        sized = stored(member.join(self.classes.select("cid", "size"), "cid"), "members")
-        return sized
+        sized = comp.withColumnRenamed("node", "cid").join(self.classes.select("cid", "size", "n"), "cid")
+        parts = sized.groupBy("label").agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+        return stored(sized.join(parts, "label").select(
+            "cid", "size", F.col("label").alias("comp"), "parts",
+            F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("block")), "members")
 
     def _verified(self, members: DataFrame, threshold: float) -> DataFrame:
         run, schema = _verify(threshold)
