@@ -65,7 +65,7 @@ def _items(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+            for a, b, some in tb.pieces(batch.column(1)):
                 sets, first = tb.distinct(*item_shingles(some))
                 q = np.diff(first)
                 k = [sketch_size(int(n), threshold) if n else 0 for n in q]
@@ -135,7 +135,7 @@ def _pairs(shared):
         index = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for a, _, some in tb.pieces(batch.column(1).to_pylist()):
+            for a, _, some in tb.pieces(batch.column(1)):
                 rows = [(ids[a + d].as_py(), index.ids[i], n, len(index.sets[i]), n / len(index.sets[i]))
                         for d, i, n in index.matches(some)]
                 if rows:
@@ -149,7 +149,7 @@ def _clean(shared):
         index = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for a, _, some in tb.pieces(batch.column(batch.num_columns - 1).to_pylist()):
+            for a, _, some in tb.pieces(batch.column(batch.num_columns - 1)):
                 keep[[a + d for d, _, _ in index.matches(some)]] = False
             if keep.any():
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
@@ -167,7 +167,7 @@ def _shared_index(items: DataFrame, threshold: float, limit: int):
 
 def _document_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+        for a, b, some in tb.pieces(batch.column(1)):
             sets, first = tb.distinct(*item_shingles(some))
             ids = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), np.diff(first))))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets.view(np.int64))], names=["uid", "h"])

@@ -92,7 +92,7 @@ def _sketch(bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for a, b, some in tb.pieces(texts):
                 sets, first = _shingle_sets(some)
                 n = np.diff(first)
@@ -110,7 +110,7 @@ def _sketch(bands: int, rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, text -> uid, sorted distinct shingles."""
     for batch in batches:
-        for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+        for a, b, some in tb.pieces(batch.column(1)):
             sets, first = _shingle_sets(some)
             lists = pa.LargeListArray.from_arrays(first, sets.view(np.int64)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["uid", "sets"])

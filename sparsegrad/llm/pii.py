@@ -401,7 +401,7 @@ def _detect(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+            for a, b, some in tb.pieces(batch.column(1)):
                 found = find(some, shared.value)
                 counts = np.array([[sum(s[0] == k for s in base) for k in range(4)] for base, _ in found], np.int64)
                 yield pa.RecordBatch.from_arrays(

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 U64 = np.uint64
 #: Odd multipliers of the word and shingle hashes.
 CHAR_MULT, STEP = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
@@ -39,16 +41,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def pieces(texts: list[str | None], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
-    """(from, to, texts) runs of about ``limit`` characters; null counts as empty."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "") + 1
-        if chars >= limit:
-            yield start, i + 1, [x or "" for x in texts[start:i + 1]]
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts), [x or "" for x in texts[start:]]
+def pieces(texts: pa.Array, limit: int = PIECE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) runs of about ``limit`` characters of an Arrow column;
+    null counts as empty. Only the texts of one run are Python strings."""
+    chars = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start, done = 0, 0
+    while start < len(texts):
+        stop = min(len(texts), int(np.searchsorted(chars, done + limit)) + 1)
+        yield start, stop, [x or "" for x in texts.slice(start, stop - start).to_pylist()]
+        start, done = stop, chars[stop - 1]
 
 
 class Codes:

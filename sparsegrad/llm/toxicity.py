@@ -196,7 +196,7 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """text, label -> (length, prefix hash, toxic texts, other texts)."""
     for batch in batches:
         label = np.array(batch.column(1).to_pylist())
-        for a, b, some in tb.pieces(batch.column(0).to_pylist(), 1 << 21):
+        for a, b, some in tb.pieces(batch.column(0), 1 << 21):
             _, words = _read(some)
             doc, length = words.doc(), words.end - words.start
             for n in PREFIXES:
@@ -251,7 +251,7 @@ class Grammar:
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, some in tb.pieces(batch.column(0).to_pylist()):
+            for a, b, some in tb.pieces(batch.column(0)):
                 x = features(some, shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
@@ -274,7 +274,7 @@ def fit(sample: DataFrame) -> Grammar:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+            for a, b, some in tb.pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(shared.value.score(some))], names=["doc_id", "score"])
     return run
@@ -292,7 +292,7 @@ def _clauses(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, some in tb.pieces(batch.column(1).to_pylist()):
+            for a, b, some in tb.pieces(batch.column(1)):
                 d, start, end, kind, weight = matches(some, shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(d + a)), pa.array(start), pa.array(end),
