@@ -66,6 +66,27 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_joined_model_equals_the_broadcast_one(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(9000 + i, f"зимний вечер в старом городе {'абвгд'[i % 5]}", "ru") for i in range(2)]
+    rare += [(None, "the dog", None), (9100, None, "en"), (9101, "12 !! 3", "xx"), (9102, "зимний город", None)]
+    docs = docs.union(spark.createDataFrame(rare, docs.schema))
+    rows = langid.learning_rows(docs)
+
+    def found():
+        model = langid.fit(rows)
+        return model, sorted(map(tuple, langid.identify(docs, model).collect()), key=str)
+
+    small, want = found()
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 100)
+    large, got = found()
+    assert isinstance(large, langid.JoinedIdentifier) and large.names == small.names and "ru" in large.names
+    assert np.allclose(large.bounds, small.bounds)
+    assert dict((r[0], r[1]) for r in got)[9102] == "ru"
+    assert [(a[0], a[1], a[4]) for a in got] == [(a[0], a[1], a[4]) for a in want]
+    assert np.allclose([a[2:4] for a in got], [a[2:4] for a in want])
+
+
 def labels(spark, name):
     return {r.doc_id: r[name] for r in spark.read.parquet(f"{MID}/labels.parquet").collect()}
 
