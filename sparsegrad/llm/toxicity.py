@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are read by lexical transducers that map them to classes: insults
-(a seed list, and word beginnings learned from labelled documents with their
-log odds as weights), threats, targets, negation and reported speech. Small
+(a seed list, and words and word beginnings learned from labelled documents
+with their shrunken log odds as weights), threats, targets, negation and reported speech. Small
 transducers for target, negation and reported speech each remember for a few
 words what they have read; their composition is one deterministic transducer
 that turns each insult or threat of a clause into a kind of match: plain,
 directed at someone, negated or reported. The match weights of a document feed
 a logistic model whose coefficients come from labelled documents, so how much
-a negated or reported insult counts is learned, not assumed.
+a negated or reported insult counts is learned, not assumed. All learning
+documents serve both: the coefficients see each document through a lexicon
+learned from the other folds.
 
 Defined cases: null and empty texts have no match and get the score of a text
 without one; with one label or none to learn from the prior coefficients hold;
@@ -23,7 +25,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
@@ -43,14 +45,18 @@ SEED_WORDS = {
 SEED_WEIGHT = 4.0
 #: Words over which a target, a negation or a reporting verb reaches.
 REACH = {TARGET: 3, NEGATION: 3, REPORT: 6}
-#: Lengths of the word beginnings that may be learned.
+#: Lengths of the word beginnings that may be learned; whole words have 0.
 PREFIXES = (4, 5, 6, 7, 8)
+WHOLE = 0
 CLAUSE_END = np.array([ord(x) for x in ".!?;:,\n"], np.uint32)
 KINDS = ("plain", "directed", "negated", "reported", "threat", "threat_directed", "threat_negated", "threat_reported")
 #: Prior coefficients: bias, strongest match, then log(1 + weight sum) by kind.
 PRIOR = np.array([-3.0, 1.0, 0.5, 0.8, 0.1, 0.2, 0.1, 1.5, 0.0, 0.1])
-#: Chance level at which a word beginning counts as a marker.
-CHANCE = 1e-7
+#: Folds of the learning documents.
+FOLDS = 3
+#: Deviance from the base share that chance explains: log odds are shrunk by
+#: 1 - CHANCE / deviance, to 0 at most.
+CHANCE = 10.0
 
 
 @dataclass(frozen=True)
@@ -89,7 +95,8 @@ START = 0
 
 @dataclass
 class Lexicon:
-    """Sorted hash arrays: whole words and, by length, learned beginnings."""
+    """Sorted hash arrays: seed words and, by length, learned beginnings (at
+    length 0 learned words)."""
     words: np.ndarray
     classes: np.ndarray
     prefixes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
@@ -111,7 +118,7 @@ class Lexicon:
         length = (words.end - words.start)[at]
         for n, (marks, odds) in self.prefixes.items():
             who = np.flatnonzero(length >= n)
-            h = words.prefix_hash(n, at[who])
+            h = words.prefix_hash(n, at[who]) if n else keys
             slot = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
             found = np.where(marks[slot] == h, odds[slot], 0.0)
             weight[who] = np.maximum(weight[who], found)
@@ -192,51 +199,72 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: floa
     return w
 
 
-def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, label -> (length, prefix hash, toxic texts, other texts)."""
+def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, label, fold -> (fold, length, hash, toxic texts, other texts) of
+    words and word beginnings."""
+    fields = ["fold", "length", "mark", "yes", "no"]
     for batch in batches:
-        label = np.array(batch.column(1).to_pylist())
+        label, fold = (np.array(batch.column(i).to_pylist()) for i in (1, 2))
         for a, b, some in tb.pieces(batch.column(0), 1 << 21):
             _, words = _read(some)
             doc, length = words.doc(), words.end - words.start
-            for n in PREFIXES:
+            folds = fold[a:b].astype(tb.U64)
+            for n in (WHOLE, *PREFIXES):
                 who = np.flatnonzero(length >= n)
                 if not len(who):
                     continue
-                h = words.prefix_hash(n, who)
+                h = words.prefix_hash(n, who) if n else words.hash
                 _, once = np.unique(h ^ tb.mix(doc[who].astype(tb.U64) + tb.U64(1)), return_index=True)
-                keys, inverse = np.unique(h[once], return_inverse=True)
-                toxic = label[a:b][doc[who][once]]
-                yes = np.bincount(inverse, toxic, len(keys)).astype(np.int64)
-                every = np.bincount(inverse, minlength=len(keys))
+                of = doc[who][once]
+                _, at, inverse = np.unique(h[once] ^ tb.mix(folds[of] + tb.U64(1)), return_index=True, return_inverse=True)
+                yes = np.bincount(inverse, label[a:b][of], len(at)).astype(np.int64)
+                every = np.bincount(inverse, minlength=len(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(yes),
-                     pa.array(every - yes)], names=["length", "prefix", "yes", "no"])
+                    [pa.array(folds[of[at]].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)),
+                     pa.array(h[once][at].view(np.int64)), pa.array(yes), pa.array(every - yes)], names=fields)
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Seed words and the beginnings that stand in toxic documents far more
-    often than chance (a bound on the binomial tail below ``CHANCE``)."""
-    lexicon = Lexicon.seed()
-    totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
-    yes_all, n_all = int(totals[0] or 0), int(totals[1])
+def marker_weight(yes: Column, no: Column, yes_all: int, n_all: int) -> Column:
+    """Log odds of a mark that stands in ``yes`` toxic and ``no`` other texts,
+    shrunk by how much of its deviance from the base share chance explains;
+    0 if it is not more frequent in toxic texts. Holds at any base share."""
     if not 0 < yes_all < n_all:
-        return lexicon
-    counts = (sample.select("text", "label").mapInArrow(_prefix_counts, "length int, prefix long, yes long, no long")
-              .groupBy("length", "prefix").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+        return F.lit(0.0)
     base = yes_all / n_all
-    share = F.col("yes") / (F.col("yes") + F.col("no"))
+    n = yes + no
+    share = F.try_divide(yes, n)
     term = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
-    surprise = (F.col("yes") + F.col("no")) * (term(share, F.lit(base)) + term(1 - share, F.lit(1 - base)))
-    odds = F.log((F.col("yes") + 0.5) / (yes_all + 1)) - F.log((F.col("no") + 0.5) / (n_all - yes_all + 1))
-    # what passes is a small part of a sample of bounded size
-    kept = (counts.filter((share > max(0.6, 2 * base)) & (surprise > -float(np.log(CHANCE))))
-            .select("length", "prefix", odds.alias("odds")).toPandas())
-    for n, some in kept.groupby("length"):
-        h = some["prefix"].to_numpy().view(tb.U64)
-        order = np.argsort(h)
-        lexicon.prefixes[int(n)] = (h[order], some["odds"].to_numpy()[order])
-    return lexicon
+    deviance = 2 * n * (term(share, F.lit(base)) + term(1 - share, F.lit(1 - base)))
+    odds = F.log((yes + 0.5) / (yes_all + 1)) - F.log((no + 0.5) / (n_all - yes_all + 1))
+    more = (share > base) & (odds > 0) & (deviance > CHANCE)
+    return F.when(more, odds * (1 - F.try_divide(F.lit(CHANCE), deviance))).otherwise(0.0)
+
+
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """From (text, label, fold): for each fold the lexicon of the other folds,
+    then the lexicon of all. All counts come from one pass."""
+    totals = {r["fold"]: (int(r["yes"]), int(r["n"])) for r in sample.groupBy("fold").agg(
+        F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect()}
+    lexicons = [Lexicon.seed() for _ in range(FOLDS + 1)]
+    if not 0 < sum(y for y, _ in totals.values()) < sum(n for _, n in totals.values()):
+        return lexicons
+    counts = sample.select("text", "label", "fold").mapInArrow(
+        _mark_counts, "fold int, length int, mark long, yes long, no long")
+    sums, weights = [], []
+    for k in range(FOLDS + 1):
+        mine = F.col("fold") != k
+        sums += [F.sum(F.when(mine, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("yes", "no")]
+        yes_all, n_all = (sum(t[i] for fold, t in totals.items() if fold != k) for i in (0, 1))
+        weights.append(marker_weight(F.col(f"yes{k}"), F.col(f"no{k}"), yes_all, n_all).alias(f"w{k}"))
+    # what has a weight is a small part of a sample of bounded size
+    kept = (counts.groupBy("length", "mark").agg(*sums).select("length", "mark", *weights)
+            .filter(F.greatest(*[F.col(f"w{k}") for k in range(FOLDS + 1)]) > 0).toPandas())
+    for k, lexicon in enumerate(lexicons):
+        for n, some in kept[kept[f"w{k}"] > 0].groupby("length"):
+            h = some["mark"].to_numpy().view(tb.U64)
+            order = np.argsort(h)
+            lexicon.prefixes[int(n)] = (h[order], some[f"w{k}"].to_numpy()[order])
+    return lexicons
 
 
 @dataclass
@@ -251,24 +279,29 @@ class Grammar:
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fold = np.array(batch.column(2).to_pylist())
             for a, b, some in tb.pieces(batch.column(0)):
-                x = features(some, shared.value)
+                x = np.zeros((b - a, len(PRIOR)))
+                for k in np.unique(fold[a:b]):
+                    mine = np.flatnonzero(fold[a:b] == k)
+                    x[mine] = features([some[i] for i in mine], shared.value[k])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
     return run
 
 
 def fit(sample: DataFrame) -> Grammar:
-    """From a bounded sample (doc_id, text, label): the lexicon from two
-    thirds, the coefficients from the third that the lexicon has not seen."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3))
-    lexicon = learn_lexicon(sample.filter(part != 0))
-    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
-    rows = (sample.filter(part == 0).select("text", "label")
-            .mapInArrow(_features(shared), "label int, x array<double>").toPandas())
-    if not len(rows):
-        return Grammar(lexicon, PRIOR)
-    return Grammar(lexicon, fit_logistic(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float), PRIOR))
+    """From a bounded sample (doc_id, text, label): the lexicon from all rows,
+    the coefficients from all rows too, each read with the lexicon of the
+    folds that it is not in."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
+    rows = sample.select("text", "label", fold.alias("fold"))
+    lexicons = learn_lexicons(rows)
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+    seen = rows.mapInArrow(_features(shared), "label int, x array<double>").toPandas()
+    if not len(seen):
+        return Grammar(lexicons[-1], PRIOR)
+    return Grammar(lexicons[-1], fit_logistic(np.stack(seen["x"].to_numpy()), seen["label"].to_numpy(float), PRIOR))
 
 
 def _score(shared):

@@ -156,6 +156,27 @@ def test_learned_beginnings(spark):
     assert toxicity.fit(sample.limit(0)).score(["you idiot", "hello"]).round(1).tolist()[1] < 0.5
 
 
+def test_learned_markers_in_every_language(spark):
+    plain = {"fr": "la mer est calme ce soir", "de": "das haus steht am wald", "es": "el sol sale por la ventana"}
+    marks = {"fr": "zut", "de": "oaf", "es": "ñoño"}           # whole words, two of three letters
+    rows, unseen = [], []
+    for lang, text in plain.items():
+        words = text.split()
+        for i in range(80):
+            some = words[i % 3:] + words[:i % 5]
+            toxic = i % 8 == 0
+            rows.append((len(rows), " ".join([*some, marks[lang], words[0]] if toxic else some), int(toxic)))
+        unseen += [(f"{words[1]} {marks[lang]} {words[2]}", 1), (f"{words[1]} {words[2]} {words[1]}", 0)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert [int(p >= 0.5) for p in model.score([t for t, _ in unseen])] == [y for _, y in unseen]
+    # most labels toxic: a mark's share cannot be twice the base
+    rows = [(i, "gut snarkig wort" if i % 4 else "gut wort", int(i % 4 > 0)) for i in range(400)]
+    most = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert set(most.lexicon.prefixes) == {0, 4, 5, 6, 7}
+    yes, no = most.score(["snarkig", "gut wort"])
+    assert yes > 0.5 > no
+
+
 def test_quality_held_out(spark):
     truth = labels(spark, "quality")
     rows = queries.quality_ranking(spark, MID).collect()
