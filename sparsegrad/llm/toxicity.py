@@ -6,8 +6,11 @@ with their shrunken log odds as weights), threats, targets, negation and reporte
 transducers for target, negation and reported speech each remember for a few
 words what they have read; their composition is one deterministic transducer
 that turns each insult or threat of a clause into a kind of match: plain,
-directed at someone, negated or reported. The match weights of a document feed
-a logistic model whose coefficients come from labelled documents, so how much
+directed at someone, negated or reported. A clause is as strong as what it
+asserts: its strongest plain or directed insult and its threat, if that is
+directed or stands with such an insult; what is negated or reported only
+counts by its kind. The strongest clause and the match weights of a document
+feed a logistic model whose coefficients come from labelled documents, so how much
 a negated or reported insult counts is learned, not assumed. All learning
 documents serve both: the coefficients see each document through a lexicon
 learned from the other folds.
@@ -50,7 +53,9 @@ PREFIXES = (4, 5, 6, 7, 8)
 WHOLE = 0
 CLAUSE_END = np.array([ord(x) for x in ".!?;:,\n"], np.uint32)
 KINDS = ("plain", "directed", "negated", "reported", "threat", "threat_directed", "threat_negated", "threat_reported")
-#: Prior coefficients: bias, strongest match, then log(1 + weight sum) by kind.
+#: First threat kind, and the asserted kinds counted from it or from 0.
+THREATS, PLAIN, DIRECTED = 4, 0, 1
+#: Prior coefficients: bias, strongest clause, then log(1 + weight sum) by kind.
 PRIOR = np.array([-3.0, 1.0, 0.5, 0.8, 0.1, 0.2, 0.1, 1.5, 0.0, 0.1])
 #: Folds of the learning documents.
 FOLDS = 3
@@ -134,9 +139,14 @@ def _read(texts: list[str]) -> tuple[tb.Codes, tb.Words]:
 def matches(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     """(text, first character, end, kind, weight) of every match. Character
     places are those of the lower-cased text."""
+    return clause_matches(texts, lexicon)[:5]
+
+
+def clause_matches(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, ...]:
+    """As ``matches``, and the clause of every match, numbered over all texts."""
     codes, words = _read(texts)
     if not len(words.hash):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0),)
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0), np.zeros(0, np.int64))
     cls, weight = lexicon.read(words)
     doc = words.doc()
     # a clause ends where any clause mark stands between two words
@@ -162,7 +172,7 @@ def matches(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     kinds = np.where(near & (kinds % 4 == 0), kinds + 1, kinds)
     d = doc[hits]
     value = np.where(cls[hits] == THREAT, 1.0, weight[hits])
-    return d, words.start[hits] - codes.at[d], words.end[hits] - codes.at[d], kinds, value
+    return d, words.start[hits] - codes.at[d], words.end[hits] - codes.at[d], kinds, value, clause[hits]
 
 
 def _target_after(cls: np.ndarray, clause: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -175,13 +185,18 @@ def _target_after(cls: np.ndarray, clause: np.ndarray, hits: np.ndarray) -> np.n
 
 
 def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
-    """Bias, strongest insult, and log(1 + summed weight) of each kind."""
-    d, _, _, kind, weight = matches(texts, lexicon)
+    """Bias, strongest clause, and log(1 + summed weight) of each kind."""
+    d, _, _, kind, weight, clause = clause_matches(texts, lexicon)
     sums = np.zeros((len(texts), len(KINDS)))
     np.add.at(sums, (d, kind), weight)
     strongest = np.zeros(len(texts))
-    insult = kind < 4
-    np.maximum.at(strongest, d[insult], weight[insult])
+    _, first, at = np.unique(clause, return_index=True, return_inverse=True)
+    insult, threat, aimed = (np.zeros(len(first)) for _ in range(3))
+    asserted = kind <= DIRECTED
+    np.maximum.at(insult, at[asserted], weight[asserted])
+    threat[at[kind == THREATS + PLAIN]] = SEED_WEIGHT
+    aimed[at[kind == THREATS + DIRECTED]] = SEED_WEIGHT
+    np.maximum.at(strongest, d[first], insult + np.where(insult > 0, np.maximum(threat, aimed), aimed))
     return np.column_stack([np.ones(len(texts)), strongest, np.log1p(sums)])
 
 

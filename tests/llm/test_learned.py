@@ -117,6 +117,18 @@ def test_grammar_reads_clauses():
     assert (d.tolist(), start.tolist(), end.tolist()) == ([1], [4], [9])
 
 
+def test_scores_follow_the_clause(spark):
+    rows = [(i, "you are an idiot" if i % 4 == 0 else "a good day", int(i % 4 == 0)) for i in range(80)]
+    learned = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    for model in (toxicity.Grammar(Lexicon.seed(), toxicity.PRIOR), learned):
+        toxic = ["you are an idiot", "i will kill you", "kill the scum", "he is not here. you idiot"]
+        clean = ["not an idiot", "he said the film is trash", "to kill time", "i will not kill you", "he said kill them", ""]
+        assert all(model.score([t])[0] > 0.5 for t in toxic), model.score(toxic)
+        assert all(model.score([t])[0] < 0.5 for t in clean), model.score(clean)
+    strongest = lambda t: toxicity.features([t], Lexicon.seed())[0, 1]
+    assert [strongest(t) for t in ("kill the scum", "to kill. the scum", "i will kill you scum", "not an idiot")] == [8, 4, 8, 0]
+
+
 def test_composed_grammar_equals_a_plain_scan():
     rng = np.random.default_rng(2)
     lexicon = Lexicon.seed()
