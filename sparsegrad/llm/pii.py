@@ -107,7 +107,7 @@ DOTS = ("dot", "(dot)", "[dot]")
 def shape(token: str) -> str:
     """Digit runs with their length up to 5, letter runs as one letter."""
     t = token.rstrip("\"'>]}.,;:!?") or token
-    t = re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 5)}", t[:64])
+    t = re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 5)}", t)
     return re.sub(r"[^\W\d_]+", "a", t)
 
 

@@ -243,6 +243,12 @@ def test_endless_words_stay_linear():
         pii.base_spans(t)
 
 
+def test_shape_reads_the_whole_token():
+    assert pii.shape("x" * 70 + "-555.1234") == "a-93.94"
+    assert pii.shape("7" * 80 + "_" + "y" * 80 + "42,") == "95_a92"
+    assert len(pii.shape("a1" * 300_000)) == 900_000
+
+
 def test_field_learns_its_table_and_adds_spans():
     field = pii.train()
     table = pii.labelled_table()
