@@ -86,7 +86,7 @@ def q_parse_plain(spark, sf):
     """Plain lines written in row order, scanned back, numbered in
     file order and parsed."""
     rows = fx.sparse_rows(spark, sf)
-    lines = text.render_plain(rows, keep=["row_id"]).repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    lines = text.render_plain(rows, keep=["row_id"]).repartitionByRange("row_id").sortWithinPartitions("row_id")
     scanned = text.with_line_ids(text.scan_lines(spark, _written_lines(spark, lines)), name="line")
     parsed = text.parse_plain(scanned, keep=["line"])
     return parsed.select("line", "y", F.posexplode("features").alias("pos", "f")).select(
@@ -97,7 +97,7 @@ def q_parse_plain(spark, sf):
 def q_line_ids(spark, sf):
     """Line numbers of a text folder follow its order."""
     rows = fx.sparse_rows(spark, sf).select("row_id", F.concat(F.lit("row "), F.col("row_id")).alias("value"))
-    lines = rows.repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    lines = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
     ids = text.with_line_ids(text.scan_lines(spark, _written_lines(spark, lines)), name="line")
     return ids.select("line", "value")
 

@@ -151,3 +151,20 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_ordered_lines_spread_over_the_session_partitions(spark, sf, monkeypatch):
+    from sparsegrad.plans import catalog
+    tasks, write = [], catalog._written_lines
+    monkeypatch.setattr(catalog, "_written_lines", lambda s, lines: tasks.append(lines.rdd.getNumPartitions()) or write(s, lines))
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        rows = catalog.q_line_ids(spark, sf).orderBy("line").collect()
+        catalog.q_parse_plain(spark, sf)
+    finally:
+        spark.conf.set(adaptive, before)
+    assert tasks == [8, 8]                   # shuffle partitions of the test session
+    ids = [int(r["value"].split()[1]) for r in rows]
+    assert ids == sorted(ids) and len(ids) > 1000
