@@ -83,9 +83,46 @@ SELECT doc_id, item_id, n_shared::INTEGER AS n_shared, n::INTEGER AS item_shingl
 FROM hit JOIN q ON q.rid = hit.rid WHERE n_shared >= 0.8 * n
 """
 
+def _merkle_manifest(levels: int = 10) -> str:
+    """Unrolled over ``levels`` levels of eight children (8^levels leaves a
+    tree); a tree that has one node keeps it."""
+    crc = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), "
+           "lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+           "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))")
+    code = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(code, ("doc_id", "source", "lang", "n_chars")), code(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # p0: a row for each leaf: tree, place of its ancestor, its proof so far, its folded node so far
+    sql = [f"""d AS (SELECT *, {leaf('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS changed FROM documents),
+n0 AS (SELECT row_number() OVER () AS rid, doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM d),
+a0 AS (SELECT t, i, leaf AS h FROM n0),
+p0 AS (SELECT rid, t, i, changed AS cur, '' AS proof FROM n0)"""]
+
+    def up(a: str, p: str, k: int) -> str:
+        """From level k to k + 1 of the nodes in tables a and the rows in p."""
+        return f"""{a}{k + 1} AS (SELECT t, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+    FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {a}{k}) GROUP BY t, i // 8),
+{p}{k + 1} AS (SELECT rid, p.t, p.i // 8 AS i, CASE WHEN s.n > 1 THEN sha256(l || cur || r) ELSE cur END AS cur, proof || l || r AS proof
+    FROM {p}{k} p JOIN (SELECT t, i, count(*) OVER (PARTITION BY t) AS n,
+        coalesce(string_agg(h, '') OVER (PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') OVER (PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM {a}{k}) s ON s.t = p.t AND s.i = p.i)"""
+
+    sql += [up("a", "p", k) for k in range(levels)]
+    sql += [f"b0 AS (SELECT 0 AS t, t AS i, h FROM a{levels})", f"q0 AS (SELECT rid, 0 AS t, t AS i, cur, proof FROM p{levels})"]
+    sql += [up("b", "q", k) for k in range(levels)]
+    return "WITH " + ",\n".join(sql) + f"""
+SELECT n0.doc_id, n0.leaf, s.h AS subroot, r.h AS root, sha256(q.proof) AS proof_sha256, q.cur AS folded_root, q.cur = r.h AS verified
+FROM n0 JOIN q{levels} q ON q.rid = n0.rid JOIN a{levels} s ON s.t = n0.t, b{levels} r
+"""
+
+
 ORACLES = {
     "op2_quality_rules": QUALITY_RULES,
     "op3_jaccard_join": JACCARD_JOIN,
     "op8_warc_index": WARC_INDEX,
     "op9_benchmark_leaks": BENCHMARK_LEAKS,
+    "op12_merkle_manifest": _merkle_manifest(),
 }

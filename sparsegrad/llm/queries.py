@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, labelled, langid, mixing, neardup, pii, quality, ranking, sharding, toxicity, warc
+from . import (
+    decontaminate, labelled, langid, merkle, mixing, neardup, pii, quality, ranking, sharding, toxicity, warc,
+)
 from .common import held_out, table
 from .oracle import ORACLES  # noqa: F401
 
@@ -72,6 +74,10 @@ def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), sharding.even_tree(16))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(documents(spark, sf_dir)).proofs()
+
+
 QUERIES = {
     "op1_personal_data": personal_data,
     "op2_quality_rules": quality_rules,
@@ -83,4 +89,5 @@ QUERIES = {
     "op8_warc_index": warc_index,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_hash_tree_shards": hash_tree_shards,
+    "op12_merkle_manifest": merkle_manifest,
 }
