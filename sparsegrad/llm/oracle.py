@@ -83,6 +83,30 @@ SELECT doc_id, item_id, n_shared::INTEGER AS n_shared, n::INTEGER AS item_shingl
 FROM hit JOIN q ON q.rid = hit.rid WHERE n_shared >= 0.8 * n
 """
 
+HARD_NEGATIVES = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS uid, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, b.uid AS b, b.vec_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.uid <> b.uid),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS k
+  FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a
+  WHERE p.k <= 5 AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def _merkle_manifest(levels: int = 10) -> str:
     """Unrolled over ``levels`` levels of eight children (8^levels leaves a
     tree); a tree that has one node keeps it."""
@@ -124,5 +148,6 @@ ORACLES = {
     "op3_jaccard_join": JACCARD_JOIN,
     "op8_warc_index": WARC_INDEX,
     "op9_benchmark_leaks": BENCHMARK_LEAKS,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op12_merkle_manifest": _merkle_manifest(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, labelled, langid, merkle, mixing, neardup, pii, quality, ranking, sharding, toxicity, warc,
+    decontaminate, labelled, langid, merkle, mixing, neardup, negatives, pii, quality, ranking, sharding, toxicity, warc,
 )
 from .common import held_out, table
 from .oracle import ORACLES  # noqa: F401
@@ -74,6 +74,14 @@ def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), sharding.even_tree(16))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("v"),
+        (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return negatives.MultiIndex(rows).mine()
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(documents(spark, sf_dir)).proofs()
 
@@ -89,5 +97,6 @@ QUERIES = {
     "op8_warc_index": warc_index,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_hash_tree_shards": hash_tree_shards,
+    "op11_hard_negatives": hard_negatives,
     "op12_merkle_manifest": merkle_manifest,
 }
