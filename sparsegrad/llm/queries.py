@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, labelled, langid, merkle, mixing, neardup, negatives, pii, quality, ranking, sharding, toxicity, warc,
+    decontaminate, labelled, langid, merkle, mixing, neardup, negatives, pii, quality, ranking, recurrent, sharding,
+    toxicity, warc,
 )
 from .common import held_out, table
 from .oracle import ORACLES  # noqa: F401
@@ -86,6 +87,14 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(documents(spark, sf_dir)).proofs()
 
 
+def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = recurrent.fit(docs.filter(~recurrent.held_out(F.col("doc_id"))))
+    return recurrent.score(docs, model).select(
+        "doc_id", recurrent.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 QUERIES = {
     "op1_personal_data": personal_data,
     "op2_quality_rules": quality_rules,
@@ -99,4 +108,5 @@ QUERIES = {
     "op10_hash_tree_shards": hash_tree_shards,
     "op11_hard_negatives": hard_negatives,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_recurrent_lm": recurrent_scores,
 }
