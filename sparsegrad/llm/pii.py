@@ -6,7 +6,8 @@ cannot: phone numbers without a country code, written-out addresses, cards
 with unusual separators, social security numbers. It reads word shapes, is
 trained from a small labelled table (``labelled_table``) and decoded by Viterbi
 in numpy batches. Its spans are kept if they pass the check of their kind and
-touch no base span.
+touch no base span. Where a span does not pass, its words are decoded again as
+the best-scoring sequence of segments that do.
 
 The chain is decoded near words that hold a digit or an ``@`` (or spell out a
 dot); words further away than ``CONTEXT`` are fixed at "outside", which cuts
@@ -97,6 +98,8 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- features
 
 _OPEN, _CLOSE = "\"'<[{(", "\"'>]}.,;:!?)"
+#: Marks that end a clause; a word may carry one.
+_MARKS = ".,;:!?"
 #: Words that say something about their neighbours.
 CUES = frozenset("""call phone tel telephone mobile fax cell ring text card visa mastercard amex credit debit ssn
     social security ip server host address mail email e-mail at dot (at) (dot) [at] [dot] com org net version
@@ -115,6 +118,7 @@ def token_features(tokens: list[str]) -> list[list[str]]:
     shapes = [shape(t) for t in tokens]
     cues = [t.lower().strip(_CLOSE[:-1] + "\"'") if len(t) < 16 else "" for t in tokens]
     cues = [c if c in CUES else "" for c in cues]
+    ends = [t[-1] if t[-1:] in _MARKS else "" for t in tokens]
     n = len(tokens)
     out = []
     for i in range(n):
@@ -122,7 +126,7 @@ def token_features(tokens: list[str]) -> list[list[str]]:
         after = shapes[i + 1] if i + 1 < n else "$"
         out.append(["b", "s=" + shapes[i], "s-=" + before, "s+=" + after, f"p={before}|{shapes[i]}",
                     f"n={shapes[i]}|{after}", "c=" + cues[i], "c-=" + (cues[i - 1] if i else ""),
-                    "c+=" + (cues[i + 1] if i + 1 < n else "")])
+                    "c+=" + (cues[i + 1] if i + 1 < n else ""), "e=" + ends[i], "e-=" + (ends[i - 1] if i else "")])
     return out
 
 
@@ -145,6 +149,17 @@ write to [email jane at example dot com] now
 contact [email jane.roe (at) example (dot) org] today
 send it to [email bob [at] mail [dot] net] soon
 the [email x.99@mail9.example.com] in
+the [email jane at example dot com] in
+[email mary at host dot org]
+of [email bob dot lee at mail dot net] and
+or [email jane at example dot com] not
+[email ann [at] example [dot] org]
+and [email ann (at) example dot com] of
+[phone (999) 999-9999]
+[phone 999-999-9999]
+[ssn 999-99-9999]
+look at the dot on page 9
+at noon the dot com era began
 host [ip 99.999.99.9] is down
 from [ip 999.99.9.99] on port 9999
 the [ip 99.99.999.999] of
@@ -185,29 +200,60 @@ about 9,999 of 99,999 files
 room 999-A on floor 9""".splitlines()
 
 
-@lru_cache(maxsize=1)
-def labelled_table(copies: int = 6, seed: int = 11) -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
-    """The small labelled table: (tokens, tags) with random digits filled in."""
+Row = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def marked_row(line: str) -> Row:
+    """(tokens, tags) of a marked sentence."""
+    tokens, tags, kind, inside = [], [], None, False
+    for word in line.split():
+        if word[0] == "[" and word[1:] in KINDS:
+            kind, inside = word[1:], False
+            continue
+        last = kind is not None and word.endswith("]") and word not in ("[at]", "[dot]")
+        tokens.append(word[:-1] if last else word)
+        tags.append("O" if kind is None else f"{'I' if inside else 'B'}-{kind}")
+        inside = True
+        if last:
+            kind = None
+    return tuple(tokens), tuple(tags)
+
+
+def _punctuated(row: Row, rng: np.random.Generator) -> Row:
+    """Clause marks behind some words; none inside an entity."""
+    tokens, tags = row
+    inside = [i + 1 < len(tags) and tags[i + 1][0] == "I" for i in range(len(tags))]
+    chance = [0.0 if cut or t[-1] in _MARKS else 0.6 if tag != "O" else 0.12 for t, tag, cut in zip(tokens, tags, inside)]
+    marks = rng.choice(list(".,,,;:!?"), len(tokens))
+    return tuple(t + m if rng.random() < c else t for t, m, c in zip(tokens, marks, chance)), tags
+
+
+def table_of(lines: list[str], copies: int, joined: int, seed: int) -> tuple[Row, ...]:
+    """Rows with random digits filled in: every sentence ``copies`` times plain
+    and as often punctuated, then ``joined`` rows of two or three sentences with
+    punctuation, so that several entities meet in one row."""
     rng = np.random.default_rng(seed)
+    filled = lambda line: marked_row(re.sub("9", lambda _: str(rng.integers(0, 10)), line))
     rows = []
-    for line in MARKED:
+    for line in lines:
         for _ in range(copies):
-            filled = re.sub("9", lambda _: str(rng.integers(0, 10)), line)
-            tokens, tags, kind, inside = [], [], None, False
-            for word in filled.split():
-                if word[0] == "[" and word[1:] in KINDS:
-                    kind, inside = word[1:], False
-                    continue
-                last = kind is not None and word.endswith("]") and word not in ("[at]", "[dot]")
-                tokens.append(word[:-1] if last else word)
-                tags.append("O" if kind is None else f"{'I' if inside else 'B'}-{kind}")
-                inside = True
-                if last:
-                    kind = None
-            rows.append((tuple(tokens), tuple(tags)))
+            rows += [filled(line), _punctuated(filled(line), rng)]
+    links = [(), (), ("and",), ("or",), ("then",)]
+    for _ in range(joined):
+        tokens, tags = (), ()
+        for k, i in enumerate(rng.choice(len(lines), int(rng.integers(2, 4)))):
+            part, link = filled(lines[i]), links[rng.integers(0, len(links))] if k else ()
+            tokens, tags = tokens + link + part[0], tags + ("O",) * len(link) + part[1]
+        rows.append(_punctuated((tokens, tags), rng))
     return tuple(rows)
 
 
+@lru_cache(maxsize=1)
+def labelled_table(copies: int = 3, joined: int = 220, seed: int = 11) -> tuple[Row, ...]:
+    """The small labelled table: (tokens, tags)."""
+    return table_of(MARKED, copies, joined, seed)
+
+
 # ------------------------------------------------------------------ the field
 
 @dataclass
@@ -238,12 +284,12 @@ def _allowed() -> np.ndarray:
     return ok
 
 
-@lru_cache(maxsize=1)
-def train(rounds: int = 80, rate: float = 0.25, penalty: float = 0.002) -> Field:
+@lru_cache(maxsize=2)
+def train(table: tuple[Row, ...] | None = None, rounds: int = 80, rate: float = 0.25, penalty: float = 0.002) -> Field:
     """Maximum conditional likelihood by full-batch Adam; the gradient is
     observed minus expected counts from forward and backward sums over all
     sequences of the table at once."""
-    table = labelled_table()
+    table = table or labelled_table()
     index: dict[str, int] = {}
     rows = [[[index.setdefault(x, len(index)) for x in names] for names in token_features(list(tokens))] for tokens, _ in table]
     n, longest, k = len(rows), max(len(r) for r in rows), len(TAGS)
@@ -331,6 +377,42 @@ def _passes(kind: str, text: str) -> bool:
     return re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", text) is not None
 
 
+#: Most words of a segment that is decoded again.
+SEGMENT = 10
+
+
+def _segments(field: Field, scores: np.ndarray, passes) -> list[tuple[int, int, str]]:
+    """(from, to, kind) of the best-scoring sequence of single outside words
+    and segments of at most SEGMENT words for which ``passes(kind, from, to)``."""
+    n, tag = len(scores), {t: i for i, t in enumerate(TAGS)}
+    best: list[dict[int, tuple[float, int, int, str]]] = [{tag["O"]: (0.0, -1, -1, "")}] + [{} for _ in range(n)]
+
+    def offer(at: int, last: int, value: float, back: tuple[int, int, str]) -> None:
+        if last not in best[at] or value > best[at][last][0]:
+            best[at][last] = (value, *back)
+
+    for i in range(n):
+        for before, (value, *_) in list(best[i].items()):
+            offer(i + 1, tag["O"], value + field.move[before, tag["O"]] + scores[i, tag["O"]], (i, before, ""))
+            for kind in KINDS:
+                b, inner = tag["B-" + kind], tag["I-" + kind]
+                total, last = value + field.move[before, b] + scores[i, b], b
+                for j in range(i + 1, min(n, i + SEGMENT) + 1):
+                    if j > i + 1:
+                        total += field.move[last, inner] + scores[j - 1, inner]
+                        last = inner
+                    if passes(kind, i, j):
+                        offer(j, last, total, (i, before, kind))
+    out, at = [], n
+    last = max(best[n], key=lambda x: best[n][x][0])
+    while at > 0:
+        _, start, before, kind = best[at][last]
+        if kind:
+            out.append((start, at, kind))
+        at, last = start, before
+    return out[::-1]
+
+
 def _worth(text: str) -> bool:
     return _DIGIT.search(text) is not None or "@" in text or " dot " in text or "dot)" in text or "dot]" in text
 
@@ -361,8 +443,29 @@ def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
     runs = np.split(chosen, cut)
     place, end = words.start - codes.at[doc], words.end - codes.at[doc]
     tokens = [[texts[some[doc[w]]][place[w]:end[w]] for w in run] for run in runs]
-    for run, tags in zip(runs, viterbi(field, [field.emissions(t) for t in tokens])):
+    scores = [field.emissions(t) for t in tokens]
+
+    def bounds(d: int, a: int, b: int) -> tuple[int, int]:
+        """Without brackets, quotes and marks at the edges."""
+        text = texts[d]
+        while a < b and text[a] in (_OPEN[:-1] if ")" in text[a:b] else _OPEN):
+            a += 1
+        while b > a and text[b - 1] in _CLOSE:
+            b -= 1
+        return a, b
+
+    for run, values, tags in zip(runs, scores, viterbi(field, scores)):
         d = some[doc[run[0]]]
+
+        def span(i: int, j: int) -> tuple[int, int]:
+            return bounds(d, int(place[run[i]]), int(end[run[j - 1]]))
+
+        def good(kind: str, i: int, j: int) -> bool:
+            a, b = span(i, j)
+            # a mark inside ends a clause, and an entity with it
+            open_ = all(texts[d][end[run[k]] - 1] not in ",;:!?" for k in range(i, j - 1))
+            return b > a and open_ and _passes(kind, texts[d][a:b])
+
         i = 0
         while i < len(run):
             tag = TAGS[tags[i]]
@@ -370,14 +473,10 @@ def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
             if tag != "O":
                 while j < len(run) and TAGS[tags[j]] == "I-" + tag[2:]:
                     j += 1
-                a, b = int(place[run[i]]), int(end[run[j - 1]])
-                text = texts[d]
-                while a < b and text[a] in (_OPEN[:-1] if ")" in text[a:b] else _OPEN):
-                    a += 1
-                while b > a and text[b - 1] in _CLOSE:
-                    b -= 1
-                if b > a and _passes(tag[2:], text[a:b]):
-                    out[d].append((KINDS.index(tag[2:]), a, b))
+                found = [(i, j, tag[2:])] if good(tag[2:], i, j) else [
+                    (i + x, i + y, kind) for x, y, kind in
+                    _segments(field, values[i:j], lambda kind, x, y, i=i: good(kind, i + x, i + y))]
+                out[d] += [(KINDS.index(kind), *span(x, y)) for x, y, kind in found]
             i = j
     return out
 

@@ -286,3 +286,64 @@ def test_personal_data_query(spark, sf):
     odd = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (1, "mail a@b.cd", "x")], "doc_id long, text string, spans string")
     assert sorted(r.spans for r in pii.detect(odd).collect()) == ["", "", "email:5:11"]
     assert pii.span_rows(odd).collect()[0][:] == (1, "email", 5, 11)
+
+
+def entity_sentence(rng, count):
+    """A sentence of words that the labelled table does not hold, with
+    ``count`` entities that the base patterns do not find, and those entities."""
+    words = "blue river walks seven under garden light paper stone window music forest early never winter table".split()
+    digits = lambda form: "".join(str(rng.integers(0, 10)) if c == "9" else c for c in form)
+    forms = [("phone", lambda: digits("(999) 999-9999")), ("phone", lambda: digits("999-999-9999")),
+             ("ssn", lambda: digits("999-99-9999")),
+             ("email", lambda: f"{rng.choice(words)} at {rng.choice(words)} dot com"),
+             ("email", lambda: f"{rng.choice(words)} (at) {rng.choice(words)} dot org")]
+    parts, gold = [], []
+    for _ in range(count):
+        parts += [str(w) for w in rng.choice(words, rng.integers(2, 6))]
+        kind, make = forms[rng.integers(0, len(forms))]
+        gold.append((kind, make()))
+        parts.append(gold[-1][1] + str(rng.choice(["", ",", ".", ";"])))
+    return " ".join(parts + [str(w) for w in rng.choice(words, 3)]), gold
+
+
+def test_field_finds_several_entities_in_new_sentences():
+    rng = np.random.default_rng(21)
+    made = [entity_sentence(rng, 1 + i % 3) for i in range(200)]
+    hit = extra = total = 0
+    for (text, gold), (_, every) in zip(made, pii.find([t for t, _ in made], pii.train())):
+        found = [(pii.KINDS[k], text[a:b]) for k, a, b in every]
+        hit += sum(g in found for g in gold)
+        extra += sum(f not in gold for f in found)
+        total += len(gold)
+    assert hit >= 0.9 * total and extra <= 0.05 * total, (hit, extra, total)
+    clean = ["We met at the dot on page 9, at 10.30, and left.", "On 2024-05-06 it cost 19.99, then 20.", "version 2.14.1 of 3 files; 17 in 2020",
+             "room 12-B at noon. 100 people, 99% of 512 cases", "", "dot dot dot", "AKIA1234 and 9f86d081884c7d65 are keys"]
+    assert all(every == [] for _, every in pii.find(clean, pii.train()))
+
+
+def entities(tags):
+    starts = [i for i, t in enumerate(tags) if t[0] == "B"]
+    return {(i, next((j for j in range(i + 1, len(tags)) if tags[j] != "I" + tags[i][1:]), len(tags)), tags[i]) for i in starts}
+
+
+def test_field_on_held_out_rows():
+    """F1 over other digits, marks and joins than those learned from."""
+    field, held = pii.train(), pii.table_of(pii.MARKED, 1, 120, 77)
+    found = pii.viterbi(field, [field.emissions(list(tokens)) for tokens, _ in held])
+    pairs = [(entities([pii.TAGS[t] for t in tags]), entities(gold)) for tags, (_, gold) in zip(found, held)]
+    right = sum(len(a & b) for a, b in pairs)
+    assert 2 * right / sum(len(a) + len(b) for a, b in pairs) > 0.95
+
+
+def test_rejected_spans_are_decoded_again():
+    """A field that tags everything as one entity still yields the two that pass."""
+    field = pii.train()
+    text = "(702) 555-0742 jane at example dot com"
+    tokens = text.split()
+    spans, at = [], 0
+    for t in tokens:
+        spans.append((at, at + len(t)))
+        at += len(t) + 1
+    passes = lambda kind, i, j: pii._passes(kind, text[spans[i][0]:spans[j - 1][1]])
+    assert pii._segments(field, field.emissions(tokens), passes) == [(0, 2, "phone"), (2, 7, "email")]
+    assert pii._segments(field, field.emissions(tokens), lambda *_: False) == []
