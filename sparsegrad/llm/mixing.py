@@ -3,19 +3,25 @@
 Each source gets a word budget. Complete epochs come first; the rest of the
 budget is filled by a weighted sample without replacement: every document
 draws the exponential key ``-ln(u) / weight``, documents are taken in key
-order, and the sizes are prefix-summed up to the budget.
+order, and the sizes are prefix-summed up to the first that does not fit. The
+gap before that document is filled from the documents behind it: of each size
+class (powers of two) the one with the least key, large classes first, if it
+fits. If the document at the edge would come closer to the budget than that,
+it is taken instead.
 
 The prefix sum is never one sorted group. Keys are cut into bins; the sizes
 are summed by (source, bin) before any shuffle, the bin in which the budget
-ends is cut again, and only the rows of that last, tiny bin are sorted. What
-remains for each source is one cut-off key, so deciding a document is a
-comparison and a source with a third of all rows costs no more than others.
+ends is cut again, and what is left there is summed by key and input partition
+before single rows are ordered. What remains for each source is one cut-off
+and at most a few dozen fillers, so deciding a document is a comparison, and a
+source with a third of all rows, or one document repeated as often, costs no
+more than others.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; size-0 documents are never worth taking in part; rows equal in
-id and text share one draw and are taken or left together; an empty table
-gives an empty result; extra columns do not matter to ``plan`` and are carried
-by ``mixed_rows``.
+id and text share one draw but are taken one by one, in the order of a stored
+row number; an empty table gives an empty result; extra columns do not matter
+to ``plan`` and are carried by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -51,18 +57,15 @@ def source_key(source: Column) -> Column:
 
 
 def draw_key(doc_id: Column, text: Column, weight: Column, seed: int = SEED) -> Column:
-    """Position of the exponential key, 1 - exp(-key): ascending in the key
-    and spread over [0, 1), which makes even bins."""
-    u = unit_draw(F.lit(seed), doc_id, text)
-    return F.lit(1.0) - F.pow(u, F.lit(1.0) / weight)
+    """The exponential key: -ln(u) / weight, least keys first."""
+    return -F.log(unit_draw(F.lit(seed), doc_id, text)) / weight
 
 
 def drawn(docs: DataFrame) -> DataFrame:
-    """Narrow view: doc_id, skey, size, pos."""
+    """Narrow view: uid, doc_id, skey, size, key."""
     weight = quality_weight(F.col("text"))
-    return docs.select("doc_id", source_key(F.col("source")).alias("skey"),
-                       size_of(F.col("text")).alias("size"),
-                       draw_key(F.col("doc_id"), F.col("text"), weight).alias("pos"))
+    return docs.select("uid", "doc_id", source_key(F.col("source")).alias("skey"), size_of(F.col("text")).alias("size"),
+                       draw_key(F.col("doc_id"), F.col("text"), weight).alias("key"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -99,18 +102,26 @@ def targets(rows: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def cutoffs(rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
-    """For each source: epochs, and ``cut``: a document is in the fractional
-    epoch if its ``pos`` is at most ``cut`` (null: none is). The document at
-    the edge is taken if more than half of it fits."""
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = sources.withColumn("epochs", F.least(epochs, F.lit(MAX_EPOCHS)).cast("long"))
-    state = stored(state.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "epochs")
-    n = state.count()
-    open_ = state.filter("rest > 0").select("skey", "rest", F.lit(0.0).alias("done"))
-    live = rows.join(small(open_, n), "skey")
-    for level in (1, 2):
-        cell = live.withColumn("cell", F.floor(F.col("pos") * float(BINS ** level)))
+def _digits(level: int) -> Column:
+    """Where a row lies at one level of the descent to the budget's end; each
+    level orders the rows of one digit of the level before."""
+    # key / (1 + key) is monotone, and even enough for keys from 0 to hundreds
+    spread = F.col("key") / (F.lit(1.0) + F.col("key"))
+    if level < 2:
+        return F.struct(F.floor(spread * float(BINS ** (level + 1))).alias("bin"))
+    if level == 2:
+        return F.struct(F.col("key"), F.shiftright("uid", 33).alias("part"))
+    return F.struct(F.col("uid"))
+
+
+def _edges(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """skey, rest, done, key, uid, size: the first document of a source, in the
+    order of (key, uid), that does not fit into ``rest`` any more, and the words
+    taken before it. Sources without such a document have no row."""
+    edge = sources.filter("rest > 0").select("skey", "rest", F.lit(0).cast("long").alias("done"))
+    live = rows.filter("size > 0").join(small(edge, n), "skey")
+    for level in range(4):
+        cell = live.withColumn("cell", _digits(level))
         sums = cell.groupBy("skey", "cell").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"),
                                                 F.first("done").alias("done"))
         run = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,27 +129,59 @@ def cutoffs(rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
                 .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("s") > F.col("rest"))))
         edge = stored(edge.select("skey", "rest", F.col("before").alias("done"), "cell"), f"edge{level}")
         live = stored(cell.drop("rest", "done").join(small(edge, n), ["skey", "cell"]).drop("cell"), f"in-edge{level}")
-    order = Window.partitionBy("skey").orderBy("pos", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("done") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = (live.withColumn("before", before).filter(F.col("before") + F.col("size") / 2 <= F.col("rest"))
-            .groupBy("skey").agg(F.max("pos").alias("last_in")))
-    # no document of the edge bin fits: everything before that bin does
-    first = edge.select("skey", (F.col("cell") / float(BINS ** 2)).alias("edge_from"))
-    cut = state.join(small(first, n), "skey", "left").join(small(last, n), "skey", "left")
-    # an edge that falls nowhere means that the whole source fits
-    whole = F.when(F.col("rest") > 0, F.lit(2.0))
-    below = F.col("edge_from") - F.lit(1e-12)
-    return stored(cut.select("skey", "source_size", "target", "epochs",
-                             F.coalesce("last_in", below, whole).alias("cut")), "cuts"), n
+    return live.select("skey", "rest", "done", "key", "uid", "size")
+
+
+def _taken_before(key: str, uid: str) -> Column:
+    return (F.col("key") < F.col(key)) | ((F.col("key") == F.col(key)) & (F.col("uid") < F.col(uid)))
+
+
+def _fillers(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """skey, fill: the uids taken from behind the edge. One candidate a size
+    class is found by a partial aggregate; the choice folds over at most 63."""
+    gap = F.col("rest") - F.col("done")
+    edge = edges.select("skey", gap.alias("gap"), F.col("key").alias("k"), F.col("uid").alias("u"), F.col("size").alias("edge_size"))
+    behind = rows.join(small(edge, n), "skey").filter(
+        (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~_taken_before("k", "u") & (F.col("uid") != F.col("u")))
+    band = F.length(F.bin("size"))
+    first = behind.groupBy("skey", band.alias("band")).agg(F.min(F.struct("key", "uid", "size")).alias("x"))
+    bands = first.groupBy("skey").agg(F.reverse(F.sort_array(F.collect_list(F.struct("band", "x")))).alias("bands"))
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("fill"))
+
+    def step(acc: Column, row: Column) -> Column:
+        fits = row["x"]["size"] <= acc["gap"]
+        return F.struct((acc["gap"] - F.when(fits, row["x"]["size"]).otherwise(0)).alias("gap"),
+                        F.when(fits, F.concat(acc["fill"], F.array(row["x"]["uid"]))).otherwise(acc["fill"]).alias("fill"))
+
+    none = F.array().cast(bands.schema["bands"].dataType)
+    folded = edge.join(bands, "skey", "left").select(
+        "skey", "gap", "u", "edge_size", F.aggregate(F.coalesce("bands", none), start, step).alias("r"))
+    over = F.col("edge_size") - F.col("gap")
+    return folded.select("skey", F.when(over < F.col("r.gap"), F.array("u")).otherwise(F.col("r.fill")).alias("fill"))
+
+
+def cutoffs(rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
+    """For each source: epochs, and what the fractional epoch takes: the rows
+    before (cut_key, cut_uid) and those in ``fill``."""
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    state = sources.withColumn("epochs", F.least(epochs, F.lit(MAX_EPOCHS)).cast("long"))
+    state = stored(state.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "epochs")
+    n = state.count()
+    edges = _edges(rows, state, n)
+    cut = edges.select("skey", F.col("key").alias("cut_key"), F.col("uid").alias("cut_uid"))
+    fill = stored(_fillers(rows, edges, n), "fill")
+    return stored(state.join(small(cut, n), "skey", "left").join(small(fill, n), "skey", "left").select(
+        "skey", "source_size", "target", "epochs", "cut_key", "cut_uid", "fill"), "cuts"), n
 
 
 def _copies() -> Column:
-    return (F.col("epochs") + F.coalesce(F.col("pos") <= F.col("cut"), F.lit(False)).cast("long")).cast("long")
+    part = _taken_before("cut_key", "cut_uid") | F.array_contains("fill", F.col("uid"))
+    return (F.col("epochs") + F.coalesce(part, F.lit(False)).cast("long")).cast("long")
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for every document."""
-    rows = stored(drawn(docs), "draws")
+    rows = stored(drawn(docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("uid"))), "draws")
     cuts, n = cutoffs(rows, targets(rows))
     return rows.join(small(cuts, n), "skey").select(
         "doc_id", "size", "source_size", "target",
@@ -147,13 +190,15 @@ def plan(docs: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: every document's row as often as it is taken, with the
-    columns of ``docs``. The documents are not shuffled."""
-    rows = stored(drawn(docs), "draws")
+    columns of ``docs``. The documents are written once with their row numbers
+    and not shuffled."""
+    kept = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "mix-input")
+    view = kept.select("uid", "row.doc_id", "row.text", "row.source")
+    rows = stored(drawn(view), "draws")
     cuts, n = cutoffs(rows, targets(rows))
     weight = quality_weight(F.col("row.text"))
-    keyed = docs.select(F.struct("*").alias("row")).select(
-        "row", source_key(F.col("row.source")).alias("skey"),
-        draw_key(F.col("row.doc_id"), F.col("row.text"), weight).alias("pos"))
-    copies = keyed.join(small(cuts, n), "skey").select("row", _copies().cast("int").alias("_copies"))
-    return copies.filter("_copies > 0").select(
-        "row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    keyed = kept.select("row", "uid", source_key(F.col("row.source")).alias("skey"),
+                        draw_key(F.col("row.doc_id"), F.col("row.text"), weight).alias("key"))
+    copies = keyed.join(small(cuts, n), "skey").select("row", _copies().cast("int").alias("copies"))
+    return copies.filter("copies > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

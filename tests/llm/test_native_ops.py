@@ -117,6 +117,83 @@ def test_mixing_capped_sources_and_edges(spark):
     assert mixing.plan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_selection(rows):
+    """{doc_id: copies} of one source from (doc_id, size, key) and its target:
+    the prefix in key order, then one document of each size class that fits, or
+    the document at the edge if that comes closer."""
+    docs, target = rows
+    total = sum(s for _, s, _ in docs)
+    epochs = min(3, int(target // total)) if total else 0
+    rest, chosen = target - epochs * total, set()
+    behind, edge = [], None
+    for i, size, _ in sorted((d for d in docs if d[1] > 0), key=lambda d: d[2]) if rest > 0 else ():
+        if edge is None and size <= rest:
+            rest -= size
+            chosen.add(i)
+        elif edge is None:
+            edge = (i, size)
+            gap = rest
+        elif size <= gap:
+            behind.append((i, size))
+    if edge:
+        fill = []
+        for band in range(64, 0, -1):
+            first = next(((i, s) for i, s in behind if s.bit_length() == band), None)
+            if first and first[1] <= rest:
+                rest -= first[1]
+                fill.append(first[0])
+        chosen |= {edge[0]} if edge[1] - gap < rest else set(fill)
+    return {i: epochs + (i in chosen) for i, _, _ in docs}
+
+
+def check_selection(spark, docs):
+    from pyspark.sql import functions as F
+    keyed = mixing.drawn(docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("uid"))).collect()
+    rows = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    by = defaultdict(list)
+    for r in keyed:
+        by[r.skey].append((r.doc_id, r.size, r.key))
+    for same in by.values():
+        want = plain_selection((same, rows[same[0][0]].target))
+        assert {i: rows[i].copies for i in want} == want
+    return rows
+
+
+def test_selection_equals_plain_sampling(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    rows = check_selection(spark, docs)
+    source = {d.doc_id: d.source for d in docs.collect()}
+    taken, target = Counter(), {}
+    for i, r in rows.items():
+        taken[source[i]] += r.taken
+        target[source[i]] = r.target
+    # 50 documents a source: most gaps can be filled to 1%, one source has nothing small enough left
+    assert all(abs(taken[s] - t) <= 0.03 * t for s, t in target.items())
+    assert sum(abs(taken[s] - t) <= 0.01 * t for s, t in target.items()) >= len(target) - 1
+
+
+def test_selection_of_junk_heavy_and_one_size_sources(spark):
+    rows = [(i, "### $$$ %%% &&& " * (1 + i % 9), None, "junk", 0, 1, "", "") for i in range(500)]
+    rows += [(1000 + i, "five words of one size", None, "flat", 0, 1, "", "") for i in range(300)]
+    rows += [(2000 + i, "a " * (1 + i % 40), None, "mixed", 0, 1, "", "") for i in range(200)]
+    rows += [(3000, "w " * 5000, None, "one", 0, 1, "", ""), (3001, "", None, "none", 0, 1, "", "")]
+    check_selection(spark, spark.createDataFrame(rows, SCHEMA).repartition(5))
+
+
+def test_repeated_rows_meet_the_targets(spark):
+    """Rows equal in id and text are taken one by one."""
+    rows = [(7, "two words", None, f"s{i % 2}", 0, 1, "", "") for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    out = mixing.plan(docs.withColumn("lang", docs.source).drop("source").withColumnRenamed("lang", "source"))
+    got = {r.target: r.t for r in out.groupBy("target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    assert len(got) == 2 and all(abs(t - taken) <= 2 for t, taken in got.items())
+    mixed = Counter(r.source for r in mixing.mixed_rows(docs).collect())
+    assert sorted(2 * n for n in mixed.values()) == sorted(got.values())
+    one = spark.createDataFrame([(1, "a b c", None, "x", 0, 1, "", "")] * 300 + [(2, "a " * 50, None, "y", 0, 1, "", "")] * 40, SCHEMA)
+    got = {r.target: r.t for r in mixing.plan(one).groupBy("target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    assert all(abs(t - taken) <= 25 for t, taken in got.items())
+
+
 def test_exponential_keys_favour_heavy_documents(spark):
     from pyspark.sql import functions as F
     ids = spark.range(20000).select(F.col("id"), F.lit("t").alias("t"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("w"))
@@ -125,6 +202,32 @@ def test_exponential_keys_favour_heavy_documents(spark):
     assert 0.74 < heavy / 2000 < 0.86      # about 4 to 1 while few are taken
 
 
+NAMES = ("row text uid words lines bits _words _lines _searched N_WORDS fail_bits key size gap k u band cell part rest done epochs "
+         "fill copies skey cut_key tree at").split()
+
+
+def test_columns_of_any_name_do_not_matter(spark, sf):
+    """Columns that bear names used inside are carried or ignored."""
+    from pyspark.sql import functions as F
+
+    from sparsegrad.llm import decontaminate, neardup
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = [c for c in NAMES if c not in docs.columns]
+    wide = docs.withColumns({c: F.lit(f"x-{c}") for c in extra})
+    led = quality.ledger(wide)
+    assert sorted(led.columns) == sorted({*wide.columns, *quality.MEASURES, "fail_bits"} - {"N_WORDS"})
+    keep = [c for c in docs.columns] + list(quality.MEASURES) + ["fail_bits"]
+    plain = quality.ledger(docs).select(*keep).collect()
+    assert sorted(map(str, led.select(*keep).collect())) == sorted(map(str, plain))
+    assert led.select("words", "lines", "_words").distinct().collect() == [("x-words", "x-lines", "x-_words")]
+    marks = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for limit in (decontaminate.BROADCAST_SHINGLES, 1):
+        clean = decontaminate.clean_rows(wide, marks, limit=limit)
+        assert clean.columns == wide.columns and clean.count() == decontaminate.clean_rows(docs, marks).count()
+    for same in (mixing.mixed_rows(wide), neardup.Join(wide).kept_rows()):
+        assert same.columns == wide.columns and same.select("uid", "row").distinct().collect() == [("x-uid", "x-row")]
+
+
 def test_sharding_law(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     rows = queries.hash_tree_shards(spark, sf).collect()
