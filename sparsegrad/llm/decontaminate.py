@@ -149,10 +149,10 @@ def _clean(shared):
         index = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for a, _, some in tb.pieces(batch.column(batch.num_columns - 1)):
+            for a, _, some in tb.pieces(batch.column(1)):
                 keep[[a + d for d, _, _ in index.matches(some)]] = False
             if keep.any():
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+                yield batch.select([0]).filter(pa.array(keep))
 
     return run
 
@@ -209,7 +209,8 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     items = prepared(benchmark, threshold)
     shared = _shared_index(items, threshold, limit)
     if shared is not None:
-        return docs.select("*", F.col(text).alias("_searched")).mapInArrow(_clean(shared), docs.schema)
+        packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+        return packed.mapInArrow(_clean(shared), packed.select("row").schema).select("row.*")
     rows = stored(docs.select(F.struct("*").alias("row"), F.col(text).alias("text"),
                               F.monotonically_increasing_id().alias("uid")), "documents")
     found = _by_shuffle(rows, items, threshold).select("uid").distinct()

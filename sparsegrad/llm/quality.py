@@ -88,25 +88,28 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each document: its columns, the measurements and
     ``fail_bits`` (long). Narrow: no shuffle, no Python."""
     names = {*MEASURES, "fail_bits"}
-    keep = [c for c in docs.columns if c not in names]
-    t = F.coalesce(F.col(text), F.lit(""))
-    first = materialised(docs.select(*keep), _words=words_of(t),
-                         _lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    keep = [c for c in docs.columns if c.lower() not in names]
+    # the columns that are carried go through by number and cannot meet the names used here
+    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    first = materialised(packed, words=words_of(t),
+                         lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     long = lambda c: c.cast("long")
     measured = materialised(
         first,
-        n_words=long(F.size("_words")),
-        word_chars=long(F.length(F.array_join("_words", ""))),
+        n_words=long(F.size("words")),
+        word_chars=long(F.length(F.array_join("words", ""))),
         n_symbols=long(n_symbols(t)),
-        n_lines=long(F.size("_lines")),
-        n_dup_lines=long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        n_repeat_words=long(repeat_words(F.col("_words"))),
-        n_distinct_words=long(F.size(F.array_distinct("_words"))),
-    ).drop("_words", "_lines")
+        n_lines=long(F.size("lines")),
+        n_dup_lines=long(F.size("lines") - F.size(F.array_distinct("lines"))),
+        n_repeat_words=long(repeat_words(F.col("words"))),
+        n_distinct_words=long(F.size(F.array_distinct("words"))),
+    ).drop("words", "lines", "text")
     bits = F.lit(0).cast("long")
     for name, failed in RULES.items():
         bits = bits.bitwiseOR(F.when(failed(F.col), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long"))
-    return materialised(measured, fail_bits=bits)
+    return materialised(measured, fail_bits=bits).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "fail_bits")
 
 
 def mask_of(policy: str | tuple[str, ...]) -> int:
