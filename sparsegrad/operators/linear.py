@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..plans import rowlocal
+from ..plans.blocked import FeatureBlocks
 from ..plans.joins import lookup_join
 
 BIAS_IDX = 0
@@ -32,14 +33,28 @@ def entries(rows: DataFrame, keep: list[str], with_bias: bool = False) -> DataFr
     return rows.select(*keep, F.inline(feats))
 
 
+def placed(rows: DataFrame, d: int, **how) -> FeatureBlocks:
+    """The entries of ``rows`` (row_id unique) placed by feature block, for
+    operators that take ``blocks``: they send row-sized data, never entries.
+    Ids outside 1..d raise. ``release()`` drops the placed copy."""
+    _, n_entries, low, high = rowlocal.measured(rows)
+    if n_entries and (low < 1 or high > d):
+        raise ValueError(f"feature ids {low}..{high} are not all in 1..{d}")
+    return FeatureBlocks(rows.select(F.col("row_id").alias("rid"), "features"), d, **how)
+
+
 def scored(rows: DataFrame, weights: DataFrame, b: float = 0.0, *, d: int | None = None,
-           max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
+           max_weights: int = rowlocal.MAX_WEIGHTS, blocks: FeatureBlocks | None = None) -> DataFrame:
     """``rows`` with ``score = b + sum_k w[idx_k] * val_k`` (P1 with P4).
 
     ``d`` is the largest id of the weight table (read from it if not given);
     ids outside 1..d raise. Within ``max_weights`` the sum is row-local;
     beyond, entries meet their weights in a join with hot ids split off and
-    are summed by ``row_id``, which must then be unique."""
+    are summed by ``row_id``, which must then be unique. With ``blocks`` (see
+    ``placed``) partial scores of the placed entries are summed instead."""
+    if blocks is not None:
+        found = blocks.scores(rows.withColumnRenamed("row_id", "rid"), weights, b)
+        return found.withColumnRenamed("rid", "row_id").select(*rows.columns, "score")
     d = int(weights.agg(F.max("idx")).first()[0] or 0) if d is None else d
     if d <= max_weights:
         return rowlocal.with_scores(rows, rowlocal.weight_array(weights, d), b)
@@ -53,12 +68,12 @@ def scored(rows: DataFrame, weights: DataFrame, b: float = 0.0, *, d: int | None
 
 def sparse_scores(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
                   keep: list[str] | None = None, d: int | None = None,
-                  max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
+                  max_weights: int = rowlocal.MAX_WEIGHTS, blocks: FeatureBlocks | None = None) -> DataFrame:
     """Per-row score ``w . x + b`` (P1 with P4) as ``(row_id, keep..., score)``.
     Rows with an empty feature array score ``b``; duplicate ids add."""
     keep = [c for c in (keep or []) if c != "row_id"]
-    need = rows.select("row_id", *keep, "features")
-    return scored(need, weights, b, d=d, max_weights=max_weights).select("row_id", *keep, "score")
+    need = rows.select("row_id", *keep, *([] if blocks else ["features"]))
+    return scored(need, weights, b, d=d, max_weights=max_weights, blocks=blocks).select("row_id", *keep, "score")
 
 
 def dense_scores(rows: DataFrame, w: Column, x: str = "x", shifted: bool = False) -> DataFrame:
@@ -90,12 +105,16 @@ def dense_row_gradients(rows: DataFrame, coef: Column, x: str = "x") -> DataFram
 def sparse_row_gradients(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
                          coef: Callable[[], Column] = gd_coef, with_bias: bool = False,
                          weight: str | None = None, d: int | None = None,
-                         max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
+                         max_weights: int = rowlocal.MAX_WEIGHTS, blocks: FeatureBlocks | None = None) -> DataFrame:
     """Per-row sparse gradient entries ``(row_id, idx, g)``.
 
     ``g = coef * val`` for feature entries; with ``weight`` (P11) feature
     entries are ``coef * p * val`` while the bias entry stays ``coef``.
-    ``with_bias`` adds the bias entry (idx 0, value ``coef``)."""
+    ``with_bias`` adds the bias entry (idx 0, value ``coef``). With ``blocks``
+    the entries are made where they were placed."""
+    if blocks is not None:
+        read = rows.select(F.col("row_id").alias("rid"), "y", *([weight] if weight else []))
+        return blocks.row_gradients(read, weights, b, coef, weight, with_bias).withColumnRenamed("rid", "row_id")
     need = rows.select("row_id", "y", "features", *([weight] if weight else []))
     c = scored(need, weights, b, d=d, max_weights=max_weights).withColumn("_c", coef())
     factor = F.col("_c") * F.col(weight) if weight else F.col("_c")
@@ -131,13 +150,15 @@ _ARRAY_COEFFICIENTS = {gd_coef: rowlocal.gd_coefficients, primal_coef: rowlocal.
 
 def gradient(rows: DataFrame, weights: DataFrame, b: float = 0.0, *,
              coef: Callable[[], Column] = gd_coef, weight: str | None = None,
-             d: int | None = None, max_weights: int = rowlocal.MAX_WEIGHTS) -> DataFrame:
-    """A3 / A4: aggregated gradient ``(idx, g)``; idx 0 is the bias part.
+             d: int | None = None, max_weights: int = rowlocal.MAX_WEIGHTS, summed: bool = True) -> DataFrame:
+    """A3 / A4: aggregated gradient ``(idx, g)``; idx 0 is the bias part (not
+    ``summed``: an id may have a row for each task, as ``gradient_step`` takes).
     Filter rows first (F1) for the null-skipping form; an empty input gives
     an empty table, read as a zero gradient by ``apply_gradient``. ``rows``
     are sparse (``features``) or dense (``x``)."""
     d = int(weights.agg(F.max("idx")).first()[0] or 0) if d is None else d
     if d <= max_weights and coef in _ARRAY_COEFFICIENTS:
-        return rowlocal.gradient(rows, rowlocal.weight_array(weights, d), b, _ARRAY_COEFFICIENTS[coef], weight)
+        return rowlocal.gradient(rows, rowlocal.weight_array(weights, d), b, _ARRAY_COEFFICIENTS[coef], weight,
+                                 summed=summed)
     return sparse_sum(sparse_row_gradients(rows, weights, b, coef=coef, with_bias=True, weight=weight, d=d,
                                            max_weights=max_weights))

@@ -8,7 +8,10 @@ range is a window over that range alone.
 
 A draw u takes the first id whose cumulative weight exceeds ``u * total``
 (strict, so a zero-weight id is never drawn); a rounding overshoot past the end
-takes the last id of non-zero weight."""
+takes the last id of non-zero weight.
+
+Where draws need not be given from outside, an exponential race draws in one
+pass: every id has the key -ln(u_id) / weight, and the least key wins."""
 
 from __future__ import annotations
 
@@ -16,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..session import stored
 
 #: Rows of one id range, and draws that one task looks up in it, on average.
@@ -117,8 +121,17 @@ def weight_stats(df: DataFrame | None, key: str, weight) -> list:
     return [F.min(key), F.max(key), F.sum(w), F.max(F.when(w != 0, F.col(key)))]
 
 
+def _first_above(rows: list, offset: float, target: float):
+    """(first row, by id, whose running weight exceeds the target; the sum so far)."""
+    for row in sorted(rows):
+        offset += row["_w"]
+        if offset > target:
+            return row, offset
+    return None, offset
+
+
 def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None = None,
-               stats: tuple | None = None):
+               stats: tuple | None = None, unique: bool = False):
     """One draw as driver scalars: the first id whose cumulative weight
     exceeds ``u * total``. Returns ``(id, value_of_id)`` when ``value`` names a
     column, else the id; ``None`` ids when the total weight is 0.
@@ -127,7 +140,8 @@ def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None =
     weight, count and id bounds of at most ``BINS`` equal bins, and the bin
     that holds the target is cut again from its own bounds, until it has at
     most ``LAST_ROWS`` rows, which are summed in order. Ids with large gaps
-    only take another step. ``stats`` = (min id, max id, total, last non-zero
+    only take another step; with ``unique`` ids a range of at most
+    ``LAST_ROWS`` ids is summed at once. ``stats`` = (min id, max id, total, last non-zero
     id) may come from an earlier action (see ``weight_stats``)."""
     w = F.col(weight) if isinstance(weight, str) else weight
     lo, hi, total, last = stats if stats is not None else df.agg(*weight_stats(df, key, weight)).first()
@@ -137,6 +151,12 @@ def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None =
     base = df.select(F.col(key).alias("_key"), w.alias("_w"), *([F.col(value).alias("_v")] if value else []))
     chosen = None
     while lo is not None:
+        if lo == hi:        # one id, however many rows it has
+            chosen = base.where(F.col("_key") == F.lit(lo)).first()
+            break
+        if unique and hi - lo < LAST_ROWS:
+            chosen, offset = _first_above(base.where(F.col("_key").between(lo, hi)).collect(), offset, target)
+            break
         width = max(1, -(-(hi - lo + 1) // BINS))
         scope = base.where(F.col("_key").between(lo, hi))
         bins = scope.groupBy(F.floor((F.col("_key") - F.lit(lo)) / F.lit(width)).alias("_bin")).agg(
@@ -148,17 +168,38 @@ def sample_one(df: DataFrame, key: str, weight, u: float, *, value: str | None =
                 break
             offset += s
         if lo is not None and rows <= LAST_ROWS:
-            for row in sorted(base.where(F.col("_key").between(lo, hi)).collect()):
-                offset += row["_w"]
-                if offset > target:
-                    chosen = row
-                    break
+            chosen, offset = _first_above(base.where(F.col("_key").between(lo, hi)).collect(), offset, target)
             break
     if chosen is None:  # rounding overshoot past the end: last id of non-zero weight
         chosen = base.where(F.col("_key") == F.lit(last)).first()
     return (int(chosen["_key"]), float(chosen["_v"])) if value else int(chosen["_key"])
 
 
+def race_key(seed, key: Column, weight: Column) -> Column:
+    """Exponential race: -ln(1 - u) / weight with the seeded uniform u of
+    (seed, key); the least one wins with probability weight / total. Null
+    where the weight is 0, so such an id never wins."""
+    return F.when(weight > 0, -F.log1p(-S.seeded_uniform(seed, key)) / weight)
+
+
+def race_winner(seed, key: str, weight: Column, *values: str) -> Column:
+    """One draw as an aggregate expression, to be folded into an action that
+    reads the table anyway: struct (race, key, values...) of the winner."""
+    race = race_key(F.lit(seed), F.col(key), weight)
+    return F.min(F.when(race.isNotNull(), F.struct(race.alias("race"), key, *values)))
+
+
+def race_draws(df: DataFrame, key: str, weight, seed: int, draws: int, name: str | None = None) -> DataFrame:
+    """L1 / L2 in one pass: ``(draw, name)`` for draws 0 .. draws-1, each drawn
+    by ``race_winner`` with the seed ``seed:draw``. One aggregate over the
+    table, ``draws`` values a task; no cumulative sums, order or second pass."""
+    w = F.col(weight) if isinstance(weight, str) else weight
+    narrow = df.select(F.col(key).alias("_key"), w.cast("double").alias("_w"))
+    won = narrow.agg(*[race_winner(f"{seed}:{k}", "_key", F.col("_w")).alias(f"d{k}") for k in range(draws)])
+    each = F.array(*[F.struct(F.lit(k).cast("bigint").alias("draw"), F.col(f"d{k}._key").alias(name or key)) for k in range(draws)])
+    return won.select(F.inline(each))
+
+
 def running_mean(trace: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Running mean of ``value`` in ``order`` (trace tables have one row
     per iteration)."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.rowlocal import primal_coefficients
 from .linear import BIAS_IDX
 
 
@@ -55,8 +57,8 @@ def gradient_step(weights: DataFrame, grad: DataFrame, w_step: float, b: float,
     holding the new bias ``b + b_step * g0`` (absent when the gradient has no
     bias part, i.e. no active rows).
 
-    The weight table and the scaled gradient are unioned and summed per id: a
-    shuffle of at most 2D + 1 rows, nothing broadcast. Ids without a gradient
+    The weight table and the scaled gradient (which may have several rows for
+    an id) are unioned and summed per id: one shuffle, nothing broadcast. Ids without a gradient
     keep their weight; an id that the weight table lacks raises."""
     scale = F.when(F.col("idx") == BIAS_IDX, F.lit(float(b_step))).otherwise(F.lit(float(w_step)))
     summed = (weights.select("idx", "w", F.lit(1).alias("known"))
@@ -83,21 +85,37 @@ def normalise(rows: DataFrame, col: str = "p") -> tuple[DataFrame, float]:
     return rows.withColumn(col, F.col(col) / F.lit(norm)), norm
 
 
+#: Ids that are looked up in the weight table by a literal list.
+LIST_IDS = 10_000
+
+
 def single_row_step(rows: DataFrame, weights: DataFrame, b: float, row_id: int,
                     scale: float) -> DataFrame:
-    """``w += y * g(y (w.x + b)) / scale * x`` for the one sampled row.
-
-    Only that row's entries are joined to the weights (they are as few as
-    one row is wide): one scalar, the score, comes back, and a second join
-    adds the step. An id that the weight table lacks raises; so does a row id
-    that is not there exactly once."""
-    found = rows.where(F.col("row_id") == F.lit(int(row_id))).select("y", "features").take(2)
-    if len(found) != 1:
-        raise ValueError(f"row id {row_id} is there {'more than once' if found else 'not at all'}")
-    y, spark = float(found[0]["y"]), rows.sparkSession
-    own = spark.createDataFrame([(int(f["idx"]), float(f["val"])) for f in found[0]["features"]], "idx bigint, val double") \
-        .groupBy("idx").agg(F.sum("val").alias("val"))
-    score = own.join(weights.select("idx", "w"), "idx", "left").agg(
-        F.sum(F.col("val") * F.coalesce("w", _outside()))).first()[0] or 0.0
-    coef = spark.range(1).select(S.primal_coefficient(F.lit(y), F.lit(float(score) + b), scale)).first()[0]
+    """``w += y * g(y (w.x + b)) / scale * x`` for the one sampled row. A
+    row id that is not there exactly once raises."""
+    found = rows.where(F.col("row_id") == F.lit(int(row_id))).agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("y", "features")).alias("row")).first()
+    if found["n"] != 1:
+        raise ValueError(f"row id {row_id} is there {'more than once' if found['n'] else 'not at all'}")
+    return row_step(found["row"]["y"], found["row"]["features"], weights, b, scale)
+
+
+def row_step(y: float, features: list, weights: DataFrame, b: float, scale: float) -> DataFrame:
+    """U5 of a row at hand: the weights of its ids come back (as few as the row
+    is wide), and a join adds the step. An id that the weight table lacks
+    raises."""
+    y, spark = float(y), weights.sparkSession
+    x: dict[int, float] = {}
+    for f in features:
+        x[int(f["idx"])] = x.get(int(f["idx"]), 0.0) + float(f["val"])
+    own = spark.createDataFrame(list(x.items()), "idx bigint, val double")
+    if len(x) <= LIST_IDS:
+        w = {r["idx"]: r["w"] for r in weights.where(F.col("idx").isin(list(x))).select("idx", "w").collect()} if x else {}
+        if len(w) != len(x):
+            raise ValueError("gradient of a feature id that the weight table lacks")
+        score = sum(v * w[k] for k, v in x.items())
+    else:
+        score = own.join(weights.select("idx", "w"), "idx", "left").agg(
+            F.sum(F.col("val") * F.coalesce("w", _outside()))).first()[0]
+    coef = float(primal_coefficients(np.array([y]), np.array([score + b]))[0]) / scale
     return apply_gradient(weights, own.select("idx", (F.lit(coef) * F.col("val")).alias("g")), 1.0)

@@ -1,14 +1,20 @@
-"""Gradient plan for models whose weight vector is too large to broadcast.
+"""Scores and gradients for models whose weight vector is too large to broadcast.
 
-Entries are placed once: block = a range of ``block_size`` feature ids, cut
+Entries are placed once. A block is a range of ``block_size`` feature ids, cut
 into parts by row so that a block with hot features is spread over tasks. A
-(block, part) cell is one packed, cached record. In an iteration only
-
-* each block's weights travel to its cells,
+(block, part) cell is one packed, cached record with dictionaries of its own:
+its distinct rows, its distinct ids in order, and for each entry a place in
+both. A routing table, made from the dictionaries and cached by ranges of
+``CHUNK`` ids, says which cells use which ids. In an iteration only
+
+* weights move to the routing table, in chunks;
+* a cell is sent the weights of the ids that it holds and no others, in the
+  order of its dictionary (8 bytes for each distinct (cell, id) pair);
 * a cell sends one partial score for each of its rows,
 * and gets one coefficient for each of its rows back.
 
-The gradient is summed inside the cells. Entries never move again."""
+The gradient is summed inside the cells. Entries and dictionaries never move
+again."""
 
 from __future__ import annotations
 
@@ -25,87 +31,176 @@ from ..session import ensure_checkpoint_dir
 #: Feature ids of a block and entries of a cell, on average.
 BLOCK_SIZE = 1_000_000
 CELL_ENTRIES = 1_000_000
+#: Feature ids of one record of the routing table, at most.
+CHUNK = 4096
+
+CELL = "cell long, block long, rid array<long>, id array<int>, r array<int>, i array<int>, val array<double>"
 
 
 class FeatureBlocks:
-    """Sparse rows (rid unique, y, features) placed by feature block."""
+    """Sparse rows (rid unique, features) placed by feature block. ``rows``
+    arguments of the methods hold ``rid`` and what the coefficient reads."""
 
     def __init__(self, rows: DataFrame, d: int, block_size: int = BLOCK_SIZE, cell_entries: int = CELL_ENTRIES):
+        spark = rows.sparkSession
         self.block_size, self.d = block_size, d
+        self.chunk = min(CHUNK, block_size)
+        self._held: DataFrame | None = None
         entries = rows.select("rid", F.inline("features")).withColumn(
             "block", F.floor((F.col("idx") - 1) / F.lit(block_size)))
         counts = entries.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-        self.parts = counts.select("block", F.ceil(F.col("n") / F.lit(cell_entries)).cast("int").alias("parts")).persist(
-            StorageLevel.MEMORY_AND_DISK)
         # D / block_size rows
-        placed = entries.join(F.broadcast(self.parts), "block").withColumn(
+        parts = counts.select("block", F.ceil(F.col("n") / F.lit(cell_entries)).cast("int").alias("parts")).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        placed = entries.join(F.broadcast(parts), "block").withColumn(
             "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
         offset = (F.col("idx") - 1 - F.col("block") * F.lit(block_size)).cast("int")
         cells = placed.groupBy("block", "part").agg(F.collect_list(F.struct("rid", offset.alias("o"), "val")).alias("e"))
-        ensure_checkpoint_dir(rows.sparkSession)
-        self.cells = cells.select("block", "part", F.col("e.rid"), F.col("e.o"), F.col("e.val")).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        ensure_checkpoint_dir(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        packed = cells.select("block", "part", F.col("e.rid"), F.col("e.o"), F.col("e.val")).mapInArrow(_pack, CELL)
+        # partitioned by a column of their own, so later joins leave them where they are
+        self.cells = packed.repartition(n, "cell").persist(StorageLevel.MEMORY_AND_DISK)
         self.cells.count()
+        parts.unpersist()
+        self.routes = self.cells.select("cell", "block", "id").mapInArrow(
+            _routes(self.chunk, -(-block_size // self.chunk)), "chunk long, cell long, first int, at array<int>") \
+            .repartition(n, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
+        self.routes.count()
 
     def release(self) -> None:
-        self.cells.unpersist()
-        self.parts.unpersist()
+        for df in (self.cells, self.routes, self._held):
+            if df is not None:
+                df.unpersist()
+        self._held = None
+
+    def _chunk_of(self, idx: Column) -> Column:
+        """Chunks are numbered inside their block, which need not be a multiple of them."""
+        block = F.floor((idx - 1) / F.lit(self.block_size))
+        inside = F.floor((idx - 1 - block * F.lit(self.block_size)) / F.lit(self.chunk))
+        return block * F.lit(-(-self.block_size // self.chunk)) + inside
+
+    def routed(self, weights: DataFrame) -> DataFrame:
+        """(cell, w): the weights of the cell's own ids, in their order."""
+        chunks = weights.select(self._chunk_of(F.col("idx")).alias("chunk"), F.struct("idx", "w").alias("x")) \
+            .groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("w"))
+        used = self.routes.join(chunks, "chunk").select(
+            "cell", F.struct("first", F.transform("at", lambda k: F.get("w", k)).alias("w")).alias("x"))
+        return used.groupBy("cell").agg(
+            F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"])).alias("w"))
+
+    def _partial(self, weights: DataFrame) -> DataFrame:
+        return self.cells.join(self.routed(weights), "cell").select("cell", "rid", "r", "i", "val", "w").mapInArrow(
+            _partial_scores, "cell long, rid long, s double")
+
+    def scores(self, rows: DataFrame, weights: DataFrame, b: float) -> DataFrame:
+        """``rows`` with ``score`` and ``cells``, the cells of the row (null for
+        a row without entries). ``weights`` holds every id 1..D once."""
+        seen = self._partial(weights).groupBy("rid").agg(F.sum("s").alias("s"), F.collect_list("cell").alias("cells"))
+        total = F.coalesce("s", F.lit(0.0)) + F.lit(float(b))
+        return rows.join(seen, "rid", "left").withColumn("score", total).drop("s")
+
+    def _coefficients(self, rows: DataFrame, weights: DataFrame, b: float, coef: Callable[[], Column], weight: str | None):
+        """(rid, cells, c, f) held until the next call: it is read twice."""
+        if self._held is not None:
+            self._held.unpersist()
+        c = self.scores(rows, weights, b).withColumn("c", coef())
+        factor = F.col("c") * F.col(weight) if weight else F.col("c")
+        self._held = c.select("rid", "cells", "c", factor.alias("f")).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._held
 
-    def _with_weights(self, weights: DataFrame) -> DataFrame:
-        packed = weights.select(F.floor((F.col("idx") - 1) / F.lit(self.block_size)).alias("block"),
-                                F.struct((F.col("idx") - 1).alias("i"), "w").alias("x")) \
-            .groupBy("block").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("w"))
-        spread = packed.join(F.broadcast(self.parts), "block").select(
-            "block", "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        return self.cells.join(spread, ["block", "part"])
+    def _back(self, c: DataFrame) -> DataFrame:
+        """Cells with the factors of their rows."""
+        sent = c.select("rid", "f", F.explode("cells").alias("cell")).groupBy("cell").agg(
+            F.collect_list(F.struct("rid", "f")).alias("back"))
+        return self.cells.join(sent, "cell").select("block", "rid", "id", "r", "i", "val", "back")
 
     def gradient(self, rows: DataFrame, weights: DataFrame, b: float, coef: Callable[[], Column],
                  weight: str | None = None) -> DataFrame:
         """(idx, g) with the bias part at idx 0, over ``rows`` (rid, y and the
-        weight column): the active rows if some are filtered out. ``weights``
-        holds every id 1..D once."""
-        partial = self._with_weights(weights).select("block", "part", "rid", "o", "val", "w").mapInArrow(
-            _partial_scores, "block long, part int, rid long, s double")
-        seen = partial.groupBy("rid").agg(F.sum("s").alias("s"), F.collect_list(F.struct("block", "part")).alias("cells"))
-        scored = rows.join(seen, "rid", "left").withColumn("score", F.coalesce("s", F.lit(0.0)) + F.lit(float(b)))
-        c = scored.select("rid", "cells", coef().alias("c"), *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
-        factor = F.col("c") * F.col(weight) if weight else F.col("c")
-        sent = c.select("rid", factor.alias("f"), F.inline("cells")).groupBy("block", "part").agg(
-            F.collect_list(F.struct("rid", "f")).alias("back"))
-        sums = self.cells.join(sent, ["block", "part"]).select(
-            "block", "rid", "o", "val", "back").mapInArrow(_cell_sums(self.block_size), "idx long, g double")
+        weight column): the active rows if some are filtered out. Valid until
+        the next call or ``release``; after that it is worked out anew."""
+        c = self._coefficients(rows, weights, b, coef, weight)
+        sums = self._back(c).mapInArrow(_cell_sums(self.block_size), "idx long, g double")
         bias = c.agg(F.sum("c").alias("g")).where(F.col("g").isNotNull()).select(F.lit(0).cast("bigint").alias("idx"), "g")
         return sums.groupBy("idx").agg(F.sum("g").alias("g")).unionByName(bias)
 
+    def row_gradients(self, rows: DataFrame, weights: DataFrame, b: float, coef: Callable[[], Column],
+                      weight: str | None = None, with_bias: bool = False) -> DataFrame:
+        """(rid, idx, g): the gradient entries of each row, made where the
+        entries lie; repeated ids of a row stay apart."""
+        c = self._coefficients(rows, weights, b, coef, weight)
+        out = self._back(c).mapInArrow(_cell_entries(self.block_size), "rid long, idx long, g double")
+        if with_bias:
+            out = out.unionByName(c.select("rid", F.lit(0).cast("bigint").alias("idx"), F.col("c").alias("g")))
+        return out
 
-def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    return [x.values.to_numpy(zero_copy_only=False) for x in batch.column(name)]
 
+def _lists(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
+    """For each record the arrays of some list columns."""
+    return zip(*[[x.values.to_numpy(zero_copy_only=False) for x in batch.column(n)] for n in names])
 
-def _partial_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells with dictionaries: distinct rows and ids, and places in them."""
     for batch in batches:
-        cells = zip(batch.column("block"), batch.column("part"), *[_lists(batch, n) for n in ("rid", "o", "val", "w")])
-        for block, part, rid, o, val, w in cells:
-            rows, which = np.unique(rid, return_inverse=True)
-            s = np.bincount(which, w[o] * val, len(rows))
-            n = len(rows)
+        for block, part, (rid, o, val) in zip(batch.column("block"), batch.column("part"), _lists(batch, "rid", "o", "val")):
+            rows, r = np.unique(rid, return_inverse=True)
+            ids, i = np.unique(o, return_inverse=True)
+            cell = block.as_py() << 32 | part.as_py()
+            one = lambda x, kind: pa.array([x.astype(kind)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block.as_py())), pa.array(np.full(n, part.as_py(), np.int32)), pa.array(rows), pa.array(s)],
-                names=["block", "part", "rid", "s"])
+                [pa.array([cell]), pa.array([block.as_py()]), one(rows, np.int64), one(ids, np.int32), one(r, np.int32),
+                 one(i, np.int32), one(val, np.float64)], names=["cell", "block", "rid", "id", "r", "i", "val"])
+
+
+def _routes(chunk: int, chunks: int):
+    """A cell's ids, one record for each chunk of ids that it touches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, block, (ids,) in zip(batch.column("cell"), batch.column("block"), _lists(batch, "id")):
+                which, first = np.unique(ids // chunk, return_index=True)
+                at = [x.astype(np.int32) for x in np.split(ids % chunk, first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(which.astype(np.int64) + block.as_py() * chunks), pa.array(np.full(len(which), cell.as_py())),
+                     pa.array(first.astype(np.int32)), pa.array(at, pa.list_(pa.int32()))], names=["chunk", "cell", "first", "at"])
+    return run
+
+
+def _partial_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cell, (rid, r, i, val, w) in zip(batch.column("cell"), _lists(batch, "rid", "r", "i", "val", "w")):
+            s = np.bincount(r, w[i] * val, len(rid))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), cell.as_py())), pa.array(rid), pa.array(s)],
+                                             names=["cell", "rid", "s"])
+
+
+def _factors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """For each cell the factor of each of its rows; rows that are not active
+    have none and count as 0."""
+    for k, (rid,) in enumerate(_lists(batch, "rid")):
+        back = batch.column("back")[k].values
+        out = np.zeros(len(rid))
+        out[np.searchsorted(rid, back.field("rid").to_numpy())] = back.field("f").to_numpy()
+        yield out
 
 
 def _cell_sums(block_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (block, rid, o, val) in enumerate(zip(batch.column("block"), *[_lists(batch, n) for n in ("rid", "o", "val")])):
-                back = batch.column("back")[i].values
-                who, f = back.field("rid").to_numpy(), back.field("f").to_numpy()
-                order = np.argsort(who)
-                who, f = who[order], f[order]
-                slot = np.minimum(np.searchsorted(who, rid), len(who) - 1)
-                factor = np.where(who[slot] == rid, f[slot], 0.0)       # rows that are not active send nothing
-                ids, which = np.unique(o, return_inverse=True)
-                g = np.bincount(which, factor * val, len(ids))
+            for block, f, (ids, r, i, val) in zip(batch.column("block"), _factors(batch), _lists(batch, "id", "r", "i", "val")):
+                g = np.bincount(i, f[r] * val, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64) + 1 + block.as_py() * block_size), pa.array(g)],
                                                  names=["idx", "g"])
     return run
+
+
+def _cell_entries(block_size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = zip(batch.column("block"), _factors(batch), _lists(batch, "rid", "id", "r", "i", "val"))
+            for k, (block, f, (rid, ids, r, i, val)) in enumerate(cells):
+                active = np.isin(rid, batch.column("back")[k].values.field("rid").to_numpy())[r]
+                idx = ids[i].astype(np.int64) + 1 + block.as_py() * block_size
+                yield pa.RecordBatch.from_arrays([pa.array(x[active]) for x in (rid[r], idx, f[r] * val)], names=["rid", "idx", "g"])
+    return run

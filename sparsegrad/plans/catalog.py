@@ -28,6 +28,8 @@ SEED = 42                   # uniform initialisation seed
 ITERS = 3                   # trainer iterations
 U_FEATURE = 0.37            # feature draw of the trainers
 U_ROW = 0.61                # row draw of the sampled trainer and the single-row step
+BLOCK = 7                   # feature ids of a block in the checks of the blocked plan
+RACE_SEED = 17              # seed of the raced draws
 N_DRAWS = 100               # sampling checks: draws u = k/100, k = 0..99
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +162,13 @@ def q_score_sparse(spark, sf):
     return _scores_e(spark, sf).select("row_id", _r6(F.col("score")).alias("score"))
 
 
+def q_score_sparse_blocked(spark, sf):
+    """P1 P4 J1 beyond the broadcast limit: partial scores of placed entries."""
+    rows, d = fx.sparse_rows_with_empty(spark, sf), fx.feature_count(spark, sf)
+    blocks = linear.placed(rows, d, block_size=BLOCK)
+    return linear.sparse_scores(rows, fx.fx_weights(spark, d), BIAS, blocks=blocks).select("row_id", _r6(F.col("score")).alias("score"))
+
+
 def q_score_dense(spark, sf):
     """Dense w.x over FX-D."""
     rows = fx.dense_rows(spark, sf)
@@ -232,6 +241,14 @@ def q_row_grad_weighted(spark, sf):
     return _weighted_grad(spark, sf, False).select("row_id", "idx", _r6(F.col("g")).alias("g"))
 
 
+def q_row_grad_weighted_blocked(spark, sf):
+    """P11 J2 over placed entries."""
+    rows, d = _fxp(spark, sf)
+    g = linear.sparse_row_gradients(rows, fx.fx_weights(spark, d), BIAS, coef=linear.primal_coef, with_bias=True,
+                                    weight="p", blocks=linear.placed(rows, d, block_size=BLOCK))
+    return g.select("row_id", "idx", _r6(F.col("g")).alias("g"))
+
+
 def q_active_rows(spark, sf):
     """rows with p > r/N."""
     rows, _ = _fxp(spark, sf)
@@ -468,7 +485,7 @@ def q_train_gd_bias(spark, sf):
 
 def q_train_gd_bias_blocked(spark, sf):
     """T2 by the plan for models too large to broadcast, with small blocks."""
-    return _weights_out(_t2(spark, sf, max_weights=0, block_size=7))
+    return _weights_out(_t2(spark, sf, max_weights=0, block_size=BLOCK))
 
 
 def q_trace_gd_bias(spark, sf):
@@ -476,13 +493,28 @@ def q_trace_gd_bias(spark, sf):
     return _trace_out(_t2(spark, sf), ["iter", "w1", "w2", "b"])
 
 
-def _t3(spark, sf, r: int | None = None):
+def q_train_gd_bias_whole_step(spark, sf):
+    """T2 with the reference's own steps of -1: w and b over max(1, |w|)."""
+    rows, d = _sparse(spark, sf)
+    return _unit_out(trainers.train_gd(rows, d, ITERS, fit_bias=True))
+
+
+def _unit_out(m: trainers.Model) -> DataFrame:
+    """The direction of a model whose weights grow with N: all over |w|."""
+    out = m.weights.unionByName(m.weights.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("idx"), F.lit(float(m.b)).alias("w")))
+    norm = norms.l2_norm(m.weights, "w") or 1.0
+    return out.select("idx", _r6(F.col("w") / F.lit(norm)).alias("w"))
+
+
+def _t3(spark, sf, r: int | None = None, **how):
     """Over FX-E (empty vectors too); r = floor(sqrt(N)) makes the starting
     weights just active, later iterations split the rows."""
     rows = fx.sparse_rows_with_empty(spark, sf)
     n = rows.count()
+    how = {"u": U_FEATURE, "w_step": 1.0, "b_step": 1.0 / n} | how
     return trainers.train_primal_dual(rows, fx.feature_count(spark, sf), ITERS, eta=ETA,
-                                      r=math.isqrt(n) if r is None else r, u=U_FEATURE, w_step=1.0, b_step=1.0 / n)
+                                      r=math.isqrt(n) if r is None else r, **how)
 
 
 def q_train_primal_dual(spark, sf):
@@ -490,6 +522,21 @@ def q_train_primal_dual(spark, sf):
     return _weights_out(_t3(spark, sf))
 
 
+def q_train_primal_dual_blocked(spark, sf):
+    """T3 by the plan for models too large to broadcast."""
+    return _weights_out(_t3(spark, sf, max_weights=0, block_size=BLOCK))
+
+
+def q_train_primal_dual_whole_step(spark, sf):
+    """T3 with the default step w += N sum, b += sum: w and b over |w|."""
+    return _unit_out(_t3(spark, sf, w_step=None, b_step=1.0))
+
+
+def q_train_primal_dual_race(spark, sf):
+    """T3 with raced draws."""
+    return _weights_out(_t3(spark, sf, u=None, seed=RACE_SEED))
+
+
 def q_train_none_active(spark, sf):
     """T3 with a threshold that no row reaches: nothing moves."""
     return _weights_out(_t3(spark, sf, r=10 ** 9))
@@ -506,6 +553,25 @@ def q_train_sampled(spark, sf):
     return _weights_out(m, 0, m.b_avg)
 
 
+def q_train_sampled_race(spark, sf):
+    """T4 with raced draws of rows and features."""
+    rows, d = _sparse(spark, sf)
+    m = trainers.train_sampled(rows, d, ITERS, seed=RACE_SEED, eta=ETA)
+    return _weights_out(m, 0, m.b_avg)
+
+
+def q_sample_feature_race(spark, sf):
+    """L1 as an exponential race: 100 draws of w^2 in one pass."""
+    w = _data_weights(spark, sf)
+    return sample.race_draws(w, "idx", F.col("w") * F.col("w"), RACE_SEED, N_DRAWS, "j")
+
+
+def q_sample_row_race(spark, sf):
+    """L2 as an exponential race: 100 draws of p^2 in one pass."""
+    rows, _ = _fxp(spark, sf)
+    return sample.race_draws(rows, "row_id", F.col("p") * F.col("p"), RACE_SEED, N_DRAWS, "i")
+
+
 def q_bias_running_mean(spark, sf):
     """Running mean of the sampled trainer's bias over iterations."""
     m = _t4(spark, sf)
@@ -539,6 +605,7 @@ QUERIES: dict[str, Query] = {
     "parse_positional": q_parse_positional,
     "parse_dense_last_wins": q_parse_dense_last_wins,
     "score_sparse": q_score_sparse,
+    "score_sparse_blocked": q_score_sparse_blocked,
     "score_dense": q_score_dense,
     "score_shifted": q_score_shifted,
     "coef_gd": q_coef_gd,
@@ -547,6 +614,7 @@ QUERIES: dict[str, Query] = {
     "row_grad_sparse": q_row_grad_sparse,
     "row_grad_bias": q_row_grad_bias,
     "row_grad_weighted": q_row_grad_weighted,
+    "row_grad_weighted_blocked": q_row_grad_weighted_blocked,
     "active_rows": q_active_rows,
     "sum_dense": q_sum_dense,
     "sum_sparse": q_sum_sparse,
@@ -563,6 +631,8 @@ QUERIES: dict[str, Query] = {
     "cum_weight": q_cum_weight,
     "sample_feature": q_sample_feature,
     "sample_row": q_sample_row,
+    "sample_feature_race": q_sample_feature_race,
+    "sample_row_race": q_sample_row_race,
     "bias_sign": q_bias_sign,
     "bias_running_mean": q_bias_running_mean,
     "step_weights": q_step_weights,
@@ -580,7 +650,12 @@ QUERIES: dict[str, Query] = {
     "trace_gd": q_trace_gd,
     "trace_gd_bias": q_trace_gd_bias,
     "train_primal_dual": q_train_primal_dual,
+    "train_gd_bias_whole_step": q_train_gd_bias_whole_step,
+    "train_primal_dual_blocked": q_train_primal_dual_blocked,
+    "train_primal_dual_whole_step": q_train_primal_dual_whole_step,
+    "train_primal_dual_race": q_train_primal_dual_race,
     "train_sampled": q_train_sampled,
+    "train_sampled_race": q_train_sampled_race,
     "model_rows": q_model_rows,
     "model_text": q_model_text,
     "train_trace": q_train_trace,

@@ -403,7 +403,28 @@ def _pick(table: str, key: str, weight: str, u: float, alias: str) -> str:
                sum({weight}) OVER () AS tot FROM {table}))"""
 
 
-def _t3_ctes(r: str = "floor(sqrt((SELECT n FROM ne)))") -> tuple[list[str], str]:
+def _race(table: str, key: str, weight: str, tag: str, alias: str) -> str:
+    """Winner of the exponential race with the seeded uniform of ``tag``."""
+    u = f"('0x' || substr(md5('{tag}:' || {key}::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
+    return f"""(SELECT arg_min({key}, -ln(1.0 - {u}) / ({weight})) AS {alias} FROM {table} WHERE {weight} > 0)"""
+
+
+def _race_draws(table: str, key: str, weight: str, alias: str) -> str:
+    u = f"('0x' || substr(md5('{C.RACE_SEED}:' || k || ':' || {key}::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
+    return f"""SELECT k AS draw, arg_min({key}, -ln(1.0 - {u}) / ({weight})) AS {alias}
+FROM {table}, (SELECT unnest(range({C.N_DRAWS})) AS k) WHERE {weight} > 0 GROUP BY k"""
+
+
+def sample_feature_race_sql() -> str:
+    return _with(*BASE, DW) + _race_draws("dw", "idx", "w * w", "j")
+
+
+def sample_row_race_sql() -> str:
+    return _with(*BASE, FXP) + _race_draws("rp", "row_id", "p * p", "i")
+
+
+def _t3_ctes(r: str = "floor(sqrt((SELECT n FROM ne)))", w_step: str = "1.0", b_step: str = "(1.0 / (SELECT n FROM ne))",
+             race: bool = False) -> tuple[list[str], str]:
     """Over every order; those without line items have empty vectors."""
     ctes = ["ne AS (SELECT count(*) AS n FROM lab)",
             "w0 AS MATERIALIZED (SELECT unnest(range(1::BIGINT, (SELECT d FROM dim) + 1)) AS idx, 0.0::DOUBLE AS w)",
@@ -419,12 +440,14 @@ def _t3_ctes(r: str = "floor(sqrt((SELECT n FROM ne)))") -> tuple[list[str], str
         ctes.append(f"c{t} AS MATERIALIZED (SELECT row_id, p, y * {_g('y * score')} AS c FROM s{t})")
         ctes.append(f"""g{t} AS MATERIALIZED (SELECT f.idx, sum(c.c * c.p * f.val) AS g FROM fxs f
   JOIN c{t} c USING (row_id) GROUP BY f.idx)""")
-        ctes.append(f"""w{t} AS MATERIALIZED (SELECT w.idx, w.w + 1.0 * coalesce(g.g, 0.0) AS w
+        ctes.append(f"""w{t} AS MATERIALIZED (SELECT w.idx, w.w + {w_step} * coalesce(g.g, 0.0) AS w
   FROM w{p} w LEFT JOIN g{t} g USING (idx))""")
         ctes.append(f"""b{t} AS MATERIALIZED (SELECT (SELECT b FROM b{p})
-  + (1.0 / (SELECT n FROM ne)) * (SELECT coalesce(sum(c), 0.0) FROM c{t}) AS b)""")
+  + {b_step} * (SELECT coalesce(sum(c), 0.0) FROM c{t}) AS b)""")
+        pick = (_race(f"w{t}", "idx", "w * w", f"{C.RACE_SEED}:w{t}", "j") if race
+                else _pick(f"w{t}", "idx", "w * w", C.U_FEATURE, "j"))
         ctes.append(f"""j{t} AS MATERIALIZED (SELECT k.j, (SELECT sum(w * w) FROM w{t}) AS len,
-  (SELECT w FROM w{t} WHERE idx = k.j) AS wj FROM {_pick(f'w{t}', 'idx', 'w * w', C.U_FEATURE, 'j')} k)""")
+  (SELECT w FROM w{t} WHERE idx = k.j) AS wj FROM {pick} k)""")
         s = (f"CASE WHEN jj.wj <> 0 THEN coalesce(f.val, 0.0) * jj.len / jj.wj ELSE 0.0 END"
              f" + (SELECT b FROM b{t}) * r.y")
         ctes.append(f"""q{t} AS MATERIALIZED (SELECT r.row_id, q.p * {_factor(s)} AS p
@@ -437,8 +460,27 @@ def _t3_ctes(r: str = "floor(sqrt((SELECT n FROM ne)))") -> tuple[list[str], str
     return ctes, "\nUNION ALL ".join(trace)
 
 
-def train_primal_dual_sql() -> str:
-    ctes, _ = _t3_ctes()
+def _unit(w: str, b: str) -> str:
+    return f""", nrm AS (SELECT sqrt(sum(w * w)) AS r FROM {w})
+SELECT idx, round(w / r, 6) AS w FROM {w}, nrm UNION ALL SELECT 0::BIGINT AS idx, round(b / r, 6) AS w FROM {b}, nrm"""
+
+
+def train_gd_bias_whole_step_sql() -> str:
+    ctes, w, b = _gd_unrolled("fxs", "ry", "SELECT d FROM dim", "1", shifted=False, fit_bias=True, uniform=False)
+    return _with(*BASE, *ctes).rstrip() + _unit(w, b)
+
+
+def train_primal_dual_whole_step_sql() -> str:
+    ctes, _ = _t3_ctes(w_step="(SELECT n FROM ne)", b_step="1.0")
+    return _with(*BASE, *ctes).rstrip() + _unit(f"w{C.ITERS}", f"b{C.ITERS}")
+
+
+def train_primal_dual_race_sql() -> str:
+    return train_primal_dual_sql(race=True)
+
+
+def train_primal_dual_sql(**how) -> str:
+    ctes, _ = _t3_ctes(**how)
     w, b = f"w{C.ITERS}", f"b{C.ITERS}"
     return _with(*BASE, *ctes) + f"""SELECT idx, round(w, 6) AS w FROM {w}
 UNION ALL SELECT 0::BIGINT AS idx, round(b, 6) AS w FROM {b}"""
@@ -454,7 +496,7 @@ def train_trace_sql() -> str:
     return _with(*BASE, *ctes) + trace
 
 
-def _t4_ctes() -> tuple[list[str], list[str]]:
+def _t4_ctes(race: bool = False) -> tuple[list[str], list[str]]:
     scale = math.sqrt(2.0 * C.ITERS)
     clip = 1.0 / C.ETA
     ctes = ["w0 AS MATERIALIZED (SELECT unnest(range(1::BIGINT, (SELECT d FROM dim) + 1)) AS idx, 0.0::DOUBLE AS w)",
@@ -463,7 +505,11 @@ def _t4_ctes() -> tuple[list[str], list[str]]:
     trace = []
     for t in range(1, C.ITERS + 1):
         p = t - 1
-        ctes.append(f"i{t} AS MATERIALIZED {_pick(f'p{p}', 'row_id', 'p * p', C.U_ROW, 'i')}")
+        row = (_race(f"p{p}", "row_id", "p * p", f"{C.RACE_SEED}:{t}", "i") if race
+               else _pick(f"p{p}", "row_id", "p * p", C.U_ROW, "i"))
+        feature = (_race(f"w{t}", "idx", "w * w", f"{C.RACE_SEED}:w{t}", "j") if race
+                   else _pick(f"w{t}", "idx", "w * w", C.U_FEATURE, "j"))
+        ctes.append(f"i{t} AS MATERIALIZED {row}")
         ctes.append(f"""o{t} AS MATERIALIZED (SELECT f.idx, f.val, f.y FROM fxs f WHERE f.row_id = (SELECT i FROM i{t}))""")
         ctes.append(f"""sc{t} AS MATERIALIZED (SELECT any_value(o.y) AS y,
   sum(o.val * w.w) + (SELECT b FROM b{p}) AS score FROM o{t} o JOIN w{p} w USING (idx))""")
@@ -477,7 +523,7 @@ def _t4_ctes() -> tuple[list[str], list[str]]:
   ((SELECT b_avg FROM b{p}) * {t - 1} + sign(sum(q.p * r.y))::DOUBLE) / {t} AS b_avg
   FROM p{p} q JOIN ry r USING (row_id))""")
         ctes.append(f"""j{t} AS MATERIALIZED (SELECT k.j, CASE WHEN (SELECT sum(w * w) FROM w{t}) > 0 THEN 1.0 ELSE 0.0 END AS len,
-  (SELECT w FROM w{t} WHERE idx = k.j) AS wj FROM {_pick(f'w{t}', 'idx', 'w * w', C.U_FEATURE, 'j')} k)""")
+  (SELECT w FROM w{t} WHERE idx = k.j) AS wj FROM {feature} k)""")
         s = (f"CASE WHEN jj.wj <> 0 THEN coalesce(f.val, 0.0) * jj.len / jj.wj ELSE 0.0 END"
              f" + (SELECT b FROM b{t}) * r.y")
         ctes.append(f"""q{t} AS MATERIALIZED (SELECT r.row_id, q.p * {_factor(_clip(s, clip))} AS p
@@ -488,8 +534,12 @@ def _t4_ctes() -> tuple[list[str], list[str]]:
     return ctes, trace
 
 
-def train_sampled_sql() -> str:
-    ctes, _ = _t4_ctes()
+def train_sampled_race_sql() -> str:
+    return train_sampled_sql(race=True)
+
+
+def train_sampled_sql(race: bool = False) -> str:
+    ctes, _ = _t4_ctes(race)
     return _with(*BASE, *ctes) + f"""SELECT idx, round(w, 6) AS w FROM w{C.ITERS}
 UNION ALL SELECT 0::BIGINT AS idx, round(b_avg, 6) AS w FROM b{C.ITERS}"""
 
@@ -507,6 +557,7 @@ ORACLES: dict[str, str] = {
     "parse_positional": parse_positional_sql(),
     "parse_dense_last_wins": parse_dense_last_wins_sql(),
     "score_sparse": score_sparse_sql(),
+    "score_sparse_blocked": score_sparse_sql(),
     "score_dense": score_dense_sql(),
     "score_shifted": score_shifted_sql(),
     "coef_gd": coef_gd_sql(),
@@ -515,6 +566,7 @@ ORACLES: dict[str, str] = {
     "row_grad_sparse": row_grad_sparse_sql(),
     "row_grad_bias": row_grad_bias_sql(),
     "row_grad_weighted": row_grad_weighted_sql(),
+    "row_grad_weighted_blocked": row_grad_weighted_sql(),
     "active_rows": active_rows_sql(),
     "sum_dense": sum_dense_sql(),
     "sum_sparse": sum_sparse_sql(),
@@ -531,6 +583,8 @@ ORACLES: dict[str, str] = {
     "cum_weight": cum_weight_sql(),
     "sample_feature": sample_feature_sql(),
     "sample_row": sample_row_sql(),
+    "sample_feature_race": sample_feature_race_sql(),
+    "sample_row_race": sample_row_race_sql(),
     "bias_sign": bias_sign_sql(),
     "bias_running_mean": bias_running_mean_sql(),
     "step_weights": step_weights_sql(),
@@ -547,7 +601,12 @@ ORACLES: dict[str, str] = {
     "train_none_active": train_none_active_sql(),
     "trace_gd": trace_gd_sql(),
     "trace_gd_bias": trace_gd_bias_sql(),
+    "train_gd_bias_whole_step": train_gd_bias_whole_step_sql(),
     "train_primal_dual": train_primal_dual_sql(),
+    "train_primal_dual_blocked": train_primal_dual_sql(),
+    "train_primal_dual_whole_step": train_primal_dual_whole_step_sql(),
+    "train_primal_dual_race": train_primal_dual_race_sql(),
+    "train_sampled_race": train_sampled_race_sql(),
     "train_sampled": train_sampled_sql(),
     "model_rows": model_rows_sql(),
     "model_text": model_rows_sql(),

@@ -51,7 +51,7 @@ def check_ids(idx: np.ndarray, d: int) -> None:
         raise ValueError(f"feature id outside 1..{d}")
 
 
-def sparse_batch(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse_entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of each entry, ids, values) of an Arrow array of features."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -60,10 +60,16 @@ def sparse_batch(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray, np.n
     idx = flat.field("idx").to_numpy(zero_copy_only=False)
     if flat.field("idx").null_count or flat.field("val").null_count:
         raise ValueError("null feature id or value")
-    check_ids(idx, d)
     return np.repeat(np.arange(len(column)), counts), idx, flat.field("val").to_numpy(zero_copy_only=False)
 
 
+def sparse_batch(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sparse_entries`` with ids checked against 1..d."""
+    row, idx, val = sparse_entries(column)
+    check_ids(idx, d)
+    return row, idx, val
+
+
 def dense_batch(column: pa.Array, d: int) -> np.ndarray:
     """Matrix of an Arrow array of dense vectors; any other length than d raises."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -97,26 +103,36 @@ def with_scores(rows: DataFrame, w: np.ndarray, b: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient, weight: str | None = None) -> DataFrame:
+def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient, weight: str | None = None,
+             weigh: Callable[[pa.RecordBatch], np.ndarray] | None = None, above: float | None = None,
+             summed: bool = True) -> DataFrame:
     """(idx, g): the summed gradient, the bias part at idx 0. With ``weight``
-    the features, not the bias, are scaled by that column. One row for each
-    non-zero sum leaves a task; the shuffle on idx adds them up. Empty input
-    gives an empty table."""
+    the features, not the bias, are scaled by that column; with ``weigh`` by
+    what it gives for a batch, and rows not ``above`` that value are left out.
+    One row for each non-zero sum leaves a task; the shuffle on idx adds them
+    up; without ``summed`` the rows of all tasks are returned as they are, for
+    a caller that sums by idx anyway. Without any row that counts the table is
+    empty."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(w)
+    shared = spark.sparkContext.broadcast((w, weigh))
     vector = "features" if "features" in rows.columns else "x"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(shared.value)), 0
+        w, weigh = shared.value
+        total, seen = np.zeros(len(w)), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            score, summed = _scores(batch, shared.value, b, vector == "x")
+            score, added = _scores(batch, w, b, vector == "x")
             c = coefficient(batch.column("y").to_numpy(zero_copy_only=False), score)
-            scale = batch.column(weight).to_numpy(zero_copy_only=False) if weight else 1.0
-            total += summed(c * scale)
+            scale = batch.column(weight).to_numpy(zero_copy_only=False) if weight else weigh(batch) if weigh else 1.0
+            active = batch.num_rows
+            if weigh and above is not None:
+                c = np.where(scale > above, c, 0.0)
+                active = int((scale > above).sum())
+            total += added(c * scale)
             total[0] += c.sum()
-            seen += batch.num_rows
+            seen += active
         if seen:
             hit = np.flatnonzero(total)
             hit = hit if len(hit) and hit[0] == 0 else np.concatenate([[0], hit])
@@ -125,7 +141,8 @@ def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient,
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["idx", "g"])
 
     keep = ["y", vector] + ([weight] if weight else [])
-    return rows.select(*keep).mapInArrow(run, "idx long, g double").groupBy("idx").agg(F.sum("g").alias("g"))
+    parts = rows.select(*keep).mapInArrow(run, "idx long, g double")
+    return parts.groupBy("idx").agg(F.sum("g").alias("g")) if summed else parts
 
 
 def measured(rows: DataFrame) -> tuple[int, int, int, int]:

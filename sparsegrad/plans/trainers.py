@@ -2,19 +2,20 @@
 
 State layout:
 
-* ``R``  training rows, persisted once (memory, spilling to disk). T0-T2 need
-  no row id and keep the partitions they are given; T3 and T4 carry a per-row
-  state, so their rows are hash-partitioned and sorted by ``row_id``, which
-  must be unique (checked once, without a further shuffle);
+* ``R``  training rows, persisted once (memory, spilling to disk) in the
+  partitions they are given;
 * ``W``  weight table ``(idx, w)`` for ids 1..D, rewritten each iteration by
   one aggregate that also carries the new bias as idx 0 (persisted and
   checkpointed, every iteration by default);
-* ``P``  row weights ``(row_id, p)`` derived from ``R`` so it keeps R's
-  partitioning and order (written with a static plan so the checkpoint
-  keeps it): ``R join P`` is a zip of co-partitioned sorted inputs, with no
-  exchange and no sort;
-* driver: bias b, sampled ids, norms, N, D, and within ``max_weights`` the weight
-  array on its way to the broadcast.
+* the row weights p of T3 and T4 are not a table: each pass works them out
+  from the rows and the scalars of the iterations so far (``plans.history``).
+  The model's ``p`` is written once, at the end;
+* driver: bias b, sampled ids, norms, N, D, the scalar history, and within
+  ``max_weights`` the weight array on its way to the broadcast.
+
+Draws: with ``u`` the first id whose running weight exceeds u times the total;
+with ``seed`` instead an exponential race, which the jobs that write W and sum p
+decide on the way.
 
 Feature ids outside 1..D raise before the first pass. Stopping rule: a fixed
 number of iterations, as in the reference. The returned tables are
@@ -30,12 +31,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dual, linear, norms, sample, update
+from ..operators import linear, norms, sample, update
 from ..session import ensure_checkpoint_dir
 from ..sources import model_io
-from ..sources.text import cache_points
 from . import rowlocal
 from .blocked import BLOCK_SIZE, FeatureBlocks
+from .history import BINS, DualHistory
 from .lineage import IterationState
 
 
@@ -97,17 +98,6 @@ def _features_only(W: DataFrame) -> DataFrame:
     return W.where(F.col("idx") > 0)
 
 
-def _p_norm() -> list:
-    return [F.sqrt(F.sum(F.col("p") * F.col("p")))]
-
-
-def _scale_p(Pn: DataFrame, norm, keep: list[str] | None = None) -> DataFrame:
-    """Divide by the L2 norm (a projection over the materialised table)."""
-    if not norm:
-        return Pn
-    return Pn.select("row_id", *(keep or []), (F.col("p") / F.lit(float(norm))).alias("p"))
-
-
 def _checked_ids(rows: DataFrame, d: int) -> tuple[int, int]:
     """(rows, entries) of sparse rows; ids outside 1..d raise."""
     n, n_entries, low, high = rowlocal.measured(rows)
@@ -117,20 +107,40 @@ def _checked_ids(rows: DataFrame, d: int) -> tuple[int, int]:
 
 
 def _prepare(rows: DataFrame, d: int) -> tuple[DataFrame, int, int]:
-    """Cached rows by row id, N and the entry count, for the trainers with a
-    per-row state. A repeated row id raises: it would share its state."""
-    R = cache_points(rows.select("row_id", "y", "features"))
+    """Cached rows, N and the entry count, for the trainers whose rows have
+    ids. A repeated row id raises: a draw could not tell such rows apart."""
+    R = rows.select("row_id", "y", "features").persist(StorageLevel.MEMORY_AND_DISK)
     n, n_entries = _checked_ids(R, d)
-    # R is partitioned by row_id already, so this aggregate needs no exchange
     if R.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         R.unpersist()
         raise ValueError("row ids repeat")
     return R, n, n_entries
 
 
+def _draws(u: list[float] | float | None, seed: int | None, iters: int) -> list[float | None]:
+    if (u is None) == (seed is None):
+        raise ValueError("give either the draws or a seed")
+    return [None] * iters if u is None else [u] * iters if isinstance(u, (int, float)) else list(u)
+
+
+def _feature_race(seed: int | None, t: int) -> list:
+    """The winner of the feature draw, for the action that writes W."""
+    if seed is None:
+        return []
+    return [sample.race_winner(f"{seed}:w{t}", "idx", F.when(F.col("idx") > 0, F.col("w") * F.col("w")).otherwise(0.0), "w")]
+
+
+def _drawn_feature(W: DataFrame, stats: tuple, u: float | None, race) -> tuple[int | None, float]:
+    """(j, w_j): by the given draw from W, or the race that was run."""
+    if u is None:
+        return (None, 0.0) if race is None else (int(race["idx"]), float(race["w"]))
+    return sample.sample_one(W, "idx", F.col("w") * F.col("w"), u, value="w", stats=stats, unique=True)
+
+
 class _Pass:
     """The gradient of cached rows, row-local up to ``max_weights`` features,
-    else over feature blocks keyed by ``rid``."""
+    else over feature blocks keyed by ``rid``. An id may have several rows:
+    the weight update sums by id in any case."""
 
     def __init__(self, R: DataFrame, d: int, n_entries: int, max_weights: int, rid: str, block_size: int):
         self.d, self.entries, self.rid = d, n_entries, rid
@@ -138,12 +148,22 @@ class _Pass:
         if d > max_weights:
             self.blocks = FeatureBlocks(R.select(F.col(rid).alias("rid"), "features"), d, block_size)
 
-    def __call__(self, rows: DataFrame, W: DataFrame, b: float, coef, weight: str | None = None) -> DataFrame:
+    def __call__(self, rows: DataFrame, W: DataFrame, b: float, coef) -> DataFrame:
         if self.blocks is None:
-            return linear.gradient(rowlocal.gathered(rows, self.entries, self.d), W, b, coef=coef, weight=weight,
-                                   d=self.d, max_weights=self.d)
-        keep = [F.col(self.rid).alias("rid"), "y", *([weight] if weight else [])]
-        return self.blocks.gradient(rows.select(*keep), W, b, coef, weight)
+            return linear.gradient(rowlocal.gathered(rows, self.entries, self.d), W, b, coef=coef,
+                                   d=self.d, max_weights=self.d, summed=False)
+        return self.blocks.gradient(rows.select(F.col(self.rid).alias("rid"), "y"), W, b, coef)
+
+    def active(self, rows: DataFrame, W: DataFrame, b: float, history: DualHistory, r: int, n: int) -> DataFrame:
+        """The primal gradient of the rows whose weight is above r/N, scaled
+        by that weight."""
+        if self.blocks is None:
+            return rowlocal.gradient(
+                rowlocal.gathered(rows, self.entries, self.d), rowlocal.weight_array(W, self.d), b,
+                rowlocal.primal_coefficients, weigh=history.frozen().weights, above=float(r) / float(max(1, n)),
+                summed=False)
+        act = linear.active_rows(history.with_p(rows), r, max(1, n)).select(F.col(self.rid).alias("rid"), "y", "p")
+        return self.blocks.gradient(act, W, b, linear.primal_coef, "p")
 
     def release(self) -> None:
         if self.blocks is not None:
@@ -201,74 +221,64 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
 
 
 def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int,
-                      u: list[float] | float, n: int | None = None,
+                      u: list[float] | float | None = None, seed: int | None = None, n: int | None = None,
                       w_step: float | None = None, b_step: float = 1.0,
                       clip: float | None = None, checkpoint_every: int = 1,
-                      row_state_checkpoint_every: int | None = None,
                       max_weights: int = rowlocal.MAX_WEIGHTS, block_size: int = BLOCK_SIZE) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
     ``w += w_step * sum p c x`` (``w_step`` defaults to N) and
     ``b += b_step * sum c``; a feature j is drawn with probability
-    ``w_j^2 / |w|^2`` from the updated w (draw ``u[t]``); every row's p is
-    multiplied by ``1 - eta s + (eta s)^2`` with
+    ``w_j^2 / |w|^2`` from the updated w (draw ``u[t]``, or ``seed``); every
+    row's p is multiplied by ``1 - eta s + (eta s)^2`` with
     ``s = x_j |w|^2 / w_j + b y`` (no clip unless ``clip`` is given), then
     p is L2-normalised.
 
-    The dual pass must give one pair per row, else the trainer raises.
-
-    The weight table is checkpointed every ``checkpoint_every`` iterations
-    and the (narrow, N-row) row-weight table every
-    ``row_state_checkpoint_every`` (default: the same); in between both stay
-    persisted with their row_id layout."""
+    An iteration is a gradient pass that writes W and a pass that sums p^2;
+    the latter must count every row, else the trainer raises."""
     spark = rows.sparkSession
     R, n_rows, n_entries = _prepare(rows, d)
     run = _Pass(R, d, n_entries, max_weights, "row_id", block_size)
     n = n_rows if n is None else n
     w_step = float(n) if w_step is None else w_step
-    us = [u] * iters if isinstance(u, (int, float)) else list(u)
-    state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
+    us = _draws(u, seed, iters)
+    state = IterationState(checkpoint_every)
+    history = DualHistory(eta, clip, 1.0 / math.sqrt(max(1, n_rows)))
     W = state.put("W", update.zero_weights(spark, d), 1)
-    P = state.put("P", R.select("row_id", F.lit(1.0 / math.sqrt(max(1, n_rows))).alias("p")), 1)
     b = 0.0
     model = Model(W, b, d, state=state)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
-        RP = R.join(P, "row_id")
-        act = linear.active_rows(RP, r, n)
-        grad = run(act, W, b, linear.primal_coef, weight="p")
+        grad = run.active(R, W, b, history, r, n)
         # one job: gradient pass, weight update, sampling stats and new bias
-        Wx, st = state.put("W", update.gradient_step(W, grad, w_step, b, b_step), t, measure=_w_measures(),
-                           final=t == iters)
+        Wx, (lo, hi, len_sq, last, w1, w2, nb, *race) = state.put(
+            "W", update.gradient_step(W, grad, w_step, b, b_step), t, measure=_w_measures() + _feature_race(seed, t),
+            final=t == iters)
         W = _features_only(Wx)
-        lo, hi, len_sq, last, w1, w2, nb = st
         if nb is not None:  # no active rows: no bias part, b stays
             b = float(nb)
         len_sq = float(len_sq or 0.0)
-        if len_sq == 0.0:
-            j, w_j = None, 0.0
-        else:
-            j, w_j = sample.sample_one(W, "idx", F.col("w") * F.col("w"), us[t - 1], value="w",
-                                       stats=(lo, hi, len_sq, last))
-        f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
-        Pn, (norm, n_pairs) = state.put("P", RP.select("row_id", (F.col("p") * f).alias("p")), t,
-                                        measure=_p_norm() + [F.count(F.lit(1))], final=t == iters)
-        if n_pairs != n_rows:  # A8; row ids are unique, so rows were lost or changed
-            raise RuntimeError(f"dual pass produced {n_pairs} pairs for {n_rows} rows")
-        P = _scale_p(Pn, norm)
+        j, w_j = None, 0.0
+        if len_sq:
+            j, w_j = _drawn_feature(W, (lo, hi, len_sq, last), us[t - 1], race[0] if race else None)
+        history.add(j, w_j, len_sq, b)
+        sums = history.totals(R)
+        if sums.n != n_rows:  # A8
+            raise RuntimeError(f"dual pass counted {sums.n} rows of {n_rows}")
+        history.normalise(sums)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)
-    model.weights, model.b, model.p = W, float(b), P
+    model.weights, model.b = W, float(b)
+    model.p = state.put("P", history.with_p(R).select("row_id", "p"), max(1, iters), final=True)
     run.release()
     R.unpersist()
     return model
 
 
-def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float,
-                  u_features: list[float] | float, eta: float = 0.15,
-                  clip: float | None = None, checkpoint_every: int = 1,
-                  row_state_checkpoint_every: int | None = None) -> Model:
+def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float | None = None,
+                  u_features: list[float] | float | None = None, seed: int | None = None, eta: float = 0.15,
+                  clip: float | None = None, checkpoint_every: int = 1) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
     Per iteration: draw one row i with probability p_i^2; step
@@ -276,53 +286,52 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     ``b = sign(sum p y)``; ``b_avg`` is the running mean of b; draw a feature
     j with probability w_j^2; every row's p is multiplied by the dual factor
     of ``s = clip(x_j / w_j + b y, 1/eta)`` and L2-normalised. The model's
-    bias line is b_avg."""
+    bias line is b_avg. Both draws are given (``u_rows``, ``u_features``) or
+    both raced (``seed``)."""
     spark = rows.sparkSession
     R, n, _ = _prepare(rows, d)
     if not n:
         raise ValueError("no rows to sample")
     clip = 1.0 / eta if clip is None else clip
-    ur = [u_rows] * iters if isinstance(u_rows, (int, float)) else list(u_rows)
-    uf = [u_features] * iters if isinstance(u_features, (int, float)) else list(u_features)
+    ur, uf = _draws(u_rows, seed, iters), _draws(u_features, seed, iters)
     scale = math.sqrt(2.0 * iters)
-    state = IterationState(checkpoint_every, {"P": row_state_checkpoint_every or checkpoint_every})
+    state = IterationState(checkpoint_every)
+    history = DualHistory(eta, clip, 1.0 / math.sqrt(n))
     W = state.put("W", update.zero_weights(spark, d), 1)
-    # P carries y so that sign(sum p y) comes out of the pass that writes P
-    # the row draw needs the id range and total of p^2: taken in the action
-    # that writes P; the draw runs on the written (un-normalised) table, which
-    # picks the same row since all weights share one positive scale
-    p_stats = sample.weight_stats(None, "row_id", F.col("p") * F.col("p"))
-    P, (pys, *st) = state.put("P", R.select("row_id", "y", F.lit(1.0 / math.sqrt(n)).alias("p")), 1,
-                              measure=[F.sum(F.col("p") * F.col("y"))] + p_stats)
-    P_written, st = P, tuple(st)
+    low, high = R.agg(F.min("row_id"), F.max("row_id")).first()
+    width = -(-(high - low + 1) // BINS)
+
+    def passed(t: int):
+        """Sums of p and what the row draw of iteration ``t`` needs."""
+        return history.totals(R, race=(seed, t)) if seed is not None else history.totals(R, low, width)
+
+    sums = passed(1)
     b, b_avg = 0.0, 0.0
     model = Model(W, b, d, state=state)
     for t in range(1, iters + 1):
         t0 = time.perf_counter()
-        i = sample.sample_one(P_written, "row_id", F.col("p") * F.col("p"), ur[t - 1], stats=st)
-        w_stats = sample.weight_stats(None, "idx", F.col("w") * F.col("w"))
-        Ws, ws = state.put("W", update.single_row_step(R, W, b, i, scale), t, measure=w_stats, final=t == iters)
-        norm_sq = ws[2]
+        row = history.draw(R, sums, ur[t - 1]) if seed is None else history._row(R, sums.winner)
+        Ws, (lo, hi, norm_sq, last, *race) = state.put(
+            "W", update.row_step(row["y"], row["features"], W, b, scale), t, final=t == iters,
+            measure=sample.weight_stats(None, "idx", F.col("w") * F.col("w")) + _feature_race(seed, t))
         norm = math.sqrt(norm_sq or 0.0)
         W = norms.unit_weights(Ws, "w", norm=norm)
-        RP = R.join(P.drop("y"), "row_id")
-        # U4: p is only rescaled by a positive norm since it was written
-        b = float(math.copysign(1.0, pys)) if pys else 0.0
+        # U4: p is only rescaled by a positive norm since it was summed
+        b = float(math.copysign(1.0, sums.labels)) if sums.labels else 0.0
         b_avg = (b_avg * (t - 1) + b) / t
-        if norm == 0.0:
-            j, w_j, len_sq = None, 0.0, 0.0
-        else:
+        j, w_j, len_sq = None, 0.0, 0.0
+        if norm:
             # drawn on the written table with its stats (same id as on w/|w|)
-            j, w_raw = sample.sample_one(Ws, "idx", F.col("w") * F.col("w"), uf[t - 1], value="w",
-                                         stats=tuple(ws))
+            j, w_raw = _drawn_feature(Ws, (lo, hi, norm_sq, last), uf[t - 1], race[0] if race else None)
             w_j, len_sq = w_raw / norm, 1.0
-        f = dual.factor_expr(j or 0, w_j, len_sq, b, eta, clip)
-        Pn, (p_norm, pys, *st) = state.put("P", RP.select("row_id", "y", (F.col("p") * f).alias("p")), t,
-                                           measure=_p_norm() + [F.sum(F.col("p") * F.col("y"))] + p_stats,
-                                           final=t == iters)
-        P, P_written, st = _scale_p(Pn, p_norm, keep=["y"]), Pn, tuple(st)
-        model.trace.append({"iter": t, "i": i, "b": float(b), "b_avg": float(b_avg), "j": j})
+        history.add(j, w_j, len_sq, b)
+        sums = passed(t + 1)
+        if sums.n != n:
+            raise RuntimeError(f"dual pass counted {sums.n} rows of {n}")
+        sums = history.normalise(sums)
+        model.trace.append({"iter": t, "i": row["row_id"], "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
-    model.weights, model.b, model.p, model.b_avg = W, float(b), P, float(b_avg)
+    model.weights, model.b, model.b_avg = W, float(b), float(b_avg)
+    model.p = state.put("P", history.with_p(R).select("row_id", "p"), max(1, iters), final=True)
     R.unpersist()
     return model

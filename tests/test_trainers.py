@@ -1,6 +1,8 @@
 """Trainer-level checks."""
 
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,132 @@ def test_blocks_move_rows_not_entries(spark):
     blocks.release()
 
 
+def _small_broadcasts_off(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _scattered_rows(spark, n=4000, d=60_000, width=6):
+    """Rows of a few ids out of many, and an id that all rows share."""
+    pick = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.struct(
+        F.when(k == 1, F.lit(7).cast("bigint")).otherwise(F.pmod(F.xxhash64("id", k), F.lit(d)) + 1).alias("idx"),
+        (k / 8.0).alias("val")))
+    return spark.range(n).select(F.col("id").alias("rid"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"),
+                                 pick.alias("features")).persist()
+
+
+def test_cells_get_only_the_weights_they_use(spark):
+    """Bytes and records of one routing of the weights, against the distinct
+    (cell, id) pairs; the placed cells and routes stay where they are."""
+    from sparsegrad.plans.blocked import FeatureBlocks
+    restore = _small_broadcasts_off(spark)
+    try:
+        d, rows = 60_000, _scattered_rows(spark)
+        blocks = FeatureBlocks(rows, d, block_size=20_000, cell_entries=3000)
+        cells, pairs = blocks.cells.agg(F.count(F.lit(1)), F.sum(F.size("id"))).first()
+        assert cells >= 8 and pairs < cells * 20_000 / 4
+        weights = fx.fx_weights(spark, d).withColumn("w", F.rand(3))
+        sent = blocks.routed(weights)
+        sent.count()
+        sizes = []
+        _exchanges(sent._jdf.queryExecution().executedPlan(), sizes)
+        chunks = -(-20_000 // blocks.chunk) * 3
+        tasks = 8
+        # one exchange takes D weights to their chunks, one the used weights to the cells
+        assert len(sizes) == 2
+        to_cells, to_chunks = sizes
+        assert to_chunks[0] <= chunks * tasks and to_cells[0] <= min(pairs, cells * tasks)
+        assert to_cells[1] < 16 * pairs < 8 * 20_000 * cells / 2
+    finally:
+        restore()
+        blocks.release()
+        rows.unpersist()
+
+
+def test_placed_entries_never_move_again(spark):
+    from sparsegrad.operators import linear as L
+    from sparsegrad.plans.blocked import FeatureBlocks
+    restore = _small_broadcasts_off(spark)
+    try:
+        d, rows = 60_000, _scattered_rows(spark)
+        blocks = FeatureBlocks(rows, d, block_size=20_000, cell_entries=3000)
+        weights = fx.fx_weights(spark, d)
+        g = blocks.gradient(rows.select("rid", "y"), weights, 0.3, L.gd_coef)
+        got = {r["idx"]: r["g"] for r in g.collect()}
+        want = {r["idx"]: r["g"] for r in L.gradient(rows, weights, 0.3, d=d).collect()}
+        assert all(abs(got.get(k, 0.0) - want.get(k, 0.0)) < 1e-9 for k in got.keys() | want.keys())
+        sizes = []
+        _exchanges(g._jdf.queryExecution().executedPlan(), sizes)
+        held = blocks.cells.agg(F.sum(F.size("val"))).first()[0]
+        assert held == 24_000 and sum(s[1] for s in sizes) < 24 * held       # less than the entries themselves
+    finally:
+        restore()
+        blocks.release()
+        rows.unpersist()
+
+
+def test_blocked_training_holds_a_constant_number_of_tables(spark, sf):
+    """Cached tables do not grow with the iterations."""
+    from sparsegrad.plans import blocked
+    rows = fx.sparse_rows(spark, sf)
+    d, n = fx.max_feature_id(rows), rows.count()
+    held, once = [], blocked.FeatureBlocks.gradient
+
+    def counted(self, *args):
+        out = once(self, *args)
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return out
+
+    blocked.FeatureBlocks.gradient = counted
+    try:
+        before = spark.sparkContext._jsc.getPersistentRDDs().size()
+        m = trainers.train_gd(rows, d, 10, fit_bias=True, w_step=-1.0 / n, b_step=-1.0 / n, max_weights=3, block_size=9)
+    finally:
+        blocked.FeatureBlocks.gradient = once
+    assert len(held) == 10 and max(held[2:]) <= held[1]
+    m.release()
+    spark.sparkContext._jvm.System.gc()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before + 1
+
+
+def test_row_operators_over_blocks(spark, sf):
+    """Scores and row gradients from the placed cells, repeated ids, empty
+    vectors and rows outside the active ones included."""
+    twice = F.concat(F.array(F.struct(F.lit(1).cast("bigint").alias("idx"), F.lit(0.5).alias("val"))), F.col("features"))
+    rows = fx.sparse_rows_with_empty(spark, sf).withColumn("features", F.when(F.size("features") > 0, twice).otherwise(F.col("features")))
+    rows = rows.withColumn("p", (F.col("row_id") % 7) / 7.0)
+    d = fx.max_feature_id(rows)
+    w = fx.fx_weights(spark, d)
+    blocks = linear.placed(rows, d, block_size=11, cell_entries=500)
+    key = lambda df: sorted((r["row_id"], round(r["score"], 9)) for r in df.collect())
+    assert key(linear.sparse_scores(rows, w, 0.2, blocks=blocks)) == key(linear.sparse_scores(rows, w, 0.2))
+    for part in (rows, rows.where("p > 0.5")):
+        kw = dict(coef=linear.primal_coef, with_bias=True, weight="p")
+        both = [sorted((r["row_id"], r["idx"], round(r["g"], 9)) for r in linear.sparse_row_gradients(part, w, 0.2, blocks=x, **kw).collect())
+                for x in (None, blocks)]
+        assert both[0] == both[1]
+    blocks.release()
+    with pytest.raises(ValueError, match="feature ids"):
+        linear.placed(rows, d - 1)
+
+
+def _exchanges(plan, out):
+    """(records, bytes) written by each shuffle of an executed plan, outermost
+    first, not descending into cached tables."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _exchanges(plan.executedPlan(), out)
+    if name.endswith("QueryStageExec"):
+        return _exchanges(plan.plan(), out)
+    if name == "ShuffleExchangeExec":
+        m = plan.metrics()
+        out.append((m.apply("shuffleRecordsWritten").value(), m.apply("shuffleBytesWritten").value()))
+    kids = plan.children()
+    for i in range(kids.size()):
+        _exchanges(kids.apply(i), out)
+
+
 def _records_written(plan):
     name = plan.getClass().getSimpleName()
     if name == "AdaptiveSparkPlanExec":
@@ -144,7 +272,7 @@ def test_repeated_row_ids(spark):
 
 
 def test_active_rows_split_during_training(spark, sf):
-    import math
+
     rows = fx.sparse_rows_with_empty(spark, sf)
     d, n = fx.max_feature_id(rows), rows.count()
     r = math.isqrt(n)
@@ -249,16 +377,99 @@ def test_row_state_join_is_a_zip(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_row_state_checkpoint_cadence_same_result(spark, sf):
-    rows = fx.sparse_rows(spark, sf)
-    d = fx.max_feature_id(rows)
+def test_weights_from_history_equal_stored_weights(spark, sf):
+    """p from the scalar history against a table of p that the operators
+    update pair by pair: repeated ids in a row, empty rows, steps with and
+    without a feature term, clipped and not, one feature drawn often."""
+    from sparsegrad.operators import dual
+    from sparsegrad.operators import update as U
+    from sparsegrad.plans.history import DualHistory
+    twice = F.concat("features", F.transform(F.slice("features", 1, 1), lambda f: F.struct(f["idx"], (f["val"] + 1).alias("val"))))
+    rows = fx.sparse_rows_with_empty(spark, sf).withColumn("features", twice).persist()
     n = rows.count()
-    kw = dict(eta=0.15, r=0, u=0.37, w_step=1.0, b_step=1.0 / n)
-    a = trainers.train_primal_dual(rows, d, 3, **kw)
-    b = trainers.train_primal_dual(rows, d, 3, row_state_checkpoint_every=3, **kw)
-    pa = {r["row_id"]: r["p"] for r in a.p.collect()}
-    pb = {r["row_id"]: r["p"] for r in b.p.collect()}
-    assert pa.keys() == pb.keys() and all(abs(pa[k] - pb[k]) < 1e-15 for k in pa)
+    for clip in (None, 0.6):
+        history = DualHistory(0.15, clip, n ** -0.5)
+        P = U.initial_p(rows.select("row_id"), n)
+        for j, w_j, norm_sq, b in ((5, 0.3, 2.0, 0.7), (None, 0.0, 0.0, -1.0), (2, -0.1, 1.0, 0.0), (5, 0.2, 1.5, 1.0), (5, 0.0, 1.0, 0.4)):
+            history.add(j, w_j, norm_sq, b)
+            pairs = dual.factors(rows, j or 0, w_j, norm_sq, b, 0.15, clip)
+            P, _ = U.normalise(U.apply_factors(P, pairs))
+            sums = history.totals(rows)
+            after = history.normalise(sums)
+            assert sums.n == n and abs(after.squares - 1.0) < 1e-12
+        want = {r["row_id"]: r["p"] for r in P.collect()}
+        got = {r["row_id"]: r["p"] for r in history.with_p(rows).select("row_id", "p").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-13 for k in want)
+    rows.unpersist()
+
+
+def test_row_draws_by_history(spark, sf, monkeypatch):
+    """Every draw finds the row that the running sum gives, also where the
+    bins have to be cut again and where ids leave large gaps."""
+    from sparsegrad.plans import history as H
+    rows = fx.sparse_rows(spark, sf).withColumn("row_id", F.when(F.col("row_id") % 50 == 0, F.col("row_id") * 10 ** 9).otherwise(F.col("row_id"))).persist()
+    n = rows.count()
+    h = H.DualHistory(0.15, 1.0, n ** -0.5)
+    h.add(3, 0.2, 1.0, 1.0)
+    monkeypatch.setattr(H, "LAST_ROWS", 100)
+    monkeypatch.setattr(H, "BINS", 16)
+    p = sorted((r["row_id"], r["p"]) for r in h.with_p(rows).collect())
+    low, high = p[0][0], p[-1][0]
+    sums = h.totals(rows, low, -(-(high - low + 1) // 16))
+    total = sum(x * x for _, x in p)
+    assert abs(sums.squares - total) < 1e-9
+    sums = h.normalise(sums)
+    p, total = [(i, x / total ** 0.5) for i, x in p], 1.0
+    for u in (0.0, 0.2, 0.61, 0.95, 0.99999, 1.0):
+        run, want = 0.0, p[-1][0]
+        for i, x in p:
+            run += x * x
+            if run > u * total:
+                want = i
+                break
+        assert h.draw(rows, sums, u)["row_id"] == want
+    rows.unpersist()
+
+
+def test_raced_draws_follow_the_weights(spark):
+    from sparsegrad.operators import sample
+    weights = [1.0, 2.0, 0.0, 4.0, 3.0]
+    df = spark.createDataFrame([(i + 1, w) for i, w in enumerate(weights)], "id bigint, w double")
+    got = [r["id"] for r in sample.race_draws(df, "id", "w", 5, 1000).collect()]
+    for i, w in enumerate(weights):
+        assert abs(got.count(i + 1) / 1000 - w / 10) < 4 * math.sqrt(0.25 / 1000)
+    assert sample.race_draws(df.where("w = 0"), "id", "w", 5, 2).collect() == [(0, None), (1, None)]
+    spread = df.repartition(5)
+    assert [r["id"] for r in sample.race_draws(spread, "id", "w", 5, 1000).collect()] == got
+
+
+def test_raced_trainers_run_no_draw_jobs(spark, sf, monkeypatch):
+    """With a seed the draws ride along with the jobs that write W and sum p;
+    the same seed gives the same model, in any partitions."""
+    from sparsegrad.operators import sample
+    from sparsegrad.plans.history import DualHistory
+
+    def no_job(*args, **kw):
+        raise AssertionError("a draw job")
+
+    monkeypatch.setattr(sample, "sample_one", no_job)
+    monkeypatch.setattr(DualHistory, "draw", no_job)
+    rows = fx.sparse_rows(spark, sf)
+    d, n = fx.max_feature_id(rows), rows.count()
+    key = lambda m: (m.trace and [(t["j"], t.get("i")) for t in m.trace], {r["idx"]: round(r["w"], 9) for r in m.weights.collect()})
+    for train in (lambda rows: trainers.train_primal_dual(rows, d, 3, eta=0.15, r=0, seed=3, w_step=1.0, b_step=1.0 / n),
+                  lambda rows: trainers.train_sampled(rows, d, 3, seed=3)):
+        assert key(train(rows)) == key(train(rows.repartition(3)))
+    with pytest.raises(ValueError, match="draws or a seed"):
+        trainers.train_primal_dual(rows, d, 1, eta=0.15, r=0)
+
+
+def test_one_id_with_many_rows_is_drawn(spark):
+    """A single id that holds more rows than the last step reads ends the search."""
+    from sparsegrad.operators import sample
+    df = spark.range(20_000).select(F.lit(7).cast("bigint").alias("id"), F.lit(1.0).alias("w"))
+    assert sample.sample_one(df, "id", "w", 0.5) == 7
+    assert sample.sample_one(df.unionByName(spark.range(3).selectExpr("id", "1.0D AS w")), "id", "w", 0.5) == 7
 
 
 def test_text_to_model_end_to_end(spark, sf, scratch):
