@@ -34,6 +34,9 @@ from .common import scratch_path, small, stored
 REVISIT_BYTES = 100
 #: Records of one archive file, captures of one sorted run and of one range.
 FILE_RECORDS = 1000
+#: Bytes above which a payload is long, and bytes of one file of long ones:
+#: a file is read whole by one task, so files are bounded by bytes as well.
+LONG_BYTES, FILE_BYTES = 256 << 10, 256 << 20
 RUN_ROWS = 50_000
 RANGE_ROWS = 20_000
 END = "\r\n\r\n"
@@ -65,7 +68,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One column, the record without its end: header, blank line, block."""
+    """value, the record without its end (header, blank line, block), and payload_length."""
     revisit = F.col("first").isNotNull()
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise("")
@@ -81,13 +84,21 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Refers-To", F.when(revisit, urn(F.col("first")))),
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
         line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"))
-    return with_revisits(pages).select(F.concat(head, body).alias("value"))
+    return with_revisits(pages).select(F.concat(head, body).alias("value"), F.octet_length("payload").alias("payload_length"))
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archive files of at most ``FILE_RECORDS`` records below ``path``."""
-    (records(pages).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
-     .option("compression", "none").text(path))
+    """Archive files below ``path``: of at most ``FILE_RECORDS`` records with
+    payloads that are not long, and of as many long ones as ``FILE_BYTES``
+    allow for the longest (at least one)."""
+    made, size = records(pages), F.col("payload_length")
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    parts = [("records", size <= LONG_BYTES, FILE_RECORDS)]
+    if longest > LONG_BYTES:
+        parts.append(("long", size > LONG_BYTES, max(1, FILE_BYTES // longest)))
+    for name, some, count in parts:
+        (made.filter(some).select("value").write.option("lineSep", END).option("maxRecordsPerFile", count)
+         .option("compression", "none").text(f"{path}/{name}"))
 
 
 def url_key(url: str | None) -> str:
@@ -174,7 +185,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Every capture of the archives below ``path``, in stored sorted runs."""
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0")
     return stored(files.select("path", "content").mapInArrow(_runs, RUNS), "runs")
 
 

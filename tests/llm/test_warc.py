@@ -57,6 +57,17 @@ def test_edges_and_many_ranges(spark, monkeypatch):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "LONG_BYTES", 5000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    pages = [(i, f"http://h{i % 3}.example/{'u' * 9000 if i == 7 else i}", ("x" if i % 10 else "y" * 30_000) + str(i)) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "a"))
+    sizes = [f.stat().st_size for f in (tmp_path / "a").rglob("part-*")]
+    assert max(sizes) < 120_000 and len(sizes) >= 8
+    assert result(warc.merged_index(warc.read_runs(spark, str(tmp_path / "a"))).collect()) == plain([(i, h) for i, _, h in pages])
+
+
 def test_damage_is_noticed(spark):
     df = spark.createDataFrame([(1, "http://a.example/", "z" * 200)], "page_id long, url string, html string")
     content = (warc.records(df).first()[0] + warc.END).encode()
