@@ -137,6 +137,12 @@ def dense_sum(row_vectors: DataFrame, pos: str = "pos", value: str = "g") -> Dat
     return row_vectors.groupBy(pos).agg(F.sum(value).alias(value))
 
 
+def dense_gradient_sum(rows: DataFrame, coef: Column, x: str = "x") -> DataFrame:
+    """P8 and A1 in one pass: ``(pos, g)`` with the sum of ``coef * x`` over
+    all rows, added up inside the tasks; nothing is exploded."""
+    return rowlocal.dense_sums(rows.select(coef.cast("double").alias("c"), F.col(x).cast("array<double>").alias("x")))
+
+
 def sparse_sum(entries_df: DataFrame, idx: str = "idx", value: str = "g") -> DataFrame:
     """A2 / A3: sum of sparse vectors given exploded ``(idx, value)`` entries.
     A partial sum per task runs before the shuffle on ``idx``, so a feature id

@@ -31,6 +31,8 @@ RANGE_DRAWS = 100_000
 #: Bins of one narrowing step of a single draw, and rows read at its end.
 BINS = 1024
 LAST_ROWS = 4096
+#: Ranges that may be broadcast.
+BROADCAST_RANGES = 200_000
 
 
 def _ranged(df: DataFrame, key: str, weight) -> tuple[DataFrame, DataFrame, float, int | None]:
@@ -95,10 +97,9 @@ def sample_by_weight(df: DataFrame, key: str, weight, draws: DataFrame, *,
         raise TypeError("sample_by_weight draws integer ids")
     rows, offsets, total, last = _ranged(df, key, weight)
     t = draws.select(F.col(draw).cast("bigint").alias("_draw"), (F.col(u) * F.lit(total)).alias("_t"))
-    offsets = offsets.persist()
+    offsets = stored(offsets, "range-offsets")
     starts = offsets.where(F.col("_tot") > 0).orderBy("_off", "_range").select("_off", "_range").toArrow()
     if not starts.num_rows:
-        offsets.unpersist()
         return draws.select(draw, F.lit(None).cast("bigint").alias(name))
     run = _locate(starts.column("_off").to_numpy(), starts.column("_range").to_numpy())
     located = stored(t.mapInArrow(run, "_draw long, _t double, _range long"), "draws")
@@ -106,7 +107,9 @@ def sample_by_weight(df: DataFrame, key: str, weight, draws: DataFrame, *,
     copies = (rows.where(F.col("_w") > 0).join(wanted.join(offsets, "_range"), "_range")
               .select("_range", F.col(key).cast("bigint").alias("_key"), "_w", "_off",
                       F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
-    dealt = located.join(F.broadcast(wanted), "_range").select(
+    # one row for each range of RANGE_ROWS rows that a draw falls into
+    few = starts.num_rows <= BROADCAST_RANGES
+    dealt = located.join(F.broadcast(wanted) if few else wanted, "_range").select(
         "_range", "_draw", "_t", F.pmod(F.xxhash64("_draw"), F.col("_salts")).cast("int").alias("_salt"))
     found = copies.groupBy("_range", "_salt").cogroup(dealt.groupBy("_range", "_salt")).applyInArrow(
         _look_up("_found"), "_draw long, _found long")

@@ -259,8 +259,10 @@ def q_active_rows(spark, sf):
 # --- vector sums -----------------------------------------------------------
 
 def q_sum_dense(spark, sf):
-    """A1."""
-    g = linear.dense_sum(_dense_grad(spark, sf))
+    """A1: summed inside the tasks."""
+    rows = fx.dense_rows(spark, sf)
+    d = rows.agg(F.max(F.size("x"))).first()[0]
+    g = linear.dense_gradient_sum(linear.dense_scores(rows, _fxw_array(d)), linear.gd_coef())
     return g.select(F.col("pos").cast("bigint").alias("pos"), _r6(F.col("g")).alias("g"))
 
 

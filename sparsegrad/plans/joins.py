@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # A hashed relation of (bigint, double) rows takes about 100 bytes a row.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 # A key is hot when it holds more than 1/(HOT_SHARE * partitions) of the rows.
@@ -63,9 +65,8 @@ def skew_split_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "lef
     lookup rows of hot keys are broadcast (bounded by the hot-key count), the
     cold keys go through the shuffle (where AQE can still split a skewed
     partition)."""
-    hot = (hot_keys(big, key) if hot is None else hot).persist()
-    hot.count()
-    hot_b = F.broadcast(hot)
+    # written once: it is read four times, and a cached copy would have no owner to drop it
+    hot_b = F.broadcast(stored(hot_keys(big, key), "hot-keys") if hot is None else hot)
     hot_part = big.join(hot_b, key, "left_semi").join(
         F.broadcast(lookup.join(hot_b, key, "left_semi")), key, how)
     cold_part = big.join(hot_b, key, "left_anti").join(

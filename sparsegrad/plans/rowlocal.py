@@ -145,6 +145,27 @@ def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient,
     return parts.groupBy("idx").agg(F.sum("g").alias("g")) if summed else parts
 
 
+def dense_sums(rows: DataFrame) -> DataFrame:
+    """(pos, g), pos 0-based: sum of c * x over rows (c, x). A task adds its
+    rows up in one dense vector, batch by batch, so at most D rows leave it,
+    however many rows it reads. Vectors of different lengths raise."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = dense_batch(batch.column("x"), len(batch.column("x")[0]) if total is None else len(total))
+            part = batch.column("c").to_numpy(zero_copy_only=False) @ x
+            total = part if total is None else total + part
+        if total is not None:
+            for i in range(0, len(total), 500_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(i, min(i + 500_000, len(total)))), pa.array(total[i:i + 500_000])], names=["pos", "g"])
+
+    parts = rows.select("c", "x").mapInArrow(run, "pos long, g double")
+    return parts.groupBy("pos").agg(F.sum("g").alias("g"))
+
+
 def measured(rows: DataFrame) -> tuple[int, int, int, int]:
     """(rows, entries, smallest id, largest id) of sparse rows, in one
     aggregate; ids are 0 without entries."""

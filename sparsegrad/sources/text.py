@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 FEATURE_TYPE = T.ArrayType(T.StructType([
     T.StructField("idx", T.LongType()),
     T.StructField("val", T.DoubleType()),
@@ -163,32 +165,31 @@ BROADCAST_SPLITS = 50_000
 
 def with_line_ids(df: DataFrame, start: int = 1, name: str = "row_id") -> DataFrame:
     """Stable consecutive ids in file order (for plain lines, which carry no
-    id), computed JVM-side without a global sort:
-
-    1. each line gets (file, block start, ``monotonically_increasing_id``);
-       the last one is (partition << 33) + position, so a segment = one
-       (file, block, partition) holds consecutive ids;
-    2. rows per segment: a partial aggregate with one row per input split;
-    3. exclusive running offsets over that table (one row per input split) in
-       (file, block) order, joined back, by broadcast up to
-       ``BROADCAST_SPLITS`` splits.
-
-    Both passes plan the scan; should it be split differently the second time,
-    a line finds no offset and the job raises. For a DataFrame that is not a file scan the order is
-    the partition order."""
-    tagged = df.select("*", F.input_file_name().alias("_file"),
-                       F.input_file_block_start().alias("_blk"),
-                       F.monotonically_increasing_id().alias("_mid"))
+    id), computed JVM-side with one scan of the input and no global sort:
+
+    1. the lines are written once to the shared folder, each with (file, block
+       start, ``monotonically_increasing_id``); the last one is (partition <<
+       33) + position, so a segment = one (file, block, partition) holds
+       consecutive ids;
+    2. the split index: rows per segment, from the narrow columns of that copy
+       (one row per input split), with exclusive running offsets in (file,
+       block) order;
+    3. the copy joined with the index, by broadcast up to ``BROADCAST_SPLITS``
+       splits.
+
+    Ids and lines come from the same copy, so they agree however often a task
+    is run again. For a DataFrame that is not a file scan the order is the
+    partition order."""
+    tagged = stored(df.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_blk"),
+                              F.monotonically_increasing_id().alias("_mid")), "lines")
     tagged = tagged.withColumn("_part", F.shiftright("_mid", 33))
     keys = ["_file", "_blk", "_part"]
     segs = tagged.groupBy(*keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = segs.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    offsets = offsets.persist()
-    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_SPLITS else offsets
-    known = F.coalesce("_off", F.raise_error(F.lit("the scan was split differently")).cast("bigint"))
-    return (tagged.join(side, keys, "left")
-            .select((known + F.col("_mid") - F.col("_first") + F.lit(start)).alias(name), *df.columns))
+    index = stored(segs.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "split-index")
+    side = F.broadcast(index) if index.count() <= BROADCAST_SPLITS else index
+    return tagged.join(side, keys).select(
+        (F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start)).alias(name), *df.columns)
 
 
 def dense_to_sparse(rows: DataFrame, x: str = "x", keep_zeros: bool = True) -> DataFrame:

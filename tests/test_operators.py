@@ -264,3 +264,39 @@ def test_partition_sizing_follows_advisory_size(spark):
         assert sized_partitions(spark, 10, 10) == spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
+def test_dense_sum_sends_one_vector_a_task(spark):
+    from sparsegrad.plans import rowlocal
+    from tests.test_trainers import _exchanges
+    rows = spark.range(4000).repartition(5).select(
+        (F.col("id") % 7 - 3.0).alias("c"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: (k * F.col("id") % 11).cast("double")).alias("x"))
+    g = rowlocal.dense_sums(rows)
+    got = {r["pos"]: r["g"] for r in g.collect()}
+    want = [0.0] * 30
+    for r in rows.collect():
+        for k, v in enumerate(r["x"]):
+            want[k] += r["c"] * v
+    assert sorted(got) == list(range(30)) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    sizes = []
+    _exchanges(g._jdf.queryExecution().executedPlan(), sizes)
+    assert sizes[0][0] <= 30 * 5
+    exploded = linear.dense_sum(linear.dense_row_gradients(rows.withColumn("row_id", F.lit(1)), F.col("c")))
+    assert all(abs(got[r["pos"]] - r["g"]) < 1e-9 for r in exploded.collect())
+    assert rowlocal.dense_sums(rows.limit(0)).collect() == []
+    with pytest.raises(Exception, match="dense row"):
+        rowlocal.dense_sums(rows.limit(3).unionByName(spark.createDataFrame([(1.0, [1.0])], "c double, x array<double>")).coalesce(1)).collect()
+
+
+def test_nothing_stays_cached_behind_the_caller(spark):
+    """Operators that read a small table several times leave no cached copy."""
+    from sparsegrad.operators import sample
+    from sparsegrad.plans import joins
+    spark.sparkContext._jvm.System.gc()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(500).select(F.col("id"), (F.col("id") + 1.0).alias("w"))
+    draws = spark.range(20).select(F.col("id").alias("draw"), (F.col("id") / 20.0).alias("u"))
+    assert sample.sample_by_weight(df, "id", "w", draws).count() == 20
+    big = spark.range(3000).select((F.col("id") % 4).alias("id"), F.lit(1).alias("v"))
+    assert joins.skew_split_join(big, df, "id").where("w IS NULL").count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before

@@ -168,3 +168,25 @@ def test_ordered_lines_spread_over_the_session_partitions(spark, sf, monkeypatch
     assert tasks == [8, 8]                   # shuffle partitions of the test session
     ids = [int(r["value"].split()[1]) for r in rows]
     assert ids == sorted(ids) and len(ids) > 1000
+
+
+def test_line_ids_scan_the_text_once(spark, scratch):
+    """One text scan, ids in file order over several splits, the same ids
+    when the result is read again."""
+    from sparsegrad.sources import text
+    lines = [f"line {i} " + "x" * (i % 40) for i in range(3000)]
+    for part in range(3):
+        with open(f"{scratch}/part-{part}.txt", "w") as f:
+            f.write("\n".join(lines[part * 1000:part * 1000 + 1000]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        ids = text.with_line_ids(text.scan_lines(spark, scratch))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.replace("text/", "").split("Relation", 1)[0].lower() and ".txt" not in plan
+    for _ in range(2):
+        got = {r["row_id"]: r["value"] for r in ids.collect()}
+        assert got == {i + 1: x for i, x in enumerate(lines)}
+    assert text.with_line_ids(text.scan_lines(spark, scratch).limit(0)).count() == 0
