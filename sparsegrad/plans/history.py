@@ -132,10 +132,9 @@ class DualHistory:
 
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    def totals(self, rows: DataFrame, low: int = 0, width: int | None = None, race: tuple[int, int] | None = None) -> Totals:
-        """One pass, one job: a row for each task and bin leaves a task. With
-        ``race`` = (seed, draw) also the winner of a draw by p^2: the row with
-        the least exponential -ln(1 - u) / p^2."""
+    def sums(self, rows: DataFrame, low: int = 0, width: int | None = None, race: tuple[int, int] | None = None) -> DataFrame:
+        """The sums behind ``totals``, one row a bin; a task sends one row for
+        each batch and bin that occurs in it."""
         shared = rows.sparkSession.sparkContext.broadcast(self.frozen())
         noise = -F.log1p(-S.seeded_uniform(F.lit(f"{race[0]}:{race[1]}"), F.col("row_id"))) if race else F.lit(0.0)
 
@@ -160,8 +159,13 @@ class DualHistory:
 
         parts = rows.select("row_id", "y", "features", noise.alias("noise")).mapInArrow(
             run, "bin long, s double, py double, n long, first long, last long, key double, id long")
-        found = parts.groupBy("bin").agg(F.sum("s"), F.sum("py"), F.sum("n"), F.min("first"), F.max("last"),
-                                         F.min(F.struct("key", "id"))).collect()
+        return parts.groupBy("bin").agg(F.sum("s"), F.sum("py"), F.sum("n"), F.min("first"), F.max("last"),
+                                        F.min(F.struct("key", "id")))
+
+    def totals(self, rows: DataFrame, low: int = 0, width: int | None = None, race: tuple[int, int] | None = None) -> Totals:
+        """One pass over the rows. With ``race`` = (seed, draw) also the winner
+        of a draw by p^2: the row with the least exponential -ln(1 - u) / p^2."""
+        found = self.sums(rows, low, width, race).collect()
         winner = min((tuple(r[6]) for r in found), default=(0.0, None))[1] if race else None
         return Totals(sum(r[3] for r in found), sum(r[1] for r in found), sum(r[2] for r in found),
                       sorted((r[0], r[1], r[3], r[4], r[5]) for r in found), winner)

@@ -11,12 +11,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from sparsegrad.operators import dual, linear, update  # noqa: E402
+from sparsegrad.operators import linear, sample, update  # noqa: E402
+from sparsegrad.plans import rowlocal  # noqa: E402
 from sparsegrad.plans.blocked import FeatureBlocks  # noqa: E402
+from sparsegrad.plans.history import DualHistory  # noqa: E402
 from sparsegrad.plans.lineage import IterationState  # noqa: E402
 from sparsegrad.session import local_session  # noqa: E402
 from sparsegrad.sources import fixtures as fx  # noqa: E402
-from sparsegrad.sources.text import cache_points  # noqa: E402
 
 
 def folded(df) -> str:
@@ -54,26 +55,29 @@ def main():
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     rows = fx.sparse_rows(spark, sf)
     d = fx.max_feature_id(rows)
-    R = cache_points(rows)
+    R = rows.persist()
     n = R.count()
     st = IterationState()
-    P = st.put("P", R.select("row_id", F.lit(1.0 / n ** 0.5).alias("p")), 1)
     W = st.put("W", fx.fx_weights(spark, d), 1)
-    RP = R.join(P, "row_id")
+    history = DualHistory(0.15, None, n ** -0.5)
+    history.add(5, 0.1, 2.0, 0.1)
+    active = rowlocal.gradient(R, rowlocal.weight_array(W, d), 0.1, rowlocal.primal_coefficients,
+                               weigh=history.frozen().weights, above=50 / n, summed=False)
+    w_sq = F.when(F.col("idx") > 0, F.col("w") * F.col("w")).otherwise(0.0)
     blocks = FeatureBlocks(R.select(F.col("row_id").alias("rid"), "features"), d, block_size=200)
+    by_rid = R.select(F.col("row_id").alias("rid"), "y")
     sections = [
         ("Training rows from parquet (built once, cached)", rows.select(F.sum(F.size("features")))),
-        ("Gradient pass: active rows, p-weighted gradient, bias as idx 0",
-         linear.gradient(linear.active_rows(RP, 50, n), W, 0.1, coef=linear.primal_coef, weight="p", d=d)),
-        ("Gradient pass and weight update in one job (union + sum per id; new bias as idx 0)",
-         update.gradient_step(W, linear.gradient(R, W, 0.1, d=d), 1.0, 0.1, 1.0)),
-        ("Dual pass: new p and its norm in one job",
-         RP.select("row_id", (F.col("p") * dual.factor_expr(5, 0.1, 2.0, 0.1, 0.15)).alias("p"))
-         .agg(F.sqrt(F.sum(F.col("p") * F.col("p"))))),
-        ("One narrowing step of a feature draw",
-         W.groupBy(F.floor((F.col("idx") - 1) / F.lit(1))).agg(F.sum(F.col("w") * F.col("w")), F.count(F.lit(1)))),
-        ("Gradient pass over feature blocks (weights too large to broadcast; cells cached)",
-         blocks.gradient(R.select(F.col("row_id").alias("rid"), "y"), W, 0.1, linear.gd_coef)),
+        ("T2: gradient pass and weight update in one job (union + sum per id; new bias as idx 0)",
+         update.gradient_step(W, linear.gradient(R, W, 0.1, d=d, summed=False), 1.0, 0.1, 1.0)),
+        ("T3: p-weighted gradient of the active rows (p from the history, no table of p) and weight update",
+         update.gradient_step(W, active, 1.0, 0.1, 1.0)),
+        ("Feature draw by exponential race, folded into the job that writes W", W.agg(sample.race_winner("3:w1", "idx", w_sq, "w"))),
+        ("Dual pass: sums of p^2 and p y, rows counted, by bins of the row id", history.sums(R, 1, 600)),
+        ("Dual pass with a raced row draw", history.sums(R, race=(3, 1))),
+        ("Weights on their way to the cells that use them (routes cached)", blocks.routed(W)),
+        ("Scores over feature blocks (weights too large to broadcast; cells cached)", blocks.scores(by_rid, W, 0.1)),
+        ("Gradient pass over feature blocks", blocks.gradient(by_rid, W, 0.1, linear.gd_coef)),
     ]
     print(f"# Physical plans of the hot path\n\nGenerated by `tools/show_plans.py {sf}` "
           f"(N = {n}, D = {d}, automatic broadcast off, as for row state too big to broadcast). "

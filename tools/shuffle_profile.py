@@ -2,7 +2,7 @@
 scratch folder; no UI): python tools/shuffle_profile.py [sf_dir] [scratch_dir]
 
 Prints a markdown table: rows read, shuffle records and bytes written per
-labelled job (one gradient pass, one weight update, one dual pass)."""
+labelled job (gradient and weight update, dual passes)."""
 
 from __future__ import annotations
 
@@ -18,7 +18,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from sparsegrad.operators import dual, linear, update  # noqa: E402
+from sparsegrad.operators import linear, update  # noqa: E402
+from sparsegrad.plans import rowlocal  # noqa: E402
+from sparsegrad.plans.history import DualHistory  # noqa: E402
 from sparsegrad.plans.lineage import IterationState  # noqa: E402
 from sparsegrad.session import ensure_checkpoint_dir  # noqa: E402
 from sparsegrad.sources import fixtures as fx  # noqa: E402
@@ -58,9 +60,9 @@ def main():
     n = R.count()
     nnz = R.agg(F.sum(F.size("features"))).first()[0]
     st = IterationState()
-    P = st.put("P", R.select("row_id", F.lit(1.0 / n ** 0.5).alias("p")), 1)
     W = st.put("W", fx.fx_weights(spark, d), 1)
-    RP = R.join(P, "row_id")
+    history = DualHistory(0.15, None, n ** -0.5)
+    history.add(5, 0.1, 2.0, 0.1)
     labelled = []
 
     def run(label, fn):
@@ -69,13 +71,13 @@ def main():
         sc.setJobDescription(None)
         labelled.append(label)
 
-    grad = linear.gradient(linear.active_rows(RP, 50, n), W, 0.1, coef=linear.primal_coef, weight="p", d=d)
-    run("gradient pass", lambda: grad.collect())
+    grad = rowlocal.gradient(R, rowlocal.weight_array(W, d), 0.1, rowlocal.primal_coefficients,
+                             weigh=history.frozen().weights, above=50 / n, summed=False)
     run("gradient pass + weight update (one aggregate)",
         lambda: update.gradient_step(W, grad, 1.0, 0.1, 1.0).collect())
-    run("dual pass (new p + norm)", lambda: RP.select(
-        (F.col("p") * dual.factor_expr(5, 0.1, 2.0, 0.1, 0.15)).alias("p"))
-        .agg(F.sqrt(F.sum(F.col("p") * F.col("p")))).collect())
+    run("gradient alone, summed", lambda: linear.gradient(R, W, 0.1, d=d).collect())
+    run("dual pass (sums of p^2, p y by bins)", lambda: history.totals(R, 1, 600))
+    run("dual pass with raced row", lambda: history.totals(R, race=(3, 1)))
     spark.stop()
 
     job_label, stage_job = {}, {}
