@@ -24,9 +24,5 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     chosen = stored(once.withColumn("_o", F.xxhash64("doc_id")).filter(below)
                     .orderBy("_o", "doc_id").limit(rows).drop("_o"), "sample")
     joined = docs.select("doc_id", "text").join(small(chosen, chosen.count()), "doc_id")
-    once = joined.dropDuplicates(["doc_id"]) if _repeats(joined, chosen) else joined
-    return stored(once, "learning")
-
-
-def _repeats(joined: DataFrame, chosen: DataFrame) -> bool:
-    return joined.select("doc_id").count() > chosen.count()
+    n, ids = joined.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    return stored(joined.dropDuplicates(["doc_id"]) if n > ids else joined, "learning")

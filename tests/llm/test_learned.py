@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from sparsegrad.llm import langid, pii, queries, ranking, toxicity
 from sparsegrad.llm.toxicity import KINDS, Lexicon
@@ -347,3 +348,41 @@ def test_rejected_spans_are_decoded_again():
     passes = lambda kind, i, j: pii._passes(kind, text[spans[i][0]:spans[j - 1][1]])
     assert pii._segments(field, field.emissions(tokens), passes) == [(0, 2, "phone"), (2, 7, "email")]
     assert pii._segments(field, field.emissions(tokens), lambda *_: False) == []
+
+
+ODD = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "long word " * 60_000, "x"), (5, "plain words of one text", "x"),
+       (5, "plain words of one text", "x"), (None, "plain words of one text", "x"), (6, "### $$$ %%%", "x"), (7, "you are an idiot", "x")]
+ODD_SCHEMA = "doc_id long, text string, score string"
+
+
+@pytest.mark.parametrize("name", ["quality", "toxic"])
+def test_scores_of_odd_rows(spark, name):
+    """Nulls, empty and very long texts, repeated rows and ids, a clashing
+    column, labels without documents, and tables without rows."""
+    from sparsegrad.llm import labelled
+    module = {"quality": ranking, "toxic": toxicity}[name]
+    docs = spark.createDataFrame(ODD + [(i, f"some words number {i} and more of them", "x") for i in range(20, 80)], ODD_SCHEMA)
+    given = [(i, i % 2, int(i % 3 == 0)) for i in range(20, 80)] + [(5, 1, 0), (5, 1, 0), (900, 0, 1), (None, 1, 1), (1, None, None), (2, 0, 0)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    sample = labelled.learning_sample(docs, labels, name)
+    assert sample.count() == sample.select("doc_id").distinct().count() and sample.filter("doc_id = 900 OR label IS NULL").count() == 0
+    rows = module.score(docs, module.fit(sample)).collect()
+    assert len(rows) == docs.count() and all(0.0 <= r.score <= 1.0 for r in rows)
+    same = {r.score for r in rows if r.doc_id in (5, None)}
+    assert len(same) == 1
+    by = {r.doc_id: r.score for r in rows}
+    assert by[1] == by[2] == by[3]
+    empty = labelled.learning_sample(docs.limit(0), labels, name)
+    model = module.fit(empty)
+    assert module.score(docs.limit(0), model).count() == 0
+    assert all(0.0 <= r.score <= 1.0 for r in module.score(docs, model).collect())
+
+
+def test_learning_sample_is_cut_by_hash(spark):
+    from sparsegrad.llm import labelled
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    some = labelled.learning_sample(docs, labels, "quality", rows=100)
+    every = labelled.learning_sample(docs, labels, "quality", rows=3000)
+    first = every.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").limit(100)
+    assert {r.doc_id for r in some.collect()} == {r.doc_id for r in first.collect()}

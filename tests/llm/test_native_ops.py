@@ -268,3 +268,34 @@ def test_weight_change_moves_only_its_subtree(spark):
     assert abs(share - 2 / 17) < 0.01
     outside = {x.shard for x in tree.children[1].leaves()}
     assert not any(a != b and a in outside and b in outside for a, b in n)
+
+
+def plain_draw(doc_id, name):
+    """The uniform draw of (id, child) by the public 64-bit hash, chained as
+    Spark chains the hashes of two columns (seed 42; a null passes the seed on)."""
+    import struct
+
+    import xxhash
+    h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    return ((xxhash.xxh64_intdigest(name.encode(), h) >> 11) + 0.5) / (1 << 53)
+
+
+def plain_shard(doc_id, node):
+    """Down the tree: the child with the least -ln(u) / weight, level by level."""
+    from math import log
+    while node.children:
+        live = [c for c in node.children if c.total > 0]
+        node = live[0] if len(live) == 1 else min(live, key=lambda c: -log(plain_draw(doc_id, c.name)) / c.total)
+    return node.shard
+
+
+def test_shards_equal_plain_draws(spark, sf):
+    tree = sharding.even_tree(16)
+    rows = queries.hash_tree_shards(spark, sf).collect()
+    assert all(r.shard == plain_shard(r.doc_id, tree) and r.grown_shard == plain_shard(r.doc_id, sharding.grown(tree)) for r in rows)
+    leaf = lambda i, w: sharding.Node(f"s{i}", w, shard=i)
+    uneven = sharding.Node("root", children=(
+        sharding.Node("a", children=(leaf(0, 1.0), leaf(1, 0.0), leaf(2, 3.0))), sharding.Node("b", children=(leaf(3, 2.5),))))
+    docs = spark.createDataFrame([(i if i else None, "t", None, None, 0, 1, "", "") for i in range(500)], SCHEMA)
+    got = {r.doc_id: r.shard for r in sharding.shard_rows(docs, uneven).collect()}
+    assert got == {i: plain_shard(i, uneven) for i in [None, *range(1, 500)]} and 1 not in got.values()
