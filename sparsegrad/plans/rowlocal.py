@@ -4,7 +4,8 @@ A training row holds its whole vector, so its score needs only the weights.
 Within ``MAX_WEIGHTS`` features the weight vector is one array of at most
 32 MB: it is collected after a check of its size and broadcast. A task scores its
 rows batch by batch and adds the gradient up in one array, so the only rows
-that leave a task are its non-zero sums. Feature ids outside 1..D raise.
+that leave a task are its non-zero sums, or slices of them where D is large
+(``plans.slices``). Feature ids outside 1..D raise.
 Larger models go through ``plans.blocked``."""
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import slices
+
 #: Largest weight vector that is broadcast as an array of doubles (32 MB).
 MAX_WEIGHTS = 4_000_000
 
@@ -105,15 +108,19 @@ def with_scores(rows: DataFrame, w: np.ndarray, b: float) -> DataFrame:
 
 def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient, weight: str | None = None,
              weigh: Callable[[pa.RecordBatch], np.ndarray] | None = None, above: float | None = None,
-             summed: bool = True) -> DataFrame:
+             summed: bool = True, width: int | None = None) -> DataFrame:
     """(idx, g): the summed gradient, the bias part at idx 0. With ``weight``
     the features, not the bias, are scaled by that column; with ``weigh`` by
     what it gives for a batch, and rows not ``above`` that value are left out.
     One row for each non-zero sum leaves a task; the shuffle on idx adds them
     up; without ``summed`` the rows of all tasks are returned as they are, for
-    a caller that sums by idx anyway. Without any row that counts the table is
-    empty."""
+    a caller that sums by idx anyway. Long vectors leave a task in slices of
+    ``width`` ids and are added in two levels instead (``width`` 0: never).
+    Without any row that counts the table is empty."""
     spark = rows.sparkSession
+    if width is None:
+        width = slices.SLICE if len(w) >= slices.SLICED_FROM * slices.SLICE else 0
+    groups = slices.groups_of(rows.rdd.getNumPartitions()) if width else 1
     shared = spark.sparkContext.broadcast((w, weigh))
     vector = "features" if "features" in rows.columns else "x"
 
@@ -133,7 +140,9 @@ def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient,
             total += added(c * scale)
             total[0] += c.sum()
             seen += active
-        if seen:
+        if seen and width:
+            yield from slices.packed(total, width, groups)
+        elif seen:
             hit = np.flatnonzero(total)
             hit = hit if len(hit) and hit[0] == 0 else np.concatenate([[0], hit])
             for i in range(0, len(hit), 500_000):
@@ -141,6 +150,8 @@ def gradient(rows: DataFrame, w: np.ndarray, b: float, coefficient: Coefficient,
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["idx", "g"])
 
     keep = ["y", vector] + ([weight] if weight else [])
+    if width:
+        return slices.added(rows.select(*keep).mapInArrow(run, slices.PACKED), width, groups)
     parts = rows.select(*keep).mapInArrow(run, "idx long, g double")
     return parts.groupBy("idx").agg(F.sum("g").alias("g")) if summed else parts
 

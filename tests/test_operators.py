@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparsegrad.functions import scalar as S
 from sparsegrad.operators import dual, linear, norms, sample, update
-from sparsegrad.plans import joins
+from sparsegrad.plans import joins, rowlocal
 from sparsegrad.sources import fixtures as fx
 
 
@@ -267,7 +267,6 @@ def test_partition_sizing_follows_advisory_size(spark):
 
 
 def test_dense_sum_sends_one_vector_a_task(spark):
-    from sparsegrad.plans import rowlocal
     from tests.test_trainers import _exchanges
     rows = spark.range(4000).repartition(5).select(
         (F.col("id") % 7 - 3.0).alias("c"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: (k * F.col("id") % 11).cast("double")).alias("x"))
@@ -300,3 +299,54 @@ def test_nothing_stays_cached_behind_the_caller(spark):
     big = spark.range(3000).select((F.col("id") % 4).alias("id"), F.lit(1).alias("v"))
     assert joins.skew_split_join(big, df, "id").where("w IS NULL").count() == 0
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_sliced_sums_equal_sums_by_id(spark):
+    """Slices of any width, in one and two levels, dense and sparse ones, a
+    hot id, an id whose parts cancel out, rows and tasks without entries."""
+    d = 5000
+    pick = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(
+        F.when(k == 1, F.lit(1).cast("bigint")).when(F.col("id") < 1500, F.pmod(F.xxhash64("id", k), F.lit(300)) + 1)
+        .otherwise(F.pmod(F.xxhash64("id", k), F.lit(d)) + 1).alias("idx"), (k / 8.0).alias("val")))
+    rows = spark.range(0, 3000, 1, 24).select(
+        "id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"), pick.alias("features")).where("id > 200")
+    rows = rows.unionByName(spark.range(2).select("id", F.lit(1.0).alias("y"), F.slice(pick, 1, 0).alias("features")))
+    w = np.linspace(-1.0, 1.0, d + 1)
+    want = {r["idx"]: r["g"] for r in rowlocal.gradient(rows, w, 0.3, rowlocal.gd_coefficients, width=0).collect()}
+    for part in (rows, rows.coalesce(3)):
+        for width in (64, 700, 8192):
+            got = rowlocal.gradient(part, w, 0.3, rowlocal.gd_coefficients, width=width).collect()
+            assert len(got) == len({r["idx"] for r in got})
+            got = {r["idx"]: r["g"] for r in got}
+            assert all(abs(got.get(k, 0.0) - want.get(k, 0.0)) < 1e-9 for k in got.keys() | want.keys()) and 0 in got
+    assert rowlocal.gradient(rows.where("id < 0"), w, 0.3, rowlocal.gd_coefficients, width=64).collect() == []
+    # the bias part is there even when it is zero
+    none = rowlocal.gradient(rows, w, 0.3, lambda y, s: y * 0.0, width=64).collect()
+    assert [tuple(r) for r in none] == [(0, 0.0)]
+
+
+def test_sliced_sums_send_slices_not_ids(spark):
+    from sparsegrad.plans import slices
+    d, tasks = 60_000, 25
+    feats = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.struct(
+        (F.pmod(F.xxhash64("id", k), F.lit(d)) + 1).alias("idx"), F.lit(1.0).alias("val")))
+    rows = spark.range(0, 10_000, 1, tasks).select(F.lit(1.0).alias("y"), feats.alias("features"))
+    g = rowlocal.gradient(rows, np.zeros(d + 1), 0.0, rowlocal.gd_coefficients)
+    assert g.collect()
+    written = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "ShuffleExchangeExec":
+            written.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(g._jdf.queryExecution().executedPlan())
+    n = -(-(d + 1) // slices.SLICE)
+    # last level, first level: groups x slices and tasks x slices, not tasks x D
+    assert written[0] <= slices.groups_of(tasks) * n and written[1] <= tasks * n
