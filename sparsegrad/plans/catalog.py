@@ -539,14 +539,19 @@ def q_train_primal_dual_race(spark, sf):
     return _weights_out(_t3(spark, sf, u=None, seed=RACE_SEED))
 
 
+def q_train_primal_dual_indexed(spark, sf):
+    """T3 whose dual steps read only the rows of drawn features."""
+    return _weights_out(_t3(spark, sf, feature_index=True))
+
+
 def q_train_none_active(spark, sf):
     """T3 with a threshold that no row reaches: nothing moves."""
     return _weights_out(_t3(spark, sf, r=10 ** 9))
 
 
-def _t4(spark, sf):
+def _t4(spark, sf, **how):
     rows, d = _sparse(spark, sf)
-    return trainers.train_sampled(rows, d, ITERS, u_rows=U_ROW, u_features=U_FEATURE, eta=ETA)
+    return trainers.train_sampled(rows, d, ITERS, u_rows=U_ROW, u_features=U_FEATURE, eta=ETA, **how)
 
 
 def q_train_sampled(spark, sf):
@@ -555,6 +560,12 @@ def q_train_sampled(spark, sf):
     return _weights_out(m, 0, m.b_avg)
 
 
+def q_train_sampled_indexed(spark, sf):
+    """T4 whose dual steps read only the rows of drawn features."""
+    m = _t4(spark, sf, feature_index=True)
+    return _weights_out(m, 0, m.b_avg)
+
+
 def q_train_sampled_race(spark, sf):
     """T4 with raced draws of rows and features."""
     rows, d = _sparse(spark, sf)
@@ -656,7 +667,9 @@ QUERIES: dict[str, Query] = {
     "train_primal_dual_blocked": q_train_primal_dual_blocked,
     "train_primal_dual_whole_step": q_train_primal_dual_whole_step,
     "train_primal_dual_race": q_train_primal_dual_race,
+    "train_primal_dual_indexed": q_train_primal_dual_indexed,
     "train_sampled": q_train_sampled,
+    "train_sampled_indexed": q_train_sampled_indexed,
     "train_sampled_race": q_train_sampled_race,
     "model_rows": q_model_rows,
     "model_text": q_model_text,

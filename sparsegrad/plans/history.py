@@ -52,26 +52,46 @@ class Frozen:
         e = self.eta * s
         return np.log(1.0 - e + e * e)
 
+    def by_label(self, y: np.ndarray) -> np.ndarray:
+        """Logarithm of the weight of rows without any drawn feature."""
+        labels, which = np.unique(y, return_inverse=True)
+        return (self.log_factor(np.multiply.outer(labels, self.biases)).sum(1) + self.scale)[which]
+
+    def _hits(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each id among the drawn features, entries whose id was drawn)."""
+        at = np.minimum(np.searchsorted(self.features, idx), len(self.features) - 1)
+        return at, np.flatnonzero(self.features[at] == idx)
+
+    def _differences(self, hit: np.ndarray, at: np.ndarray, y: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each step of each entry of ``hit``: (entry, difference it makes)."""
+        n = self.start[at[hit] + 1] - self.start[at[hit]]
+        which = np.repeat(hit, n)
+        step = np.repeat(self.start[at[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        absent = self.b[step] * y[which]
+        return which, self.log_factor(val[which] * self.q[step] + absent) - self.log_factor(absent)
+
+    def changes(self, idx: np.ndarray, y: np.ndarray, val: np.ndarray) -> np.ndarray:
+        """What each entry (first of its id in its row, with the row's label)
+        adds to the logarithm of the row's weight."""
+        if not len(self.features):
+            return np.zeros(len(idx))
+        at, hit = self._hits(idx)
+        which, change = self._differences(hit, at, y, val)
+        return np.bincount(which, change, len(idx))
+
     def log_weights(self, batch: pa.RecordBatch) -> np.ndarray:
         """Logarithm of each row's weight; the batch has y and features."""
         y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
-        labels, which = np.unique(y, return_inverse=True)
-        out = (self.log_factor(np.multiply.outer(labels, self.biases)).sum(1) + self.scale)[which]
+        out = self.by_label(y)
         if not len(self.features):
             return out
         row, idx, val = sparse_entries(batch.column("features"))
-        at = np.minimum(np.searchsorted(self.features, idx), len(self.features) - 1)
-        hit = np.flatnonzero(self.features[at] == idx)
+        at, hit = self._hits(idx)
         # the first value of a feature in a row counts
         hit = hit[np.unique(row[hit] * len(self.features) + at[hit], return_index=True)[1]]
-        n = self.start[at[hit] + 1] - self.start[at[hit]]
-        which = np.repeat(hit, n)
-        step = np.repeat(self.start[at[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        absent = self.b[step] * y[row[which]]
-        change = self.log_factor(val[which] * self.q[step] + absent) - self.log_factor(absent)
+        which, change = self._differences(hit, at, y[row], val)
         return out + np.bincount(row[which], change, len(out))
 
-
     def weights(self, batch: pa.RecordBatch) -> np.ndarray:
         return np.exp(self.log_weights(batch))
 

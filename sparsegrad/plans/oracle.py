@@ -604,6 +604,8 @@ ORACLES: dict[str, str] = {
     "train_gd_bias_whole_step": train_gd_bias_whole_step_sql(),
     "train_primal_dual": train_primal_dual_sql(),
     "train_primal_dual_blocked": train_primal_dual_sql(),
+    "train_primal_dual_indexed": train_primal_dual_sql(),
+    "train_sampled_indexed": train_sampled_sql(),
     "train_primal_dual_whole_step": train_primal_dual_whole_step_sql(),
     "train_primal_dual_race": train_primal_dual_race_sql(),
     "train_sampled_race": train_sampled_race_sql(),

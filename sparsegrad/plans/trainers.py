@@ -8,7 +8,8 @@ State layout:
   one aggregate that also carries the new bias as idx 0 (persisted and
   checkpointed, every iteration by default);
 * the row weights p of T3 and T4 are not a table: each pass works them out
-  from the rows and the scalars of the iterations so far (``plans.history``).
+  from the rows and the scalars of the iterations so far (``plans.history``),
+  or, with a feature index, carries its sums along (``plans.featureindex``).
   The model's ``p`` is written once, at the end;
 * driver: bias b, sampled ids, norms, N, D, the scalar history, and within
   ``max_weights`` the weight array on its way to the broadcast.
@@ -36,6 +37,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import model_io
 from . import rowlocal
 from .blocked import BLOCK_SIZE, FeatureBlocks
+from .featureindex import CarriedSums
 from .history import BINS, DualHistory
 from .lineage import IterationState
 
@@ -224,7 +226,8 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
                       u: list[float] | float | None = None, seed: int | None = None, n: int | None = None,
                       w_step: float | None = None, b_step: float = 1.0,
                       clip: float | None = None, checkpoint_every: int = 1,
-                      max_weights: int = rowlocal.MAX_WEIGHTS, block_size: int = BLOCK_SIZE) -> Model:
+                      max_weights: int = rowlocal.MAX_WEIGHTS, block_size: int = BLOCK_SIZE,
+                      feature_index: bool = False) -> Model:
     """Primal-dual logistic regression with row weights p.
 
     Per iteration: rows with ``p > r/N`` give ``c = y g(y (w.x + b))``;
@@ -236,7 +239,9 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     p is L2-normalised.
 
     An iteration is a gradient pass that writes W and a pass that sums p^2;
-    the latter must count every row, else the trainer raises."""
+    the latter must count every row, else the trainer raises. With
+    ``feature_index`` (one more copy of the entries, written before the first
+    iteration) the second pass reads only rows that hold a drawn feature."""
     spark = rows.sparkSession
     R, n_rows, n_entries = _prepare(rows, d)
     run = _Pass(R, d, n_entries, max_weights, "row_id", block_size)
@@ -245,6 +250,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
     us = _draws(u, seed, iters)
     state = IterationState(checkpoint_every)
     history = DualHistory(eta, clip, 1.0 / math.sqrt(max(1, n_rows)))
+    carried = CarriedSums(R, history) if feature_index else None
     W = state.put("W", update.zero_weights(spark, d), 1)
     b = 0.0
     model = Model(W, b, d, state=state)
@@ -263,10 +269,10 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
         if len_sq:
             j, w_j = _drawn_feature(W, (lo, hi, len_sq, last), us[t - 1], race[0] if race else None)
         history.add(j, w_j, len_sq, b)
-        sums = history.totals(R)
+        sums = carried.step() if carried else history.totals(R)
         if sums.n != n_rows:  # A8
             raise RuntimeError(f"dual pass counted {sums.n} rows of {n_rows}")
-        history.normalise(sums)
+        (carried or history).normalise(sums)
         model.trace.append({"iter": t, "w1": float(w1 or 0.0), "w2": float(w2 or 0.0), "b": float(b), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b = W, float(b)
@@ -278,7 +284,7 @@ def train_primal_dual(rows: DataFrame, d: int, iters: int, *, eta: float, r: int
 
 def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] | float | None = None,
                   u_features: list[float] | float | None = None, seed: int | None = None, eta: float = 0.15,
-                  clip: float | None = None, checkpoint_every: int = 1) -> Model:
+                  clip: float | None = None, checkpoint_every: int = 1, feature_index: bool = False) -> Model:
     """T4: sampled primal-dual, as a distributed job.
 
     Per iteration: draw one row i with probability p_i^2; step
@@ -287,8 +293,12 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     j with probability w_j^2; every row's p is multiplied by the dual factor
     of ``s = clip(x_j / w_j + b y, 1/eta)`` and L2-normalised. The model's
     bias line is b_avg. Both draws are given (``u_rows``, ``u_features``) or
-    both raced (``seed``)."""
+    both raced (``seed``). With ``feature_index`` as in T3 a dual step reads
+    only rows that hold a drawn feature; a race needs a key of every row, so
+    the draws must be given then."""
     spark = rows.sparkSession
+    if feature_index and seed is not None:
+        raise ValueError("raced row draws read every row: give the draws to use a feature index")
     R, n, _ = _prepare(rows, d)
     if not n:
         raise ValueError("no rows to sample")
@@ -301,8 +311,12 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
     low, high = R.agg(F.min("row_id"), F.max("row_id")).first()
     width = -(-(high - low + 1) // BINS)
 
+    carried = CarriedSums(R, history, low, width) if feature_index else None
+
     def passed(t: int):
         """Sums of p and what the row draw of iteration ``t`` needs."""
+        if carried:
+            return carried.step() if t > 1 else carried.totals()
         return history.totals(R, race=(seed, t)) if seed is not None else history.totals(R, low, width)
 
     sums = passed(1)
@@ -328,7 +342,7 @@ def train_sampled(rows: DataFrame, d: int, iters: int, *, u_rows: list[float] |
         sums = passed(t + 1)
         if sums.n != n:
             raise RuntimeError(f"dual pass counted {sums.n} rows of {n}")
-        sums = history.normalise(sums)
+        sums = (carried or history).normalise(sums)
         model.trace.append({"iter": t, "i": row["row_id"], "b": float(b), "b_avg": float(b_avg), "j": j})
         model.seconds.append(time.perf_counter() - t0)
     model.weights, model.b, model.b_avg = W, float(b), float(b_avg)

@@ -2,6 +2,7 @@
 
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -489,3 +490,104 @@ def test_text_to_model_end_to_end(spark, sf, scratch):
     assert len(back) == d + 1
     assert all(abs(back[k] - exp[k]) < 1e-12 for k in exp)
     assert abs(back[d + 1] - ref.b) < 1e-12
+
+
+def _history_steps():
+    return ((5, 0.3, 2.0, 0.7), (None, 0.0, 0.0, -1.0), (2, -0.1, 1.0, 0.0), (5, 0.2, 1.5, 1.0), (5, 0.0, 1.0, 0.4),
+            (999_999, 0.4, 1.0, 0.2), (3, 0.5, 1.0, -0.3))
+
+
+def _carried_equals_passes(rows, width, steps, **settings):
+    from sparsegrad.plans.featureindex import CarriedSums
+    from sparsegrad.plans.history import DualHistory
+    n = rows.count()
+    plain, h = DualHistory(0.15, 0.9, n ** -0.5), DualHistory(0.15, 0.9, n ** -0.5)
+    carried = CarriedSums(rows, h, 1, width)
+    for step in steps:
+        plain.add(*step)
+        h.add(*step)
+        want, got = plain.totals(rows, 1, width), carried.step()
+        assert got.n == want.n == n
+        assert abs(got.squares - want.squares) < 1e-12 and abs(got.labels - want.labels) < 1e-9
+        assert [(b[0], *b[2:]) for b in got.bins] == [(b[0], *b[2:]) for b in want.bins]
+        assert all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(got.bins, want.bins))
+        plain.normalise(want)
+        after = carried.normalise(got)
+        assert abs(after.squares - 1.0) < 1e-12 and abs(h.log_norms - plain.log_norms) < 1e-12
+    return carried
+
+
+def test_sums_carried_by_the_feature_index(spark, sf):
+    """Sums after each dual step against passes over all rows: repeated ids in
+    a row, empty rows, no feature term, a feature that no row holds, one drawn
+    often, other labels than -1 and 1."""
+    twice = F.concat("features", F.transform(F.slice("features", 1, 1), lambda f: F.struct(f["idx"], (f["val"] + 1).alias("val"))))
+    rows = fx.sparse_rows_with_empty(spark, sf).withColumn("features", twice)
+    rows = rows.withColumn("y", F.when(F.col("row_id") % 11 == 0, 0.5).otherwise(F.col("y"))).persist()
+    for width in (None, 300):
+        carried = _carried_equals_passes(rows, width, _history_steps())
+        assert carried.passes < 1 + len(_history_steps())
+    rows.unpersist()
+
+
+def test_carried_sums_fall_back_to_passes(spark, sf, monkeypatch):
+    """Many labels; a feature that all rows but an almost weightless one hold;
+    a pass every few steps."""
+    from sparsegrad.plans import featureindex as FI
+    rows = fx.sparse_rows(spark, sf).withColumn("y", (F.col("row_id") % 100) / 50.0).persist()
+    carried = _carried_equals_passes(rows, None, _history_steps())
+    assert carried.index is None
+    rows.unpersist()
+    # rows 1..40 hold feature 1; row 41 alone does not and loses its weight
+    data = [(i, 1.0, [(1, 2.0)]) for i in range(1, 41)] + [(41, 1.0, [(2, 3.0)])]
+    rows = spark.createDataFrame(data, ROWS).persist()
+    steps = [(2, 1.0, 1.0, 0.0)] * 4 + [(1, 1.0, 1.0, 0.0)] * 2
+    monkeypatch.setattr(FI, "LEAST_REST", 0.02)
+    carried = _carried_equals_passes(rows, None, steps)
+    assert 1 < carried.passes <= 3
+    monkeypatch.setattr(FI, "EXACT_EVERY", 2)
+    monkeypatch.setattr(FI, "LEAST_REST", 0.0)
+    assert _carried_equals_passes(rows, None, steps[:4]).passes == 1 + 2
+    rows.unpersist()
+
+
+def test_dual_steps_read_only_rows_of_drawn_features(spark):
+    """Files opened and rows read by a look-up grow with the feature, not with the rows."""
+    from sparsegrad.plans.featureindex import CarriedSums, FeatureIndex
+    from sparsegrad.plans.history import DualHistory
+    rows = _scattered_rows(spark).withColumnRenamed("rid", "row_id").persist()
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # as for data of some size
+    try:
+        index = FeatureIndex(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    entries = rows.select(F.inline("features")).groupBy("idx").count()
+    assert index.table.count() == rows.select("row_id", F.inline("features")).select("row_id", "idx").distinct().count()
+    j = entries.where("idx != 7 AND count > 1").first()["idx"]
+    assert index.postings([j]).count() == rows.where(F.exists("features", lambda f: f["idx"] == j)).count()
+    plan = index.postings([j])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*part", plan) and len([p for p in index.parts if p[1] <= j <= p[2]]) <= 2
+    assert len(index.parts) == 8
+    assert len([p for p in index.parts if p[1] <= 7 <= p[2]]) >= 2              # the hot feature spans several files
+    h = DualHistory(0.15, None, 4000 ** -0.5)
+    carried = CarriedSums(rows, h)
+    h.add(j, 0.3, 1.0, 0.5)
+    carried.normalise(carried.step())
+    assert carried.passes == 1 and 2 <= carried.read < 20
+    rows.unpersist()
+
+
+def test_indexed_trainers_equal_the_others(spark, sf):
+    rows = fx.sparse_rows_with_empty(spark, sf)
+    d, n = fx.max_feature_id(rows), rows.count()
+    how = dict(eta=0.15, r=math.isqrt(n), u=0.37, w_step=1.0, b_step=1.0 / n)
+    for train in (lambda **k: trainers.train_primal_dual(rows, d, 4, **how, **k),
+                  lambda **k: trainers.train_sampled(rows, d, 4, u_rows=[0.1, 0.61, 0.9, 0.33], u_features=0.37, **k)):
+        a, b = train(), train(feature_index=True)
+        assert [(t["j"], t.get("i")) for t in a.trace] == [(t["j"], t.get("i")) for t in b.trace]
+        for x, y, key in ((a.weights, b.weights, "idx"), (a.p, b.p, "row_id")):
+            x, y = ({r[0]: r[1] for r in df.select(key, df.columns[-1]).collect()} for df in (x, y))
+            assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-10 for k in x)
+    with pytest.raises(ValueError, match="raced row draws"):
+        trainers.train_sampled(rows, d, 1, seed=1, feature_index=True)
