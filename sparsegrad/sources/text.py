@@ -149,14 +149,60 @@ def _scatter_last_wins(d: int):
     return run
 
 
-def parse_dense_last_wins(lines: DataFrame, d: int, value: str = "value",
-                          keep: list[str] | None = None) -> DataFrame:
+def _slices_last_wins(d: int, size: int):
+    """As ``_scatter_last_wins``, for the slices that hold a stored value."""
+    slices = -(-d // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            idx = flat.field("idx").to_numpy(zero_copy_only=False)
+            if not len(idx):
+                continue
+            if idx.min() < 1 or idx.max() > d:
+                raise ValueError(f"feature id outside 1..{d}")
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            place = np.repeat(np.arange(batch.num_rows), counts) * (slices * size) + (idx - 1)
+            # the last of equal places is the first in reversed order
+            places, last = np.unique(place[::-1], return_index=True)
+            values = flat.field("val").to_numpy(zero_copy_only=False)[::-1][last]
+            held, first = np.unique(places // size, return_index=True)
+            ends = np.append(first[1:], len(places))
+            step = max(1, SCATTER_VALUES // size)
+            for a in range(0, len(held), step):
+                some = held[a:a + step]
+                mine = slice(first[a], ends[a + len(some) - 1])
+                dense = np.zeros((len(some), size))
+                dense[np.searchsorted(some, places[mine] // size), places[mine] % size] = values[mine]
+                start = some % slices * size
+                length = np.minimum(size, d - start)
+                x = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32),
+                                             dense[np.arange(size) < length[:, None]])
+                row = pa.array(some // slices)
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in batch.columns[:-1]], pa.array(start + 1), x],
+                                                 names=[*batch.schema.names[:-1], "first", "x"])
+
+    return run
+
+
+def parse_dense_last_wins(lines: DataFrame, d: int, value: str = "value", keep: list[str] | None = None,
+                          slice_values: int | None = None) -> DataFrame:
     """Parse ``label idx:val ...`` into a dense ``x`` of length ``d``; for a
     repeated id the last value wins. The scatter has no SQL form that is
-    linear in ``d``; it runs on Arrow batches, its output cut into slices."""
+    linear in ``d``; it runs on Arrow batches, its output cut into slices.
+
+    Whole vectors are N x ``d`` values, which grows with the square of a table
+    whose features grow with its rows. With ``slice_values`` a vector comes as
+    dense slices of that many values, the first of which has the id ``first``;
+    slices without a stored value are all zero and are not written, so the
+    output grows with the stored values. A line without features has none."""
     sparse = parse_plain(lines, value=value, keep=keep)
-    schema = T.StructType([*sparse.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return sparse.mapInArrow(_scatter_last_wins(d), schema)
+    x = T.StructField("x", T.ArrayType(T.DoubleType()))
+    if slice_values is None:
+        return sparse.mapInArrow(_scatter_last_wins(d), T.StructType([*sparse.schema.fields[:-1], x]))
+    schema = T.StructType([*sparse.schema.fields[:-1], T.StructField("first", T.LongType()), x])
+    return sparse.mapInArrow(_slices_last_wins(d, slice_values), schema)
 
 
 #: Splits (with their file names) that may be broadcast.

@@ -190,3 +190,23 @@ def test_line_ids_scan_the_text_once(spark, scratch):
         got = {r["row_id"]: r["value"] for r in ids.collect()}
         assert got == {i + 1: x for i, x in enumerate(lines)}
     assert text.with_line_ids(text.scan_lines(spark, scratch).limit(0)).count() == 0
+
+
+def test_dense_slices_hold_the_whole_vectors(spark, monkeypatch):
+    """Slices that hold a value give the dense vectors; d = 10^6 forms no
+    vector of that length, whatever the number of lines."""
+    raw = ["1 2:1 4:2 2:7", "-1 1:3 9:0 10:4", "1 x", "-1 5:1 5:0", "1 7:2"]
+    monkeypatch.setattr(text, "SCATTER_VALUES", 6)
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "line int, value string")
+    whole = {r.line: r.x for r in text.parse_dense_last_wins(lines, 10, keep=["line"]).collect()}
+    slices = text.parse_dense_last_wins(lines, 10, keep=["line"], slice_values=3).collect()
+    built = {i: [0.0] * 10 for i in whole}
+    for r in slices:
+        assert len(r.x) == min(3, 11 - r.first) and any(r.first <= i < r.first + 3 for i in (1, 2, 4, 5, 7, 9, 10))
+        built[r.line][r.first - 1:r.first - 1 + len(r.x)] = r.x
+    assert built == whole and len(slices) == 2 + 3 + 1 + 1
+    many = spark.range(20_000).selectExpr("id AS line", "concat('1 ', id * 50 + 1, ':2 1:3') AS value")
+    got = text.parse_dense_last_wins(many, 1_000_000, keep=["line"], slice_values=32)
+    assert got.selectExpr("sum(size(x)) n", "sum(aggregate(x, 0D, (a, b) -> a + b)) s").first() == (2 * 32 * 20_000 - 32, 5 * 20_000 - 2)
+    with pytest.raises(Exception, match="outside 1..8"):
+        text.parse_dense_last_wins(lines, 8, slice_values=3).collect()
