@@ -79,6 +79,18 @@ def seeded_uniform(seed, key) -> Column:
     return F.conv(hexits, 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
+def seeded_text(key: Column) -> Column:
+    """The part of the text hashed by ``seeded_uniform`` that follows the seed."""
+    return F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit(""))
+
+
+def hash_bound(u: Column) -> Column:
+    """Text that the md5 in hex of no ``seeded_uniform`` up to ``u`` exceeds ('g'
+    sorts after every hex digit); a little above ``u``, never below."""
+    top = F.floor((u * (1 + 1e-9) + 2.0 ** -40) * F.lit(float(2 ** 52))).cast("bigint")
+    return F.when(u < 0.999, F.concat(F.lpad(F.lower(F.hex(top)), 13, "0"), F.lit("g"))).otherwise(F.lit("g"))
+
+
 def dense_dot(w, x) -> Column:
     """Dense dot product of two equally long double arrays."""
     return F.aggregate(F.zip_with(_c(w), _c(x), lambda a, b: a * b),

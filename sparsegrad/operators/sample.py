@@ -15,12 +15,14 @@ pass: every id has the key -ln(u_id) / weight, and the least key wins."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..session import stored
@@ -33,6 +35,8 @@ BINS = 1024
 LAST_ROWS = 4096
 #: Ranges that may be broadcast.
 BROADCAST_RANGES = 200_000
+#: Rows, on average, whose race is worked out for one of many draws.
+RACE_LEFT = 32.0
 
 
 def _ranged(df: DataFrame, key: str, weight) -> tuple[DataFrame, DataFrame, float, int | None]:
@@ -192,15 +196,40 @@ def race_winner(seed, key: str, weight: Column, *values: str) -> Column:
     return F.min(F.when(race.isNotNull(), F.struct(race.alias("race"), key, *values)))
 
 
+def _race_rows(rows: DataFrame, seed: int, draws: list[int], limit: float) -> DataFrame:
+    """(_draw, _key, race) of every row (_key, _w) whose race may be at most
+    ``limit``. A row's bound on the uniform is worked out once, so a draw costs
+    it one hash and one comparison of text; few rows go on to the race."""
+    top = S.hash_bound(1 - F.exp(-F.lit(limit) * F.col("_w")))
+    tags = F.array(*[F.struct(F.lit(k).cast("bigint").alias("_draw"), F.lit(f"{seed}:{k}").alias("_seed")) for k in draws])
+    each = rows.select("_key", "_w", top.alias("_top"), S.seeded_text(F.col("_key")).alias("_text"), F.inline(tags))
+    near = each.where(F.md5(F.concat("_seed", "_text")) <= F.col("_top"))
+    return near.select("_draw", "_key", race_key(F.col("_seed"), F.col("_key"), F.col("_w")).alias("race"))
+
+
 def race_draws(df: DataFrame, key: str, weight, seed: int, draws: int, name: str | None = None) -> DataFrame:
-    """L1 / L2 in one pass: ``(draw, name)`` for draws 0 .. draws-1, each drawn
-    by ``race_winner`` with the seed ``seed:draw``. One aggregate over the
-    table, ``draws`` values a task; no cumulative sums, order or second pass."""
+    """L1 / L2: ``(draw, name)`` for draws 0 .. draws-1, each drawn by
+    ``race_winner`` with the seed ``seed:draw``; no cumulative sums or order.
+
+    The least race of a draw is about 1 / total. Only rows that can stay below
+    ``RACE_LEFT`` times that are raced, and a winner counts if it does, as then
+    no other row can be less; a draw left without one (a chance of
+    exp(-RACE_LEFT)) races all rows."""
     w = F.col(weight) if isinstance(weight, str) else weight
-    narrow = df.select(F.col(key).alias("_key"), w.cast("double").alias("_w"))
-    won = narrow.agg(*[race_winner(f"{seed}:{k}", "_key", F.col("_w")).alias(f"d{k}") for k in range(draws)])
-    each = F.array(*[F.struct(F.lit(k).cast("bigint").alias("draw"), F.col(f"d{k}._key").alias(name or key)) for k in range(draws)])
-    return won.select(F.inline(each))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = stored(df.select(F.col(key).alias("_key"), w.cast("double").alias("_w")).where("_w > 0").repartition(parts), "race")
+    total = rows.agg(F.sum("_w")).first()[0]
+    won, left = {}, list(range(draws))
+    limits = [] if total is None else [RACE_LEFT / total, math.inf] if 0 < total < math.inf else [math.inf]
+    for limit in limits:
+        if left:
+            best = _race_rows(rows, seed, left, limit).groupBy("_draw").agg(F.min(F.struct("race", "_key")).alias("b"))
+            won |= {r["_draw"]: r["b"]["_key"] for r in best.collect()       # one row a draw
+                    if limit == math.inf or r["b"]["race"] <= limit}
+            left = [k for k in left if k not in won]
+    kinds = T.StructType([T.StructField("draw", T.LongType()), T.StructField(name or key, df.schema[key].dataType)])
+    return spark.createDataFrame([(k, won.get(k)) for k in range(draws)], kinds)
 
 
 def running_mean(trace: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Trainer-level checks."""
 
 
+import hashlib
 import math
 import re
 
@@ -444,6 +445,26 @@ def test_raced_draws_follow_the_weights(spark):
     assert [r["id"] for r in sample.race_draws(spread, "id", "w", 5, 1000).collect()] == got
 
 
+def test_many_raced_draws_race_few_rows(spark, monkeypatch):
+    """The winners are those of a plain race; a draw works out the race of a
+    few rows, and one without such a row races all of them."""
+    from sparsegrad.operators import sample
+    rows = [(i, 10.0 ** (i % 7 - 3) if i % 11 else 0.0) for i in range(4000)] + [(4001, None)]
+    df = spark.createDataFrame(rows, "id bigint, w double")
+    total = sum(w or 0 for _, w in rows)
+    raced = sample._race_rows(df.selectExpr("id AS _key", "w AS _w").where("_w > 0"), 5, list(range(50)), 32.0 / total)
+    assert 50 * 10 < raced.count() < 50 * 100
+
+    def plain(k):
+        race = lambda i, w: -math.log1p(-int(hashlib.md5(f"5:{k}:{i}".encode()).hexdigest()[:13], 16) / 2 ** 52) / w
+        return min((race(i, w), i) for i, w in rows if w)[1]
+
+    want = [plain(k) for k in range(50)]
+    for left in (32.0, 0.5):                      # half a row on average: many draws race all rows
+        monkeypatch.setattr(sample, "RACE_LEFT", left)
+        assert [tuple(r) for r in sample.race_draws(df, "id", "w", 5, 50).collect()] == list(enumerate(want))
+
+
 def test_raced_trainers_run_no_draw_jobs(spark, sf, monkeypatch):
     """With a seed the draws ride along with the jobs that write W and sum p;
     the same seed gives the same model, in any partitions."""
