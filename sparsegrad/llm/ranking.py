@@ -3,9 +3,10 @@
 Preference pairs set a document labelled 1 against one labelled 0. The chance
 that the first is preferred is the logistic of the difference of their scores,
 scores are linear in text features, and the weights minimise the logistic loss
-on the feature differences. A score quantile of the learning documents, the
-share of label 0 among them, is the decision threshold; it is placed at a
-score of ``DECISION``.
+on the feature differences. Every learning document stands in pairs: those of
+the commoner label in turn, each round with other documents of the rarer one. A score
+quantile of the learning documents, the share of label 0 among them, is the
+decision threshold; it is placed at a score of ``DECISION``.
 
 Defined cases: null and empty texts have all features 0 and are scored like
 any other; with one label or none every score is 0.5; repeated rows are scored
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.text import with_line_ids
 from . import textbatch as tb
+from .common import stored
+from .fitting import fit_rows, logistic_sums, newton, order_statistics
 
 FEATURES = ("symbols", "repeated_neighbours", "repeated_windows", "distinct_words", "log_words", "short_text",
             "word_length", "digits", "upper", "long_words", "symbols_any", "top_word")
-#: Pairs formed for each document of the rarer label.
+#: Least pairs formed for each document of the rarer label.
 PAIRS_EACH = 10
 PENALTY = 1.0
 DECISION = 0.3
@@ -93,16 +97,14 @@ class Ranking:
 def bradley_terry(better: np.ndarray, worse: np.ndarray, penalty: float = PENALTY, rounds: int = 60) -> np.ndarray:
     """Weights that minimise the logistic loss of the differences (Newton)."""
     x = better - worse
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (p - 1) + penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    return newton(lambda w: logistic_sums(x, np.ones(len(x)), w), np.zeros(x.shape[1]), penalty, 4.0, rounds)
+
+
+def _placed(model: Ranking, low: float, high: float, good: float, bad: float) -> Ranking:
+    """With the cut between two raw scores, and a slope from the medians by label."""
+    model.cut = (low + high) / 2
+    model.slope = 6.0 / max(good - bad, 1e-6) if good - bad > 6.0 else 1.0
+    return model
 
 
 def rank(x: np.ndarray, y: np.ndarray) -> Ranking | None:
@@ -114,30 +116,68 @@ def rank(x: np.ndarray, y: np.ndarray) -> Ranking | None:
     model = Ranking(x.mean(0), np.where(scale > 1e-9, scale, 1.0), np.zeros(x.shape[1]), 0.0, 1.0)
     z = (x - model.mean) / model.scale
     few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    pick = np.random.default_rng(7).integers(0, len(many), (len(few), PAIRS_EACH))
-    left, right = z[np.repeat(few, PAIRS_EACH)], z[many[pick.ravel()]]
+    pair = np.arange(max(len(many), PAIRS_EACH * len(few)))
+    turn, at = np.divmod(pair, len(many))
+    left, right = z[few[(at + turn * (len(many) + 1)) % len(few)]], z[many[at]]
     model.weights = bradley_terry(right, left) if few is bad else bradley_terry(left, right)
     raw = np.sort(model.raw(x))
     k = len(bad)
-    model.cut = float((raw[k - 1] + raw[k]) / 2)
-    spread = float(np.median(model.raw(x[good])) - np.median(model.raw(x[bad])))
-    model.slope = 6.0 / max(spread, 1e-6) if spread > 6.0 else 1.0
-    return model
+    return _placed(model, float(raw[k - 1]), float(raw[k]), float(np.median(model.raw(x[good]))),
+                   float(np.median(model.raw(x[bad]))))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, some in tb.pieces(batch.column(0)):
+        for a, b, some in tb.pieces(batch.column(1)):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(a, b - a), pa.array(list(features(some)), pa.list_(pa.float64()))],
-                names=["label", "x"])
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a),
+                 pa.array(list(features(some)), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+
+
+def _raw(model: Ranking):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.raw(x))], names=["label", "value"])
+    return run
+
+
+def _differences(rows: DataFrame, n: dict[int, int], scale: np.ndarray) -> DataFrame:
+    """x: the pairs of ``rank``, better less worse, over ``scale``; rows are
+    numbered inside their label in the order of a hash."""
+    few, many = (0, 1) if n[0] <= n[1] else (1, 0)
+    order = [F.col("label"), F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = with_line_ids(rows.repartitionByRange(*order).sortWithinPartitions(*order), start=0, name="number")
+    mine = lambda label: ids.where(F.col("label") == label).withColumn("number", F.col("number") - (n[0] if label else 0))
+    pairs = max(n[many], PAIRS_EACH * n[few])
+    turns = F.sequence(F.lit(0), F.floor((F.lit(pairs - 1) - F.col("number")) / F.lit(n[many])).cast("int"))
+    left = mine(many).select("number", F.col("x").alias("a"), F.explode(turns).alias("turn")).select(
+        "a", F.pmod(F.col("number") + F.col("turn") * F.lit(n[many] + 1), F.lit(n[few])).alias("number"))
+    right = mine(few).select("number", F.col("x").alias("b"))
+    better, worse = ("a", "b") if many == 1 else ("b", "a")
+    steps = F.array(*[F.lit(float(s)) for s in scale])
+    off = F.zip_with(F.zip_with(better, worse, lambda u, v: u - v), steps, lambda u, v: u / v)
+    return left.join(right, "number").select(off.alias("x"), F.lit(1.0).alias("y"))
 
 
 def fit(sample: DataFrame) -> Ranking | None:
-    """From a bounded sample (doc_id, text, label). Tasks measure the texts;
-    the driver gets twelve numbers a row."""
-    rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(_features, "label int, x array<double>").toPandas()
-    return rank(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy()) if len(rows) else None
+    """``rank`` on learning rows (doc_id, text, label) of any number. Tasks
+    measure the texts; the driver gets sums and a few order statistics."""
+    rows = stored(sample.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, x array<double>"), "features")
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+    seen = rows.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v"), F.stddev_pop("v"))
+    mean, scale = np.array(sorted(map(tuple, seen.collect())))[:, 1:].T             # one row a feature
+    model = Ranking(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(len(mean)), 0.0, 1.0)
+    model.weights = fit_rows(_differences(rows.where("label IN (0, 1)"), n, model.scale), np.zeros(len(mean)), PENALTY, 4.0, 60)
+    raw = stored(rows.select("label", "x").mapInArrow(_raw(model), "label int, value double"), "raw")
+    every, size = 2, {0: n[0], 1: n[1], 2: sum(n.values())}
+    middle = lambda k: ((size[k] - 1) // 2, size[k] // 2)
+    ranks = {0: set(middle(0)), 1: set(middle(1)), every: {n[0] - 1, n[0]}}
+    found = order_statistics(raw.select(F.explode(F.array("label", F.lit(every))).alias("grp"), "value"), ranks, size)
+    good, bad = (sum(found[k, r] for r in middle(k)) / 2 for k in (1, 0))
+    return _placed(model, found[every, n[0] - 1], found[every, n[0]], good, bad)
 
 
 def _score(shared):

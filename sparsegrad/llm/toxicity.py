@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .decontaminate import letters_and_digits
+from .fitting import fit_rows, logistic_sums, newton
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: The seed words of each class.
@@ -202,16 +203,7 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Newton steps on the logistic loss with a Gaussian prior around ``prior``."""
-    w = prior.astype(float).copy()
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (p - y) + strength * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    return newton(lambda w: logistic_sums(x, y, w), prior, strength, 5.0, rounds)
 
 
 def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +263,7 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
         sums += [F.sum(F.when(mine, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("yes", "no")]
         yes_all, n_all = (sum(t[i] for fold, t in totals.items() if fold != k) for i in (0, 1))
         weights.append(marker_weight(F.col(f"yes{k}"), F.col(f"no{k}"), yes_all, n_all).alias(f"w{k}"))
-    # what has a weight is a small part of a sample of bounded size
+    # marks with a weight, a small part of the words and beginnings that recur in toxic texts
     kept = (counts.groupBy("length", "mark").agg(*sums).select("length", "mark", *weights)
             .filter(F.greatest(*[F.col(f"w{k}") for k in range(FOLDS + 1)]) > 0).toPandas())
     for k, lexicon in enumerate(lexicons):
@@ -306,17 +298,15 @@ def _features(shared):
 
 
 def fit(sample: DataFrame) -> Grammar:
-    """From a bounded sample (doc_id, text, label): the lexicon from all rows,
-    the coefficients from all rows too, each read with the lexicon of the
-    folds that it is not in."""
+    """From learning rows (doc_id, text, label) of any number: the lexicon from
+    all rows, the coefficients from all rows too, each read with the lexicon of
+    the folds that it is not in. The driver gets the lexicons and sums."""
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
     rows = sample.select("text", "label", fold.alias("fold"))
     lexicons = learn_lexicons(rows)
     shared = sample.sparkSession.sparkContext.broadcast(lexicons)
-    seen = rows.mapInArrow(_features(shared), "label int, x array<double>").toPandas()
-    if not len(seen):
-        return Grammar(lexicons[-1], PRIOR)
-    return Grammar(lexicons[-1], fit_logistic(np.stack(seen["x"].to_numpy()), seen["label"].to_numpy(float), PRIOR))
+    seen = rows.mapInArrow(_features(shared), "label int, x array<double>")
+    return Grammar(lexicons[-1], fit_rows(seen.select("x", F.col("label").alias("y")), PRIOR, 1.0, 5.0, 50))
 
 
 def _score(shared):

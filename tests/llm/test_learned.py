@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparsegrad.llm import langid, pii, queries, ranking, toxicity
 from sparsegrad.llm.toxicity import KINDS, Lexicon
@@ -386,3 +387,41 @@ def test_learning_sample_is_cut_by_hash(spark):
     every = labelled.learning_sample(docs, labels, "quality", rows=3000)
     first = every.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").limit(100)
     assert {r.doc_id for r in some.collect()} == {r.doc_id for r in first.collect()}
+
+
+def test_fits_learn_from_every_label(spark):
+    """No label is left out, whatever their number, and the fit over tasks is
+    the plain one."""
+    from sparsegrad.llm import fitting, labelled
+    docs = spark.range(90_000).selectExpr("id AS doc_id", "'t' AS text")
+    given = spark.range(90_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    kept = [i for i in range(90_000) if not out_of_learning(i)]
+    assert len(kept) > 40_000 and labelled.learning_sample(docs, given, "quality").count() == len(kept)
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        good = i % 3 > 0
+        rows.append((i, " ".join(f"w{k}" for k in rng.integers(0, 400 if good else 15, rng.integers(20, 60))) + " #" * (0 if good else i % 4), int(good)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    x, y = ranking.features([t for _, t, _ in rows]), np.array([b for _, _, b in rows])
+    plain, found = ranking.rank(x, y), ranking.fit(sample)
+    assert np.allclose(found.mean, plain.mean) and np.allclose(found.scale, plain.scale)
+    assert np.corrcoef(found.raw(x), plain.raw(x))[0, 1] > 0.99          # other pairs
+    raw = np.sort(found.raw(x))
+    bad = int((y == 0).sum())
+    assert found.cut == pytest.approx((raw[bad - 1] + raw[bad]) / 2)
+    pairs = ranking._differences(sample.select("doc_id", "label").withColumn("x", F.array(F.col("doc_id").cast("double"))),
+                                 {0: bad, 1: 300 - bad}, np.ones(1))
+    assert pairs.count() == 10 * bad
+    given = spark.createDataFrame([([*map(float, a)], float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(4)
+    assert np.allclose(fitting.fit_rows(given, np.zeros(12), 1.0, 5.0, 50), toxicity.fit_logistic(x, y, np.zeros(12)), atol=1e-6)
+
+
+def test_order_statistics(spark):
+    from sparsegrad.llm import fitting
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=501).round(1), "b": np.ones(40), "c": np.array([3.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, some in values.items() for v in some], "grp string, value double")
+    got = fitting.quantiles(rows, dict.fromkeys("abc", 0.77))
+    assert all(got[g] == pytest.approx(np.quantile(v, 0.77)) for g, v in values.items()) and set(got) == set(values)
