@@ -7,8 +7,8 @@ derived from the distinct longer grams. A model is a few sorted hash arrays;
 a text gets the language with the lowest cross-entropy for each character.
 
 Rejection is calibrated: a text is rejected if its cross-entropy is above that
-of all but ``REJECT_SHARE`` of a bounded sample of learning texts of the same
-language. The query of this operator must answer with a learned language, so
+of all but ``REJECT_SHARE`` of the learning texts of the same language, all of
+which are scored. The query of this operator must answer with a learned language, so
 it reports rejection in a column of its own.
 
 Every gram counts, whatever the size of the input. A model of at most
@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import held_out, stored, unit_draw
+from .common import held_out, stored
+from .fitting import quantiles
 
 ORDER = 4
 #: 4-grams up to which the model is broadcast; larger models are joined.
 MODEL_GRAMS = 2_000_000
-#: Learning texts for each language, on average, that set its rejection bound.
-CALIBRATION_ROWS = 1000
 REJECT_SHARE = 0.002
 #: Entries of a task's table before it is flushed, and bytes of its cache of
 #: scored grams (a number for each language and gram).
@@ -209,6 +208,32 @@ def _sorted(codes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[order], value[order]
 
 
+def _entropies(models: list[Model], texts: list[str], cache: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``Identifier.entropies`` for some models; their scores of grams are kept in ``cache``."""
+    c, of = normalised(texts)
+    letters = np.bincount(of[of >= 0], is_letter(c[of >= 0]), len(texts)) if len(c) else np.zeros(len(texts))
+    h, place, text = grams(c, of)
+    keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    known, table = cache.get("keys", np.zeros(0, tb.U64)), cache.get("table", np.zeros((0, len(models))))
+    slot = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    old = known[slot] == keys if len(known) else np.zeros(len(keys), bool)
+    logs = np.empty((len(keys), len(models)))
+    logs[old] = table[slot[old]]
+    new = np.flatnonzero(~old)
+    columns = [c[place[at[new]] + j] for j in range(ORDER)]
+    for i, model in enumerate(models):
+        logs[new, i] = model.log_prob(columns)
+    if (len(known) + len(new)) * 8 * (1 + len(models)) > most:
+        cache["keys"], cache["table"] = keys, logs
+    elif len(new):
+        every, rows = np.concatenate([known, keys[new]]), np.concatenate([table, logs[new]])
+        order = np.argsort(every)
+        cache["keys"], cache["table"] = every[order], rows[order]
+    chars = np.bincount(text, minlength=len(texts))
+    sums = np.stack([np.bincount(text, logs[inverse, i], len(texts)) for i in range(len(models))], 1)
+    return -sums / np.maximum(chars, 1)[:, None], np.where(letters > 0, chars, 0)
+
+
 @dataclass
 class Identifier:
     """The models of all languages and their rejection bounds."""
@@ -219,28 +244,18 @@ class Identifier:
     def entropies(self, texts: list[str], cache: dict) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy for each text and language, characters); texts
         without a letter have 0 characters."""
-        c, of = normalised(texts)
-        letters = np.bincount(of[of >= 0], is_letter(c[of >= 0]), len(texts)) if len(c) else np.zeros(len(texts))
-        h, place, text = grams(c, of)
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known, table = cache.get("keys", np.zeros(0, tb.U64)), cache.get("table", np.zeros((0, len(self.names))))
-        slot = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-        old = known[slot] == keys if len(known) else np.zeros(len(keys), bool)
-        logs = np.empty((len(keys), len(self.names)))
-        logs[old] = table[slot[old]]
-        new = np.flatnonzero(~old)
-        columns = [c[place[at[new]] + j] for j in range(ORDER)]
-        for i, model in enumerate(self.models):
-            logs[new, i] = model.log_prob(columns)
-        if (len(known) + len(new)) * 8 * (1 + len(self.names)) > CACHE_BYTES:
-            cache["keys"], cache["table"] = keys, logs
-        elif len(new):
-            every, rows = np.concatenate([known, keys[new]]), np.concatenate([table, logs[new]])
-            order = np.argsort(every)
-            cache["keys"], cache["table"] = every[order], rows[order]
-        chars = np.bincount(text, minlength=len(texts))
-        sums = np.stack([np.bincount(text, logs[inverse, i], len(texts)) for i in range(len(self.names))], 1)
-        return -sums / np.maximum(chars, 1)[:, None], np.where(letters > 0, chars, 0)
+        return _entropies(self.models, texts, cache, CACHE_BYTES)
+
+    def own_entropies(self, texts: list[str], which: np.ndarray, caches: dict) -> np.ndarray:
+        """Cross-entropy of each text under the model of its language, 0 for
+        texts without a letter; ``which``: the places of the languages."""
+        out = np.zeros(len(texts))
+        for i in np.unique(which):
+            mine = np.flatnonzero(which == i)
+            entropy, chars = _entropies([self.models[i]], [texts[k] for k in mine], caches.setdefault(int(i), {}),
+                                        CACHE_BYTES // len(self.models))
+            out[mine] = np.where(chars > 0, entropy[:, 0], 0.0)
+        return out
 
     def predict(self, texts: list[str], cache: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) of each text."""
@@ -384,14 +399,15 @@ class JoinedIdentifier(Identifier):
         entropy = F.array(*[-F.coalesce(f"s{i}", F.lit(0.0)) / F.greatest("chars", F.lit(1)) for i in range(len(self.names))])
         return sums.select("doc_id", "chars", entropy.alias("entropy"))
 
-    def own_bounds(self, rows: DataFrame, sizes: dict[str, int]) -> np.ndarray:
+    def own_bounds(self, rows: DataFrame) -> np.ndarray:
         """As ``_bounds``, with the texts scored by joins."""
         place = F.lit(None).cast("long")
         for i, name in enumerate(self.names):
             place = F.when(F.col("lang") == name, F.lit(i).cast("long")).otherwise(place)
-        got = self.text_entropies(_calibration(rows, self, sizes).select(place.alias("doc_id"), "text"))
-        got = got.filter("chars > 0").select("doc_id", F.col("entropy")[F.col("doc_id").cast("int")].alias("h")).toPandas()
-        return _quantiles(got[got["h"] > 0].groupby("doc_id")["h"], range(len(self.names)))
+        got = self.text_entropies(rows.filter(F.col("lang").isin(self.names)).select(place.alias("doc_id"), "text"))
+        own = F.col("entropy")[F.col("doc_id").cast("int")]
+        return _quantiles(got.filter("chars > 0").select(F.col("doc_id").cast("int").alias("grp"), own.alias("value")),
+                          list(range(len(self.names))))
 
     def identify(self, pairs: DataFrame) -> DataFrame:
         plain = Identifier(self.names, [], self.bounds)
@@ -408,8 +424,7 @@ class JoinedIdentifier(Identifier):
 
 def fit(rows: DataFrame) -> Identifier | None:
     """Learn from all rows (lang, text); None if there is nothing to learn."""
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}     # one row a language
-    names = sorted(sizes)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())        # one row a language
     if not names:
         return None
     run, schema = _count(names)
@@ -417,7 +432,7 @@ def fit(rows: DataFrame) -> Identifier | None:
     if counts.count() > MODEL_GRAMS:
         joined = JoinedIdentifier.of(counts, names)
         counts.unpersist()
-        joined.bounds = joined.own_bounds(rows, sizes)
+        joined.bounds = joined.own_bounds(rows)
         return joined
     table = counts.toPandas()
     counts.unpersist()
@@ -432,44 +447,33 @@ def fit(rows: DataFrame) -> Identifier | None:
     if not models:
         return None
     found = Identifier(kept, models, np.full(len(kept), np.inf))
-    found.bounds = _bounds(rows, found, sizes)
+    found.bounds = _bounds(rows, found)
     return found
 
 
-def _calibration(rows: DataFrame, model: Identifier, sizes: dict[str, int]) -> DataFrame:
-    """lang, text of a sample: the texts whose hash falls below the share that
-    gives ``CALIBRATION_ROWS`` for each language on average."""
-    share = F.lit(0.0)
-    for name in model.names:
-        share = F.when(F.col("lang") == name, F.lit(CALIBRATION_ROWS / sizes[name])).otherwise(share)
-    return rows.filter(unit_draw(F.lit("bounds"), F.col("text")) < share).select("lang", "text")
-
+def _quantiles(found: DataFrame, groups: list) -> np.ndarray:
+    high = quantiles(stored(found.filter("value > 0"), "entropies"), dict.fromkeys(groups, 1 - REJECT_SHARE))
+    return np.array([high.get(g, np.inf) for g in groups])
 
-def _quantiles(by_lang, keys) -> np.ndarray:
-    high = by_lang.quantile(1 - REJECT_SHARE)
-    return np.array([high.get(key, np.inf) for key in keys])
 
-
-def _bounds(rows: DataFrame, model: Identifier, sizes: dict[str, int]) -> np.ndarray:
-    """Cross-entropy bound of each language from a sample of its texts. The
-    texts are read where they are; only a number each is sent."""
+def _bounds(rows: DataFrame, model: Identifier) -> np.ndarray:
+    """Cross-entropy bound of each language from all its learning texts. The
+    texts are read where they are and give a number each."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    got = _calibration(rows, model, sizes).mapInArrow(_own_entropy(shared), "lang string, h double").toPandas()
-    return _quantiles(got[got["h"] > 0].groupby("lang")["h"], model.names)
+    known = rows.filter(F.col("lang").isin(model.names)).select("lang", "text")
+    return _quantiles(known.mapInArrow(_own_entropy(shared), "grp string, value double"), model.names)
 
 
 def _own_entropy(shared):
     """lang, text -> the text's cross-entropy under the model of its language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model, caches = shared.value, {}
         number = {name: i for i, name in enumerate(model.names)}
         for batch in batches:
             which = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            for a, b, some in tb.pieces(batch.column(1)):
-                entropy, chars = model.entropies(some, cache)
-                own = entropy[np.arange(b - a), which[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(chars > 0, own, 0.0))],
-                                                 names=["lang", "h"])
+            for a, b, some in tb.pieces(batch.column(1), 1 << 21):
+                own = model.own_entropies(some, which[a:b], caches)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own)], names=["grp", "value"])
     return run
 
 

@@ -68,6 +68,19 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_bounds_come_from_every_learning_text(spark):
+    rng = np.random.default_rng(6)
+    words = "the quick brown fox and the lazy dog sleep under a tall tree".split()
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, len(words), 8)), "en") for i in range(3000)]
+    rows += [(5000 + i, f"der Hund {i} schläft", "de") for i in range(30)] + [(6000, "12 !!", "de"), (6001, "4", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.learning_rows(docs))
+    assert model.names == ["de", "en", "xx"] and model.bounds[2] == np.inf
+    for i, name in enumerate(["de", "en"]):
+        entropy, chars = model.entropies([t for d, t, lang in rows if lang == name and not out_of_learning(d)], {})
+        assert model.bounds[i] == pytest.approx(np.quantile(entropy[chars > 0, i], 1 - langid.REJECT_SHARE))
+
+
 def test_joined_model_equals_the_broadcast_one(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     rare = [(9000 + i, f"зимний вечер в старом городе {'абвгд'[i % 5]}", "ru") for i in range(2)]
