@@ -9,11 +9,11 @@ its own inside the class. All other words share one more class, in which a word
 has its smoothed share of the training tokens, an unseen one that of a single
 type. The probabilities of all types sum to one.
 
-The network learns from one run of about ``RUN_CHARS`` characters, at a hashed
-place, of every training document: backpropagation is cut after ``WINDOW``
-steps, and the state goes on into the next window. It is warmed up on about
-``WARM_RUNS`` runs, a tenth of which are kept aside to check the loss; then the
-runs of all documents are dealt to trainers, one for each ``TRAINER_RUNS`` runs up
+The network learns from every token of every training document. A document is
+cut into runs of ``RUN_TOKENS`` tokens, each of which is told the token before it;
+backpropagation is cut after ``WINDOW`` steps, and the state goes on into the
+next window of a run. It is warmed up on about ``WARM_RUNS`` runs, a tenth of
+which are kept aside to check the loss; then the runs of all documents are dealt to trainers, one for each ``TRAINER_RUNS`` runs up
 to ``MOST_TRAINERS``, and their weights are averaged by the tokens that they saw.
 The weights that do best on the runs kept aside are used. A document is scored whole, window by window, with
 the state carried from its first token to its end.
@@ -44,9 +44,9 @@ from .common import stored
 
 NET_WORDS, CLASS_WORDS, HIDDEN = 4096, 64, 16
 KNOWN_WORDS = 1 << 18
-RUN_CHARS, WINDOW = 256, 32
+RUN_TOKENS, WINDOW = 64, 32
 WARM_RUNS, WARM_ROUNDS, WARM_BATCH, WARM_RATE = 8192, 4, 64, 0.02
-TRAINER_RUNS, MOST_TRAINERS, BATCH = 8192, 512, 128
+TRAINER_RUNS, MOST_TRAINERS, BATCH = 32768, 512, 512
 #: Tokens whose network states are held at once, and tokens pooled for one pass.
 STATES, POOL = 1 << 15, 1 << 21
 #: Steps of a doubling of the count, for the histogram that picks frequent words.
@@ -210,9 +210,16 @@ def _by_class(target: np.ndarray, words: int):
     return order, [(int(c), int(a), int(b)) for c, a, b in zip(classes, start, ends) if c >= 0]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax_loss(x: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+    """(summed loss, its gradient) of logits, which are overwritten."""
+    at = np.arange(len(target))
+    x -= x.max(1, keepdims=True)
+    hit = x[at, target]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= total[:, None]
+    x[at, target] -= 1
+    return float((np.log(total) - hit).sum()), x
 
 
 def log_probs(net: Network, states: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -235,22 +242,16 @@ def _output_gradient(net: Network, states: np.ndarray, target: np.ndarray, grad:
     """Summed loss and its gradient by state; weight gradients go to ``grad``."""
     p, last = net.p, net.p["classes"].shape[1] - 1
     label = np.where(target < net.words, target // CLASS_WORDS, last)
-    logp = _log_softmax(states @ p["classes"] + p["class_bias"])
-    at = np.arange(len(target))
-    loss = -float(logp[at, label].sum())
-    d = np.exp(logp)
-    d[at, label] -= 1
+    loss, d = _softmax_loss(states @ p["classes"] + p["class_bias"], label)
     grad["classes"] += states.T @ d
     grad["class_bias"] += d.sum(0)
     back = d @ p["classes"].T
     order, groups = _by_class(target, net.words)
     for c, a, b in groups:
         rows = order[a:b]
-        h, at = states[rows], np.arange(b - a)
-        logp = _log_softmax(h @ p["inside"][c] + p["inside_bias"][c])
-        loss -= float(logp[at, target[rows] % CLASS_WORDS].sum())
-        d = np.exp(logp)
-        d[at, target[rows] % CLASS_WORDS] -= 1
+        h = states[rows]
+        more, d = _softmax_loss(h @ p["inside"][c] + p["inside_bias"][c], target[rows] % CLASS_WORDS)
+        loss += more
         grad["inside"][c] += h.T @ d
         grad["inside_bias"][c] += d.sum(0)
         back[rows] += d @ p["inside"][c].T
@@ -406,33 +407,33 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_runs(docs: DataFrame, shared, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, run): one run of places for each document, as 16-bit numbers.
-    A run that does not begin the text loses its first word, which may be cut."""
+    """(place, run): every document as runs of places, as 16-bit numbers. A run
+    begins with what comes before its first token: the token before, or the
+    beginning of the text. ``place`` is a hash of the document and the run."""
     body = F.coalesce(F.col(text), F.lit(""))
-    spot = F.xxhash64(F.col(key), body)
-    cut = docs.select(spot.alias("place"), body.alias("body"), F.length(body).alias("chars")).select(
-        "place", "body", "chars", F.pmod("place", F.greatest(F.lit(1), F.col("chars") - RUN_CHARS + 1)).alias("start"))
-    parts = cut.select("place", F.substring("body", F.col("start").cast("int") + 1, F.lit(RUN_CHARS)).alias("part"),
-                       (F.col("start") == 0).alias("whole_start"),
-                       (F.col("start") + RUN_CHARS >= F.col("chars")).alias("whole_end"))
+    parts = docs.select(F.xxhash64(F.col(key), body).alias("place"), body.alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
+        words = len(vocab.net)
         for batch in batches:
             for a, b, texts in tb.pieces(batch.column(1)):
                 h, first = tokens(texts)
-                place = vocab.look_up(h)[1]
-                words = len(vocab.net)
-                place = np.where(place < 0, words, place)
-                out = []
-                ends = zip(*[batch.column(c).slice(a, b - a).to_pylist() for c in (2, 3)])
-                for d, (from_start, to_end) in enumerate(ends):
-                    ids = place[first[d]:first[d + 1]]
-                    ids = ids if to_end else ids[:-2]         # no end token, no cut word
-                    ids = np.append(words + 1, ids) if from_start else ids[1:]
-                    out.append(ids.astype(np.int16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())],
-                                                 names=["place", "run"])
+                ids = vocab.look_up(h)[1]
+                # the beginning of a text stands before its tokens
+                ids = np.insert(np.where(ids < 0, words, ids), first[:-1], words + 1).astype(np.int16)
+                begin, count = first[:-1] + np.arange(b - a), np.diff(first)
+                runs = -(-count // RUN_TOKENS)
+                doc = np.repeat(np.arange(b - a), runs)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
+                start = begin[doc] + number * RUN_TOKENS
+                size = np.minimum(RUN_TOKENS, count[doc] - number * RUN_TOKENS) + 1
+                place = batch.column(0).slice(a, b - a).to_numpy().astype(np.int64).view(tb.U64)[doc]
+                place = np.where(number > 0, tb.mix(place + tb.mix(number.astype(tb.U64))), place).view(np.int64)
+                for i in range(0, len(doc), 10_000):
+                    out = [ids[x:x + n].tobytes() for x, n in zip(start[i:i + 10_000].tolist(), size[i:i + 10_000].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(place[i:i + 10_000]), pa.array(out, pa.binary())],
+                                                     names=["place", "run"])
 
     return stored(parts.mapInArrow(run, "place long, run binary"), "runs")
 
@@ -448,7 +449,7 @@ def _weighted_mean(rows: list[tuple[float, bytes]]) -> tuple[float, bytes]:
 
 
 def refined(net: Network, runs: DataFrame, n: int) -> Network:
-    """Trainers go on from ``net`` over the runs of all documents, each over
+    """Trainers go on from ``net`` over all runs of all documents, each over
     its share, and their weights are averaged, in groups first."""
     trainers = max(1, min(MOST_TRAINERS, n // TRAINER_RUNS))
     groups = math.isqrt(trainers - 1) + 1

@@ -177,3 +177,26 @@ def test_tokens():
     h, first = rec.tokens(["A b", "", "a"])
     assert first.tolist() == [0, 3, 4, 6] and h[0] == h[4] and h[2] == h[3] == h[5] == rec.END.view(np.int64)
     assert (rec.word_hashes(["é Z"])[0] == tb.Words(tb.Codes(["é z"])).hash).all()
+
+
+def test_runs_hold_every_token(spark):
+    """Each token of each document is learned once, after the one before it."""
+    docs = [(1, " ".join(f"W{i % 150}" for i in range(1000))), (2, None), (3, ""), (4, "a b"), (5, " ".join(["x"] * 63)),
+            (6, " ".join(["x"] * 64)), (7, "only once"), (4, "a b")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    vocab = rec.vocabulary(rec.count_tokens(table), net_words=100)
+    words = len(vocab.net)
+    want = Counter()
+    for _, text in docs:
+        h, _ = rec.tokens([text or ""])
+        place = vocab.look_up(h)[1]
+        seq = [words + 1, *[int(x) if x >= 0 else words for x in place]]
+        want.update(zip(seq, seq[1:]))
+    rows = rec.training_runs(table, spark.sparkContext.broadcast(vocab)).collect()
+    got, sizes = Counter(), []
+    for r in rows:
+        seq = np.frombuffer(r.run, np.int16).tolist()
+        sizes.append(len(seq) - 1)
+        got.update(zip(seq, seq[1:]))
+    assert got == want and max(sizes) <= rec.RUN_TOKENS and min(sizes) >= 1
+    assert len({r.place for r in rows}) == len(rows) - 1               # (4, "a b") twice
