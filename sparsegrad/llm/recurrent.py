@@ -247,14 +247,15 @@ def _output_gradient(net: Network, states: np.ndarray, target: np.ndarray, grad:
     grad["class_bias"] += d.sum(0)
     back = d @ p["classes"].T
     order, groups = _by_class(target, net.words)
+    by_class, places, inner = states[order], target[order] % CLASS_WORDS, np.zeros_like(states)
     for c, a, b in groups:
-        rows = order[a:b]
-        h = states[rows]
-        more, d = _softmax_loss(h @ p["inside"][c] + p["inside_bias"][c], target[rows] % CLASS_WORDS)
+        h = by_class[a:b]
+        more, d = _softmax_loss(h @ p["inside"][c] + p["inside_bias"][c], places[a:b])
         loss += more
         grad["inside"][c] += h.T @ d
         grad["inside_bias"][c] += d.sum(0)
-        back[rows] += d @ p["inside"][c].T
+        np.matmul(d, p["inside"][c].T, out=inner[a:b])
+    back[order] += inner
     return loss, back
 
 
@@ -287,12 +288,11 @@ def window_gradient(net: Network, inputs: np.ndarray, target: np.ndarray, live:
     flat = dx.reshape(-1, 3 * k)
     grad["onward"] += np.concatenate([x[0] for x in held]).T @ du.reshape(-1, 3 * k)
     ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
+    grad["inward"] += p["embed"][ids].T @ flat
+    grad["bias"] += flat.sum(0)
+    order = np.argsort(ids.astype(np.int16), kind="stable")
     seen, start = np.unique(ids[order], return_index=True)
-    by_id = np.add.reduceat(flat[order], start)
-    grad["inward"] += p["embed"][seen].T @ by_id
-    grad["bias"] += by_id.sum(0)
-    grad["embed"][seen] = by_id @ p["inward"].T
+    grad["embed"][seen] = np.add.reduceat((flat @ p["inward"].T)[order], start)
     return loss, grad, h
 
 
@@ -430,10 +430,10 @@ def training_runs(docs: DataFrame, shared, key: str = "doc_id", text: str = "tex
                 size = np.minimum(RUN_TOKENS, count[doc] - number * RUN_TOKENS) + 1
                 place = batch.column(0).slice(a, b - a).to_numpy().astype(np.int64).view(tb.U64)[doc]
                 place = np.where(number > 0, tb.mix(place + tb.mix(number.astype(tb.U64))), place).view(np.int64)
-                for i in range(0, len(doc), 10_000):
-                    out = [ids[x:x + n].tobytes() for x, n in zip(start[i:i + 10_000].tolist(), size[i:i + 10_000].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(place[i:i + 10_000]), pa.array(out, pa.binary())],
-                                                     names=["place", "run"])
+                ends = np.concatenate([[0], np.cumsum(size)])
+                flat = ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+                out = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(place), out], names=["place", "run"])
 
     return stored(parts.mapInArrow(run, "place long, run binary"), "runs")
 
