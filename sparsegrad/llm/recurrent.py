@@ -49,6 +49,8 @@ WARM_RUNS, WARM_ROUNDS, WARM_BATCH, WARM_RATE = 8192, 4, 64, 0.02
 TRAINER_RUNS, MOST_TRAINERS, BATCH = 32768, 512, 512
 #: Tokens whose network states are held at once, and tokens pooled for one pass.
 STATES, POOL = 1 << 15, 1 << 21
+#: Positions whose logits are held at once, so that they stay in a core's cache.
+LOGITS = 1024
 #: Steps of a doubling of the count, for the histogram that picks frequent words.
 BINS = 8
 END = np.uint64(0x51ED270B9F1D8A37)
@@ -107,6 +109,16 @@ class Vocabulary:
     types: int
     net: np.ndarray          # counts of the network's words by place
 
+    def __post_init__(self):
+        """The first word for each value of the leading bits of a hash, and an
+        end that no word lies beyond."""
+        bits = min(22, len(self.hash).bit_length() + 2)
+        self.shift, self.half = 64 - bits, 1 << bits - 1
+        edges = np.arange(-self.half, self.half, dtype=np.int64) << self.shift
+        self.first = np.searchsorted(self.hash, edges).astype(np.int32)
+        self.ended = np.append(self.hash, np.iinfo(np.int64).max).astype(np.int64)
+        self.found = np.append(self.count, 0), np.append(self.place, -1).astype(np.int32)
+
     @property
     def rest(self) -> int:
         """Mass of the shared class: its tokens, its types and one unseen."""
@@ -114,11 +126,14 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or 0, place or -1) of each hash."""
-        if not len(self.hash):
-            return np.zeros(len(h), np.int64), np.full(len(h), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        same = self.hash[at] == h
-        return np.where(same, self.count[at], 0), np.where(same, self.place[at], -1)
+        at = self.first[(h >> self.shift) + self.half]
+        below = np.flatnonzero(self.ended[at] < h)
+        while len(below):
+            at[below] += 1
+            below = below[self.ended[at[below]] < h[below]]
+        same = self.ended[at] == h
+        count, place = self.found
+        return np.where(same, count[at], 0), np.where(same, place[at], -1)
 
 
 def vocabulary(counts: DataFrame, net_words: int = NET_WORDS, known: int = KNOWN_WORDS) -> Vocabulary:
@@ -187,75 +202,123 @@ class Network:
         return Network(self.words, out)
 
 
+# States, gates and logits are held with the positions last, so that sums over
+# a state or a class run along whole rows of positions.
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    """Of an array that is overwritten."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def _step(x: np.ndarray, h: np.ndarray, onward: np.ndarray):
-    """One gated step: new state, gates and what the backward pass needs."""
-    k = h.shape[1]
-    u = h @ onward
-    gates = _sigmoid(x[:, :2 * k] + u[:, :2 * k])
-    z, r, m = gates[:, :k], gates[:, k:], u[:, 2 * k:]
-    new = np.tanh(x[:, 2 * k:] + r * m)
-    return new + z * (h - new), z, r, m, new
+    """One gated step (``onward`` transposed): new state, gates and what the
+    backward pass needs."""
+    k = len(h)
+    u = onward @ h
+    gates = _sigmoid(x[:2 * k] + u[:2 * k])
+    z, r, m = gates[:k], gates[k:], u[2 * k:]
+    new = r * m
+    new += x[2 * k:]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, z, r, m, new
+
+
+def _pieces(a: int, b: int) -> Iterator[tuple[int, int]]:
+    return ((i, min(i + LOGITS, b)) for i in range(a, b, LOGITS))
 
 
 def _by_class(target: np.ndarray, words: int):
-    """(order, [(class, from, to)]): the positions of network words by class."""
+    """(order, [(class, from, to)]): the positions of network words by class,
+    at most ``LOGITS`` at once."""
     label = np.where(target < words, target // CLASS_WORDS, -1).astype(np.int16)
     order = np.argsort(label, kind="stable")
     classes, start = np.unique(label[order], return_index=True)
     ends = np.append(start[1:], len(order))
-    return order, [(int(c), int(a), int(b)) for c, a, b in zip(classes, start, ends) if c >= 0]
+    return order, [(int(c), i, j) for c, a, b in zip(classes, start, ends) if c >= 0 for i, j in _pieces(int(a), int(b))]
+
 
+#: Reach of the states within which no logit leaves the range of the exponential.
+SAFE = 30.0
 
-def _softmax_loss(x: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-    """(summed loss, its gradient) of logits, which are overwritten."""
-    at = np.arange(len(target))
-    x -= x.max(1, keepdims=True)
-    hit = x[at, target]
+
+def _output(weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(weights with the bias as one more input, whether logits may be taken as
+    they are): less a bound, by states within -1 and 1, they are 0 at most."""
+    reach = np.abs(weight).sum(-2)
+    bias = bias - (bias + reach).max(-1, keepdims=True)
+    return np.concatenate([weight, bias[..., None, :]], -2), bool(reach.max(initial=0) <= SAFE)
+
+
+def _softmax(weight: np.ndarray, states: np.ndarray, target: np.ndarray, safe: bool) -> tuple[np.ndarray, ...]:
+    """(target's logit, exponentials, their sums) of outputs with a bias."""
+    x = weight.T @ states
+    if not safe:
+        x -= x.max(0)
+    hit = x[target, np.arange(len(target))]
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
-    x[at, target] -= 1
+    return hit, x, x.sum(0)
+
+
+def _softmax_loss(weight: np.ndarray, states: np.ndarray, target: np.ndarray, safe: bool) -> tuple[float, np.ndarray]:
+    """(summed loss, its gradient by logit)."""
+    hit, x, total = _softmax(weight, states, target, safe)
+    x *= 1 / total
+    x[target, np.arange(len(target))] -= 1
     return float((np.log(total) - hit).sum()), x
 
 
 def log_probs(net: Network, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target place (shared class: of the class)."""
     p, last = net.p, net.p["classes"].shape[1] - 1
-    logit = states @ p["classes"] + p["class_bias"]
+    states = np.concatenate([states.T, np.ones((1, len(target)), states.dtype)])
     label = np.where(target < net.words, target // CLASS_WORDS, last)
-    top = logit.max(1)
-    out = logit[np.arange(len(target)), label] - top - np.log(np.exp(logit - top[:, None]).sum(1))
+    out = np.empty(len(target), states.dtype)
+    weight, safe = _output(p["classes"], p["class_bias"])
+    for a, b in _pieces(0, len(target)):
+        hit, _, total = _softmax(weight, states[:, a:b], label[a:b], safe)
+        out[a:b] = hit - np.log(total)
     order, groups = _by_class(target, net.words)
+    by_class, places = states.take(order, 1), target[order] % CLASS_WORDS
+    weight, safe = _output(p["inside"], p["inside_bias"])
     for c, a, b in groups:
-        rows = order[a:b]
-        inner = states[rows] @ p["inside"][c] + p["inside_bias"][c]
-        top = inner.max(1)
-        out[rows] += inner[np.arange(b - a), target[rows] % CLASS_WORDS] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+        hit, _, total = _softmax(weight[c], by_class[:, a:b], places[a:b], safe)
+        out[order[a:b]] += hit - np.log(total)
     return out
 
 
 def _output_gradient(net: Network, states: np.ndarray, target: np.ndarray, grad: dict) -> tuple[float, np.ndarray]:
-    """Summed loss and its gradient by state; weight gradients go to ``grad``."""
+    """Summed loss and its gradient by state; weight gradients go to ``grad``.
+    The states have a last row of ones."""
     p, last = net.p, net.p["classes"].shape[1] - 1
     label = np.where(target < net.words, target // CLASS_WORDS, last)
-    loss, d = _softmax_loss(states @ p["classes"] + p["class_bias"], label)
-    grad["classes"] += states.T @ d
-    grad["class_bias"] += d.sum(0)
-    back = d @ p["classes"].T
+    loss, back, inner = 0.0, np.empty_like(states[:-1]), np.zeros_like(states[:-1])
+    weight, safe = _output(p["classes"], p["class_bias"])
+    for a, b in _pieces(0, len(target)):
+        h = states[:, a:b]
+        more, d = _softmax_loss(weight, h, label[a:b], safe)
+        loss += more
+        g = (d @ h.T).T
+        grad["classes"] += g[:-1]
+        grad["class_bias"] += g[-1]
+        back[:, a:b] = p["classes"] @ d
     order, groups = _by_class(target, net.words)
-    by_class, places, inner = states[order], target[order] % CLASS_WORDS, np.zeros_like(states)
+    by_class, places = states.take(order, 1), target[order] % CLASS_WORDS
+    weight, safe = _output(p["inside"], p["inside_bias"])
     for c, a, b in groups:
-        h = by_class[a:b]
-        more, d = _softmax_loss(h @ p["inside"][c] + p["inside_bias"][c], places[a:b])
+        h = by_class[:, a:b]
+        more, d = _softmax_loss(weight[c], h, places[a:b], safe)
         loss += more
-        grad["inside"][c] += h.T @ d
-        grad["inside_bias"][c] += d.sum(0)
-        np.matmul(d, p["inside"][c].T, out=inner[a:b])
-    back[order] += inner
+        g = (d @ h.T).T
+        grad["inside"][c] += g[:-1]
+        grad["inside_bias"][c] += g[-1]
+        inner[:, a:b] = p["inside"][c] @ d
+    back[:, order] += inner
     return loss, back
 
 
@@ -264,36 +327,39 @@ def window_gradient(net: Network, inputs: np.ndarray, target: np.ndarray, live:
     that enters the window is a constant."""
     p = net.p
     steps, runs = inputs.shape
-    k = h.shape[1]
+    k, ids = h.shape[1], inputs.ravel()
     grad = {a: np.zeros_like(b) for a, b in p.items()}
-    x = (p["embed"] @ p["inward"] + p["bias"])[inputs]
-    held, states = [], np.empty((steps, runs, k), np.float32)
+    x = np.ascontiguousarray((p["embed"] @ p["inward"] + p["bias"])[ids].T).reshape(3 * k, steps, runs)
+    onward, held, states = np.ascontiguousarray(p["onward"].T), [], np.ones((k + 1, steps + 1, runs), x.dtype)
+    states[:k, 0] = h.T
     for t in range(steps):
-        new_h, z, r, m, new = _step(x[t], h, p["onward"])
-        held.append((h, z, r, m, new))
-        states[t] = h = new_h
-    loss, back_live = _output_gradient(net, states[live], target[live], grad)
-    back = np.zeros_like(states)
-    back[live] = back_live
-    dx, du = np.empty_like(x), np.empty_like(x)
-    dh = np.zeros((runs, k), np.float32)
+        states[:k, t + 1], *kept = _step(x[:, t], states[:k, t], onward)
+        held.append(kept)
+    after, on = states[:, 1:].reshape(k + 1, -1), np.flatnonzero(live)
+    loss, back_live = _output_gradient(net, after.take(on, 1), target.ravel()[on], grad)
+    back = np.zeros((k, steps * runs), x.dtype)
+    back[:, on] = back_live
+    back = back.reshape(k, steps, runs)
+    dx, du = x, np.empty_like(x)      # the inputs are not needed any more
+    dh = np.zeros((k, runs), x.dtype)
     for t in range(steps - 1, -1, -1):
-        before, z, r, m, new = held[t]
-        dh = dh + back[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dx[t, :, :k] = du[t, :, :k] = dh * (before - new) * z * (1 - z)
-        dx[t, :, k:2 * k] = du[t, :, k:2 * k] = dn * m * r * (1 - r)
-        dx[t, :, 2 * k:], du[t, :, 2 * k:] = dn, dn * r
-        dh = dh * z + du[t] @ p["onward"].T
-    flat = dx.reshape(-1, 3 * k)
-    grad["onward"] += np.concatenate([x[0] for x in held]).T @ du.reshape(-1, 3 * k)
-    ids = inputs.ravel()
-    grad["inward"] += p["embed"][ids].T @ flat
-    grad["bias"] += flat.sum(0)
+        z, r, m, new = held[t]
+        dh += back[:, t]
+        dn = (dh - dh * z) * (1 - new * new)
+        dx[:k, t] = dh * (states[:k, t] - new) * (z - z * z)
+        dx[k:2 * k, t] = dn * m * (r - r * r)
+        dx[2 * k:, t], du[2 * k:, t] = dn, dn * r
+        du[:2 * k, t] = dx[:2 * k, t]
+        dh *= z
+        dh += p["onward"] @ du[:, t]
+    flat = dx.reshape(3 * k, -1)
+    grad["onward"] += states[:k, :-1].reshape(k, -1) @ du.reshape(3 * k, -1).T
+    grad["inward"] += (flat @ p["embed"][ids]).T
+    grad["bias"] += flat.sum(1)
     order = np.argsort(ids.astype(np.int16), kind="stable")
     seen, start = np.unique(ids[order], return_index=True)
-    grad["embed"][seen] = np.add.reduceat((flat @ p["inward"].T)[order], start)
-    return loss, grad, h
+    grad["embed"][seen] = np.add.reduceat((flat.T @ p["inward"].T)[order], start)
+    return loss, grad, states[:k, -1].T
 
 
 class Trainer:
@@ -376,24 +442,25 @@ def document_scores(net: Network, places: list[np.ndarray], inputs: np.ndarray |
     length = np.array([len(places[i]) for i in order])
     flat = np.concatenate([places[i] for i in order])
     first = np.concatenate([[0], np.cumsum(length)])[:-1]
-    table = net.p["embed"] @ net.p["inward"] + net.p["bias"]
-    h = np.zeros((len(order), net.p["onward"].shape[0]), np.float32)
-    before = np.full(len(order), net.words + 1) if inputs is None else inputs[order]
+    table = np.ascontiguousarray((net.p["embed"] @ net.p["inward"] + net.p["bias"]).T)
+    onward = np.ascontiguousarray(net.p["onward"].T)
+    h = np.zeros((len(onward[0]), len(order)), np.float32)
     t = 0
     while t < length[0]:
         going = int(np.searchsorted(-length, -t, "left"))     # longer than t
         stop = min(int(length[0]), t + max(1, STATES // going))
-        states, target, doc = [], [], []
-        for s in range(t, stop):
-            on = int(np.searchsorted(-length[:going], -s, "left"))
-            h[:on] = now = _step(table[before[:on]], h[:on], net.p["onward"])[0]
-            token = flat[first[:on] + s]
-            states.append(now)
-            target.append(token)
-            doc.append(np.arange(on))
-            before[:on] = token
-        score = log_probs(net, np.concatenate(states), np.concatenate(target))
-        out += np.bincount(order[np.concatenate(doc)], score.astype(np.float64), len(out))
+        on = np.searchsorted(-length[:going], -np.arange(t, stop), "left")
+        begin = np.concatenate([[0], np.cumsum(on)])
+        doc = np.arange(begin[-1]) - np.repeat(begin[:-1], on)
+        at = first[doc] + np.repeat(np.arange(t, stop), on)
+        target, before = flat[at], flat[at - 1]
+        if t == 0:
+            before[:going] = net.words + 1 if inputs is None else inputs[order]
+        x, states = table.take(before, 1), np.empty((len(h), len(at)), np.float32)
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            states[:, a:b] = h = _step(x[:, a:b], h[:, :b - a], onward)[0]
+        score = log_probs(net, states.T, target)
+        out += np.bincount(order[doc], score.astype(np.float64), len(out))
         t = stop
     return out
 

@@ -200,3 +200,38 @@ def test_runs_hold_every_token(spark):
         got.update(zip(seq, seq[1:]))
     assert got == want and max(sizes) <= rec.RUN_TOKENS and min(sizes) >= 1
     assert len({r.place for r in rows}) == len(rows) - 1               # (4, "a b") twice
+
+
+def test_look_up_by_leading_bits():
+    """Words next to each other, at both ends of the range and absent ones."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    h = np.array([low, low + 1, -5, -1, 0, 1, 2, 3, 1 << 61, high - 1], np.int64)
+    for words in (h, np.append(h, high), h[:0]):
+        vocab = rec.Vocabulary(words, np.arange(1, len(words) + 1), np.arange(len(words), dtype=np.int32), 99, 20, np.ones(3, np.int64))
+        asked = np.array([*h, high, low + 2, -3, 4, 1 << 62], np.int64)
+        want = {int(x): (k + 1, k) for k, x in enumerate(words)}
+        count, place = vocab.look_up(asked)
+        assert list(zip(count.tolist(), place.tolist())) == [want.get(int(x), (0, -1)) for x in asked]
+
+
+def test_logits_of_any_size():
+    """Weights whose logits may not be taken as they are, and pieces of
+    positions: probabilities as worked out at once in doubles."""
+    rng = np.random.default_rng(5)
+    vocab = rec.Vocabulary(np.arange(80), np.arange(80, 0, -1), np.arange(80, dtype=np.int32), 5000, 90, np.arange(80, 0, -1))
+    n = rec.LOGITS * 2 + 7
+    states, target = np.tanh(rng.normal(size=(n, rec.HIDDEN))).astype(np.float32), rng.integers(0, 81, n)
+    for size, safe in ((0.3, True), (40.0, False)):
+        net = rec.Network.fresh(vocab)
+        for name in ("classes", "inside"):
+            net.p[name] = rng.normal(0, size, net.p[name].shape).astype(np.float32)
+        assert rec._output(net.p["inside"], net.p["inside_bias"])[1] == safe
+        p = {a: b.astype(np.float64) for a, b in net.p.items()}
+        log_share = lambda x: x - x.max(-1, keepdims=True) - np.log(np.exp(x - x.max(-1, keepdims=True)).sum(-1, keepdims=True))
+        outer = log_share(states @ p["classes"] + p["class_bias"])
+        want = []
+        for k, t in enumerate(target):
+            c, j = divmod(int(t), rec.CLASS_WORDS) if t < 80 else (outer.shape[1] - 1, None)
+            want.append(outer[k, c] + (0 if j is None else log_share(states[k] @ p["inside"][c] + p["inside_bias"][c])[j]))
+        got = rec.log_probs(net, states, target)
+        assert np.isfinite(got).all() and got == pytest.approx(np.array(want), rel=1e-3, abs=1e-3)
