@@ -13,6 +13,11 @@ both. A routing table, made from the dictionaries and cached by ranges of
 * a cell sends one partial score for each of its rows,
 * and gets one coefficient for each of its rows back.
 
+Partial scores and coefficients travel packed: rows are dealt to groups by a hash
+of their id, a record holds the values of the rows that a cell and a group share,
+and a cached table of the groups says which rows these are. So the records of an
+iteration are the rows and the (cell, group) pairs, not the (cell, row) pairs.
+
 The gradient is summed inside the cells. Entries and dictionaries never move
 again."""
 
@@ -35,6 +40,7 @@ CELL_ENTRIES = 1_000_000
 CHUNK = 4096
 
 CELL = "cell long, block long, rid array<long>, id array<int>, r array<int>, i array<int>, val array<double>"
+GROUP = "group int, rid array<long>, cells array<long>, n array<int>, at array<int>"
 
 
 class FeatureBlocks:
@@ -50,9 +56,11 @@ class FeatureBlocks:
             "block", F.floor((F.col("idx") - 1) / F.lit(block_size)))
         counts = entries.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
         # D / block_size rows
-        parts = counts.select("block", F.ceil(F.col("n") / F.lit(cell_entries)).cast("int").alias("parts")).persist(
+        parts = counts.select("block", "n", F.ceil(F.col("n") / F.lit(cell_entries)).cast("int").alias("parts")).persist(
             StorageLevel.MEMORY_AND_DISK)
-        placed = entries.join(F.broadcast(parts), "block").withColumn(
+        held = int(parts.agg(F.sum("n")).first()[0] or 0)
+        self.n_groups = max(4 * spark.sparkContext.defaultParallelism, -(-held // cell_entries))
+        placed = entries.join(F.broadcast(parts.drop("n")), "block").withColumn(
             "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
         offset = (F.col("idx") - 1 - F.col("block") * F.lit(block_size)).cast("int")
         cells = placed.groupBy("block", "part").agg(F.collect_list(F.struct("rid", offset.alias("o"), "val")).alias("e"))
@@ -60,16 +68,22 @@ class FeatureBlocks:
         n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         packed = cells.select("block", "part", F.col("e.rid"), F.col("e.o"), F.col("e.val")).mapInArrow(_pack, CELL)
         # partitioned by a column of their own, so later joins leave them where they are
-        self.cells = packed.repartition(n, "cell").persist(StorageLevel.MEMORY_AND_DISK)
+        self.cells = packed.withColumn("g", F.transform("rid", self._group_of)).repartition(n, "cell").persist(
+            StorageLevel.MEMORY_AND_DISK)
         self.cells.count()
         parts.unpersist()
         self.routes = self.cells.select("cell", "block", "id").mapInArrow(
             _routes(self.chunk, -(-block_size // self.chunk)), "chunk long, cell long, first int, at array<int>") \
             .repartition(n, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
         self.routes.count()
+        members = self.cells.select("cell", "rid", "g").mapInArrow(_members, "group int, cell long, rid array<long>")
+        self.groups = members.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "rid"))).alias("x")).select(
+            "group", F.col("x.cell"), F.col("x.rid")).mapInArrow(_grouped, GROUP).repartition(n, "group").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        self.groups.count()
 
     def release(self) -> None:
-        for df in (self.cells, self.routes, self._held):
+        for df in (self.cells, self.routes, self.groups, self._held):
             if df is not None:
                 df.unpersist()
         self._held = None
@@ -80,6 +94,9 @@ class FeatureBlocks:
         inside = F.floor((idx - 1 - block * F.lit(self.block_size)) / F.lit(self.chunk))
         return block * F.lit(-(-self.block_size // self.chunk)) + inside
 
+    def _group_of(self, rid: Column) -> Column:
+        return F.pmod(F.xxhash64(rid), F.lit(self.n_groups)).cast("int")
+
     def routed(self, weights: DataFrame) -> DataFrame:
         """(cell, w): the weights of the cell's own ids, in their order."""
         chunks = weights.select(self._chunk_of(F.col("idx")).alias("chunk"), F.struct("idx", "w").alias("x")) \
@@ -90,30 +107,33 @@ class FeatureBlocks:
             F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"])).alias("w"))
 
     def _partial(self, weights: DataFrame) -> DataFrame:
-        return self.cells.join(self.routed(weights), "cell").select("cell", "rid", "r", "i", "val", "w").mapInArrow(
-            _partial_scores, "cell long, rid long, s double")
+        return self.cells.join(self.routed(weights), "cell").select("cell", "rid", "g", "r", "i", "val", "w").mapInArrow(
+            _partial_scores, "group int, cell long, s array<double>")
 
     def scores(self, rows: DataFrame, weights: DataFrame, b: float) -> DataFrame:
-        """``rows`` with ``score`` and ``cells``, the cells of the row (null for
-        a row without entries). ``weights`` holds every id 1..D once."""
-        seen = self._partial(weights).groupBy("rid").agg(F.sum("s").alias("s"), F.collect_list("cell").alias("cells"))
+        """``rows`` with ``score``. ``weights`` holds every id 1..D once."""
+        sent = self._partial(weights).groupBy("group").agg(F.collect_list(F.struct("cell", "s")).alias("got"))
+        seen = self.groups.join(sent, "group").select("rid", "cells", "n", "at", "got").mapInArrow(_row_scores, "rid long, s double")
         total = F.coalesce("s", F.lit(0.0)) + F.lit(float(b))
         return rows.join(seen, "rid", "left").withColumn("score", total).drop("s")
 
     def _coefficients(self, rows: DataFrame, weights: DataFrame, b: float, coef: Callable[[], Column], weight: str | None):
-        """(rid, cells, c, f) held until the next call: it is read twice."""
+        """(rid, c, f) held until the next call: it is read twice."""
         if self._held is not None:
             self._held.unpersist()
         c = self.scores(rows, weights, b).withColumn("c", coef())
         factor = F.col("c") * F.col(weight) if weight else F.col("c")
-        self._held = c.select("rid", "cells", "c", factor.alias("f")).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held = c.select("rid", "c", factor.alias("f")).persist(StorageLevel.MEMORY_AND_DISK)
         return self._held
 
     def _back(self, c: DataFrame) -> DataFrame:
         """Cells with the factors of their rows."""
-        sent = c.select("rid", "f", F.explode("cells").alias("cell")).groupBy("cell").agg(
+        rows = c.where("rid IS NOT NULL").groupBy(self._group_of(F.col("rid")).alias("group")).agg(
             F.collect_list(F.struct("rid", "f")).alias("back"))
-        return self.cells.join(sent, "cell").select("block", "rid", "id", "r", "i", "val", "back")
+        sent = self.groups.join(rows, "group").select("group", "rid", "cells", "n", "at", "back").mapInArrow(
+            _group_factors, "cell long, group int, f array<double>")
+        sent = sent.groupBy("cell").agg(F.collect_list(F.struct("group", "f")).alias("back"))
+        return self.cells.join(sent, "cell").select("block", "rid", "g", "id", "r", "i", "val", "back")
 
     def gradient(self, rows: DataFrame, weights: DataFrame, b: float, coef: Callable[[], Column],
                  weight: str | None = None) -> DataFrame:
@@ -167,28 +187,99 @@ def _routes(chunk: int, chunks: int):
     return run
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first..first + n - 1 of each run, one run after the other."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _dealt(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by group, groups, offsets of the groups in that order)."""
+    order = np.argsort(g, kind="stable")
+    groups, first = np.unique(g[order], return_index=True)
+    return order, groups, np.append(first, len(g)).astype(np.int32)
+
+
+def _to_groups(cell: int, g: np.ndarray, x: np.ndarray, name: str) -> pa.RecordBatch:
+    """A cell's values of its rows, one record for each group."""
+    order, groups, offsets = _dealt(g)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), cell)),
+         pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[order]))], names=["group", "cell", name])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cell, (rid, g) in zip(batch.column("cell"), _lists(batch, "rid", "g")):
+            yield _to_groups(cell.as_py(), g, rid, "rid")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups: distinct rows; by cell, how many of them it holds and which."""
+    for batch in batches:
+        for k, (cells,) in enumerate(_lists(batch, "cell")):
+            held = batch.column("rid")[k].values
+            rows, at = np.unique(held.flatten().to_numpy(), return_inverse=True)
+            one = lambda x, kind: pa.array([x.astype(kind)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("group").slice(k, 1), one(rows, np.int64), one(cells, np.int64),
+                 one(held.value_lengths().to_numpy(), np.int32), one(at, np.int32)], names=["group", "rid", "cells", "n", "at"])
+
+
 def _partial_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for cell, (rid, r, i, val, w) in zip(batch.column("cell"), _lists(batch, "rid", "r", "i", "val", "w")):
-            s = np.bincount(r, w[i] * val, len(rid))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), cell.as_py())), pa.array(rid), pa.array(s)],
-                                             names=["cell", "rid", "s"])
+        for cell, (rid, g, r, i, val, w) in zip(batch.column("cell"), _lists(batch, "rid", "g", "r", "i", "val", "w")):
+            yield _to_groups(cell.as_py(), g, np.bincount(r, w[i] * val, len(rid)), "s")
+
 
+def _row_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the rows of a group; every cell of the group has sent its part."""
+    for batch in batches:
+        for k, (rid, cells, n, at) in enumerate(_lists(batch, "rid", "cells", "n", "at")):
+            got = batch.column("got")[k].values
+            which = np.searchsorted(cells, got.field("cell").to_numpy())
+            s = np.empty(len(at))
+            s[_runs((np.cumsum(n) - n)[which], n[which])] = got.field("s").flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(at, s, len(rid)))], names=["rid", "s"])
 
-def _factors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """For each cell the factor of each of its rows; rows that are not active
-    have none and count as 0."""
-    for k, (rid,) in enumerate(_lists(batch, "rid")):
+
+def _group_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The factors of a group's rows, for each cell that holds active ones;
+    null for rows that are not active."""
+    for batch in batches:
+        for k, (rid, cells, n, at) in enumerate(_lists(batch, "rid", "cells", "n", "at")):
+            back = batch.column("back")[k].values
+            ids, f = back.field("rid").to_numpy(), back.field("f").to_numpy()
+            to = np.minimum(np.searchsorted(rid, ids), len(rid) - 1)
+            known = rid[to] == ids          # rows without entries have no cell
+            factor, active = np.zeros(len(rid)), np.zeros(len(rid), bool)
+            factor[to[known]], active[to[known]] = f[known], True
+            first = np.cumsum(n) - n
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(cells), pa.array(np.full(len(cells), batch.column("group")[k].as_py(), np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(factor[at], mask=~active[at]))],
+                names=["cell", "group", "f"])
+            yield out.filter(pa.array(np.add.reduceat(active[at].astype(np.int32), first) > 0))
+
+
+def _factors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each cell (factor of each of its rows, whether it is active); rows
+    that are not active count as 0."""
+    for k, (g,) in enumerate(_lists(batch, "g")):
         back = batch.column("back")[k].values
-        out = np.zeros(len(rid))
-        out[np.searchsorted(rid, back.field("rid").to_numpy())] = back.field("f").to_numpy()
-        yield out
+        order, groups, offsets = _dealt(g)
+        f = back.field("f").flatten()
+        which = np.searchsorted(groups, back.field("group").to_numpy())
+        to = order[_runs(offsets[which], offsets[which + 1] - offsets[which])]
+        out, active = np.zeros(len(g)), np.zeros(len(g), bool)
+        active[to] = f.is_valid().to_numpy(zero_copy_only=False)
+        out[to] = f.fill_null(0.0).to_numpy(zero_copy_only=False)
+        yield out, active
 
 
 def _cell_sums(block_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, f, (ids, r, i, val) in zip(batch.column("block"), _factors(batch), _lists(batch, "id", "r", "i", "val")):
+            for block, (f, _), (ids, r, i, val) in zip(batch.column("block"), _factors(batch), _lists(batch, "id", "r", "i", "val")):
                 g = np.bincount(i, f[r] * val, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64) + 1 + block.as_py() * block_size), pa.array(g)],
                                                  names=["idx", "g"])
@@ -199,8 +290,8 @@ def _cell_entries(block_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = zip(batch.column("block"), _factors(batch), _lists(batch, "rid", "id", "r", "i", "val"))
-            for k, (block, f, (rid, ids, r, i, val)) in enumerate(cells):
-                active = np.isin(rid, batch.column("back")[k].values.field("rid").to_numpy())[r]
+            for block, (f, on), (rid, ids, r, i, val) in cells:
+                active = on[r]
                 idx = ids[i].astype(np.int64) + 1 + block.as_py() * block_size
                 yield pa.RecordBatch.from_arrays([pa.array(x[active]) for x in (rid[r], idx, f[r] * val)], names=["rid", "idx", "g"])
     return run

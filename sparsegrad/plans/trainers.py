@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linear, norms, sample, update
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from ..sources import model_io
 from . import rowlocal
 from .blocked import BLOCK_SIZE, FeatureBlocks
@@ -192,8 +192,8 @@ def train_gd(rows: DataFrame, d: int, iters: int, *, weights: DataFrame | None =
     dense = "features" not in rows.columns
     R = rows.select("y", "x" if dense else "features")
     if not dense and d > max_weights:
-        ensure_checkpoint_dir(spark)        # row numbers must not change when a block is lost
-        R = R.withColumn("rid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK).checkpoint()
+        # row numbers must not change when a block is lost
+        R = stored(R.withColumn("rid", F.monotonically_increasing_id()), "numbered")
     R = R.persist(StorageLevel.MEMORY_AND_DISK)
     n_entries = R.count() * d if dense else _checked_ids(R, d)[1]
     run = _Pass(R, d, n_entries, d if dense else max_weights, "rid", block_size)

@@ -221,6 +221,35 @@ def test_row_operators_over_blocks(spark, sf):
         linear.placed(rows, d - 1)
 
 
+def test_small_blocks_send_packed_records(spark):
+    """Each entry of a row in a cell of its own: an iteration sends records of
+    rows and of (cell, group) pairs, not one for each entry."""
+    from sparsegrad.plans import rowlocal
+    from sparsegrad.plans.blocked import FeatureBlocks
+    n, width = 5000, 12
+    feats = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.struct(
+        (k * 7 + 1 + F.pmod(F.xxhash64("id", k), F.lit(7))).alias("idx"), ((k + 1) / 8.0).alias("val")))
+    rows = spark.range(n).select(F.col("id").alias("rid"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"),
+                                 feats.alias("features")).persist()
+    d = 7 * width
+    blocks = FeatureBlocks(rows, d, block_size=7)
+    w = fx.fx_weights(spark, d)
+    g = blocks.gradient(rows.select("rid", "y"), w, 0.2, linear.gd_coef)
+    got = {r["idx"]: r["g"] for r in g.collect()}
+    sent = _records_written(g._jdf.queryExecution().executedPlan())
+    got_scores = {r["rid"]: r["score"] for r in blocks.scores(rows.select("rid"), w, 0.2).collect()}
+    scores = blocks.scores(rows.select("rid"), w, 0.2)
+    scores.count()
+    sent += _records_written(scores._jdf.queryExecution().executedPlan())
+    assert blocks.cells.count() == width and sent and max(sent) <= max(n, width * blocks.n_groups) < n * width
+    want = {r["idx"]: r["g"] for r in linear.gradient(rows, w, 0.2, d=d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+    want = {r["rid"]: r["score"] for r in rowlocal.with_scores(rows, rowlocal.weight_array(w, d), 0.2).collect()}
+    assert got_scores.keys() == want.keys() and all(abs(got_scores[k] - want[k]) < 1e-9 for k in want)
+    blocks.release()
+    rows.unpersist()
+
+
 def _exchanges(plan, out):
     """(records, bytes) written by each shuffle of an executed plan, outermost
     first, not descending into cached tables."""
