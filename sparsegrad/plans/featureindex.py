@@ -44,10 +44,12 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first value of each feature of a row."""
     for batch in batches:
         row, idx, val = sparse_entries(batch.column("features"))
-        order = np.lexsort((idx, row))
-        first = np.ones(len(order), bool)
-        first[1:] = (np.diff(row[order]) != 0) | (np.diff(idx[order]) != 0)
-        at = order[first]
+        at = slice(None)
+        if not ((np.diff(idx) > 0) | (np.diff(row) != 0)).all():     # else each id of a row stands alone
+            order = np.lexsort((idx, row))
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(row[order]) != 0) | (np.diff(idx[order]) != 0)
+            at = order[first]
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)[row[at]]
         y = batch.column("y").to_numpy(zero_copy_only=False)[row[at]]
         yield pa.RecordBatch.from_arrays([pa.array(idx[at]), pa.array(ids), pa.array(y), pa.array(val[at])],

@@ -250,6 +250,28 @@ def test_small_blocks_send_packed_records(spark):
     rows.unpersist()
 
 
+def test_postings_sort_only_rows_out_of_order(monkeypatch):
+    """Rows whose ids rise are taken as they are; others, and repeated ids, are
+    ordered and keep the first value."""
+    import numpy as np
+    import pyarrow as pa
+    from sparsegrad.plans import featureindex
+    kind = pa.list_(pa.struct([("idx", pa.int64()), ("val", pa.float64())]))
+
+    def postings(*features):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(features)), pa.int64()), pa.array([1.0] * len(features)),
+             pa.array([[{"idx": i, "val": v} for i, v in f] for f in features], kind)], names=["row_id", "y", "features"])
+        out = pa.Table.from_batches(featureindex._postings(iter([batch]))).to_pylist()
+        return [(r["row_id"], r["idx"], r["val"]) for r in out]
+
+    assert postings([(5, 1.0), (2, 2.0), (5, 3.0)], [], [(1, 4.0), (1, 5.0)]) == [(0, 2, 2.0), (0, 5, 1.0), (2, 1, 4.0)]
+    calls, lexsort = [], np.lexsort
+    monkeypatch.setattr(featureindex.np, "lexsort", lambda keys: calls.append(1) or lexsort(keys))
+    assert postings([(2, 2.0), (5, 1.0)], [], [(1, 4.0)], [(1, 6.0)]) == [(0, 2, 2.0), (0, 5, 1.0), (2, 1, 4.0), (3, 1, 6.0)]
+    assert not calls
+
+
 def _exchanges(plan, out):
     """(records, bytes) written by each shuffle of an executed plan, outermost
     first, not descending into cached tables."""
