@@ -47,6 +47,8 @@ KNOWN_WORDS = 1 << 18
 RUN_TOKENS, WINDOW = 64, 32
 WARM_RUNS, WARM_ROUNDS, WARM_BATCH, WARM_RATE = 8192, 4, 64, 0.02
 TRAINER_RUNS, MOST_TRAINERS, BATCH = 32768, 512, 512
+#: Weights of one slice of a trained network; slices are averaged apart.
+SLICE = 256
 #: Tokens whose network states are held at once, and tokens pooled for one pass.
 STATES, POOL = 1 << 15, 1 << 21
 #: Positions whose logits are held at once, so that they stay in a core's cache.
@@ -509,39 +511,48 @@ def _runs(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int16).astype(np.int64) for x in column.to_pylist()]
 
 
-def _weighted_mean(rows: list[tuple[float, bytes]]) -> tuple[float, bytes]:
-    weight = sum(w for w, _ in rows)
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * w for w, x in rows)
-    return weight, (total / max(weight, 1e-9)).astype(np.float32).tobytes()
+def _slices(data: bytes) -> list[bytes]:
+    """Packed weights cut into slices of ``SLICE`` numbers."""
+    return [data[a:a + 4 * SLICE] for a in range(0, len(data), 4 * SLICE)]
+
+
+def _weighted_mean(weights: np.ndarray, rows: list[bytes]) -> bytes:
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * w for w, x in zip(weights, rows))
+    return (total / max(weights.sum(), 1e-9)).astype(np.float32).tobytes()
+
+
+def averaged(trained: DataFrame) -> bytes:
+    """Mean of the trainers' packed weights by ``weight``, slice by slice: a
+    group is a slice of all trainers, and only means are collected."""
+    def mean(key, rows):
+        rows = rows.sort_by([("weight", "ascending"), ("net", "ascending")])   # sums do not follow the order of arrival
+        data = _weighted_mean(rows.column("weight").to_numpy(), rows.column("net").to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "net": pa.array([data], pa.binary())})
+
+    means = trained.groupBy("slice").applyInArrow(mean, "slice int, net binary").toArrow().sort_by("slice")
+    return b"".join(means.column("net").to_pylist())
 
 
 def refined(net: Network, runs: DataFrame, n: int) -> Network:
     """Trainers go on from ``net`` over all runs of all documents, each over
-    its share, and their weights are averaged, in groups first."""
+    its share, and their weights are averaged."""
     trainers = max(1, min(MOST_TRAINERS, n // TRAINER_RUNS))
-    groups = math.isqrt(trainers - 1) + 1
     shared = runs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        trainer, slot = Trainer(base.unpacked(base.packed()), 0.004), 0
+        trainer = Trainer(base.unpacked(base.packed()), 0.004)
         for batch in batches:
-            if batch.num_rows:
-                slot = batch.column(0)[0].as_py() % groups
             for a in range(0, batch.num_rows, BATCH):
                 trainer.learn(_runs(batch.column(1).slice(a, BATCH)))
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([float(trainer.seen)]),
-                                              pa.array([trainer.net.packed()], pa.binary())], names=["slot", "weight", "net"])
-
-    def mean(key, rows):
-        weight, data = _weighted_mean(list(zip(rows.column("weight").to_pylist(), rows.column("net").to_pylist())))
-        return pa.table({"weight": pa.array([weight]), "net": pa.array([data], pa.binary())})
+            cut = _slices(trainer.net.packed())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([float(trainer.seen)] * len(cut)),
+                                              pa.array(cut, pa.binary())], names=["slice", "weight", "net"])
 
-    trained = stored(runs.repartition(trainers, "place").sortWithinPartitions("place", "run").mapInArrow(
-        run, "slot long, weight double, net binary"), "trained")
-    means = trained.groupBy("slot").applyInArrow(mean, "weight double, net binary").collect()
-    return net.unpacked(_weighted_mean([tuple(r) for r in sorted(means)])[1]) if means else net
+    data = averaged(runs.repartition(trainers, "place").sortWithinPartitions("place", "run").mapInArrow(
+        run, "slice int, weight double, net binary"))
+    return net.unpacked(data) if data else net
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Vocabulary, Network, DataFrame]:

@@ -235,3 +235,44 @@ def test_logits_of_any_size():
             want.append(outer[k, c] + (0 if j is None else log_share(states[k] @ p["inside"][c] + p["inside_bias"][c])[j]))
         got = rec.log_probs(net, states, target)
         assert np.isfinite(got).all() and got == pytest.approx(np.array(want), rel=1e-3, abs=1e-3)
+
+
+def test_trained_weights_are_averaged_in_slices(spark):
+    """Weights of many trainers: no group holds a whole network of any of
+    them, and the mean is that by tokens seen, in the order of the weights."""
+    rng = np.random.default_rng(6)
+    vocab = rec.Vocabulary(np.arange(80), np.arange(80, 0, -1), np.arange(80, dtype=np.int32), 5000, 90, np.arange(80, 0, -1))
+    net = rec.Network.fresh(vocab)
+    seen, nets = rng.integers(1, 99, 40).astype(float), []
+    for _ in seen:
+        nets.append(rec.Network(net.words, {a: rng.normal(size=b.shape).astype(np.float32) for a, b in net.p.items()}))
+    cut = [rec._slices(x.packed()) for x in nets]
+    assert len(cut[0]) > 10 and max(map(len, cut[0])) == 4 * rec.SLICE and b"".join(cut[0]) == nets[0].packed()
+    rows = [(k, w, x) for w, c in zip(seen.tolist(), cut) for k, x in enumerate(c)]
+    trained = spark.createDataFrame(rows, "slice int, weight double, net binary").repartition(7)
+    got = net.unpacked(rec.averaged(trained))
+    for name in net.NAMES:
+        want = sum(w * x.p[name].astype(np.float64) for w, x in zip(seen, nets)) / seen.sum()
+        assert got.p[name] == pytest.approx(want, rel=1e-5, abs=1e-6)
+    assert rec.averaged(trained.limit(0)) == b""
+
+
+def test_trainers_pass_on_slices(spark, monkeypatch):
+    """What the trainers hand over for averaging: every slice of each network
+    as a row of its own, and nothing larger."""
+    handed = []
+    averaged = rec.averaged
+    monkeypatch.setattr(rec, "averaged", lambda trained: handed.append(trained.cache()) or averaged(handed[0]))
+    monkeypatch.setattr(rec, "TRAINER_RUNS", 8)
+    vocab = rec.Vocabulary(np.arange(80), np.arange(80, 0, -1), np.arange(80, dtype=np.int32), 5000, 90, np.arange(80, 0, -1))
+    net = rec.Network.fresh(vocab)
+    rng = np.random.default_rng(7)
+    runs = spark.createDataFrame([(i, rng.integers(0, 80, 20).astype(np.int16).tobytes()) for i in range(64)], "place long, run binary")
+    got = rec.refined(net, runs, 64)
+    rows = handed[0].collect()
+    cut = rec._slices(net.packed())
+    trainers = Counter(r.slice for r in rows)
+    assert set(trainers) == set(range(len(cut))) and min(trainers.values()) == max(trainers.values()) > 1
+    assert all(len(r.net) == len(cut[r.slice]) <= 4 * rec.SLICE for r in rows)
+    assert sum(r.weight for r in rows if r.slice == 0) == 64 * 19
+    assert all(np.isfinite(x).all() for x in got.p.values()) and got.packed() != net.packed()
